@@ -110,6 +110,15 @@ UNION ALL SELECT symbol, datetime, 'ASK', ask, asksize, '' FROM fx_ticks""", ("f
 SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'gateway' WHEN 1 THEN 'store' ELSE 'bus' END AS component,
   CASE event_type WHEN 'error' THEN 'unhealthy' WHEN 'signup' THEN 'degraded' ELSE 'healthy' END AS status
 FROM events""", ()),
+    # Derived (not part of FIXTURES.md): a futures product catalogue keyed by
+    # the spec symbols, one row per product; the group rule spreads products
+    # over the eight catalogue groups.
+    "fx_catalog": ("""
+SELECT symbol, 'Futures on ' || min(class) AS product,
+  CASE CAST(substring(symbol, 2) AS INT) % 8 WHEN 0 THEN 'agricultural' WHEN 1 THEN 'energy' WHEN 2 THEN 'equity'
+    WHEN 3 THEN 'equity-index' WHEN 4 THEN 'fx' WHEN 5 THEN 'interest-rates' WHEN 6 THEN 'metals' ELSE 'products' END AS product_group,
+  '/' || lower(min(exchange)) || '/' || lower(symbol) || '_{}.html' AS url
+FROM fx_futures_specs GROUP BY symbol""", ("fx_futures_specs",)),
 }
 
 
@@ -145,6 +154,8 @@ def with_fixtures(sql: str, names) -> str:
     """Prefix ``sql`` with CTEs defining the given fixture views (for DuckDB)."""
     ctes = [f"{n} AS ({FIXTURE_SQL[n][0]}\n)" for n in _closure(names)]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
