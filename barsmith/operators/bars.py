@@ -70,6 +70,26 @@ def _drop_incomplete(df: DataFrame, required, all_cols) -> DataFrame:
     return df.filter(req & (~_is_option_symbol(F.col("symbol")) | full))
 
 
+def _meta_aggs(order) -> list[Column]:
+    """Per-group last non-null symbol_group / asset_class and the order key of
+    that row, so per-symbol metadata can be finished on the small aggregate
+    instead of re-reading the input."""
+    out = []
+    for c in META:
+        k = F.when(F.col(c).isNotNull(), _okey(order))
+        out += [F.max_by(F.col(c), k).alias(f"_m_{c}"), F.max(k).alias(f"_k_{c}")]
+    return out
+
+
+def _meta_from_agg(agg: DataFrame) -> DataFrame:
+    return agg.groupBy("symbol").agg(*[F.max_by(F.col(f"_m_{c}"), F.col(f"_k_{c}")).alias(c)
+                                       for c in META])
+
+
+def _meta_cols() -> list[str]:
+    return [x for c in META for x in (f"_m_{c}", f"_k_{c}")]
+
+
 # --------------------------------------------------------------------- A12
 def symbol_metadata(df: DataFrame, ts: str = "datetime", seq=None,
                     cols=META) -> DataFrame:
@@ -164,6 +184,8 @@ def resample_ticks_time(df: DataFrame, resolution: str = "1T", ts: str = "dateti
         last_nn(price, order).alias("close"),
         F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("volume"),
         *[last_nn(c, order).alias(c) for c in opts])
+    # metadata: a separate pass over (symbol, time, group, class) only, partially
+    # aggregated per symbol on the map side -- cheaper than widening the bar shuffle
     meta = symbol_metadata(d, ts, seq)
     out = bars.join(meta, "symbol").select(
         F.col("_bucket").alias(ts), "symbol", *META,
@@ -236,11 +258,19 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
         F.min("low").alias("low"),
         last_nn("close", order).alias("close"),
         F.coalesce(F.sum("volume"), F.lit(0)).cast("long").alias("volume"),
-        *[last_nn(c, order).alias(c) for c in opts])
-    stats = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"),
-                                    F.min("_bucket").alias("_lo"),
-                                    F.max("_bucket").alias("_hi")) \
-             .withColumn("_fill", _dense_count(res, F.col("_lo"), F.col("_hi")) > F.col("_n"))
+        *[last_nn(c, order).alias(c) for c in opts],
+        F.count(F.lit(1)).alias("_rows"), *_meta_aggs(order))
+    # The bucket aggregate feeds four consumers (fill decision, metadata, plain
+    # rows, grid join) which column pruning turns into four different plans, so
+    # exchange reuse cannot apply.  Materialise it once (reliable checkpoint in
+    # the shared folder): the input is read and shuffled exactly once.
+    agg = ordered.materialize(agg)
+    meta = _meta_from_agg(agg)
+    stats = agg.groupBy("symbol").agg(F.sum("_rows").alias("_n"),
+                                      F.min("_bucket").alias("_lo"),
+                                      F.max("_bucket").alias("_hi")) \
+               .withColumn("_fill", _dense_count(res, F.col("_lo"), F.col("_hi")) > F.col("_n"))
+    agg = agg.drop("_rows", *_meta_cols())
     fill_syms = stats.filter("_fill")
     plain = agg.join(stats.filter(~F.col("_fill")).select("symbol"), "symbol", "left_semi")
 
@@ -262,7 +292,6 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
         g = g.withColumns({c: F.when(empty, F.lit(None)).otherwise(F.col(c))
                            for c in ("open", "high", "low", "close")})
     both = plain.select("symbol", "_bucket", *vals).unionByName(g.select("symbol", "_bucket", *vals))
-    meta = symbol_metadata(d, ts, seq)
     out = both.join(meta, "symbol").select(F.col("_bucket").alias(ts), "symbol", *META, *vals)
     if dropna:
         out = out.dropna()
@@ -310,8 +339,8 @@ def resample_tick_count(df: DataFrame, n: int, ts: str = "datetime", seq=None,
     grp = F.floor((F.col("_g") - 1) / F.lit(n))
     bars = _count_bars(s, ts, order, grp, price, size, "_fs" if fill_size else size, opts)
     meta = symbol_metadata(d, ts, seq)
-    out = bars.join(meta, "symbol").select(ts, "symbol", *META, "open", "high", "low",
-                                           "close", "volume", *opts)
+    out = bars.join(meta, "symbol").select(
+        ts, "symbol", *META, "open", "high", "low", "close", "volume", *opts)
     return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)
 
 
@@ -340,8 +369,8 @@ def resample_volume(df: DataFrame, n: int, ts: str = "datetime", seq=None,
     grp = F.when(F.col("_mark") == F.col("_mark0"), F.lit(0.0)).otherwise(F.col("_mark") / F.lit(n))
     bars = _count_bars(s, ts, order, grp, price, size, "_fs" if fill_size else size, opts)
     meta = symbol_metadata(d, ts, seq)
-    out = bars.join(meta, "symbol").select(ts, "symbol", *META, "open", "high", "low",
-                                           "close", "volume", *opts)
+    out = bars.join(meta, "symbol").select(
+        ts, "symbol", *META, "open", "high", "low", "close", "volume", *opts)
     return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)
 
 

@@ -112,6 +112,15 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     return j.drop(*drop)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate that several branches consume:
+    reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives
+    executor loss; never a local checkpoint)."""
+    from barsmith.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def halo_blocks(df: DataFrame, rownum: str, halo: int,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Assign ``_blk`` by row number and duplicate each block's last ``halo``
