@@ -428,6 +428,21 @@ def resample(df: DataFrame, resolution: str = "1T", ts: str = "datetime", seq=No
     return out
 
 
+# --------------------------------------------------------------------- F10
+def regularize_index(df: DataFrame, freq: str, ts: str = "datetime", tz: str | None = None,
+                     seq=None) -> DataFrame:
+    """bars with text times.  Times carrying an offset are parsed and
+    converted; naive ones are bucketed onto the regular ``freq`` grid
+    without fill (A2 with ``ffill=False``: empty or zero-volume buckets
+    vanish), then moved to ``tz``."""
+    from barsmith.functions.timeutil import parse_utc
+    d = df.withColumn(ts, parse_utc(F.col(ts)))
+    out = resample_bars_time(d, freq, ts, seq, ffill=False)
+    if tz:
+        out = out.withColumn(ts, to_local(ts, tz))
+    return out
+
+
 # --------------------------------------------------------------------- W5 / W1 / W13
 def forward_fill(df: DataFrame, cols, keys=("symbol",), order=("datetime",),
                  chunk: Column | None = None) -> DataFrame:

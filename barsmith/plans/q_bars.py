@@ -242,3 +242,22 @@ def tick_scalars(spark):
                     S.is_number("lastsize").alias("size_is_number"),
                     S.to_decimal("bid", 2).alias("bid_2dp"),
                     F.substring("symbol", -3, 3).isin("OPT", "FOP").alias("is_option"))
+
+
+@register("regularize_index", fixtures=["fx_bars", "fx_symbols"], sql=f"""
+WITH {B_SYM},
+a AS (SELECT symbol, CAST(date_trunc('day', datetime) AS TIMESTAMP) AS bucket,
+  arg_min(open, (datetime, id)) FILTER (WHERE open IS NOT NULL) AS open, max(high) AS high, min(low) AS low,
+  arg_max(close, (datetime, id)) FILTER (WHERE close IS NOT NULL) AS close, CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume,
+  count(*) AS n FROM b GROUP BY symbol, date_trunc('day', datetime)),
+st AS (SELECT symbol, (date_diff('day', min(bucket), max(bucket)) + 1) > sum(n) AS fill FROM a GROUP BY symbol),
+{META_T.format(src='b')}
+SELECT timezone('Asia/Tokyo', a.bucket AT TIME ZONE 'UTC') AS datetime, a.symbol, m.symbol_group, m.asset_class,
+  open, high, low, close, volume
+FROM a JOIN st USING (symbol) JOIN m USING (symbol) WHERE {OHLC_OK} AND (NOT st.fill OR volume > 0)
+""")
+def regularize_index(spark):
+    """bars with text timestamps put on a daily grid without fill, in
+    Tokyo time."""
+    b = bars_with_symbols(spark).withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
+    return B.regularize_index(b, "1D", tz="Asia/Tokyo", seq="id")

@@ -250,3 +250,24 @@ def resolve_contracts(spark):
             .union(sp.select(F.concat(F.lit("FUT."), "class", F.lit(".202409")))).distinct()
     roots = spark.table("fx_settlements").select("root").union(cat.select(F.col("symbol").alias("root")))
     return FU.resolve_contracts(inst, cat, specs(spark), active(spark, roots))
+
+
+@register("parse_settlement_text", fixtures=["fx_settlements"], sql="""
+WITH r AS (SELECT root, listing_order,
+  replace(upper(strftime(strptime(expiry, '%Y%m'), '%b %y')), 'JUL', 'JLY') AS month_text,
+  format('{:,}', volume) AS volume_text FROM fx_settlements)
+SELECT root, listing_order, month_text, volume_text,
+  strftime(strptime(replace(month_text, 'JLY', 'JUL'), '%b %y'), '%Y%m') AS expiry,
+  CAST(replace(volume_text, ',', '') AS DOUBLE) AS volume
+FROM r
+""")
+def parse_settlement_text(spark):
+    """settlement rows rendered as page text ('JLY 24', '1,234') and
+    parsed back to YYYYMM and numbers."""
+    from barsmith.functions.scalars import parse_contract_month, parse_thousands
+    s = spark.table("fx_settlements")
+    month = F.replace(F.upper(F.date_format(F.to_date("expiry", "yyyyMM"), "MMM yy")), F.lit("JUL"), F.lit("JLY"))
+    r = s.select("root", "listing_order", month.alias("month_text"),
+                 F.format_number("volume", 0).alias("volume_text"))
+    return r.select("*", parse_contract_month("month_text").alias("expiry"),
+                    parse_thousands("volume_text").alias("volume"))

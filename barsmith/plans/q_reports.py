@@ -156,3 +156,22 @@ def backfill_plan(spark):
     last = b.groupBy("symbol").agg(F.max("datetime").alias("last_stored"))
     now = F.lit("2002-03-15 09:30:00").cast("timestamp_ntz")
     return last.select("symbol", "last_stored", C.duration_label("last_stored", now).alias("duration"))
+
+
+@register("convert_timezone", fixtures=["fx_ticks"], sql="""
+SELECT id, timezone('Asia/Tokyo', datetime AT TIME ZONE 'UTC') AS tokyo,
+  timezone('UTC', timezone('Asia/Tokyo', datetime AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo') AS back_to_utc,
+  CAST(strptime(strftime(datetime, '%Y-%m-%d %H:%M:%S') || '+09:00', '%Y-%m-%d %H:%M:%S%z') AT TIME ZONE 'UTC' AS TIMESTAMP) AS from_offset,
+  strftime(timezone('America/New_York', datetime AT TIME ZONE 'UTC'), '%Y-%m-%d %H:%M') AS ny_text
+FROM fx_ticks
+""")
+def convert_timezone(spark):
+    """zone conversions of every tick time (to Tokyo and back, text with
+    an offset parsed to UTC, formatted New York time)."""
+    from barsmith.functions import timeutil as TU
+    t = spark.table("fx_ticks")
+    tokyo = TU.to_local("datetime", "Asia/Tokyo")
+    txt = F.concat(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"), F.lit("+09:00"))
+    return t.select("id", tokyo.alias("tokyo"), TU.to_utc(tokyo, "Asia/Tokyo").alias("back_to_utc"),
+                    TU.parse_utc(txt).alias("from_offset"),
+                    TU.format_ts(TU.to_local("datetime", "America/New_York"), "yyyy-MM-dd HH:mm").alias("ny_text"))
