@@ -203,27 +203,44 @@ def _dense_count(res: Resolution, lo: Column, hi: Column) -> Column:
     return (F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))) / us + 1
 
 
-def _grid(stats: DataFrame, res: Resolution) -> DataFrame:
-    """All bucket starts between ``_lo`` and ``_hi`` per symbol.
+def _next_bucket(res: Resolution, b: Column) -> Column:
+    if res.unit == "W":
+        return F.date_add(F.to_date(b), 7).cast("timestamp_ntz")
+    if res.unit == "M":
+        return F.last_day(F.add_months(F.to_date(b), 1)).cast("timestamp_ntz")
+    return b + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(res.seconds))
+
+
+def _prev_bucket(res: Resolution, b: Column) -> Column:
+    if res.unit == "W":
+        return F.date_sub(F.to_date(b), 7).cast("timestamp_ntz")
+    if res.unit == "M":
+        return F.last_day(F.add_months(F.to_date(b), -1)).cast("timestamp_ntz")
+    return b - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(res.seconds))
+
+
+def _grid(ranges: DataFrame, res: Resolution, carry=()) -> DataFrame:
+    """All bucket starts between ``_lo`` and ``_hi`` (inclusive, on the
+    bucket grid) per row, carrying ``carry`` columns along.
 
     Sub-day sizes explode in two levels (days, then buckets of each day) so
-    no single row materialises a whole history's worth of buckets."""
+    no single row materialises a long gap's worth of buckets at once."""
+    carry = list(carry)
     if res.unit == "W":
-        return stats.select("symbol", F.explode(F.sequence(
+        return ranges.select("symbol", *carry, F.explode(F.sequence(
             F.to_date("_lo"), F.to_date("_hi"), F.expr("INTERVAL 7 DAYS")))
             .cast("timestamp_ntz").alias("_bucket"))
     if res.unit == "M":
         months = F.sequence(F.trunc(F.to_date("_lo"), "MM"), F.trunc(F.to_date("_hi"), "MM"),
                             F.expr("INTERVAL 1 MONTH"))
-        return stats.select("symbol", F.explode(months).alias("_m")) \
-                    .select("symbol", F.last_day("_m").cast("timestamp_ntz").alias("_bucket"))
+        return ranges.select("symbol", *carry, F.explode(months).alias("_m")) \
+                     .select("symbol", *carry, F.last_day("_m").cast("timestamp_ntz").alias("_bucket"))
     sec = res.seconds
     if sec >= 86400:
         step = F.expr(f"INTERVAL {sec} SECONDS")
-        return stats.select("symbol", F.explode(F.sequence("_lo", "_hi", step)).alias("_bucket"))
-    days = stats.select("symbol", "_lo", "_hi", F.explode(F.sequence(
+        return ranges.select("symbol", *carry, F.explode(F.sequence("_lo", "_hi", step)).alias("_bucket"))
+    days = ranges.select("symbol", *carry, "_lo", "_hi", F.explode(F.sequence(
         F.to_date("_lo"), F.to_date("_hi"))).alias("_day"))
-    # first bucket of the day on the symbol's grid, last one not after _hi
     us = sec * 1_000_000
     lo_us = F.unix_micros(F.col("_lo").cast("timestamp"))
     day_us = F.unix_micros(F.col("_day").cast("timestamp"))
@@ -231,8 +248,8 @@ def _grid(stats: DataFrame, res: Resolution) -> DataFrame:
     last = F.least(F.unix_micros(F.col("_hi").cast("timestamp")),
                    day_us + F.lit(86400 * 1_000_000 - 1))
     return days.repartition("symbol", "_day").select(
-        "symbol", F.explode(F.sequence(first, last, F.lit(us))).alias("_b")) \
-        .select("symbol", F.timestamp_micros("_b").cast("timestamp_ntz").alias("_bucket"))
+        "symbol", *carry, F.explode(F.sequence(first, last, F.lit(us))).alias("_b")) \
+        .select("symbol", *carry, F.timestamp_micros("_b").cast("timestamp_ntz").alias("_bucket"))
 
 
 def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetime",
@@ -271,24 +288,39 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
                                       F.max("_bucket").alias("_hi")) \
                .withColumn("_fill", _dense_count(res, F.col("_lo"), F.col("_hi")) > F.col("_n"))
     agg = agg.drop("_rows", *_meta_cols())
-    fill_syms = stats.filter("_fill")
+    fill_syms = stats.filter("_fill").select("symbol")
     plain = agg.join(stats.filter(~F.col("_fill")).select("symbol"), "symbol", "left_semi")
 
-    grid = _grid(fill_syms, res)
-    g = grid.join(agg, ["symbol", "_bucket"], "left") \
-            .withColumn("volume", F.coalesce("volume", F.lit(0)).cast("long"))
+    # Gap fill without a dense grid join: forward-fill the real buckets of the
+    # symbols that need it and find each one's next real bucket (one two-phase
+    # pass over the bucket aggregate); the empty buckets between two real ones
+    # are then generated from the earlier one, carrying its filled values.
+    fa = agg.join(fill_syms, "symbol", "left_semi")
     chunk = F.trunc(F.to_date("_bucket"), "MM") if (res.seconds or 86400) >= 86400 \
         else F.to_date("_bucket")
     ff_cols = [c for c in vals if c != "volume"]
-    g = ordered.sequence(g, ["symbol"], ["_bucket"], chunk, rownum=None,
-                         ffill={c: f"_ff_{c}" for c in ff_cols})
-    g = g.select("symbol", "_bucket", "volume",
-                 *[F.col(f"_ff_{c}").alias(c) for c in ff_cols])
+    s = ordered.sequence(fa, ["symbol"], ["_bucket"], chunk, rownum=None,
+                         ffill={c: f"_ff_{c}" for c in ff_cols},
+                         nxt={"_bucket": "_nb"} if ffill else None)
     empty = F.col("volume") <= 0
     if ffill:
-        g = g.withColumns({c: F.when(empty, F.col("close")).otherwise(F.col(c))
-                           for c in ("open", "high", "low")})
+        # one explode per real bucket over [bucket, next real bucket): the first
+        # element is the real row, the rest are its gap rows (volume 0, all
+        # prices = the carried close)
+        rng = s.select("symbol", F.col("_bucket").alias("_rb"), F.col("volume").alias("_vol"),
+                       *[F.col(f"_ff_{c}").alias(f"_v_{c}") for c in ff_cols],
+                       F.col("_bucket").alias("_lo"),
+                       F.coalesce(_prev_bucket(res, F.col("_nb")), F.col("_bucket")).alias("_hi"))
+        grid = _grid(rng, res, ["_rb", "_vol", *[f"_v_{c}" for c in ff_cols]])
+        real = F.col("_bucket") == F.col("_rb")
+        flat = ~real | (F.col("_vol") <= 0)
+        g = grid.select(
+            "symbol", "_bucket",
+            F.when(real, F.col("_vol")).otherwise(F.lit(0)).cast("long").alias("volume"),
+            *[(F.when(flat, F.col("_v_close")).otherwise(F.col(f"_v_{c}"))
+               if c in ("open", "high", "low") else F.col(f"_v_{c}")).alias(c) for c in ff_cols])
     else:
+        g = s.select("symbol", "_bucket", "volume", *[F.col(f"_ff_{c}").alias(c) for c in ff_cols])
         g = g.withColumns({c: F.when(empty, F.lit(None)).otherwise(F.col(c))
                            for c in ("open", "high", "low", "close")})
     both = plain.select("symbol", "_bucket", *vals).unionByName(g.select("symbol", "_bucket", *vals))

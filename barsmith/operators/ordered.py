@@ -51,7 +51,8 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
              rownum: str | None = "_g", total: str | None = None,
              sums: dict[str, str] | None = None,
              ffill: dict[str, str] | None = None,
-             prev: dict[str, str] | None = None) -> DataFrame:
+             prev: dict[str, str] | None = None,
+             nxt: dict[str, str] | None = None) -> DataFrame:
     """Add per-key ordered columns without a per-key task.
 
     ``keys``   partition columns (names).
@@ -63,12 +64,14 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
                null row values give the running total up to that row).
     ``ffill``  {source: target} last non-null value up to and including the row.
     ``prev``   {source: target} value of the previous row (lag 1), null first.
+    ``nxt``    {source: target} value of the next row (lead 1), null last.
     """
     keys = list(keys)
     order = list(order)
     sums = sums or {}
     ffill = ffill or {}
     prev = prev or {}
+    nxt = nxt or {}
     ch = chunk if chunk is not None else day_chunk(order[0])
     d = df.withColumn("_chunk", ch)
     okey = F.struct(*[F.col(o) for o in order])
@@ -78,6 +81,7 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     aggs += [F.max_by(s, F.when(F.col(s).isNotNull(), okey)).alias(f"_cf_{i}")
              for i, s in enumerate(ffill)]
     aggs += [F.max_by(s, okey).alias(f"_cp_{i}") for i, s in enumerate(prev)]
+    aggs += [F.min_by(s, okey).alias(f"_cn_{i}") for i, s in enumerate(nxt)]
     summ = d.groupBy(*keys, "_chunk").agg(*aggs)
 
     wb = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(UNB, -1)
@@ -91,6 +95,8 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
             for i in range(len(ffill))]
     sel += [F.lag(f"_cp_{i}").over(Window.partitionBy(*keys).orderBy("_chunk"))
             .alias(f"_op_{i}") for i in range(len(prev))]
+    sel += [F.lead(f"_cn_{i}").over(Window.partitionBy(*keys).orderBy("_chunk"))
+            .alias(f"_on_{i}") for i in range(len(nxt))]
     summ = summ.select(*sel)
 
     j = d.join(summ, on=[*keys, "_chunk"], how="inner")
@@ -106,9 +112,14 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     for i, (s, t) in enumerate(prev.items()):
         out[t] = F.when(F.row_number().over(wl) == 1, F.col(f"_op_{i}")) \
                   .otherwise(F.lag(s).over(wl))
+    wd = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(o).desc() for o in order])
+    for i, (s, t) in enumerate(nxt.items()):
+        out[t] = F.when(F.row_number().over(wd) == 1, F.col(f"_on_{i}")) \
+                  .otherwise(F.lead(s).over(wl))
     j = j.withColumns(out)
     drop = ["_chunk", "_off"] + [f"_os_{i}" for i in range(len(sums))] \
-        + [f"_of_{i}" for i in range(len(ffill))] + [f"_op_{i}" for i in range(len(prev))]
+        + [f"_of_{i}" for i in range(len(ffill))] + [f"_op_{i}" for i in range(len(prev))] \
+        + [f"_on_{i}" for i in range(len(nxt))]
     return j.drop(*drop)
 
 

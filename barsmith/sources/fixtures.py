@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barsmith.sources.tables import register_tables
+from barsmith.sources.tables import _REGISTERED, _session_key, register_tables
 
 # name -> (sql body, fixture views it reads)
 FIXTURE_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -141,8 +141,12 @@ def _closure(names) -> list[str]:
 def register_fixtures(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Register base tables and the requested fixture views (lazy)."""
     register_tables(spark, sf_dir)
+    sk = _session_key(spark)
     for n in _closure(names or list(FIXTURE_SQL)):
+        if _REGISTERED.get((sk, n)) == sf_dir and spark.catalog.tableExists(n):
+            continue
         spark.sql(f"CREATE OR REPLACE TEMP VIEW {n} AS {FIXTURE_SQL[n][0]}")
+        _REGISTERED[(sk, n)] = sf_dir
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,12 +24,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+# (session, view name) -> source path of the registered view
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
+def _session_key(spark: SparkSession) -> int:
+    return id(spark._jsparkSession)
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
-    """Register driver tables as temp views (a view is only a named plan)."""
+    """Register driver tables as temp views (a view is only a named plan).
+
+    Registration reads the parquet footer on the driver; it is done once per
+    session and folder (a view that still points at the same path is kept)."""
+    sk = _session_key(spark)
     for n in names or DRIVER_TABLES:
         p = table_path(sf_dir, n)
+        if _REGISTERED.get((sk, n)) == p and spark.catalog.tableExists(n):
+            continue
         if os.path.exists(p) or "://" in p:
             read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+            _REGISTERED[(sk, n)] = p
 
 
 def scan_market_table(spark: SparkSession, path: str, schema=None,

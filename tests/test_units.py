@@ -179,7 +179,8 @@ def test_sequence_and_halo_match_pandas(spark):
             data.append((k, t, i, v, random.randint(0, 5)))
     df = spark.createDataFrame(data, "k string, t timestamp_ntz, i int, v double, s int").repartition(7)
     seq = ordered.sequence(df, ["k"], ["t", "i"], ordered.seconds_chunk("t", 3600), rownum="g",
-                           total="n", sums={"s": "cs"}, ffill={"v": "fv"}, prev={"v": "pv"})
+                           total="n", sums={"s": "cs"}, ffill={"v": "fv"}, prev={"v": "pv"},
+                           nxt={"v": "nv"})
     got = seq.toPandas().sort_values(["k", "t", "i"]).reset_index(drop=True)
     pdf = pd.DataFrame(data, columns=["k", "t", "i", "v", "s"]).sort_values(["k", "t", "i"]).reset_index(drop=True)
     gb = pdf.groupby("k")
@@ -187,6 +188,7 @@ def test_sequence_and_halo_match_pandas(spark):
     assert (got["cs"].values == gb["s"].cumsum().values).all()
     assert got["fv"].fillna(-1).tolist() == gb["v"].ffill().fillna(-1).tolist()
     assert got["pv"].fillna(-1).tolist() == gb["v"].shift(1).fillna(-1).tolist()
+    assert got["nv"].fillna(-1).tolist() == gb["v"].shift(-1).fillna(-1).tolist()
     b = ordered.halo_blocks(seq, "g", 2, block_rows=5)
     w = ordered.block_window(["k"], "g", -2, 0)
     lag = b.withColumn("l2", F.lag("i", 2).over(
