@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["round_to_tick", "to_decimal", "is_number", "symbol_group",
+__all__ = ["as_double", "round_to_tick", "to_decimal", "is_number", "symbol_group",
            "asset_class", "mid_price", "parse_thousands",
            "parse_contract_month", "book_top", "falsy_to_null", "nan_to_null"]
 
@@ -14,6 +14,15 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def as_double(df, c: str) -> Column:
+    """Column ``c`` of ``df`` as double: numeric columns are cast directly,
+    anything else is parsed from text (unparsable -> NULL)."""
+    from pyspark.sql.types import NumericType
+    if isinstance(df.schema[c].dataType, NumericType):
+        return F.col(c).cast("double")
+    return F.col(c).cast("string").try_cast("double")
+
+
 def round_to_tick(val, res: float, decimals: int | None = None) -> Column:
     """nearest multiple of ``res`` (half-even), then ``decimals`` places;
     decimals default to the digits after the point in ``res`` (none -> whole

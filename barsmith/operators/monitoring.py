@@ -92,7 +92,8 @@ def rolling_message_rate(messages: DataFrame, ts: str = "ts", seq: str | None =
          .filter(~F.col("_halo"))
     span = _seconds(F.col(ts), F.col("_old"))
     b = b.withColumn("_raw", F.when((F.col("_cnt") >= 2) & (span > 0), F.col("_cnt") / span))
-    out = ordered.sequence(b.drop("_blk", "_halo"), ["key"], ["_g"], ordered.day_chunk(ts),
+    out = ordered.sequence(b.drop("_blk", "_halo"), ["key"], ["_g"],
+                           ordered.seconds_chunk(ts, ordered.CHUNK_SECONDS),
                            rownum=None, ffill={"_raw": "rate"})
     return out.drop("_g", "_cnt", "_old", "_raw")
 

@@ -21,7 +21,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.functions.scalars import falsy_to_null
+from barsmith.functions.scalars import as_double, falsy_to_null
 from barsmith.functions.timeutil import to_local
 from barsmith.operators import ordered
 
@@ -131,7 +131,7 @@ def validate_bars(df: DataFrame, require_symbol: bool = True) -> DataFrame:
     Order: missing field, non-numeric value, high < max(open, close),
     low > min(open, close), volume < 0."""
     req = (["symbol", "datetime"] if require_symbol else []) + list(BAR_VALUES)
-    num = {c: F.col(c).cast("string").try_cast("double") for c in BAR_VALUES}
+    num = {c: as_double(df, c) for c in BAR_VALUES}
     reason = None
     for c in req:
         cond = F.col(c).isNull()
@@ -218,10 +218,10 @@ def prepare_history(df: DataFrame, table_type: str = "bars", tz: str = "UTC",
     out = df
     for c in prices:
         if c in out.columns:
-            out = out.withColumn(c, F.col(c).cast("string").try_cast("double"))
+            out = out.withColumn(c, as_double(out, c))
     for c in sizes:
         if c in out.columns:
-            out = out.withColumn(c, F.col(c).cast("string").try_cast("double").cast("long"))
+            out = out.withColumn(c, as_double(out, c).cast("long"))
     if tz and tz.upper() != "UTC":
         try:
             import zoneinfo
