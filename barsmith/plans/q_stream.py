@@ -246,9 +246,14 @@ def stream_instrument_changes(spark):
     v1 = contracts(spark)
     v2 = contracts(spark).withColumn("exchange", F.coalesce("exchange", F.lit("IDEALPRO")))
     for i, v in ((1, v1), (2, v2)):
-        v.coalesce(1).write.mode("overwrite").parquet(f"{root}/lists/version={i}")
+        v.write.mode("overwrite").parquet(f"{root}/staging/version={i}")
+    # publish the finished versions (a rename is atomic for the file source)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(f"{root}/staging").getFileSystem(conf)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/staging"), jvm.org.apache.hadoop.fs.Path(f"{root}/lists"))
     schema = StructType(list(schemas.INSTRUMENTS.fields) + [StructField("version", IntegerType())])
-    lists = SS.file_stream(spark, f"{root}/lists", schema, fmt="parquet")
+    lists = SS.file_stream(spark, f"{root}/lists", schema, fmt="parquet", max_files=100000)
     out = SS.stream_instrument_changes(lists, f"{root}/versions", as_of=JUL1)
     return spark.read.parquet(out).select(*CANONICAL, "change", "version")
 

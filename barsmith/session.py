@@ -7,7 +7,6 @@ else is a default that a cluster configuration may override.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -50,13 +49,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder for lineage cuts and streaming checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) is a fallback created and registered.
+    Only when it is unset is a fallback registered: the caller's (tests), else
+    a folder under the warehouse directory, which lives on the cluster's
+    shared file system (never a machine-local temp folder).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = fallback or tempfile.mkdtemp(prefix="barsmith-ckpt-")
+        d = fallback or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_barsmith_checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)

@@ -39,7 +39,8 @@ def scan_instruments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_instruments(df: DataFrame, path: str) -> None:
-    """S9 sink: write a list version (one CSV file, header), replacing the
-    version at ``path``.  Readers pick versions by path, so a rewrite never
-    changes a list another job is reading."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """S9 sink: write a list version (a folder of CSV parts with headers) at
+    ``path``.  Each version gets its own path, so a rewrite never changes a
+    list another job is reading; publish a version by moving its finished
+    folder into place."""
+    df.write.mode("overwrite").option("header", True).csv(path)

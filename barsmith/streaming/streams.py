@@ -199,15 +199,18 @@ def stream_price_changes(quotes: DataFrame, ts: str = "timestamp", price: str =
 # --------------------------------------------------------------------- TS7
 def stream_instrument_changes(lists: DataFrame, versions_path: str, name: str = "instruments",
                               as_of=None) -> str:
-    """TS7: every new raw list version (a ``version`` partition of the list
-    folder) is cleaned (P4, as of ``as_of``; default today) and compared with
-    the previous version (U2); the first version is all ADDED.  Cleaned
-    versions are kept under ``versions_path``; changes go to
-    ``<run>/changes``."""
+    """TS7: every new raw list version (a ``version=<n>`` folder of the
+    watched list folder, published atomically by moving it into place) is
+    cleaned (P4, as of ``as_of``; default today) and compared with the
+    previous version (U2); the first version is all ADDED.  A micro-batch may
+    hold several versions; they are applied in order.  Cleaned versions are
+    kept under ``versions_path``; changes go to ``<run>/changes``.  Read the
+    list folder with a file limit large enough for whole versions."""
     spark = lists.sparkSession
     out = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "changes")
 
     def batch_fn(batch: DataFrame, epoch: int):
+        # the version numbers of this micro-batch (a handful): driver-side loop
         vs = sorted(r[0] for r in batch.select("version").distinct().collect())
         for v in vs:
             cur = CA.live_instruments(batch.filter(F.col("version") == v).select(*CANONICAL), as_of)
