@@ -140,9 +140,9 @@ def sync_time_range(df: DataFrame, ts: str = "datetime", key: str = "symbol") ->
     is left (i.e. start <= end).  The bounds are scalar subqueries over a
     per-symbol aggregate: no join, no driver round trip."""
     rng = df.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")) \
-            .agg(F.max("_lo").alias("_start"), F.min("_hi").alias("_end"))
-    start = rng.select("_start").scalar()
-    end = rng.select("_end").scalar()
+            .agg(F.struct(F.max("_lo").alias("s"), F.min("_hi").alias("e")).alias("_r"))
+    r = rng.select("_r").scalar()          # one subquery, evaluated once
+    start, end = r["s"], r["e"]
     c = F.col(ts)
     return df.filter((c <= end) & ((start > end) | (c >= start)))
 
@@ -161,7 +161,8 @@ def _bucket(df: DataFrame, ts: str, res: Resolution, keys=("symbol",)) -> DataFr
 
 def resample_ticks_time(df: DataFrame, resolution: str = "1T", ts: str = "datetime",
                         seq=None, tz: str | None = None,
-                        price: str = "last", size: str = "lastsize") -> DataFrame:
+                        price: str = "last", size: str = "lastsize",
+                        meta: DataFrame | None = None) -> DataFrame:
     """A1: time bars from ticks, per symbol.
 
     open/high/low/close over non-null ``price``; volume = sum of ``size`` over
@@ -186,7 +187,8 @@ def resample_ticks_time(df: DataFrame, resolution: str = "1T", ts: str = "dateti
         *[last_nn(c, order).alias(c) for c in opts])
     # metadata: a separate pass over (symbol, time, group, class) only, partially
     # aggregated per symbol on the map side -- cheaper than widening the bar shuffle
-    meta = symbol_metadata(d, ts, seq)
+    if meta is None:
+        meta = symbol_metadata(d, ts, seq)
     out = bars.join(meta, "symbol").select(
         F.col("_bucket").alias(ts), "symbol", *META,
         "open", "high", "low", "close", "volume", *opts)
@@ -354,7 +356,7 @@ def _tick_frame(df: DataFrame, price: str | None, size: str | None):
 
 def resample_tick_count(df: DataFrame, n: int, ts: str = "datetime", seq=None,
                         price: str | None = None, size: str | None = None,
-                        fill_size: bool = True) -> DataFrame:
+                        fill_size: bool = True, meta: DataFrame | None = None) -> DataFrame:
     """A3: N-tick bars per symbol.
 
     Values are forward-filled within the symbol first; group = (row-1) div N
@@ -370,7 +372,8 @@ def resample_tick_count(df: DataFrame, n: int, ts: str = "datetime", seq=None,
     s = ordered.sequence(d, ["symbol"], order, rownum="_g", ffill=ff)
     grp = F.floor((F.col("_g") - 1) / F.lit(n))
     bars = _count_bars(s, ts, order, grp, price, size, "_fs" if fill_size else size, opts)
-    meta = symbol_metadata(d, ts, seq)
+    if meta is None:
+        meta = symbol_metadata(d, ts, seq)
     out = bars.join(meta, "symbol").select(
         ts, "symbol", *META, "open", "high", "low", "close", "volume", *opts)
     return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)
@@ -378,7 +381,7 @@ def resample_tick_count(df: DataFrame, n: int, ts: str = "datetime", seq=None,
 
 def resample_volume(df: DataFrame, n: int, ts: str = "datetime", seq=None,
                     price: str | None = None, size: str | None = None,
-                    fill_size: bool = True) -> DataFrame:
+                    fill_size: bool = True, meta: DataFrame | None = None) -> DataFrame:
     """A4: N-volume bars per symbol.
 
     cumvol = running sum of size; mark = N * round_half_even(round(cumvol, 1) / N);
@@ -400,7 +403,8 @@ def resample_volume(df: DataFrame, n: int, ts: str = "datetime", seq=None,
     s = s.join(first, "symbol")
     grp = F.when(F.col("_mark") == F.col("_mark0"), F.lit(0.0)).otherwise(F.col("_mark") / F.lit(n))
     bars = _count_bars(s, ts, order, grp, price, size, "_fs" if fill_size else size, opts)
-    meta = symbol_metadata(d, ts, seq)
+    if meta is None:
+        meta = symbol_metadata(d, ts, seq)
     out = bars.join(meta, "symbol").select(
         ts, "symbol", *META, "open", "high", "low", "close", "volume", *opts)
     return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)
@@ -445,16 +449,20 @@ def resample(df: DataFrame, resolution: str = "1T", ts: str = "datetime", seq=No
     then tick-count / volume / time bars, then keep-last de-duplication.
     Ticks are recognised by a ``last`` column."""
     d = with_meta_columns(df)
+    meta = None
     if sync_last_timestamp:
         d = sync_time_range(d, ts)
+        # exact duplicates share group and class, so the metadata of the synced
+        # rows equals that of the de-duplicated ones: no second dedupe shuffle
+        meta = symbol_metadata(d, ts, seq)
         d = dedupe_per_instrument(d, keep="first", ts=ts, seq=seq)
     res = parse_resolution(resolution)
     if res.kind == "ticks":
-        out = resample_tick_count(d, res.n, ts, seq)
+        out = resample_tick_count(d, res.n, ts, seq, meta=meta)
     elif res.kind == "volume":
-        out = resample_volume(d, res.n, ts, seq)
+        out = resample_volume(d, res.n, ts, seq, meta=meta)
     elif "last" in d.columns:
-        out = resample_ticks_time(d, resolution, ts, seq, tz)
+        out = resample_ticks_time(d, resolution, ts, seq, tz, meta=meta)
     else:
         out = resample_bars_time(d, resolution, ts, seq, ffill, dropna)
     return out
