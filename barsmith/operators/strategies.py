@@ -4,8 +4,8 @@ X2 is pure window arithmetic.  X1 runs user code: the callback receives one
 instrument's time-ordered rows of a session (``symbol`` x ``session`` day)
 as a pandas frame and returns signal rows.  Sessions bound the size of each
 Python group; strategies whose state spans sessions run on the stream form
-(``streaming.streams.stream_strategy``), where Spark's state store carries
-the state between micro-batches.
+(``barsmith.streaming.streams.stream_strategy``), where Spark's state
+store carries the state between micro-batches.
 """
 
 from __future__ import annotations

@@ -276,3 +276,21 @@ def subscribe_messages(spark):
     """S7 (batch form): decode the published quote messages, New York time."""
     msgs = NO.publish_messages(quotes(spark))
     return NO.subscribe_messages(msgs, QUOTE_MSG_SCHEMA, kind="QUOTE", tz="America/New_York")
+
+
+@register("stream_publish_subscribe", fixtures=["fx_ticks"], sql=f"""
+WITH {QUOTES_SQL}
+SELECT * REPLACE (timezone('America/New_York', timestamp AT TIME ZONE 'UTC') AS timestamp) FROM q
+WHERE asset_class = 'CSH'
+""")
+def stream_publish_subscribe(spark):
+    """S6 + S7 on streams: the quote stream is published per kind to a
+    folder; a subscriber stream reads the QUOTE folder, keeps the CASH
+    symbols (a comma list) and converts times to New York."""
+    root = scratch_path(spark, "bus", f"run-{uuid.uuid4().hex}")
+    q = NO.normalize_quotes(ticks_stream(spark, _sf_dir(spark)))
+    SS.publish_stream(q, f"{root}/topic", "publish")
+    cash = ",".join(f"S{u:02d}USD_CASH" for u in range(16))
+    sub = SS.subscribe_stream(spark, f"{root}/topic", QUOTE_MSG_SCHEMA, symbols=cash, kind="QUOTE",
+                              tz="America/New_York")
+    return spark.read.parquet(SS.run_to_table(sub, "subscribe"))

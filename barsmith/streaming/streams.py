@@ -232,3 +232,43 @@ def stream_instrument_changes(lists: DataFrame, versions_path: str, name: str =
 
     run_foreach_batch(lists, name, batch_fn)
     return out
+
+
+# --------------------------------------------------------------------- S6 / S7 on streams
+def publish_stream(df: DataFrame, path: str, name: str = "publish", ts: str = "timestamp") -> str:
+    """Publish a stream of messages as JSON text, one folder per ``kind``
+    (the file form of a topic; a Kafka sink takes the same key/value
+    columns).  Returns the folder."""
+    msgs = NO.publish_messages(df, ts)
+    run_to_table(msgs.withColumnRenamed("key", "kind"), name, fmt="json", path=path,
+                 partition_by=["kind"])
+    return path
+
+
+def subscribe_stream(spark: SparkSession, path: str, schema, symbols=None, kind: str | None = None,
+                     tz: str = "UTC", ts: str = "timestamp") -> DataFrame:
+    """A stream of decoded messages from a published folder: only the
+    requested kind (its folder) and symbols, times converted to ``tz``."""
+    src = spark.readStream.schema("value string, kind string").json(path)
+    if kind is not None:
+        src = src.filter(F.col("kind") == kind)
+    return NO.subscribe_messages(src.select("value"), schema, symbols, None, tz, ts)
+
+
+# --------------------------------------------------------------------- X1 on streams
+def stream_strategy(quotes: DataFrame, on_rows, out_schema: str, ts: str = "timestamp",
+                    key: str = "symbol") -> DataFrame:
+    """X1 on a stream: ``on_rows(pdf, state: dict) -> (signals_pdf, state)``
+    per symbol and micro-batch, rows in time order; the callback's state is
+    kept (as JSON) in Spark's state store between micro-batches."""
+    import json
+
+    def fn(k, pdfs, state):
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ts, kind="mergesort")
+        st = json.loads(state.get[0]) if state.exists else {}
+        out, st = on_rows(pdf.reset_index(drop=True), st)
+        state.update((json.dumps(st),))
+        yield out
+
+    return quotes.groupBy(key).applyInPandasWithState(
+        fn, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)

@@ -231,3 +231,28 @@ def test_late_row_beyond_watermark_is_dropped(spark):
     first = out.filter(F.col("datetime") == T0).first()
     assert first["high"] == 4.0 and first["volume"] == 2      # the late tick is not in [0 s, 5 s)
     assert out.count() == 12                                   # windows ending by the 60 s watermark
+
+
+def test_stream_strategy_keeps_state_across_batches(spark):
+    """A callback counting quotes per symbol sees the count carried over
+    micro-batches by the state store."""
+    import time
+    import uuid
+    from barsmith.session import scratch_path
+    from barsmith.streaming import streams as SS
+    root = scratch_path(spark, "tests", f"strat-{uuid.uuid4().hex}")
+    schema = "symbol string, timestamp timestamp_ntz, last double"
+    for i in range(3):
+        rows_ = [("A", T0 + dt.timedelta(seconds=10 * i + j), float(j), ) for j in range(2)]
+        spark.createDataFrame(rows_, schema).write.parquet(f"{root}/in/b={i}")
+        time.sleep(1.1)
+    stream = SS.file_stream(spark, f"{root}/in", schema + ", b int").drop("b")
+
+    def count_rows(pdf, state):
+        n = state.get("n", 0) + len(pdf)
+        out = pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "n": [n]})
+        return out, {"n": n}
+
+    out = SS.stream_strategy(stream, count_rows, "symbol string, n long")
+    got = sorted(r["n"] for r in spark.read.parquet(SS.run_to_table(out, "strategy")).collect())
+    assert got == [2, 4, 6]
