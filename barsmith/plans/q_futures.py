@@ -234,7 +234,7 @@ SELECT instrument,
   CASE WHEN is_fut THEN upper(s[1]) ELSE 'SMART' END AS exchange,
   CASE WHEN is_fut THEN upper(s[4]) ELSE 'USD' END AS currency,
   CASE WHEN is_fut THEN CAST(TRY_CAST(coalesce(exp, active_exp) AS BIGINT) AS VARCHAR) ELSE '' END AS expiry,
-  0.0 AS strike, '' AS opt_type,
+  CAST(0.0 AS DOUBLE) AS strike, '' AS opt_type,
   CASE WHEN NOT is_fut THEN NULL WHEN NOT known THEN 'unsupported symbol' WHEN s IS NULL OR s[2] IS NULL THEN 'unparsable contract'
     WHEN TRY_CAST(coalesce(exp, active_exp) AS BIGINT) IS NULL THEN 'unparsable contract' END AS error
 FROM j

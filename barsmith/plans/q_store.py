@@ -280,7 +280,7 @@ def quality_report(spark):
 
 
 @register("records_json", fixtures=["fx_bars", "fx_symbols"], sql="""
-SELECT s.symbol, to_json({'symbol': s.symbol, 'datetime': strftime(b.datetime, '%Y-%m-%dT%H:%M:%S'), 'open': b.open, 'volume': b.volume}) AS record
+SELECT s.symbol, CAST(to_json({'symbol': s.symbol, 'datetime': strftime(b.datetime, '%Y-%m-%dT%H:%M:%S'), 'open': b.open, 'volume': b.volume}) AS VARCHAR) AS record
 FROM fx_bars b JOIN fx_symbols s ON b.symbol_id = s.id WHERE s.asset_class = 'OPT'
 """)
 def records_json(spark):

@@ -56,7 +56,7 @@ def normalize_quotes(spark):
 
 @register("normalize_ticks", fixtures=["fx_ticks"], sql=f"""
 SELECT symbol, {sg('symbol')} AS symbol_group, {ac('symbol')} AS asset_class, datetime AS timestamp, 'TICK' AS kind,
-  last AS price, coalesce(CAST(lastsize AS DOUBLE), 0.0) AS size, 0.0 AS volume FROM fx_ticks WHERE last IS NOT NULL
+  last AS price, coalesce(CAST(lastsize AS DOUBLE), 0.0) AS size, CAST(0.0 AS DOUBLE) AS volume FROM fx_ticks WHERE last IS NOT NULL
 """)
 def normalize_ticks(spark):
     """Trade tick messages (rows without a price dropped)."""

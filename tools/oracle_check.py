@@ -22,6 +22,9 @@ import duckdb  # noqa: E402
 from barsmith.sources.tables import DRIVER_TABLES  # noqa: E402
 
 
+EXACT = False
+
+
 def norm_value(v):
     if v is None:
         return None
@@ -36,7 +39,7 @@ def norm_value(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6) + 0.0
+        return v + 0.0 if EXACT else round(v, 6) + 0.0
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return norm_value(v.item())
@@ -104,8 +107,11 @@ def compare(spark, con, name, q, sf_dir, verbose=False):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--exact", action="store_true", help="compare doubles bit for bit")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
+    global EXACT
+    EXACT = a.exact
     from barsmith.plans import load_all
     from barsmith.session import get_spark
     spark = get_spark("local[8]", shuffle_partitions=8)
