@@ -281,11 +281,11 @@ def quality_report(spark):
 
 @register("records_json", fixtures=["fx_bars", "fx_symbols"], sql="""
 SELECT s.symbol, CAST(to_json({'symbol': s.symbol, 'datetime': strftime(b.datetime, '%Y-%m-%dT%H:%M:%S'), 'open': b.open, 'volume': b.volume}) AS VARCHAR) AS record
-FROM fx_bars b JOIN fx_symbols s ON b.symbol_id = s.id WHERE s.asset_class = 'OPT'
+FROM fx_bars b JOIN fx_symbols s ON b.symbol_id = s.id
 """)
 def records_json(spark):
     """History rows as JSON records with ISO time."""
     b = spark.table("fx_bars").join(spark.table("fx_symbols").select(
-        F.col("id").alias("symbol_id"), "symbol", "asset_class"), "symbol_id") \
-        .filter(F.col("asset_class") == "OPT").select("symbol", "datetime", "open", "volume")
+        F.col("id").alias("symbol_id"), "symbol"), "symbol_id") \
+        .select("symbol", "datetime", "open", "volume")
     return ST.records_json(b)

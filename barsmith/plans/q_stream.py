@@ -262,7 +262,13 @@ QUOTE_MSG_SCHEMA = ("symbol string, symbol_group string, asset_class string, tim
                     "bid double, ask double, last double, bidSize double, askSize double, lastSize double, volume double")
 
 
-@register("publish_messages", fixtures=["fx_ticks"])
+@register("publish_messages", fixtures=["fx_ticks"], sql=f"""
+WITH {QUOTES_SQL},
+j AS (SELECT kind, CAST(to_json({{'symbol': symbol, 'symbol_group': symbol_group, 'asset_class': asset_class,
+  'timestamp': strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f'), 'kind': kind, 'bid': bid, 'ask': ask, 'last': last,
+  'bidSize': bidSize, 'askSize': askSize, 'lastSize': lastSize, 'volume': volume}}) AS VARCHAR) AS v FROM q)
+SELECT kind AS key, replace(regexp_replace(v, '"[A-Za-z_]+":null,?', '', 'g'), ',}}', '}}') AS value FROM j
+""")
 def publish_messages(spark):
     """S6 (batch form): quotes as keyed JSON messages (NULL fields omitted)."""
     return NO.publish_messages(quotes(spark))
