@@ -119,8 +119,12 @@ def ingest_ticks(batch: DataFrame, existing: DataFrame, symbols: DataFrame, seq,
 
 def append_to_store(rows: DataFrame, path: str) -> None:
     """Write ingest output: one commit per batch, partitioned by day, sorted
-    within partitions for row-group skipping on (symbol_id, datetime)."""
-    (rows.repartition("date").sortWithinPartitions("symbol_id", "datetime")
+    within partitions for row-group skipping on (symbol_id, datetime).
+
+    ``rebalance`` (not ``repartition``) groups rows by day but lets AQE split a
+    day that holds a large share of the batch over several writer tasks and
+    merge tiny ones, so one hot day never becomes one task."""
+    (rows.hint("rebalance", "date").sortWithinPartitions("date", "symbol_id", "datetime")
          .write.mode("append").partitionBy("date").parquet(path))
 
 
