@@ -106,14 +106,22 @@ def stream_latest(quotes: DataFrame, ts: str = "timestamp", key: str = "symbol")
     return quotes.groupBy(key).agg(F.max_by(F.struct(*cols), ts).alias("_l")).select(key, "_l.*")
 
 
-def run_latest_table(latest: DataFrame, name: str) -> str:
+def run_latest_table(latest: DataFrame, name: str, keep: int = 2) -> str:
     """Keep the latest-per-symbol table: each micro-batch's complete result
-    replaces the previous version (written under the epoch number)."""
+    is written as a new version (``epoch=<n>``; a replayed epoch rewrites
+    its own folder) and versions older than the newest ``keep`` are removed,
+    so readers of the previous version are never cut off."""
     spark = latest.sparkSession
     base = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "table")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def write(batch: DataFrame, epoch: int):
         batch.write.mode("overwrite").parquet(f"{base}/epoch={epoch}")
+        old = jvm.org.apache.hadoop.fs.Path(f"{base}/epoch={epoch - keep}")
+        fs = old.getFileSystem(conf)
+        if epoch >= keep and fs.exists(old):
+            fs.delete(old, True)
 
     run_foreach_batch(latest, name, write, mode="complete")
     return base
