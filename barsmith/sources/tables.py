@@ -58,3 +58,19 @@ def scan_market_table(spark: SparkSession, path: str, schema=None,
     if schema is not None:
         r = r.schema(schema)
     return r.load(path)
+
+
+def scan_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
+              lower: int, upper: int, num_partitions: int, properties: dict | None = None,
+              schema: str | None = None) -> DataFrame:
+    """S2 from a relational store: a partitioned JDBC scan (``num_partitions``
+    parallel range queries on ``partition_column``); filters and column
+    selections on the result are pushed into the generated SQL."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", table) \
+        .option("partitionColumn", partition_column).option("lowerBound", lower) \
+        .option("upperBound", upper).option("numPartitions", num_partitions)
+    if schema:
+        r = r.option("customSchema", schema)
+    for k, v in (properties or {}).items():
+        r = r.option(k, v)
+    return r.load()

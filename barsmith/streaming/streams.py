@@ -281,3 +281,18 @@ def stream_strategy(quotes: DataFrame, on_rows, out_schema: str, ts: str = "time
 
     return quotes.groupBy(key).applyInPandasWithState(
         fn, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def publish_kafka(df: DataFrame, servers: str, topic: str, name: str = "publish-kafka",
+                  ts: str = "timestamp"):
+    """S6 to a message bus: key = kind, value = JSON message.  Needs the
+    Spark Kafka connector on the classpath (not bundled with pyspark)."""
+    spark = df.sparkSession
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.spark.sql.kafka010.KafkaSourceProvider")
+    except Exception as e:  # noqa: BLE001
+        raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath") from e
+    msgs = NO.publish_messages(df, ts)
+    ckpt = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "checkpoint")
+    return msgs.writeStream.format("kafka").option("kafka.bootstrap.servers", servers) \
+               .option("topic", topic).option("checkpointLocation", ckpt).start()

@@ -110,7 +110,10 @@ def test_roll_calendar_and_gap(spark):
     g = {r["date"]: r["gap"] for r in FU.roll_gap(dd, flags).collect()}
     # the last roll with a found row is Jan 5 -> R3's diff on Jan 5 (spread to the previous row)
     assert g[d(2024, 1, 8)] == 0.0
-    assert g[d(2024, 1, 1)] == g[d(2024, 1, 5)]
+    assert g[d(2024, 1, 1)] == g[d(2024, 1, 5)] == 1.0     # R3 on Jan 5: 125 - 124
+    # cumulative: rolls Jan 3 (R3 - R2 spread = 10) and Jan 5 (1) add up
+    c = {r["date"]: r["gap"] for r in FU.roll_gap(dd, flags, mode="cumulative").collect()}
+    assert (c[d(2024, 1, 2)], c[d(2024, 1, 4)], c[d(2024, 1, 6)]) == (11.0, 1.0, 0.0)
 
 
 # ----------------------------------------------------------------- P8
