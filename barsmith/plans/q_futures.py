@@ -45,7 +45,7 @@ def fut_daily(spark):
                          ["expiry", "last"])
 
 
-@register("daily_last", fixtures=FUT, sql="""
+@register("daily_last", dates=['date', 'expiry'], fixtures=FUT, sql="""
 SELECT root, symbol, CAST(datetime AS DATE) AS date,
   arg_max(expiry, (datetime, event_id)) FILTER (WHERE expiry IS NOT NULL) AS expiry,
   arg_max(last, (datetime, event_id)) FILTER (WHERE last IS NOT NULL) AS last,
@@ -58,26 +58,26 @@ def daily_last(spark):
                          ["expiry", "last", "lastsize"])
 
 
-@register("daily_close_diff", fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM dd")
+@register("daily_close_diff", dates=['date', 'expiry'], fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM dd")
 def daily_close_diff(spark):
     """Day-over-day difference across the interleaved contracts of a root."""
     return FU.daily_close_diff(fut_daily(spark), "last")
 
 
-@register("roll_calendar", fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM cal")
+@register("roll_calendar", dates=['expiry', 'start_day', 'end_day'], fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM cal")
 def roll_calendar(spark):
     """The day range owned by each contract."""
     return FU.roll_calendar(fut_daily(spark))
 
 
-@register("roll_gap", fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM flags_g")
+@register("roll_gap", dates=['expiry', 'date'], fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM flags_g")
 def roll_gap(spark):
     """Flag rows (one per day) with the back-adjustment gap."""
     dd = FU.daily_close_diff(fut_daily(spark), "last")
     return FU.roll_gap(dd, FU.contract_flags(dd, FU.roll_calendar(fut_daily(spark))))
 
 
-@register("asof_contract_flags", fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM dense")
+@register("asof_contract_flags", dates=['date', 'flag_expiry'], fixtures=FUT, sql=f"WITH RECURSIVE {DAILY_SQL} SELECT * FROM dense")
 def asof_contract_flags(spark):
     """The flag in force on every calendar day."""
     daily = fut_daily(spark)
@@ -87,7 +87,7 @@ def asof_contract_flags(spark):
     return FU.asof_contract_flags(flags, until)
 
 
-@register("continuous_contract", fixtures=FUT, sql=f"""
+@register("continuous_contract", dates=['expiry'], fixtures=FUT, sql=f"""
 WITH RECURSIVE {DAILY_SQL}
 SELECT t.event_id, t.datetime, t.root, t.symbol, t.expiry, t.last + d.gap AS last, t.lastsize
 FROM fx_fut_ticks t JOIN dense d ON t.root = d.root AND CAST(t.datetime AS DATE) = d.date
@@ -98,7 +98,7 @@ def continuous_contract(spark):
     return FU.continuous_contract(spark.table("fx_fut_ticks"), seq="event_id")
 
 
-@register("volume_crossover", fixtures=FUT, sql="""
+@register("volume_crossover", dates=['roll_date'], fixtures=FUT, sql="""
 WITH d AS (SELECT root, symbol, expiry, CAST(datetime AS DATE) AS date, CAST(sum(lastsize) AS BIGINT) AS volume
   FROM fx_fut_ticks GROUP BY root, symbol, expiry, CAST(datetime AS DATE)),
 cs AS (SELECT root, symbol, dense_rank() OVER (PARTITION BY root ORDER BY expiry, symbol) AS k FROM (SELECT DISTINCT root, symbol, expiry FROM d) x),

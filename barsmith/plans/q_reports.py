@@ -119,7 +119,7 @@ def report_view(spark):
     return R.report_view(R.open_positions(spark.table("fx_trades"), bar_prices(spark)))
 
 
-@register("trading_calendar", fixtures=["fx_ticks"], sql="""
+@register("trading_calendar", dates=['previous_weekday', 'week_start'], fixtures=["fx_ticks"], sql="""
 WITH t AS (SELECT DISTINCT datetime AS ts FROM fx_ticks),
 b AS (SELECT ts, CAST(ts AS DATE) - INTERVAL 1 DAY AS pd, ts - INTERVAL 7 DAY AS bd,
   CAST(date_trunc('month', ts) + INTERVAL 14 DAY AS DATE) AS d15 FROM t),

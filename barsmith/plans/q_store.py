@@ -52,7 +52,7 @@ def tick_store(spark, dim=None):
     return ST.ingest_ticks(tick_batch(spark), empty(spark, schemas.TICKS), dim, seq="id").drop("date")
 
 
-@register("assign_symbol_ids", fixtures=["fx_ticks", "fx_symbols"],
+@register("assign_symbol_ids", dates=['expiry'], fixtures=["fx_ticks", "fx_symbols"],
           sql=f"WITH {DIM_SQL} SELECT * FROM dim")
 def assign_symbol_ids(spark):
     """Get-or-create ids for every tick symbol against the symbol table."""
@@ -68,7 +68,7 @@ def scan_market_table(spark):
         .filter((F.col("volume") > 40) & (F.col("datetime") >= F.lit("1996-01-01").cast("timestamp_ntz")))
 
 
-@register("ingest_bars", fixtures=["fx_bars_raw", "fx_symbols", "fx_bars"], sql="""
+@register("ingest_bars", dates=['date'], fixtures=["fx_bars_raw", "fx_symbols", "fx_bars"], sql="""
 WITH b AS (SELECT r.*, s.symbol, s.asset_class FROM fx_bars_raw r JOIN fx_symbols s ON r.symbol_id = s.id),
 j AS (SELECT b.datetime, d.id AS symbol_id, b.open, b.high, b.low, b.close, b.volume, b.seq1, b.seq2, b.seq3
   FROM b JOIN (SELECT symbol, asset_class, min(id) AS id FROM fx_symbols GROUP BY symbol, asset_class) d
@@ -89,7 +89,7 @@ def ingest_bars(spark):
     return ST.ingest_bars(batch, existing, s, seq=["seq1", "seq2", "seq3"])
 
 
-@register("ingest_ticks", fixtures=["fx_ticks", "fx_symbols"], sql=f"""
+@register("ingest_ticks", dates=['date'], fixtures=["fx_ticks", "fx_symbols"], sql=f"""
 WITH {TICKS_SQL}
 SELECT datetime, symbol_id, bid, bidsize, ask, asksize, last, lastsize, CAST(datetime AS DATE) AS date
 FROM tstore WHERE datetime >= TIMESTAMP '2024-01-15'
@@ -233,7 +233,7 @@ def latest_bar(spark):
     return ST.latest_bar(spark.table("fx_bars"), spark.table("fx_symbols"))
 
 
-@register("symbols_list", fixtures=["fx_ticks", "fx_symbols"], sql=f"""
+@register("symbols_list", dates=['expiry'], fixtures=["fx_ticks", "fx_symbols"], sql=f"""
 WITH {DIM_SQL} SELECT id, symbol, symbol_group, asset_class, expiry, (SELECT count(*) FROM dim) AS count FROM dim
 """)
 def symbols_list(spark):

@@ -84,7 +84,7 @@ BOOK_SQL = """bk AS (SELECT symbol, 'ORDERBOOK' AS kind, datetime AS timestamp,
   FROM fx_book_levels GROUP BY symbol, datetime)"""
 
 
-@register("normalize_order_book", fixtures=["fx_book_levels"], sql=f"WITH {BOOK_SQL} SELECT * FROM bk")
+@register("normalize_order_book", nested=['bids', 'asks'], fixtures=["fx_book_levels"], sql=f"WITH {BOOK_SQL} SELECT * FROM bk")
 def normalize_order_book(spark):
     """P5: order book snapshots from depth levels."""
     return NO.normalize_order_book(spark.table("fx_book_levels"))
@@ -209,7 +209,7 @@ def _nz(c):
     return f"CASE WHEN {c} = 0 OR isnan({c}) THEN NULL ELSE {c} END"
 
 
-@register("stream_ingest", fixtures=["fx_ticks"], sql=f"""
+@register("stream_ingest", dates=['date'], fixtures=["fx_ticks"], sql=f"""
 WITH tk AS (SELECT *, {ac('symbol')} AS asset_class FROM fx_ticks),
 dim AS (SELECT symbol, asset_class, row_number() OVER (ORDER BY symbol, asset_class) AS symbol_id FROM (SELECT DISTINCT symbol, asset_class FROM tk) k)
 SELECT tk.datetime, dim.symbol_id, {_nz('bid')} AS bid, {_nz('bidsize')} AS bidsize, {_nz('ask')} AS ask,

@@ -37,3 +37,16 @@ def test_bars_keep_symbol_windows_off_tick_rows(spark):
     assert windows
     for line in windows:
         assert "_chunk" in line, line
+
+
+@pytest.mark.parametrize("name", sorted(REG))
+def test_presentation_annotations_match_schema(spark, name):
+    """The SQL twin presents exactly the columns the Spark side converts."""
+    from pyspark.sql.types import ArrayType, DateType, MapType, StructType
+    q = REG[name]
+    from barsmith.sources.fixtures import register_fixtures
+    register_fixtures(spark, SF_SMALL, list(q.fixtures))
+    raw = q.build(spark)
+    dates = {f.name for f in raw.schema.fields if isinstance(f.dataType, DateType)}
+    nested = {f.name for f in raw.schema.fields if isinstance(f.dataType, (ArrayType, StructType, MapType))}
+    assert dates == set(q.dates) and nested == set(q.nested)
