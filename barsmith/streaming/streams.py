@@ -80,12 +80,28 @@ def stream_normalize(raw: DataFrame, ts: str = "datetime") -> dict[str, DataFram
 
 
 # --------------------------------------------------------------------- TS2
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def window_seconds(window: str) -> int:
+    """'5 seconds' / '1 hour' / '15 minutes' -> seconds."""
+    n, unit = window.strip().split()
+    unit = unit.lower().rstrip("s")
+    if unit not in _UNITS:
+        raise ValueError(f"unsupported window {window!r}")
+    return int(n) * _UNITS[unit]
+
+
 def stream_bars(ticks: DataFrame, window: str = "5 seconds", watermark: str = "10 seconds",
                 ts: str = "datetime", price: str = "last", size: str = "lastsize",
                 seq: str | None = None) -> DataFrame:
     """TS2: completed time bars per symbol: a window is emitted (append mode)
     once the watermark passes its end; rows later than the watermark are
-    dropped."""
+    dropped.  Stream windows are aligned to the epoch, which equals the batch
+    bars' midnight alignment only when the size divides a day; other sizes
+    are rejected."""
+    if 86400 % window_seconds(window) != 0:
+        raise ValueError(f"stream bar size {window!r} must divide a day")
     t = event_time(ticks, ts, "_et").withWatermark("_et", watermark)
     okey = F.struct("_et", *([seq] if seq else []))
     nn = F.col(price).isNotNull()

@@ -94,3 +94,27 @@ def test_volume_bars_match_pandas(spark, rows, n):
                         int(fs.iloc[idx].fillna(0).sum())))
     got = B.resample_volume(spark.createDataFrame(data, SCHEMA), n, seq="seq")
     assert spark_set(got, COLS) == set(exp)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 60 * 24 * 40), st.integers(1, 99)), min_size=1, max_size=30),
+       st.sampled_from(["7T", "90T", "1W", "1M", "2D"]))
+def test_bucket_labels_match_pandas(spark, rows, res):
+    """Bucket origin and labels follow pandas resample: odd sizes start at
+    midnight of the first day, W is labelled by its Sunday, M by month end."""
+    start = dt.datetime(2024, 1, 3, 9, 3)
+    data = [("X", start + dt.timedelta(minutes=m), i, float(p), 1, float(p), float(p), float(p))
+            for i, (m, p) in enumerate(rows)]
+    pdf = pd.DataFrame(data, columns=["symbol", "datetime", "seq", "open", "volume", "high", "low", "close"]) \
+        .sort_values(["datetime", "seq"]).set_index("datetime")
+    freq = {"7T": "7min", "90T": "90min", "1W": "W", "1M": "ME", "2D": "2D"}[res]
+    r = pdf.resample(freq).agg({"open": "first", "close": "last", "volume": "sum"}).dropna(subset=["open"])
+    exp = {(ix.to_pydatetime(), row.open, row.close, int(row.volume)) for ix, row in r.iterrows()}
+    sdf = spark.createDataFrame(data, "symbol string, datetime timestamp_ntz, seq long, open double, "
+                                      "volume long, high double, low double, close double")
+    # many input rows per bucket: never a gap fill (more rows than buckets is not guaranteed, so
+    # compare only buckets that hold data)
+    got = B.resample_bars_time(sdf, res, seq="seq", ffill=False)
+    got_set = {(r_["datetime"], r_["open"], r_["close"], r_["volume"]) for r_ in got.collect()
+               if r_["volume"] > 0}
+    assert got_set == exp
