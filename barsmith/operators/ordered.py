@@ -136,6 +136,8 @@ def materialize(df: DataFrame) -> DataFrame:
     executor loss; never a local checkpoint)."""
     from barsmith.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
+    # Dataset.checkpoint computes its input once (checked: one evaluation
+    # per row), so no persist is needed around it
     return df.checkpoint(eager=True)
 
 
