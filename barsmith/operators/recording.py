@@ -82,7 +82,10 @@ def recorded_pivot(events: DataFrame, symbols=None, position: str = "position",
     for p in pieces[1:]:
         long = long.unionByName(p, allowMissingColumns=True)
     up = {f: f.upper() for f in fields}
-    aggs = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.lit(0))).alias(up[f]) for f in fields]
+    # every (datetime, symbol, field) cell holds at most one non-null value here
+    # (first values were already chosen in record order), so max() picks it and
+    # lets the pivot use hash aggregation
+    aggs = [F.max(F.col(f)).alias(up[f]) for f in fields]
     syms = list(symbols) if symbols is not None else None
     wide = long.groupBy("datetime").pivot("symbol", syms).agg(*aggs)
     # a pivot with one aggregate names columns by the value only
