@@ -444,10 +444,12 @@ def ticks_to_bars(df: DataFrame, resolution: str = "1T", keys=("symbol",),
 # --------------------------------------------------------------------- dispatcher
 def resample(df: DataFrame, resolution: str = "1T", ts: str = "datetime", seq=None,
              tz: str | None = None, ffill: bool = True, dropna: bool = False,
-             sync_last_timestamp: bool = True) -> DataFrame:
+             sync_last_timestamp: bool = True, dedupe: bool = True) -> DataFrame:
     """The whole ``resample`` call: range sync (+ keep-first de-duplication),
     then tick-count / volume / time bars, then keep-last de-duplication.
-    Ticks are recognised by a ``last`` column."""
+    Ticks are recognised by a ``last`` column.  ``dedupe=False`` skips the
+    de-duplication shuffle for inputs whose (datetime, symbol) is known to be
+    unique (e.g. read from the ingest store, which enforces it)."""
     d = with_meta_columns(df)
     meta = None
     if sync_last_timestamp:
@@ -455,7 +457,8 @@ def resample(df: DataFrame, resolution: str = "1T", ts: str = "datetime", seq=No
         # exact duplicates share group and class, so the metadata of the synced
         # rows equals that of the de-duplicated ones: no second dedupe shuffle
         meta = symbol_metadata(d, ts, seq)
-        d = dedupe_per_instrument(d, keep="first", ts=ts, seq=seq)
+        if dedupe:
+            d = dedupe_per_instrument(d, keep="first", ts=ts, seq=seq)
     res = parse_resolution(resolution)
     if res.kind == "ticks":
         out = resample_tick_count(d, res.n, ts, seq, meta=meta)
