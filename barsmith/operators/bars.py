@@ -205,14 +205,6 @@ def _dense_count(res: Resolution, lo: Column, hi: Column) -> Column:
     return (F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))) / us + 1
 
 
-def _next_bucket(res: Resolution, b: Column) -> Column:
-    if res.unit == "W":
-        return F.date_add(F.to_date(b), 7).cast("timestamp_ntz")
-    if res.unit == "M":
-        return F.last_day(F.add_months(F.to_date(b), 1)).cast("timestamp_ntz")
-    return b + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(res.seconds))
-
-
 def _prev_bucket(res: Resolution, b: Column) -> Column:
     if res.unit == "W":
         return F.date_sub(F.to_date(b), 7).cast("timestamp_ntz")

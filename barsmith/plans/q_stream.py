@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from barsmith import schemas
-from barsmith.operators import catalog as CA
 from barsmith.operators import normalize as NO
 from barsmith.plans.registry import register
 from barsmith.plans.sqlparts import ac, sg
@@ -21,7 +20,7 @@ from barsmith.session import scratch_path
 from barsmith.sources.fixtures import FIXTURE_SQL
 from barsmith.sources.instruments import CANONICAL
 from barsmith.streaming import streams as SS
-from barsmith.plans.q_catalog import _live_sql, contracts, JAN15, JUL1
+from barsmith.plans.q_catalog import _live_sql, contracts, JUL1
 
 QUOTES_SQL = f"""q AS (SELECT symbol, {sg('symbol')} AS symbol_group, {ac('symbol')} AS asset_class, datetime AS timestamp,
   'QUOTE' AS kind, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask,
