@@ -1,9 +1,12 @@
 """Strategy callbacks (X1) and the documented SMA example.
 
 X2 is pure window arithmetic.  X1 runs user code: the callback receives one
-instrument's time-ordered rows of a session (``symbol`` x ``session`` day)
-as a pandas frame and returns signal rows.  Sessions bound the size of each
-Python group; strategies whose state spans sessions run on the stream form
+instrument's time-ordered rows of a session (``symbol`` x day by default)
+as a pandas frame and returns signal rows.  A day holding more than
+``max_rows_per_session`` rows is cut into consecutive runs of that many rows,
+so no Python group is unbounded even for a symbol holding a third of all
+ticks;
+strategies whose state spans sessions run on the stream form
 (``barsmith.streaming.streams.stream_strategy``), where Spark's state
 store carries the state between micro-batches.
 """
@@ -37,14 +40,40 @@ def session_breakout(pdf: pd.DataFrame, price: str = "last") -> pd.DataFrame:
                          "price": p.to_numpy(dtype="float64")[hit]})
 
 
+#: largest Python group of the strategy runner before a day is split
+MAX_ROWS_PER_SESSION = 5_000_000
+
+
+def _day_sessions(df: DataFrame, order, max_rows: int) -> DataFrame:
+    """``_session`` = the day, or for a (symbol, day) with more than
+    ``max_rows`` rows, consecutive runs of ``max_rows`` rows in time order
+    (row numbers from the distributed sequence helper, computed for the
+    oversized days only).  The per-(symbol, day) counts are a small table."""
+    ts = order[0]
+    d = df.withColumn("_day", F.to_date(ts))
+    counts = d.groupBy("symbol", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    d = d.join(counts, ["symbol", "_day"])
+    small = d.filter(F.col("_n") <= max_rows).withColumn("_part", F.lit(0).cast("long"))
+    big = ordered.sequence(d.filter(F.col("_n") > max_rows), ["symbol", "_day"], list(order),
+                           rownum="_r")
+    big = big.withColumn("_part", F.floor((F.col("_r") - 1) / F.lit(max_rows)).cast("long")).drop("_r")
+    both = small.unionByName(big)
+    return both.withColumn("_session", F.concat_ws("#", F.col("_day").cast("string"),
+                                                    F.col("_part").cast("string"))) \
+               .drop("_day", "_n", "_part")
+
+
 def apply_strategy(df: DataFrame, on_rows: Callable[[pd.DataFrame], pd.DataFrame],
                    schema: str = SIGNAL_SCHEMA, order=("datetime",),
-                   session=None) -> DataFrame:
+                   session=None, max_rows_per_session: int = MAX_ROWS_PER_SESSION) -> DataFrame:
     """Run ``on_rows(pdf) -> signals`` per (symbol, session), rows sorted
-    by ``order`` inside the group (Arrow batches, vectorised pandas)."""
+    by ``order`` inside the group (Arrow batches, vectorised pandas).
+    ``session`` is a Column; default the day, split when oversized."""
     order = list(order)
-    sess = session if session is not None else F.to_date(order[0])
-    d = df.withColumn("_session", sess)
+    if session is not None:
+        d = df.withColumn("_session", session)
+    else:
+        d = _day_sessions(df, order, max_rows_per_session)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort").drop(columns=["_session"])

@@ -123,6 +123,7 @@ SELECT symbol, datetime, CASE WHEN last > o THEN 'BUY' ELSE 'SELL' END AS signal
 WHERE (last > o AND prev <= o) OR (last < o AND prev >= o)
 """)
 def apply_strategy(spark):
-    """A user callback (session breakout) run per instrument and day."""
+    """A user callback (session breakout) run per instrument and day
+    (days above the session row limit would be split)."""
     t = spark.table("fx_ticks").filter(F.col("last").isNotNull()).select("id", "datetime", "symbol", "last")
     return SG.apply_strategy(t, SG.session_breakout, order=("datetime", "id"))

@@ -260,3 +260,22 @@ def test_stream_strategy_keeps_state_across_batches(spark):
     got = sorted(r["n"] for r in spark.read.parquet(SS.run_to_table(out, "strategy")).collect())
     # one output row per micro-batch, each carrying the running count
     assert got[-1] == 6 and got == sorted(set(got)) and len(got) >= 3
+
+
+def test_strategy_sessions_split_oversized_days(spark):
+    """A (symbol, day) above the row limit is cut into runs of that many rows."""
+    from barsmith.operators import strategies as SG
+    rows_ = [("A", T0 + dt.timedelta(minutes=10 * i), float(i)) for i in range(12)] + \
+            [("B", T0 + dt.timedelta(minutes=10 * i), float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows_, "symbol string, datetime timestamp_ntz, last double")
+    seen = []
+
+    def sizes(pdf):
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "datetime": pdf["datetime"].iloc[:1],
+                             "signal": [str(len(pdf))], "price": [0.0]})
+
+    out = SG.apply_strategy(df, sizes, max_rows_per_session=5)
+    got = sorted((r["symbol"], int(r["signal"])) for r in out.collect())
+    assert [n for s, n in got if s == "B"] == [3]            # small day stays whole
+    assert sorted(n for s, n in got if s == "A") == [2, 5, 5]  # 12 rows cut into runs of 5
+    del seen
