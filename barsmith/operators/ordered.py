@@ -37,6 +37,11 @@ BLOCK_ROWS = 1 << 17
 #: summary stays ~35k rows per key and year.
 CHUNK_SECONDS = 900
 
+#: a (key, chunk) with more rows than this (a burst inside one slice) is split
+#: further at approximate quantiles of its time column
+MAX_CHUNK_ROWS = 20_000_000
+SUB_CHUNKS = 64
+
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -58,7 +63,8 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
              sums: dict[str, str] | None = None,
              ffill: dict[str, str] | None = None,
              prev: dict[str, str] | None = None,
-             nxt: dict[str, str] | None = None) -> DataFrame:
+             nxt: dict[str, str] | None = None,
+             max_chunk_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
     """Add per-key ordered columns without a per-key task.
 
     ``keys``   partition columns (names).
@@ -72,6 +78,8 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     ``ffill``  {source: target} last non-null value up to and including the row.
     ``prev``   {source: target} value of the previous row (lag 1), null first.
     ``nxt``    {source: target} value of the next row (lead 1), null last.
+    ``max_chunk_rows`` default time chunks holding more rows are split at
+               approximate time quantiles (one bucket never becomes one task).
     """
     keys = list(keys)
     order = list(order)
@@ -83,13 +91,37 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     d = df.withColumn("_chunk", ch)
     okey = F.struct(*[F.col(o) for o in order])
 
-    aggs = [F.count(F.lit(1)).alias("_cn")]
-    aggs += [F.sum(s).alias(f"_cs_{i}") for i, s in enumerate(sums)]
-    aggs += [F.max_by(s, F.when(F.col(s).isNotNull(), okey)).alias(f"_cf_{i}")
-             for i, s in enumerate(ffill)]
-    aggs += [F.max_by(s, okey).alias(f"_cp_{i}") for i, s in enumerate(prev)]
-    aggs += [F.min_by(s, okey).alias(f"_cn_{i}") for i, s in enumerate(nxt)]
-    summ = d.groupBy(*keys, "_chunk").agg(*aggs)
+    def summarise(frame):
+        aggs = [F.count(F.lit(1)).alias("_cn")]
+        aggs += [F.sum(s_).alias(f"_cs_{i}") for i, s_ in enumerate(sums)]
+        aggs += [F.max_by(s_, F.when(F.col(s_).isNotNull(), okey)).alias(f"_cf_{i}")
+                 for i, s_ in enumerate(ffill)]
+        aggs += [F.max_by(s_, okey).alias(f"_cp_{i}") for i, s_ in enumerate(prev)]
+        aggs += [F.min_by(s_, okey).alias(f"_cn_{i}") for i, s_ in enumerate(nxt)]
+        return frame.groupBy(*keys, "_chunk").agg(*aggs)
+
+    summ = summarise(d)
+    if chunk is None and max_chunk_rows:
+        # A burst inside one slice: split the oversized (key, chunk) groups at
+        # approximate time quantiles (sub-chunk = number of quantiles below the
+        # row's time: monotone, equal times stay together).  Cold chunks keep
+        # their summary rows; only hot rows are summarised again.  With no hot
+        # chunk the extra branches are empty and AQE drops them.
+        t_us = F.unix_micros(F.col(order[0]).cast("timestamp"))
+        hot = summ.filter(F.col("_cn") > max_chunk_rows).select(*keys, "_chunk")
+        fr = [i / SUB_CHUNKS for i in range(1, SUB_CHUNKS)]
+        bounds = d.join(hot, [*keys, "_chunk"], "left_semi").groupBy(*keys, "_chunk") \
+                  .agg(F.percentile_approx(t_us, fr, 10000).alias("_qb"))
+        d = d.join(bounds, [*keys, "_chunk"], "left")
+        sub = F.when(F.col("_qb").isNull(), F.lit(0)) \
+               .otherwise(F.size(F.filter("_qb", lambda b: b < t_us)))
+        d = d.withColumn("_chunk", F.col("_chunk") * F.lit(SUB_CHUNKS) + sub).drop("_qb")
+        cold = summ.join(hot, [*keys, "_chunk"], "left_anti") \
+                   .withColumn("_chunk", F.col("_chunk") * F.lit(SUB_CHUNKS))
+        hot_rows = d.withColumn("_c0", F.floor(F.col("_chunk") / F.lit(SUB_CHUNKS))) \
+                    .join(hot.withColumnRenamed("_chunk", "_c0"), [*keys, "_c0"], "left_semi") \
+                    .drop("_c0")
+        summ = cold.unionByName(summarise(hot_rows))
 
     wb = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(UNB, -1)
     sel = [*keys, "_chunk",

@@ -279,3 +279,15 @@ def test_strategy_sessions_split_oversized_days(spark):
     assert [n for s, n in got if s == "B"] == [3]            # small day stays whole
     assert sorted(n for s, n in got if s == "A") == [2, 5, 5]  # 12 rows cut into runs of 5
     del seen
+
+
+def test_sequence_splits_hot_chunks(spark, monkeypatch):
+    """A burst inside one chunk is split at time quantiles; numbering stays exact."""
+    from barsmith.operators import ordered as O
+    rows_ = [("a", T0 + dt.timedelta(seconds=i % 500, microseconds=i), i) for i in range(3000)]
+    df = spark.createDataFrame(rows_, "k string, t timestamp_ntz, i int").repartition(5)
+    out = O.sequence(df, ["k"], ["t", "i"], rownum="g", max_chunk_rows=100)
+    got = out.toPandas().sort_values(["t", "i"])
+    assert got["g"].tolist() == list(range(1, 3001))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" in plan                            # the refinement is part of the plan
