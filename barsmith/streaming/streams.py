@@ -45,13 +45,15 @@ def event_time(df: DataFrame, ts: str, out: str | None = None) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
-                 path: str | None = None, partition_by=None) -> str:
+                 path: str | None = None, partition_by=None, checkpoint: str | None = None) -> str:
     """Run a stream to completion over what is available now into a file
-    table under the checkpoint folder; returns the table path."""
+    table; returns the table path.  Pass a stable ``checkpoint`` (and
+    ``path``) for a stream that must resume where it stopped after a restart;
+    without them a one-off run gets fresh folders under the checkpoint dir."""
     spark = df.sparkSession
     run = f"{name}-{uuid.uuid4().hex}"
     path = path or scratch_path(spark, "streams", run, "out")
-    ckpt = scratch_path(spark, "streams", run, "checkpoint")
+    ckpt = checkpoint or scratch_path(spark, "streams", run, "checkpoint")
     w = df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", ckpt) \
           .option("path", path).trigger(availableNow=True)
     if partition_by:
@@ -61,11 +63,13 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "par
     return path
 
 
-def run_foreach_batch(df: DataFrame, name: str, fn, mode: str = "append") -> str:
-    """Run a stream over what is available now through ``fn(batch, epoch)``."""
+def run_foreach_batch(df: DataFrame, name: str, fn, mode: str = "append",
+                      checkpoint: str | None = None) -> str:
+    """Run a stream over what is available now through ``fn(batch, epoch)``
+    (stable ``checkpoint`` for restartable streams, as in :func:`run_to_table`)."""
     spark = df.sparkSession
     run = f"{name}-{uuid.uuid4().hex}"
-    ckpt = scratch_path(spark, "streams", run, "checkpoint")
+    ckpt = checkpoint or scratch_path(spark, "streams", run, "checkpoint")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt) \
           .foreachBatch(fn).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -157,7 +161,8 @@ def stream_message_rate(messages: DataFrame, window: str = "1 hour", watermark:
 
 # --------------------------------------------------------------------- TS5
 def stream_ingest(ticks: DataFrame, store_path: str, dim_path: str, name: str = "ingest",
-                  watermark: str = "1 hour", ts: str = "datetime", seq: str = "id") -> str:
+                  watermark: str = "1 hour", ts: str = "datetime", seq: str = "id",
+                  checkpoint: str | None = None) -> str:
     """TS5: idempotent tick ingest as data arrives.  In-stream duplicates of
     (symbol, time) are dropped within the watermark; each micro-batch
     resolves / creates symbol ids (append-only dimension, one partition per
@@ -183,7 +188,7 @@ def stream_ingest(ticks: DataFrame, store_path: str, dim_path: str, name: str =
         rows = ST.ingest_ticks(batch, existing, full, seq=seq)
         ST.append_to_store(rows, store_path)
 
-    return run_foreach_batch(t, name, batch_fn)
+    return run_foreach_batch(t, name, batch_fn, checkpoint=checkpoint)
 
 
 # --------------------------------------------------------------------- TS6
