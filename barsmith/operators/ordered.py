@@ -101,7 +101,7 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
         return frame.groupBy(*keys, "_chunk").agg(*aggs)
 
     summ = summarise(d)
-    if chunk is None and max_chunk_rows:
+    if chunk is None and max_chunk_rows and _may_hold(df, max_chunk_rows):
         # A burst inside one slice: split the oversized (key, chunk) groups at
         # approximate time quantiles (sub-chunk = number of quantiles below the
         # row's time: monotone, equal times stay together).  Cold chunks keep
@@ -162,6 +162,29 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     return j.drop(*drop)
 
 
+def _may_hold(df: DataFrame, rows: int, min_row_bytes: int = 8) -> bool:
+    """Can ``df`` hold ``rows`` rows?  Judged from Catalyst's size estimates
+    (no job runs): the smaller of the plan's estimate and the summed sizes
+    of its leaf scans, divided by a minimal row width.  Join estimates
+    multiply their inputs, while the lookups of market data (many-to-one)
+    never grow the row count beyond their inputs, hence the leaf bound.
+    Unknown estimates count as yes; callers can force a decision through
+    ``max_chunk_rows``."""
+    try:
+        def _int(v):
+            return v if isinstance(v, int) else int(v.toString())
+        plan = df._jdf.queryExecution().optimizedPlan()
+        size = _int(plan.stats().sizeInBytes())
+        leaves = plan.collectLeaves().iterator()
+        leaf_total = 0
+        while leaves.hasNext():
+            leaf_total += _int(leaves.next().stats().sizeInBytes())
+        size = min(size, leaf_total)
+    except Exception:  # noqa: BLE001 - e.g. no JVM plan access
+        return True
+    return size >= rows * min_row_bytes
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate that several branches consume:
     reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives
