@@ -72,8 +72,10 @@ def apply_strategy(df: DataFrame, on_rows: Callable[[pd.DataFrame], pd.DataFrame
     order = list(order)
     if session is not None:
         d = df.withColumn("_session", session)
-    else:
+    elif max_rows_per_session and ordered._may_hold(df, max_rows_per_session):
         d = _day_sessions(df, order, max_rows_per_session)
+    else:  # the input cannot hold an oversized day: plain day sessions
+        d = df.withColumn("_session", F.concat_ws("#", F.to_date(order[0]).cast("string"), F.lit("0")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort").drop(columns=["_session"])
