@@ -323,3 +323,11 @@ def test_ingest_stream_resumes_from_checkpoint(spark):
     store = spark.read.parquet(f"{root}/store")
     assert store.count() == 5 and store.select("datetime").distinct().count() == 5
     assert spark.read.parquet(f"{root}/dim").count() == 1   # the symbol was created once
+
+
+def test_stream_bars_reject_sizes_not_dividing_a_day(spark):
+    from barsmith.streaming import streams as SS
+    df = spark.createDataFrame([("X", T0, 1.0, 1)], "symbol string, datetime timestamp_ntz, last double, lastsize int")
+    with pytest.raises(ValueError):
+        SS.stream_bars(df, "7 minutes")
+    assert SS.window_seconds("15 minutes") == 900
