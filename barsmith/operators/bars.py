@@ -38,6 +38,11 @@ def _order(df: DataFrame, ts: str, seq) -> list[str]:
 
 
 def _okey(order) -> Column:
+    """Ordering key for first/last: the column itself when the order has one
+    column (a fixed-width key lets numeric first/last use hash aggregation),
+    else a struct compared field by field."""
+    if len(order) == 1:
+        return F.col(order[0])
     return F.struct(*[F.col(o) for o in order])
 
 

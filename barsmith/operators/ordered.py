@@ -89,7 +89,7 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     nxt = nxt or {}
     ch = chunk if chunk is not None else seconds_chunk(order[0], CHUNK_SECONDS)
     d = df.withColumn("_chunk", ch)
-    okey = F.struct(*[F.col(o) for o in order])
+    okey = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
 
     def summarise(frame):
         aggs = [F.count(F.lit(1)).alias("_cn")]
