@@ -331,3 +331,15 @@ def test_stream_bars_reject_sizes_not_dividing_a_day(spark):
     with pytest.raises(ValueError):
         SS.stream_bars(df, "7 minutes")
     assert SS.window_seconds("15 minutes") == 900
+
+
+def test_ticks_to_bars_without_keys_matches_pandas(spark):
+    """A5 over the whole frame (no key), 7-minute bars from the first day's
+    midnight, ticks without a price ignored."""
+    rows_ = [(T0 + dt.timedelta(minutes=3 * i), None if i % 5 == 0 else float(i), i) for i in range(40)]
+    df = spark.createDataFrame(rows_, "datetime timestamp_ntz, last double, lastsize int")
+    pdf = pd.DataFrame(rows_, columns=["datetime", "last", "lastsize"]).dropna(subset=["last"]).set_index("datetime")
+    exp = pdf.resample("7min").agg({"last": ["first", "max", "min", "last"], "lastsize": "sum"}).dropna()
+    exp = {(ix.to_pydatetime(), r.iloc[0], r.iloc[1], r.iloc[2], r.iloc[3], int(r.iloc[4])) for ix, r in exp.iterrows()}
+    got = {tuple(r) for r in B.ticks_to_bars(df, "7T", keys=[]).collect()}
+    assert got == exp
