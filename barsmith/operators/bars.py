@@ -457,15 +457,17 @@ def resample(df: DataFrame, resolution: str = "1T", ts: str = "datetime", seq=No
         if dedupe:
             d = dedupe_per_instrument(d, keep="first", ts=ts, seq=seq)
     res = parse_resolution(resolution)
+    if res.kind == "time" and "last" in d.columns:
+        # tick time bars bucket on local time (tz applied before bucketing)
+        return resample_ticks_time(d, resolution, ts, seq, tz, meta=meta)
     if res.kind == "ticks":
         out = resample_tick_count(d, res.n, ts, seq, meta=meta)
     elif res.kind == "volume":
         out = resample_volume(d, res.n, ts, seq, meta=meta)
-    elif "last" in d.columns:
-        out = resample_ticks_time(d, resolution, ts, seq, tz, meta=meta)
     else:
         out = resample_bars_time(d, resolution, ts, seq, ffill, dropna)
-    return out
+    # the other kinds report their times in ``tz`` (converted at the end)
+    return out.withColumn(ts, to_local(ts, tz)) if tz else out
 
 
 # --------------------------------------------------------------------- F10

@@ -343,3 +343,8 @@ def test_ticks_to_bars_without_keys_matches_pandas(spark):
     exp = {(ix.to_pydatetime(), r.iloc[0], r.iloc[1], r.iloc[2], r.iloc[3], int(r.iloc[4])) for ix, r in exp.iterrows()}
     got = {tuple(r) for r in B.ticks_to_bars(df, "7T", keys=[]).collect()}
     assert got == exp
+
+
+def test_resample_reports_times_in_tz(seven_ticks):
+    out = B.resample(seven_ticks, "3K", tz="Asia/Tokyo", sync_last_timestamp=False)
+    assert min(r["datetime"] for r in out.collect()) == h(9)     # 10:00 UTC -> 19:00 Tokyo
