@@ -348,3 +348,20 @@ def test_ticks_to_bars_without_keys_matches_pandas(spark):
 def test_resample_reports_times_in_tz(seven_ticks):
     out = B.resample(seven_ticks, "3K", tz="Asia/Tokyo", sync_last_timestamp=False)
     assert min(r["datetime"] for r in out.collect()) == h(9)     # 10:00 UTC -> 19:00 Tokyo
+
+
+def test_continuous_contract_on_bars_adjusts_all_prices(spark):
+    d = dt.date
+    rows_ = []
+    for day in range(1, 7):
+        t = dt.datetime(2024, 1, day, 12)
+        rows_.append(("R", "R1", d(2024, 1, 3), t, 100.0 + day, 101.0 + day, 99.0 + day, 100.5 + day, 10))
+        rows_.append(("R", "R2", d(2024, 1, 8), t, 110.0 + day, 111.0 + day, 109.0 + day, 110.5 + day, 20))
+    bars = spark.createDataFrame(rows_, "root string, symbol string, expiry date, datetime timestamp_ntz, "
+                                        "open double, high double, low double, close double, volume long")
+    out = FU.continuous_contract(bars, price_cols=("open", "high", "low", "close"))
+    got = {(r["datetime"].day, r["symbol"]): (r["open"], r["close"]) for r in out.collect()}
+    # R1 owns Jan 1-3, R2 from Jan 4; gap on Jan 3 = R2 close - R1 close = 10
+    assert set(got) == {(1, "R1"), (2, "R1"), (3, "R1"), (4, "R2"), (5, "R2"), (6, "R2")}
+    assert got[(2, "R1")] == (112.0, 112.5)          # 102 + 10, 102.5 + 10
+    assert got[(5, "R2")] == (115.0, 115.5)          # after the last roll: unadjusted
