@@ -184,9 +184,7 @@ def stream_latest(spark):
     """TS3: the latest quote per symbol, maintained by a stateful stream."""
     q = NO.normalize_quotes(ticks_stream(spark, _sf_dir(spark)))
     base = SS.run_latest_table(SS.stream_latest(q), "latest")
-    t = spark.read.parquet(base)
-    last_epoch = t.agg(F.max("epoch")).scalar()
-    return t.filter(F.col("epoch") == last_epoch).drop("epoch")
+    return SS.read_latest_table(spark, base)
 
 
 @register("stream_message_rate", fixtures=["fx_messages"], sql="""
@@ -245,12 +243,8 @@ def stream_instrument_changes(spark):
     v1 = contracts(spark)
     v2 = contracts(spark).withColumn("exchange", F.coalesce("exchange", F.lit("IDEALPRO")))
     for i, v in ((1, v1), (2, v2)):
-        v.write.mode("overwrite").parquet(f"{root}/staging/version={i}")
-    # publish the finished versions (a rename is atomic for the file source)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(f"{root}/staging").getFileSystem(conf)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/staging"), jvm.org.apache.hadoop.fs.Path(f"{root}/lists"))
+        # both versions are complete before the stream starts
+        v.write.mode("overwrite").parquet(f"{root}/lists/version={i}")
     schema = StructType(list(schemas.INSTRUMENTS.fields) + [StructField("version", IntegerType())])
     lists = SS.file_stream(spark, f"{root}/lists", schema, fmt="parquet", max_files=100000)
     out = SS.stream_instrument_changes(lists, f"{root}/versions", as_of=JUL1)

@@ -61,7 +61,7 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if not d:
         d = fallback or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_barsmith_checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 

@@ -29,7 +29,7 @@ _REGISTERED: dict[tuple[int, str], str] = {}
 
 
 def _session_key(spark: SparkSession) -> int:
-    return id(spark._jsparkSession)
+    return id(spark)
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:

@@ -126,27 +126,28 @@ def stream_latest(quotes: DataFrame, ts: str = "timestamp", key: str = "symbol")
     return quotes.groupBy(key).agg(F.max_by(F.struct(*cols), ts).alias("_l")).select(key, "_l.*")
 
 
-def run_latest_table(latest: DataFrame, name: str, keep: int = 2) -> str:
-    """Keep the latest-per-symbol table: each micro-batch's complete result
-    is written as a new version (``epoch=<n>``; a replayed epoch rewrites
-    its own folder) and versions older than the newest ``keep`` are removed,
-    so readers of the previous version are never cut off."""
+def run_latest_table(latest: DataFrame, name: str) -> str:
+    """Keep the latest-per-symbol table in two slots: epoch ``n`` overwrites
+    ``slot=<n mod 2>`` and carries an ``epoch`` column.  Readers take the
+    rows of the greatest epoch, so the slot being rewritten only ever holds
+    a stale version; storage stays at two versions, nothing is deleted."""
     spark = latest.sparkSession
     base = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "table")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def write(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(f"{base}/epoch={epoch}")
-        old = jvm.org.apache.hadoop.fs.Path(f"{base}/epoch={epoch - keep}")
-        fs = old.getFileSystem(conf)
-        if epoch >= keep and fs.exists(old):
-            fs.delete(old, True)
+        batch.withColumn("epoch", F.lit(epoch).cast("long")) \
+             .write.mode("overwrite").parquet(f"{base}/slot={epoch % 2}")
 
     run_foreach_batch(latest, name, write, mode="complete")
     return base
 
 
+def read_latest_table(spark: SparkSession, base: str) -> DataFrame:
+    """The newest version of a table kept by :func:`run_latest_table`."""
+    t = spark.read.parquet(base)
+    return t.filter(F.col("epoch") == t.agg(F.max("epoch")).scalar()).drop("epoch", "slot")
+
+
 # --------------------------------------------------------------------- TS4
 def stream_message_rate(messages: DataFrame, window: str = "1 hour", watermark: str = "10 minutes",
                         ts: str = "ts") -> DataFrame:
@@ -309,11 +310,12 @@ def publish_kafka(df: DataFrame, servers: str, topic: str, name: str = "publish-
     """S6 to a message bus: key = kind, value = JSON message.  Needs the
     Spark Kafka connector on the classpath (not bundled with pyspark)."""
     spark = df.sparkSession
-    try:
-        spark._jvm.java.lang.Class.forName("org.apache.spark.sql.kafka010.KafkaSourceProvider")
-    except Exception as e:  # noqa: BLE001
-        raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath") from e
     msgs = NO.publish_messages(df, ts)
     ckpt = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "checkpoint")
-    return msgs.writeStream.format("kafka").option("kafka.bootstrap.servers", servers) \
-               .option("topic", topic).option("checkpointLocation", ckpt).start()
+    try:
+        return msgs.writeStream.format("kafka").option("kafka.bootstrap.servers", servers) \
+                   .option("topic", topic).option("checkpointLocation", ckpt).start()
+    except Exception as e:  # noqa: BLE001
+        if "kafka" in str(e).lower() and "data source" in str(e).lower():
+            raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath") from e
+        raise
