@@ -293,3 +293,22 @@ def stream_publish_subscribe(spark):
     sub = SS.subscribe_stream(spark, f"{root}/topic", QUOTE_MSG_SCHEMA, symbols=cash, kind="QUOTE",
                               tz="America/New_York")
     return spark.read.parquet(SS.run_to_table(sub, "subscribe"))
+
+
+@register("stream_message_rate_exact", fixtures=["fx_messages"], sql="""
+WITH m AS (SELECT *, CASE WHEN symbol IS NULL THEN kind ELSE kind || '_' || symbol END AS key FROM fx_messages),
+w AS (SELECT *, count(*) OVER win AS cnt, min(ts) OVER win AS old FROM m
+  WINDOW win AS (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, CASE WHEN cnt >= 2 AND (epoch_us(ts) - epoch_us(old)) / 1e6 > 0 THEN cnt / ((epoch_us(ts) - epoch_us(old)) / 1e6) END AS raw FROM w)
+SELECT key, ts, event_id,
+  last_value(raw IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate
+FROM r
+""")
+def stream_message_rate_exact(spark):
+    """TS4 exact form: the last-100-messages rate per key, kept in list state
+    on the message stream (batch twin: W9)."""
+    ev_schema = spark.table("events").schema
+    ev = SS.file_stream(spark, _sf_dir(spark), ev_schema, glob="events.parquet")
+    ev.createOrReplaceTempView("events_stream")
+    m = spark.sql(FIXTURE_SQL["fx_messages"][0].replace("FROM events", "FROM events_stream"))
+    return spark.read.parquet(SS.run_to_table(SS.stream_message_rate_exact(m, seq="event_id"), "rates-exact"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,20 +207,18 @@ def stream_price_changes(quotes: DataFrame, ts: str = "timestamp", price: str =
 
     def fn(key, pdfs, state):
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(ts, kind="mergesort")
-        seen = False
-        last = None
-        if state.exists:
-            last, seen = state.get
-        prices = pdf[price].astype("float64").tolist()
-        out_rows = []
-        for t, p in zip(pdf[ts].tolist(), prices):
-            p = None if p is None or p != p else p
-            if seen and not (p == last or (p is None and last is None)):
-                out_rows.append((key[0], t, p, last))
-            last, seen = p, True
-        state.update((last, seen))
-        if out_rows:
-            res = pd.DataFrame(out_rows, columns=["symbol", ts, price, "prev_price"])
+        last, seen = state.get if state.exists else (None, False)
+        p = pdf[price].astype("float64").reset_index(drop=True)
+        prev = p.shift(1)
+        prev.iloc[0] = np.nan if last is None else last        # the remembered price
+        same = (p == prev) | (p.isna() & prev.isna())           # NULL-safe equality
+        emit = ~same
+        if not seen:
+            emit.iloc[0] = False                                # first price: remember only
+        state.update((None if pd.isna(p.iloc[-1]) else float(p.iloc[-1]), True))
+        if emit.any():
+            res = pd.DataFrame({"symbol": key[0], ts: pdf[ts].to_numpy()[emit.to_numpy()],
+                                price: p[emit].to_numpy(), "prev_price": prev[emit].to_numpy()})
             yield res.astype({"symbol": object, ts: "datetime64[us]", price: "float64",
                               "prev_price": "float64"})
 
@@ -319,3 +318,48 @@ def publish_kafka(df: DataFrame, servers: str, topic: str, name: str = "publish-
         if "kafka" in str(e).lower() and "data source" in str(e).lower():
             raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath") from e
         raise
+
+
+# --------------------------------------------------------------------- TS4 (exact form)
+def stream_message_rate_exact(messages: DataFrame, window: int = 100, ts: str = "ts",
+                              seq: str | None = None) -> DataFrame:
+    """TS4, exact form of W9 on a stream: per key (``kind_symbol``) the state
+    holds the times of its last ``window`` messages and the last rate; every
+    message emits messages / seconds spanned (>= 2 messages and a span > 0,
+    else the previous rate stands).  Rows of a key inside a micro-batch are
+    taken in time order."""
+    import json
+
+    from barsmith.operators.monitoring import message_key
+    order = [ts] + ([seq] if seq else [])
+    m = messages.withColumn("key", message_key()) \
+                .withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    cols = ["key", "_us", *([seq] if seq else [])]
+    out_schema = "key string, ts_us long, " + (f"{seq} long, " if seq else "") + "rate double"
+
+    def fn(k, pdfs, state):
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(
+            ["_us"] + ([seq] if seq else []), kind="mergesort")
+        times, rate = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], None)
+        new = pdf["_us"].to_numpy(dtype="int64")
+        allt = np.concatenate([np.asarray(times, dtype="int64"), new])
+        idx = np.arange(len(times), len(allt))                 # positions of the new rows
+        lo = np.maximum(idx - (window - 1), 0)                  # first row of each frame
+        cnt = idx - lo + 1
+        span = (allt[idx] - allt[lo]) / 1e6
+        raw = np.where((cnt >= 2) & (span > 0), cnt / np.where(span > 0, span, 1.0), np.nan)
+        rates = pd.Series(raw).ffill()
+        if rate is not None:
+            rates = rates.fillna(rate)
+        last = rates.iloc[-1] if len(rates) else rate
+        state.update((json.dumps(allt[-window:].tolist()), None if pd.isna(last) else float(last)))
+        out = pd.DataFrame({"key": k[0], "ts_us": new})
+        if seq:
+            out[seq] = pdf[seq].astype("int64").to_numpy()
+        out["rate"] = rates.to_numpy(dtype="float64")
+        yield out
+
+    return m.select(*cols).groupBy("key").applyInPandasWithState(
+        fn, out_schema, "times string, rate double", "append", GroupStateTimeout.NoTimeout) \
+        .select("key", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias(ts),
+                *([seq] if seq else []), "rate")
