@@ -73,21 +73,25 @@ def _first_per_key(df: DataFrame, keys, seq, cols) -> DataFrame:
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col("_r")[c].alias(c) for c in cols])
 
 
-def missing_rows(batch: DataFrame, existing: DataFrame, keys=("datetime", "symbol_id")) -> DataFrame:
+def missing_rows(batch: DataFrame, existing: DataFrame, keys=("datetime", "symbol_id"),
+                 dates_from: DataFrame | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is not in ``existing`` (left anti).
 
     When both sides carry the ``date`` partition column, the store is first
     bounded to the batch's date range (a scalar subquery in the partition
     filter, evaluated at run time), so an ingest batch reads only its own
     days of a store of any size.  Dynamic partition pruning does not apply
-    to the build side of an anti join, hence the explicit bound."""
+    to the build side of an anti join, hence the explicit bound.
+    ``dates_from``: a cheaper frame with the same (or more) dates, e.g. the
+    raw batch before de-duplication."""
     k = list(keys)
     ex = existing
     if "date" in batch.columns and "date" in existing.columns:
         if "date" not in k:
             k = ["date", *k]
-        r = batch.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("_r")) \
-                 .select("_r").scalar()
+        src = dates_from if dates_from is not None else batch
+        r = src.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("_r")) \
+               .select("_r").scalar()
         ex = existing.filter(F.col("date").between(r["lo"], r["hi"]))
     return batch.join(ex.select(*k), k, "left_anti")
 
@@ -108,7 +112,7 @@ def ingest_bars(batch: DataFrame, existing: DataFrame, symbols: DataFrame, seq,
     first = _first_per_key(b, ["datetime", "symbol_id"], seqs, list(BAR_VALUES))
     first = first.withColumn("date", F.to_date("datetime"))
     ex = existing.withColumn("date", F.to_date("datetime")) if "date" not in existing.columns else existing
-    out = missing_rows(first, ex)
+    out = missing_rows(first, ex, dates_from=batch.select(F.to_date("datetime").alias("date")))
     return out.select("datetime", "symbol_id", *BAR_VALUES, "date")
 
 
@@ -124,7 +128,8 @@ def ingest_ticks(batch: DataFrame, existing: DataFrame, symbols: DataFrame, seq,
     first = _first_per_key(b, ["datetime", "symbol_id"], seqs, list(TICK_VALUES))
     first = first.withColumn("date", F.to_date("datetime"))
     ex = existing.withColumn("date", F.to_date("datetime")) if "date" not in existing.columns else existing
-    return missing_rows(first, ex).select("datetime", "symbol_id", *TICK_VALUES, "date")
+    return missing_rows(first, ex, dates_from=batch.select(F.to_date("datetime").alias("date"))) \
+        .select("datetime", "symbol_id", *TICK_VALUES, "date")
 
 
 def append_to_store(rows: DataFrame, path: str) -> None:
