@@ -365,3 +365,27 @@ def test_continuous_contract_on_bars_adjusts_all_prices(spark):
     assert set(got) == {(1, "R1"), (2, "R1"), (3, "R1"), (4, "R2"), (5, "R2"), (6, "R2")}
     assert got[(2, "R1")] == (112.0, 112.5)          # 102 + 10, 102.5 + 10
     assert got[(5, "R2")] == (115.0, 115.5)          # after the last roll: unadjusted
+
+
+def test_exact_rate_stream_carries_state_across_batches(spark):
+    """The last-N rate stream equals the batch rolling rate when the messages
+    arrive in two micro-batches."""
+    import time
+    import uuid
+    from barsmith.operators import monitoring as MO
+    from barsmith.session import scratch_path
+    from barsmith.streaming import streams as SS
+    root = scratch_path(spark, "tests", f"rate-{uuid.uuid4().hex}")
+    schema = "event_id long, ts timestamp_ntz, kind string, symbol string"
+    times = [0, 1, 1, 3, 6, 7, 7, 12]
+    rows_ = [(i, T0 + dt.timedelta(seconds=t), "TICK", "A") for i, t in enumerate(times)]
+    for b, part in enumerate((rows_[:4], rows_[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{root}/in/b={b}")
+        time.sleep(1.1)
+    stream = SS.file_stream(spark, f"{root}/in", schema + ", b int").drop("b")
+    got = spark.read.parquet(SS.run_to_table(SS.stream_message_rate_exact(stream, window=3, seq="event_id"),
+                                             "rate-test"))
+    got = {r["event_id"]: r["rate"] for r in got.collect()}
+    batch = MO.rolling_message_rate(spark.createDataFrame(rows_, schema), seq="event_id", window=3)
+    exp = {r["event_id"]: r["rate"] for r in batch.collect()}
+    assert got == exp and exp[2] == 3.0 and exp[7] is not None
