@@ -7,8 +7,9 @@ else is a default that a cluster configuration may override.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: wall-clock independence (UTC) and runtime
 # re-planning (AQE turns small joins into broadcasts only after measuring
@@ -47,18 +48,25 @@ def get_spark(master: str | None = None, app: str = "barsmith",
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder for lineage cuts and streaming checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset is a fallback registered: the caller's (tests), else
-    a folder under the warehouse directory, which lives on the cluster's
-    shared file system (never a machine-local temp folder).
+    Where it is unset a cluster session is refused (a folder of one machine is
+    not seen by the others); only a ``local`` session, as in tests, falls back
+    to the caller's folder or one under the warehouse directory.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not _is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = fallback or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_barsmith_checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -69,3 +77,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder (never a machine-local temp)."""
     return os.path.join(checkpoint_dir(spark), *parts)
+
+
+def scratch_table(spark: SparkSession, writer_of, name: str) -> str:
+    """Write a managed table in a database below the shared checkpoint folder
+    and return its name; ``DROP TABLE`` removes the files again.
+
+    ``writer_of`` is a DataFrame or a DataFrameWriter (already bucketed or
+    partitioned as wanted)."""
+    db = "barsmith_scratch"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{scratch_path(spark, db)}'")
+    table = f"{db}.{name}_{uuid.uuid4().hex}"
+    writer = writer_of.write if isinstance(writer_of, DataFrame) else writer_of
+    writer.format("parquet").saveAsTable(table)
+    return table
