@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barsmith.llm import mixing
+from barsmith.llm import lines, mixing
 from barsmith.llm.common import table
 
 
@@ -17,8 +17,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources,)}
-SQL = {"op1_mix_sources": mixing.mix_sql()}
+def op2_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five or more of them share."""
+    return lines.digest_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines)}
+SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
