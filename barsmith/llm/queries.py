@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barsmith.llm import lines, mixing
+from barsmith.llm import jaccard, lines, mixing
 from barsmith.llm.common import table
 
 
@@ -22,7 +22,12 @@ def op2_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 4-word shingles at 85% or more."""
+    return jaccard.near_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op9_jaccard_join)}
 SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql()}
 
 
