@@ -38,15 +38,21 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: buckets of :func:`may_have`; at most so many rows are ever broadcast by it
+#: buckets of :func:`sieve`; at most so many rows are ever broadcast by it
 ID_BUCKETS = 1 << 20
 
 
-def may_have(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose key falls in a hash bucket of some id: a first sieve of fixed
-    size before a join by the ids themselves, so that most texts that the join
-    does not need are never shuffled."""
+def sieve(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key falls in a hash bucket of some id, and the others: a
+    sieve of fixed size before a join by the ids themselves, so that most texts
+    that the join does not need are never shuffled."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
-    there = cut(ids.select(bucket(F.col(id_col)).alias("__bucket")).distinct())
-    return (rows.withColumn("__bucket", bucket(F.col(key)))
-            .join(F.broadcast(there), "__bucket", "left_semi").drop("__bucket"))
+    there = F.broadcast(cut(ids.select(bucket(F.col(id_col)).alias("__bucket")).distinct()))
+    rows = rows.withColumn("__bucket", bucket(F.col(key)))
+    return (rows.join(there, "__bucket", "left_semi").drop("__bucket"),
+            rows.join(there, "__bucket", "left_anti").drop("__bucket"))
+
+
+def may_have(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The inner half of :func:`sieve`."""
+    return sieve(rows, key, ids, id_col)[0]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barsmith.llm.common import cut, may_have
 from barsmith.llm.graph import components
-from barsmith.llm.shingles import WordHashes, binary, grouped, mixed, shingle_set
+from barsmith.llm.shingles import WordHashes, binary, grouped, mixed, pack, shingle_set, unpack
 
 #: cells of the count sketch; tokens over LIFT times the mean are put last
 CELLS = 1 << 21
@@ -88,8 +88,8 @@ def _first_task(n: int):
             mine = at[(at >= part * STEP) & (at < (part + 1) * STEP)]
             if len(mine):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([_pack(mine - np.uint32(part * STEP))], pa.binary()),
-                     pa.array([_pack(cells[mine].astype(np.uint64))], pa.binary())]
+                    [pa.array([part], pa.int32()), pa.array([pack(mine - np.uint32(part * STEP))], pa.binary()),
+                     pa.array([pack(cells[mine].astype(np.uint64))], pa.binary())]
                     + [pa.nulls(1, pa.int64())] * 4, names=NAMES)
     return run
 
@@ -104,22 +104,13 @@ PARTS = 32
 STEP = CELLS // PARTS
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(pa.py_buffer(np.ascontiguousarray(x)), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
-
-
-def _unpack(b: bytes, dtype) -> np.ndarray:
-    n = int.from_bytes(b[-8:], "little")
-    return np.frombuffer(pa.decompress(b[:-8], n * np.dtype(dtype).itemsize, codec="zstd"), dtype)
-
-
 def _sum_parts(batches):
     for (part,), rows in grouped(batches, ["part"]):
         cells = np.zeros(STEP, np.uint64)
         for at, counts in zip(rows.column("cells").to_pylist(), rows.column("counts").to_pylist()):
-            cells[_unpack(at, np.uint32)] += _unpack(counts, np.uint64)
+            cells[unpack(at, np.uint32)] += unpack(counts, np.uint64)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()),
-                                          "counts": pa.array([_pack(cells)], pa.binary())})
+                                          "counts": pa.array([pack(cells)], pa.binary())})
 
 
 def token_classes(first: DataFrame) -> tuple[np.ndarray, int]:
@@ -129,7 +120,7 @@ def token_classes(first: DataFrame) -> tuple[np.ndarray, int]:
         .sortWithinPartitions("part").mapInArrow(_sum_parts, "part int, counts binary").collect()
     cells = np.zeros(CELLS, np.uint64)
     for r in sums:
-        cells[r["part"] * STEP:(r["part"] + 1) * STEP] = _unpack(bytes(r["counts"]), np.uint64)
+        cells[r["part"] * STEP:(r["part"] + 1) * STEP] = unpack(bytes(r["counts"]), np.uint64)
     over = cells.astype(np.float64) / (LIFT * cells.mean() + 16)
     classes = np.where(over > 1, np.minimum(1 + np.log2(np.maximum(over, 1)), 60), 0).astype(np.uint8)
     return classes, int(cells.sum())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barsmith.llm import jaccard, lines, mixing
+from barsmith.llm import jaccard, lines, mixing, repeats
 from barsmith.llm.common import table
 
 
@@ -27,7 +27,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op9_jaccard_join)}
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 400 bytes that occur twice."""
+    return repeats.digest_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op9_jaccard_join, op10_remove_repeats)}
 SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql()}
 
 

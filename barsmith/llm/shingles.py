@@ -86,3 +86,13 @@ def binary(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     """All values of a column of packed arrays, one after the other."""
     parts = [np.frombuffer(x, dtype) for x in column.to_pylist() if x]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Compressed array; the number of values follows."""
+    return pa.compress(pa.py_buffer(np.ascontiguousarray(x)), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
+
+
+def unpack(b: bytes, dtype) -> np.ndarray:
+    n = int.from_bytes(b[-8:], "little")
+    return np.frombuffer(pa.decompress(b[:-8], n * np.dtype(dtype).itemsize, codec="zstd"), dtype)
