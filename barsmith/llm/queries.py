@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barsmith.llm import jaccard, lines, mixing, repeats
+from barsmith.llm import jaccard, langid, lines, mixing, repeats
 from barsmith.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op2_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingles at 85% or more."""
     return jaccard.near_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -32,7 +38,8 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op9_jaccard_join, op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op3_identify_language, op9_jaccard_join,
+                                op10_remove_repeats)}
 SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql()}
 
 
