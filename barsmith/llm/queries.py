@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barsmith.llm import jaccard, langid, lines, mixing, repeats
+from barsmith.llm import jaccard, langid, lines, mixing, repeats, templates
 from barsmith.llm.common import table
 
 
@@ -28,6 +29,14 @@ def op3_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, also with other names and numbers."""
+    found = templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("matched").alias("matched"), F.max("windows").alias("windows"),
+        F.max("reworded").alias("reworded"), F.min("dpos").alias("token"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingles at 85% or more."""
     return jaccard.near_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -38,8 +47,8 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op3_identify_language, op9_jaccard_join,
-                                op10_remove_repeats)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op3_identify_language, op7_benchmark_leaks,
+                                op9_jaccard_join, op10_remove_repeats)}
 SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql()}
 
 
