@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm import jaccard, langid, lines, mixing, repeats, templates
+from barsmith.llm import jaccard, langid, lines, mixing, repeats, reputation, templates, topk
 from barsmith.llm.common import table
 
 
@@ -29,6 +29,27 @@ def op3_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector with all others."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: The rules of op5.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+         ("block", "net/fr/")]
+
+
+def op5_judge_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page allowed or blocked by rule or by its host's record.  A page's
+    outcome is the label of the document whose number its url carries."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(reputation.parse_url(F.col("url"))[1], r"/(\d{1,18})(?!\d)", 1)
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("__doc"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    outcomes = pages.withColumn("__doc", F.when(number != "", number.cast("long"))).join(labels, "__doc")
+    return reputation.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict", "bad_low")
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, also with other names and numbers."""
     found = templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,9 +68,11 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op3_identify_language, op7_benchmark_leaks,
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op3_identify_language, op4_top_products,
+                                op5_judge_hosts, op7_benchmark_leaks,
                                 op9_jaccard_join, op10_remove_repeats)}
-SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql()}
+SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql(),
+       "op4_top_products": topk.top_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
