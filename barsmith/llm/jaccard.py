@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut, may_have
+from barsmith.llm.common import cut, may_have, sieve
 from barsmith.llm.graph import components
 from barsmith.llm.shingles import WordHashes, binary, grouped, mixed, pack, shingle_set, unpack
 
@@ -333,3 +333,22 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     comp = components(similar.unionByName(copies))
     return digest.join(comp, digest["doc_id"] == comp["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents without near copies: of each class the one with the
+    smallest id stays.  Of rows with that id one stays (the first by text);
+    rows with a null id and texts without words stay all."""
+    classes = cut(near_classes(docs, doc_id=doc_id, text=text, **how))
+    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    twice = classes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    gone = cut(gone.withColumn("__all", F.lit(True)).unionByName(
+        twice.select(F.col("doc_id").alias("__gone"), F.lit(False).alias("__all"))))
+    inside, outside = sieve(docs, doc_id, gone, "__gone")
+    kept = inside.join(gone.where("__all"), F.col(doc_id) == F.col("__gone"), "left_anti")
+    many = gone.where("NOT __all").select("__gone")
+    first = Window.partitionBy("__gone").orderBy(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))).desc(), F.col(text))
+    ones = kept.join(many, F.col(doc_id) == F.col("__gone")).withColumn("__nth", F.row_number().over(first))
+    kept = kept.join(many, F.col(doc_id) == F.col("__gone"), "left_anti").unionByName(
+        ones.where("__nth = 1").drop("__nth", "__gone"))
+    return outside.unionByName(kept)

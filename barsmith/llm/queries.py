@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm import jaccard, langid, lines, mixing, repeats, reputation, templates, topk
+from barsmith.llm import (jaccard, langid, licenses, lines, mixing, repeats, reputation, revisits, templates,
+                          topk)
 from barsmith.llm.common import table
 
 
@@ -50,6 +51,14 @@ def op5_judge_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict", "bad_low")
 
 
+def op6_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of the log of a crawl of all pages, resolved."""
+    out = revisits.resolve_revisits(revisits.crawl_log(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "url_key", "ts", "refers_to", "resolution", F.col("headers")["date"].alias("date"),
+                      F.col("headers")["content-type"].alias("content_type"),
+                      F.col("headers")["cache-control"].alias("cache_control"), "payload_digest", "payload_length")
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, also with other names and numbers."""
     found = templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -58,6 +67,12 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("reworded").alias("reworded"), F.min("dpos").alias("token"))
 
 
+def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in all documents: one row per occurrence."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingles at 85% or more."""
     return jaccard.near_classes(table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -69,10 +84,10 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op3_identify_language, op4_top_products,
-                                op5_judge_hosts, op7_benchmark_leaks,
-                                op9_jaccard_join, op10_remove_repeats)}
+                                op5_judge_hosts, op6_resolve_revisits,
+                                op7_benchmark_leaks, op8_scan_licenses, op9_jaccard_join, op10_remove_repeats)}
 SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql(),
-       "op4_top_products": topk.top_sql()}
+       "op4_top_products": topk.top_sql(), "op6_resolve_revisits": revisits.revisits_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
