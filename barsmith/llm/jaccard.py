@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut, may_have, sieve
+from barsmith.llm.common import SPACE, cut, may_have, sieve
 from barsmith.llm.graph import components
 from barsmith.llm.shingles import WordHashes, binary, grouped, mixed, pack, shingle_set, unpack
 
@@ -347,8 +347,10 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     inside, outside = sieve(docs, doc_id, gone, "__gone")
     kept = inside.join(gone.where("__all"), F.col(doc_id) == F.col("__gone"), "left_anti")
     many = gone.where("NOT __all").select("__gone")
-    first = Window.partitionBy("__gone").orderBy(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))).desc(), F.col(text))
-    ones = kept.join(many, F.col(doc_id) == F.col("__gone")).withColumn("__nth", F.row_number().over(first))
+    blank = F.trim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE)) == ""
+    first = Window.partitionBy("__gone").orderBy("__blank", F.col(text))
+    ones = kept.withColumn("__blank", blank).join(many, F.col(doc_id) == F.col("__gone"))
+    ones = ones.withColumn("__nth", F.row_number().over(first)).where("__nth = 1 OR __blank")
     kept = kept.join(many, F.col(doc_id) == F.col("__gone"), "left_anti").unionByName(
-        ones.where("__nth = 1").drop("__nth", "__gone"))
+        ones.drop("__nth", "__blank", "__gone"))
     return outside.unionByName(kept)
