@@ -101,10 +101,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], *
     seen = p.groupBy(F.col("__host").alias("host")).agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
     hosts = o.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).unionByName(seen)
     hosts = hosts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    table = cut(with_rules(reputation(hosts, z), rules).select("host", "rules", "bad_low"))
-    fit = F.element_at(F.filter("rules", lambda r: F.startswith(F.col("__path"), r["start"])), 1)
-    out = p.join(small(table), F.col("__host") == F.col("host"), "left").withColumn(
-        "__fit", F.when(F.size(F.filter("rules", lambda r: F.startswith(F.col("__path"), r["start"]))) > 0, fit))
-    by_host = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
+    table = cut(with_rules(reputation(hosts, z), rules).select(
+        F.col("host").alias("__of"), F.col("rules").alias("__rules"), F.col("bad_low").alias("__low")))
+    fits = F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["start"]))
+    out = p.join(small(table), F.col("__host") == F.col("__of"), "left").withColumn("__fit", F.when(F.size(fits) > 0, fits[0]))
+    by_host = F.when(F.col("__low") > max_bad, "block").otherwise("allow")
     return out.select(*names, F.col("__host").alias("host"), F.col("__path").alias("path"),
-                      F.col("__fit.rule").alias("rule"), F.coalesce(F.col("__fit.verdict"), by_host).alias("verdict"), "bad_low")
+                      F.col("__fit.rule").alias("rule"), F.coalesce(F.col("__fit.verdict"), by_host).alias("verdict"),
+                      F.col("__low").alias("bad_low"))

@@ -174,7 +174,7 @@ PAIR = "key long, doc_id long, item_id long, matched int, windows int, reworded
 def _check_task(need: float):
     """Diagonals of the proposed pairs, sorted by key, item and diagonal."""
     def run(batches):
-        for (key, item), rows in grouped(batches, ["key", "item_id"]):
+        for (key, _), rows in grouped(batches, ["key", "same"]):
             diag, pos = rows.column("diag").to_numpy(), rows.column("pos").to_numpy()
             a = [np.frombuffer(x, np.uint64) for x in rows.column("values").to_pylist()]
             b = [np.frombuffer(x, np.uint64) for x in rows.column("dvalues").to_pylist()]
@@ -191,7 +191,7 @@ def _check_task(need: float):
             if matched and len(matched) >= need * total:
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array([key], pa.int64()), "doc_id": rows.column("doc_id").slice(0, 1).combine_chunks(),
-                    "item_id": pa.array([item], pa.int64()), "matched": pa.array([len(matched)], pa.int32()),
+                    "item_id": rows.column("item_id").slice(0, 1).combine_chunks(), "matched": pa.array([len(matched)], pa.int32()),
                     "windows": pa.array([total], pa.int32()), "reworded": pa.array([reworded]),
                     "dpos": pa.array([first], pa.int32())})
     return run
@@ -209,17 +209,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
 
     Null and empty texts hold nothing and are no items; items of fewer than
     ``LITERALS`` tokens are no evidence.  Items with equal templates and values
-    are reported once, under the smallest id (items with a null id are not
-    reported).  ``key`` is a hash of id and text: repeated rows are one
+    are one, under the smallest id; one id with two texts is two items (items
+    with a null id are not reported).  ``key`` is a hash of id and text: repeated rows are one
     document, rows with one id and different texts are two."""
     spark = docs.sparkSession
     items = cut(benchmark.where(F.col(item_id).isNotNull())
                 .select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text))
                 .mapInArrow(_item_task, ITEM))
-    one = items.groupBy("same").agg(F.min("item_id").alias("item_id"))
-    items = items.join(one, ["same", "item_id"]).drop("same").dropDuplicates(["item_id", "pos"])
+    items = items.groupBy("same", "pos").agg(
+        F.min("item_id").alias("item_id"), *(F.first(c).alias(c) for c in ("hash", "values", "total", "width")))
     common = items.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "hash", "pos"))   # within one item
+    rank = F.row_number().over(Window.partitionBy("same").orderBy("df", "hash", "pos"))   # within one item
     asked = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(need)))
     items = cut(items.join(common, "hash").withColumn("proposes", rank <= F.col("total") - asked + 1))
 
@@ -231,10 +231,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
                     F.col(text).alias("__text"))
     hits = cut(d.mapInArrow(_doc_task(spark.sparkContext.broadcast((bits, widths))), HIT)
                .join(items.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["key", "dpos", "hash"]))
-    pairs = hits.join(items.where("proposes").select("hash", "item_id"), "hash").select("key", "item_id").distinct()
-    both = pairs.join(hits, "key").join(items, ["item_id", "hash"]).select(
-        "key", "item_id", (F.col("dpos") - F.col("pos")).alias("diag"), "pos", "values", "dvalues", "total", "doc_id")
-    return both.repartition("key", "item_id").sortWithinPartitions("key", "item_id").mapInArrow(
+    pairs = hits.join(items.where("proposes").select("hash", "same"), "hash").select("key", "same").distinct()
+    both = pairs.join(hits, "key").join(items, ["same", "hash"]).select(
+        "key", "same", "item_id", (F.col("dpos") - F.col("pos")).alias("diag"), "pos", "values", "dvalues", "total", "doc_id")
+    return both.repartition("key", "same").sortWithinPartitions("key", "same").mapInArrow(
         _check_task(need), PAIR)
 
 
