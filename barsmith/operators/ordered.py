@@ -38,9 +38,11 @@ BLOCK_ROWS = 1 << 17
 CHUNK_SECONDS = 900
 
 #: a (key, chunk) with more rows than this (a burst inside one slice) is split
-#: further at approximate quantiles of its time column
+#: further at about SUB_CHUNKS places of its full order key
 MAX_CHUNK_ROWS = 20_000_000
 SUB_CHUNKS = 64
+#: numbers that a split chunk takes up
+SPLIT = 1 << 20
 
 
 def _cols(xs):
@@ -78,8 +80,9 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     ``ffill``  {source: target} last non-null value up to and including the row.
     ``prev``   {source: target} value of the previous row (lag 1), null first.
     ``nxt``    {source: target} value of the next row (lead 1), null last.
-    ``max_chunk_rows`` default time chunks holding more rows are split at
-               approximate time quantiles (one bucket never becomes one task).
+    ``max_chunk_rows`` default time chunks holding more rows are split by the
+               full order key (a burst at one timestamp included, if ``order``
+               tells its rows apart), so one bucket never becomes one task.
     """
     keys = list(keys)
     order = list(order)
@@ -101,25 +104,27 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
         return frame.groupBy(*keys, "_chunk").agg(*aggs)
 
     summ = summarise(d)
-    if chunk is None and max_chunk_rows and _may_hold(df, max_chunk_rows):
-        # A burst inside one slice: split the oversized (key, chunk) groups at
-        # approximate time quantiles (sub-chunk = number of quantiles below the
-        # row's time: monotone, equal times stay together).  Cold chunks keep
-        # their summary rows; only hot rows are summarised again.  With no hot
-        # chunk the extra branches are empty and AQE drops them.
-        t_us = F.unix_micros(F.col(order[0]).cast("timestamp"))
-        hot = summ.filter(F.col("_cn") > max_chunk_rows).select(*keys, "_chunk")
-        fr = [i / SUB_CHUNKS for i in range(1, SUB_CHUNKS)]
-        bounds = d.join(hot, [*keys, "_chunk"], "left_semi").groupBy(*keys, "_chunk") \
-                  .agg(F.percentile_approx(t_us, fr, 10000).alias("_qb"))
-        d = d.join(bounds, [*keys, "_chunk"], "left")
+    if chunk is None and max_chunk_rows:
+        # A burst inside one slice: a hash sample of about SUB_CHUNKS order keys
+        # of the oversized (key, chunk) splits it (sub-chunk = number of
+        # splitters below the row's key: monotone, whatever the sample).  Cold
+        # chunks keep their summary rows; only hot rows are summarised again.
+        # There is at most one hot chunk per max_chunk_rows rows, so the table
+        # may be broadcast; while it is empty AQE plans none of what follows.
+        full = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+        hot = summ.filter(F.col("_cn") > max_chunk_rows).select(*keys, "_chunk", "_cn")
+        one_in = F.greatest(F.lit(1), F.floor(F.col("_cn") / F.lit(SUB_CHUNKS)))
+        bounds = d.join(F.broadcast(hot), [*keys, "_chunk"]) \
+                  .filter(F.pmod(F.xxhash64(*order), one_in) == 0) \
+                  .groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_set(full)).alias("_qb"))
+        d = d.join(F.broadcast(bounds), [*keys, "_chunk"], "left")
         sub = F.when(F.col("_qb").isNull(), F.lit(0)) \
-               .otherwise(F.size(F.filter("_qb", lambda b: b < t_us)))
-        d = d.withColumn("_chunk", F.col("_chunk") * F.lit(SUB_CHUNKS) + sub).drop("_qb")
-        cold = summ.join(hot, [*keys, "_chunk"], "left_anti") \
-                   .withColumn("_chunk", F.col("_chunk") * F.lit(SUB_CHUNKS))
-        hot_rows = d.withColumn("_c0", F.floor(F.col("_chunk") / F.lit(SUB_CHUNKS))) \
-                    .join(hot.withColumnRenamed("_chunk", "_c0"), [*keys, "_c0"], "left_semi") \
+               .otherwise(F.size(F.filter("_qb", lambda b: b < full)))
+        d = d.withColumn("_chunk", F.col("_chunk") * F.lit(SPLIT) + F.least(sub, F.lit(SPLIT - 1))).drop("_qb")
+        cold = summ.join(F.broadcast(hot), [*keys, "_chunk"], "left_anti") \
+                   .withColumn("_chunk", F.col("_chunk") * F.lit(SPLIT))
+        hot_rows = d.withColumn("_c0", F.floor(F.col("_chunk") / F.lit(SPLIT))) \
+                    .join(F.broadcast(hot.withColumnRenamed("_chunk", "_c0").drop("_cn")), [*keys, "_c0"], "left_semi") \
                     .drop("_c0")
         summ = cold.unionByName(summarise(hot_rows))
 
@@ -162,29 +167,6 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     return j.drop(*drop)
 
 
-def _may_hold(df: DataFrame, rows: int, min_row_bytes: int = 8) -> bool:
-    """Can ``df`` hold ``rows`` rows?  Judged from Catalyst's size estimates
-    (no job runs): the smaller of the plan's estimate and the summed sizes
-    of its leaf scans, divided by a minimal row width.  Join estimates
-    multiply their inputs, while the lookups of market data (many-to-one)
-    never grow the row count beyond their inputs, hence the leaf bound.
-    Unknown estimates count as yes; callers can force a decision through
-    ``max_chunk_rows``."""
-    try:
-        def _int(v):
-            return v if isinstance(v, int) else int(v.toString())
-        plan = df._jdf.queryExecution().optimizedPlan()
-        size = _int(plan.stats().sizeInBytes())
-        leaves = plan.collectLeaves().iterator()
-        leaf_total = 0
-        while leaves.hasNext():
-            leaf_total += _int(leaves.next().stats().sizeInBytes())
-        size = min(size, leaf_total)
-    except Exception:  # noqa: BLE001 - e.g. no JVM plan access
-        return True
-    return size >= rows * min_row_bytes
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate that several branches consume:
     reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives

@@ -1,14 +1,12 @@
 """Strategy callbacks (X1) and the documented SMA example.
 
-X2 is pure window arithmetic.  X1 runs user code: the callback receives one
-instrument's time-ordered rows of a session (``symbol`` x day by default)
-as a pandas frame and returns signal rows.  A day holding more than
-``max_rows_per_session`` rows is cut into consecutive runs of that many rows,
-so no Python group is unbounded even for a symbol holding a third of all
-ticks;
-strategies whose state spans sessions run on the stream form
-(``barsmith.streaming.streams.stream_strategy``), where Spark's state
-store carries the state between micro-batches.
+X2 is pure window arithmetic.  X1 runs user code over each instrument's
+time-ordered rows.  Rows are sorted within partitions and handed to the
+callback a chunk at a time with the state it left behind, so a session of any
+size is streamed through bounded memory and the answer depends neither on
+partitioning nor on batch sizes.  The same callback and state run on a stream
+(``barsmith.streaming.streams.stream_strategy``), where Spark's state store
+carries the state between micro-batches.
 """
 
 from __future__ import annotations
@@ -25,63 +23,133 @@ from barsmith.operators import ordered
 SIGNAL_SCHEMA = "symbol string, datetime timestamp_ntz, signal string, price double"
 
 
-def session_breakout(pdf: pd.DataFrame, price: str = "last") -> pd.DataFrame:
+def session_breakout(pdf: pd.DataFrame, state: dict, price: str = "last") -> tuple[pd.DataFrame, dict]:
     """Example callback: BUY when the price crosses above the session's first
     price, SELL when it crosses below."""
-    p = pdf[price]
-    o = p.iloc[0]
+    p = pdf[price].astype("float64")
+    first = state.get("open", None if pd.isna(p.iloc[0]) else float(p.iloc[0]))
+    o = np.nan if first is None else first
     prev = p.shift(1)
+    prev.iloc[0] = np.nan if state.get("prev") is None else state["prev"]
     up = (p > o) & (prev <= o)
     down = (p < o) & (prev >= o)
     hit = (up | down).to_numpy()
-    return pd.DataFrame({"symbol": pdf["symbol"].to_numpy()[hit],
-                         "datetime": pdf["datetime"].to_numpy()[hit],
-                         "signal": np.where(up.to_numpy()[hit], "BUY", "SELL").astype(object),
-                         "price": p.to_numpy(dtype="float64")[hit]})
-
-
-#: largest Python group of the strategy runner before a day is split
-MAX_ROWS_PER_SESSION = 5_000_000
-
-
-def _day_sessions(df: DataFrame, order, max_rows: int) -> DataFrame:
-    """``_session`` = the day, or for a (symbol, day) with more than
-    ``max_rows`` rows, consecutive runs of ``max_rows`` rows in time order
-    (row numbers from the distributed sequence helper, computed for the
-    oversized days only).  The per-(symbol, day) counts are a small table."""
-    ts = order[0]
-    d = df.withColumn("_day", F.to_date(ts))
-    counts = d.groupBy("symbol", "_day").agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(counts, ["symbol", "_day"])
-    small = d.filter(F.col("_n") <= max_rows).withColumn("_part", F.lit(0).cast("long"))
-    big = ordered.sequence(d.filter(F.col("_n") > max_rows), ["symbol", "_day"], list(order),
-                           rownum="_r")
-    big = big.withColumn("_part", F.floor((F.col("_r") - 1) / F.lit(max_rows)).cast("long")).drop("_r")
-    both = small.unionByName(big)
-    return both.withColumn("_session", F.concat_ws("#", F.col("_day").cast("string"),
-                                                    F.col("_part").cast("string"))) \
-               .drop("_day", "_n", "_part")
-
-
-def apply_strategy(df: DataFrame, on_rows: Callable[[pd.DataFrame], pd.DataFrame],
-                   schema: str = SIGNAL_SCHEMA, order=("datetime",),
-                   session=None, max_rows_per_session: int = MAX_ROWS_PER_SESSION) -> DataFrame:
-    """Run ``on_rows(pdf) -> signals`` per (symbol, session), rows sorted
-    by ``order`` inside the group (Arrow batches, vectorised pandas).
-    ``session`` is a Column; default the day, split when oversized."""
+    out = pd.DataFrame({"symbol": pdf["symbol"].to_numpy()[hit],
+                        "datetime": pdf["datetime"].to_numpy()[hit],
+                        "signal": np.where(up.to_numpy()[hit], "BUY", "SELL").astype(object),
+                        "price": p.to_numpy()[hit]})
+    return out, {"open": first, "prev": None if pd.isna(p.iloc[-1]) else float(p.iloc[-1])}
+
+
+class Instrument:
+    """What a strategy knows of its instrument: the last message of each kind
+    and the position that its fills add up to."""
+
+    KINDS = ("quote", "tick", "bar", "orderbook")
+
+    def __init__(self, symbol: str, state: dict | None = None):
+        self.symbol = symbol
+        self.last = dict((state or {}).get("last", {}))
+        self.position = (state or {}).get("position", 0)
+        self.avg_price = (state or {}).get("avg_price", 0.0)
+        self.signals: list[tuple] = []
+
+    def __getattr__(self, name: str):
+        if name in Instrument.KINDS:
+            return self.__dict__.get("last", {}).get(name)
+        raise AttributeError(name)
+
+    def signal(self, time, name: str, price) -> None:
+        """Report a signal at the time of the event at hand."""
+        self.signals.append((self.symbol, time, name, None if price is None else float(price)))
+
+    def fill(self, quantity: int, price: float) -> None:
+        """Book a fill: the average price moves when the position grows."""
+        new = self.position + quantity
+        if self.position == 0 or (self.position > 0) != (new > 0):
+            self.avg_price = float(price) if new else 0.0
+        elif abs(new) > abs(self.position):
+            self.avg_price = (self.avg_price * abs(self.position) + price * abs(quantity)) / abs(new)
+        self.position = new
+
+    def state(self) -> dict:
+        return {"last": self.last, "position": self.position, "avg_price": self.avg_price}
+
+
+class Strategy:
+    """Base of event strategies: override the callbacks that matter.  ``memo``
+    is a dict of plain values that outlives chunks, sessions and micro-batches."""
+
+    def on_start(self, instrument: Instrument, memo: dict) -> None:
+        pass
+
+    def on_quote(self, instrument: Instrument, memo: dict) -> None:
+        pass
+
+    def on_tick(self, instrument: Instrument, memo: dict) -> None:
+        pass
+
+    def on_bar(self, instrument: Instrument, memo: dict) -> None:
+        pass
+
+    def on_orderbook(self, instrument: Instrument, memo: dict) -> None:
+        pass
+
+    def on_fill(self, instrument: Instrument, memo: dict) -> None:
+        pass
+
+    def rows(self, ts: str = "datetime") -> Callable:
+        """The row callback of :func:`apply_strategy` that plays the events: a
+        row's ``kind`` names its callback, its other columns are the message; a
+        FILL row carries ``quantity`` and ``price``."""
+        def on_rows(pdf: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
+            instrument = Instrument(pdf["symbol"].iloc[0], state.get("instrument"))
+            memo = dict(state.get("memo", {}))
+            if not state:
+                self.on_start(instrument, memo)
+            plain = pdf.astype(object).where(pdf.notna(), None)
+            for row in plain.to_dict("records"):
+                kind = str(row.get("kind") or "TICK").lower()
+                message = {k: str(v) if k == ts else v for k, v in row.items() if v is not None}
+                instrument.time = row[ts]
+                if kind == "fill":
+                    instrument.fill(int(row["quantity"]), float(row["price"]))
+                    self.on_fill(instrument, memo)
+                elif kind in Instrument.KINDS:
+                    instrument.last[kind] = message
+                    getattr(self, f"on_{kind}")(instrument, memo)
+            out = pd.DataFrame(instrument.signals, columns=["symbol", ts, "signal", "price"])
+            out = out.astype({"symbol": object, ts: "datetime64[us]", "signal": object, "price": "float64"})
+            return out, {"instrument": instrument.state(), "memo": memo}
+        return on_rows
+
+
+def apply_strategy(df: DataFrame, on_rows: Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]],
+                   schema: str = SIGNAL_SCHEMA, order=("datetime",), session="day") -> DataFrame:
+    """``on_rows(pdf, state) -> (signals, state)`` over each symbol's rows
+    in ``order``, a chunk at a time.  The state starts empty with every session:
+    ``"day"``, a Column, or None for one session per symbol."""
     order = list(order)
-    if session is not None:
-        d = df.withColumn("_session", session)
-    elif max_rows_per_session and ordered._may_hold(df, max_rows_per_session):
-        d = _day_sessions(df, order, max_rows_per_session)
-    else:  # the input cannot hold an oversized day: plain day sessions
-        d = df.withColumn("_session", F.concat_ws("#", F.to_date(order[0]).cast("string"), F.lit("0")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort").drop(columns=["_session"])
-        return on_rows(pdf.reset_index(drop=True))
-
-    return d.groupBy("symbol", "_session").applyInPandas(run, schema)
+    day = F.to_date(order[0]) if isinstance(session, str) and session == "day" else session
+    d = df.withColumn("_session", F.lit("") if day is None else F.coalesce(day.cast("string"), F.lit("")))
+    keys = ["symbol", "_session"]
+
+    def run(frames):
+        key, state = None, {}
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            new = (pdf[keys] != pdf[keys].shift()).any(axis=1)
+            for _, part in pdf.groupby(new.cumsum(), sort=False):
+                mine = tuple(part[keys].iloc[0])
+                if mine != key:
+                    key, state = mine, {}
+                out, state = on_rows(part.drop(columns=["_session"]).reset_index(drop=True), state)
+                if len(out):
+                    yield out
+
+    return d.filter(F.col("symbol").isNotNull()).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(
+        run, schema)
 
 
 def sma_crossover(bars: DataFrame, fast: int = 10, slow: int = 20, price: str = "close",

@@ -10,9 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
-
-from barsmith import schemas
 from barsmith.operators import normalize as NO
 from barsmith.plans.registry import register
 from barsmith.plans.sqlparts import ac, sg
@@ -33,18 +30,16 @@ def quotes(spark):
     return NO.normalize_quotes(spark.table("fx_ticks"))
 
 
-def ticks_stream(spark, sf_dir_holder):
-    """fx_ticks as a stream over the events file."""
-    ev_schema = spark.table("events").schema
-    ev = SS.file_stream(spark, sf_dir_holder, ev_schema, glob="events.parquet")
-    ev.createOrReplaceTempView("events_stream")
-    return spark.sql(FIXTURE_SQL["fx_ticks"][0].replace("FROM events", "FROM events_stream"))
+def fixture_stream(spark, fixture):
+    """A fixture over ``events`` as a stream: the whole table replayed in time
+    order, several micro-batches."""
+    view = f"events_stream_{uuid.uuid4().hex}"
+    SS.replay(spark.table("events"), "ts").createOrReplaceTempView(view)
+    return spark.sql(FIXTURE_SQL[fixture][0].replace("FROM events", f"FROM {view}"))
 
 
-def _sf_dir(spark):
-    """Folder of the registered ``events`` table (the stream source)."""
-    files = spark.table("events").inputFiles()
-    return files[0].rsplit("/", 1)[0].replace("file://", "").replace("file:", "")
+def ticks_stream(spark):
+    return fixture_stream(spark, "fx_ticks")
 
 
 @register("normalize_quotes", fixtures=["fx_ticks"], sql=f"WITH {QUOTES_SQL} SELECT * FROM q")
@@ -150,7 +145,7 @@ def price_change_ticks(spark):
 """)
 def stream_price_changes(spark):
     """TS6: the same changes from a quote stream with per-symbol value state."""
-    q = NO.normalize_quotes(ticks_stream(spark, _sf_dir(spark)))
+    q = NO.normalize_quotes(ticks_stream(spark))
     path = SS.run_to_table(SS.stream_price_changes(q), "price-changes")
     return spark.read.parquet(path)
 
@@ -158,7 +153,7 @@ def stream_price_changes(spark):
 @register("stream_normalize", fixtures=["fx_ticks"], sql=f"WITH {QUOTES_SQL} SELECT * FROM q")
 def stream_normalize(spark):
     """TS1: quote normalisation on the tick stream."""
-    q = SS.stream_normalize(ticks_stream(spark, _sf_dir(spark)))["QUOTE"]
+    q = SS.stream_normalize(ticks_stream(spark))["QUOTE"]
     return spark.read.parquet(SS.run_to_table(q, "normalize"))
 
 
@@ -172,7 +167,7 @@ SELECT * FROM b WHERE open IS NOT NULL AND window_end <= (SELECT max(datetime) F
 """)
 def stream_bars(spark):
     """TS2: completed hourly bars from the tick stream (10-minute watermark)."""
-    b = SS.stream_bars(ticks_stream(spark, _sf_dir(spark)), "1 hour", "10 minutes", seq="id")
+    b = SS.stream_bars(ticks_stream(spark), "1 hour", "10 minutes", seq="id")
     return spark.read.parquet(SS.run_to_table(b, "bars"))
 
 
@@ -182,7 +177,7 @@ SELECT symbol, arg_max((symbol_group, asset_class, timestamp, bid, ask, last, bi
 """.replace("SELECT symbol, arg_max", "SELECT symbol, r[1] AS symbol_group, r[2] AS asset_class, r[3] AS timestamp, r[4] AS bid, r[5] AS ask, r[6] AS last, r[7] AS bidSize, r[8] AS askSize, r[9] AS lastSize, r[10] AS volume FROM (SELECT symbol, arg_max", 1) + ") z")
 def stream_latest(spark):
     """TS3: the latest quote per symbol, maintained by a stateful stream."""
-    q = NO.normalize_quotes(ticks_stream(spark, _sf_dir(spark)))
+    q = NO.normalize_quotes(ticks_stream(spark))
     base = SS.run_latest_table(SS.stream_latest(q), "latest")
     return SS.read_latest_table(spark, base)
 
@@ -195,10 +190,7 @@ WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM fx_messages) - INTE
 """)
 def stream_message_rate(spark):
     """TS4: hourly message counts and rates per (kind, symbol), closed windows."""
-    ev_schema = spark.table("events").schema
-    ev = SS.file_stream(spark, _sf_dir(spark), ev_schema, glob="events.parquet")
-    ev.createOrReplaceTempView("events_stream")
-    m = spark.sql(FIXTURE_SQL["fx_messages"][0].replace("FROM events", "FROM events_stream"))
+    m = fixture_stream(spark, "fx_messages")
     return spark.read.parquet(SS.run_to_table(SS.stream_message_rate(m), "rates"))
 
 
@@ -216,7 +208,7 @@ FROM tk JOIN dim ON tk.symbol = dim.symbol AND tk.asset_class = dim.asset_class
 def stream_ingest(spark):
     """TS5: the tick stream ingested idempotently into a fresh store (ids
     created as symbols appear); the store's content."""
-    t = ticks_stream(spark, _sf_dir(spark))
+    t = ticks_stream(spark)
     from barsmith.functions.scalars import asset_class
     t = t.withColumn("asset_class", asset_class("symbol"))
     root = scratch_path(spark, "stores", f"ticks-{uuid.uuid4().hex}")
@@ -243,12 +235,9 @@ def stream_instrument_changes(spark):
     v1 = contracts(spark)
     v2 = contracts(spark).withColumn("exchange", F.coalesce("exchange", F.lit("IDEALPRO")))
     for i, v in ((1, v1), (2, v2)):
-        # both versions are complete before the stream starts
-        v.write.mode("overwrite").parquet(f"{root}/lists/version={i}")
-    schema = StructType(list(schemas.INSTRUMENTS.fields) + [StructField("version", IntegerType())])
-    lists = SS.file_stream(spark, f"{root}/lists", schema, fmt="parquet", max_files=100000)
-    out = SS.stream_instrument_changes(lists, f"{root}/versions", as_of=JUL1)
-    return spark.read.parquet(out).select(*CANONICAL, "change", "version")
+        SS.publish_version(v, root, i)
+    out = SS.stream_instrument_changes(spark, root, f"{root}/versions", as_of=JUL1)
+    return spark.read.parquet(out).select(*CANONICAL, "change", F.col("version").cast("int").alias("version"))
 
 
 QUOTE_MSG_SCHEMA = ("symbol string, symbol_group string, asset_class string, timestamp string, kind string, "
@@ -287,7 +276,7 @@ def stream_publish_subscribe(spark):
     folder; a subscriber stream reads the QUOTE folder, keeps the CASH
     symbols (a comma list) and converts times to New York."""
     root = scratch_path(spark, "bus", f"run-{uuid.uuid4().hex}")
-    q = NO.normalize_quotes(ticks_stream(spark, _sf_dir(spark)))
+    q = NO.normalize_quotes(ticks_stream(spark))
     SS.publish_stream(q, f"{root}/topic", "publish")
     cash = ",".join(f"S{u:02d}USD_CASH" for u in range(16))
     sub = SS.subscribe_stream(spark, f"{root}/topic", QUOTE_MSG_SCHEMA, symbols=cash, kind="QUOTE",
@@ -307,8 +296,5 @@ FROM r
 def stream_message_rate_exact(spark):
     """TS4 exact form: the last-100-messages rate per key, kept in list state
     on the message stream (batch twin: W9)."""
-    ev_schema = spark.table("events").schema
-    ev = SS.file_stream(spark, _sf_dir(spark), ev_schema, glob="events.parquet")
-    ev.createOrReplaceTempView("events_stream")
-    m = spark.sql(FIXTURE_SQL["fx_messages"][0].replace("FROM events", "FROM events_stream"))
+    m = fixture_stream(spark, "fx_messages")
     return spark.read.parquet(SS.run_to_table(SS.stream_message_rate_exact(m, seq="event_id"), "rates-exact"))

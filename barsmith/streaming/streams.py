@@ -6,9 +6,11 @@ TS7 stream_instrument_changes, plus the sources / sinks they run on.
 
 Event time: parquet timestamps are TIMESTAMP_NTZ; ``withWatermark`` needs a
 TIMESTAMP, so :func:`event_time` casts (session zone UTC) before any
-watermark.  Every query checkpoints under the shared folder named by
-``spark.checkpoint.dir`` and is restartable; sinks are idempotent (file sink
-commit log, or foreachBatch writes keyed by epoch / anti-joined on keys).
+watermark.  Every runner takes ``checkpoint``, ``path`` and ``trigger``: with
+a stable checkpoint and path a stream resumes where it stopped, without them a
+one-off run gets fresh folders below ``spark.checkpoint.dir``.  Sinks are
+idempotent (file sink commit log, or foreachBatch writes keyed by epoch or
+version / anti-joined on keys).
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barsmith.operators import catalog as CA
 from barsmith.operators import normalize as NO
@@ -30,9 +34,12 @@ from barsmith.sources.instruments import CANONICAL
 
 # --------------------------------------------------------------------- sources / sinks
 def file_stream(spark: SparkSession, directory: str, schema, fmt: str = "parquet",
-                glob: str | None = None, max_files: int = 1, **options) -> DataFrame:
-    """A file source: new files in ``directory`` become micro-batches."""
-    r = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
+                glob: str | None = None, max_files: int = 1, max_bytes: str | None = None, **options) -> DataFrame:
+    """A file source: new files in ``directory`` become micro-batches of at
+    most ``max_files`` files, or of ``max_bytes`` (the bound on what a stateful
+    callback can get of one key at once)."""
+    r = spark.readStream.format(fmt).schema(schema)
+    r = r.option("maxBytesPerTrigger", max_bytes) if max_bytes else r.option("maxFilesPerTrigger", max_files)
     if glob:
         r = r.option("pathGlobFilter", glob)
     for k, v in options.items():
@@ -40,48 +47,102 @@ def file_stream(spark: SparkSession, directory: str, schema, fmt: str = "parquet
     return r.load(directory)
 
 
+def replay(df: DataFrame, ts: str, slices: int = 3, path: str | None = None) -> DataFrame:
+    """A recorded table as the feed it came from: its rows are written again in
+    ``slices`` consecutive time ranges, one file each, and streamed a file at a
+    time, oldest first.  Reads the whole table, however many files it has."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "replays", uuid.uuid4().hex)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    edges = df.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)], 1000).alias("e")).first()["e"]
+    below = sum((F.when(us > F.lit(e), 1).otherwise(0) for e in edges or []), F.lit(0))
+    for i in range(slices):
+        df.filter(F.coalesce(below, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    return file_stream(spark, path, df.schema)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that may not have been written yet.  Only a path that does not
+    exist is empty; every other error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def event_time(df: DataFrame, ts: str, out: str | None = None) -> DataFrame:
     """Cast an event-time column to TIMESTAMP (required by watermarks)."""
     return df.withColumn(out or ts, F.col(ts).cast("timestamp"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
-                 path: str | None = None, partition_by=None, checkpoint: str | None = None) -> str:
-    """Run a stream to completion over what is available now into a file
-    table; returns the table path.  Pass a stable ``checkpoint`` (and
-    ``path``) for a stream that must resume where it stopped after a restart;
-    without them a one-off run gets fresh folders under the checkpoint dir."""
-    spark = df.sparkSession
+def _folders(spark: SparkSession, name: str, path: str | None, checkpoint: str | None) -> tuple[str, str]:
     run = f"{name}-{uuid.uuid4().hex}"
-    path = path or scratch_path(spark, "streams", run, "out")
-    ckpt = checkpoint or scratch_path(spark, "streams", run, "checkpoint")
+    return (path or scratch_path(spark, "streams", run, "out"),
+            checkpoint or scratch_path(spark, "streams", run, "checkpoint"))
+
+
+def _finish(q, trigger: dict | None):
+    """Wait for a stream that ends by itself; hand back one that does not."""
+    if (trigger or {"availableNow": True}).get("availableNow"):
+        q.awaitTermination()
+    return q
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
+                 path: str | None = None, partition_by=None, checkpoint: str | None = None,
+                 trigger: dict | None = None) -> str:
+    """Run a stream into a file table and return the table's path.  ``trigger``
+    is that of ``writeStream`` (default: all that is available now)."""
+    path, ckpt = _folders(df.sparkSession, name, path, checkpoint)
     w = df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", ckpt) \
-          .option("path", path).trigger(availableNow=True)
+          .option("path", path).trigger(**(trigger or {"availableNow": True}))
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.start()
-    q.awaitTermination()
+    _finish(w.start(), trigger)
     return path
 
 
 def run_foreach_batch(df: DataFrame, name: str, fn, mode: str = "append",
-                      checkpoint: str | None = None) -> str:
-    """Run a stream over what is available now through ``fn(batch, epoch)``
-    (stable ``checkpoint`` for restartable streams, as in :func:`run_to_table`)."""
-    spark = df.sparkSession
-    run = f"{name}-{uuid.uuid4().hex}"
-    ckpt = checkpoint or scratch_path(spark, "streams", run, "checkpoint")
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt) \
-          .foreachBatch(fn).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return scratch_path(spark, "streams", run)
+                      checkpoint: str | None = None, trigger: dict | None = None, persist: bool = False):
+    """Run a stream through ``fn(batch, epoch)``; returns the query.  With
+    ``persist`` a batch is kept while ``fn`` works on it, so that several
+    actions on it read the source once."""
+    _, ckpt = _folders(df.sparkSession, name, None, checkpoint)
+
+    def once(batch: DataFrame, epoch: int):
+        if not persist:
+            return fn(batch, epoch)
+        batch.persist()
+        try:
+            fn(batch, epoch)
+        finally:
+            batch.unpersist()
+    return _finish(df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).foreachBatch(once)
+                   .trigger(**(trigger or {"availableNow": True})).start(), trigger)
 
 
 # --------------------------------------------------------------------- TS1
 def stream_normalize(raw: DataFrame, ts: str = "datetime") -> dict[str, DataFrame]:
-    """TS1: quote, tick and bar streams from one raw stream (the batch
-    normalisers applied unchanged)."""
-    return {"QUOTE": NO.normalize_quotes(raw, ts), "TICK": NO.normalize_ticks(raw, ts)}
+    """TS1: quote and tick streams from a raw tick stream, the bar stream from
+    a raw bar stream, book snapshots from depth levels (the batch normalisers
+    applied unchanged; which apply is told by the columns)."""
+    out = {}
+    if "side" in raw.columns:
+        out["ORDERBOOK"] = stream_order_books(raw, ts=ts)
+    elif "open" in raw.columns:
+        out["BAR"] = NO.normalize_bars(raw, ts)
+    else:
+        out["QUOTE"], out["TICK"] = NO.normalize_quotes(raw, ts), NO.normalize_ticks(raw, ts)
+    return out
+
+
+def stream_order_books(levels: DataFrame, watermark: str = "0 seconds", ts: str = "datetime") -> DataFrame:
+    """Book snapshots from a stream of depth levels: a snapshot is complete
+    once the watermark has passed its time."""
+    lv = event_time(levels, ts, ts).withWatermark(ts, watermark)
+    return NO.normalize_order_book(lv, ts).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 # --------------------------------------------------------------------- TS2
@@ -127,19 +188,19 @@ def stream_latest(quotes: DataFrame, ts: str = "timestamp", key: str = "symbol")
     return quotes.groupBy(key).agg(F.max_by(F.struct(*cols), ts).alias("_l")).select(key, "_l.*")
 
 
-def run_latest_table(latest: DataFrame, name: str) -> str:
+def run_latest_table(latest: DataFrame, name: str, path: str | None = None,
+                     checkpoint: str | None = None, trigger: dict | None = None) -> str:
     """Keep the latest-per-symbol table in two slots: epoch ``n`` overwrites
     ``slot=<n mod 2>`` and carries an ``epoch`` column.  Readers take the
     rows of the greatest epoch, so the slot being rewritten only ever holds
     a stale version; storage stays at two versions, nothing is deleted."""
-    spark = latest.sparkSession
-    base = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "table")
+    base, ckpt = _folders(latest.sparkSession, name, path, checkpoint)
 
     def write(batch: DataFrame, epoch: int):
         batch.withColumn("epoch", F.lit(epoch).cast("long")) \
              .write.mode("overwrite").parquet(f"{base}/slot={epoch % 2}")
 
-    run_foreach_batch(latest, name, write, mode="complete")
+    run_foreach_batch(latest, name, write, mode="complete", checkpoint=ckpt, trigger=trigger)
     return base
 
 
@@ -163,34 +224,30 @@ def stream_message_rate(messages: DataFrame, window: str = "1 hour", watermark:
 
 # --------------------------------------------------------------------- TS5
 def stream_ingest(ticks: DataFrame, store_path: str, dim_path: str, name: str = "ingest",
-                  watermark: str = "1 hour", ts: str = "datetime", seq: str = "id",
-                  checkpoint: str | None = None) -> str:
-    """TS5: idempotent tick ingest as data arrives.  In-stream duplicates of
-    (symbol, time) are dropped within the watermark; each micro-batch
-    resolves / creates symbol ids (append-only dimension, one partition per
-    epoch) and appends only keys not yet stored.  A replayed batch finds its
-    rows already stored and appends nothing."""
+                  ts: str = "datetime", seq: str = "id", checkpoint: str | None = None,
+                  trigger: dict | None = None) -> str:
+    """TS5: idempotent tick ingest as data arrives.  Each micro-batch resolves
+    or creates symbol ids (append-only dimension, one partition per epoch) and
+    appends the keys that are not yet stored: within a batch the first row by
+    ``seq`` wins, across batches the one stored first.  A replayed batch finds
+    its rows stored and appends nothing.  A dimension or store that cannot be
+    read fails the batch before anything is written."""
+    from barsmith import schemas
     spark = ticks.sparkSession
-    t = event_time(ticks, ts, "_et").withWatermark("_et", watermark) \
-        .dropDuplicatesWithinWatermark(["symbol", ts]).drop("_et")
+    dim_schema = StructType([*schemas.SYMBOLS.fields, StructField("epoch", LongType())])
 
     def batch_fn(batch: DataFrame, epoch: int):
-        from barsmith import schemas
-        try:
-            dim = spark.read.parquet(dim_path).drop("epoch")
-        except Exception:  # first batch: empty dimension
-            dim = spark.createDataFrame([], schemas.SYMBOLS)
+        dim = read_or_empty(spark, dim_path, dim_schema).drop("epoch")
+        existing = read_or_empty(spark, store_path, schemas.TICKS)
         full = ST.assign_symbol_ids(batch.select("symbol", "asset_class"), dim)
+        # a replayed batch finds its symbols there and adds none
         new = full.join(dim.select("id"), "id", "left_anti")
-        new.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(dim_path)
-        try:
-            existing = spark.read.parquet(store_path)
-        except Exception:
-            existing = spark.createDataFrame([], schemas.TICKS)
-        rows = ST.ingest_ticks(batch, existing, full, seq=seq)
-        ST.append_to_store(rows, store_path)
+        new.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").partitionBy("epoch").parquet(dim_path)
+        known = read_or_empty(spark, dim_path, dim_schema).drop("epoch")
+        ST.append_to_store(ST.ingest_ticks(batch, existing, known, seq=seq), store_path)
 
-    return run_foreach_batch(t, name, batch_fn, checkpoint=checkpoint)
+    run_foreach_batch(ticks, name, batch_fn, checkpoint=checkpoint, trigger=trigger, persist=True)
+    return store_path
 
 
 # --------------------------------------------------------------------- TS6
@@ -227,52 +284,78 @@ def stream_price_changes(quotes: DataFrame, ts: str = "timestamp", price: str =
 
 
 # --------------------------------------------------------------------- TS7
-def stream_instrument_changes(lists: DataFrame, versions_path: str, name: str = "instruments",
-                              as_of=None) -> str:
-    """TS7: every new raw list version (a ``version=<n>`` folder of the
-    watched list folder, published atomically by moving it into place) is
-    cleaned (P4, as of ``as_of``; default today) and compared with the
-    previous version (U2); the first version is all ADDED.  A micro-batch may
-    hold several versions; they are applied in order.  Cleaned versions are
-    kept under ``versions_path``; changes go to ``<run>/changes``.  Read the
-    list folder with a file limit large enough for whole versions."""
-    spark = lists.sparkSession
-    out = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "changes")
+MANIFEST = "version long, path string"
+
+
+def publish_version(df: DataFrame, folder: str, version: int) -> None:
+    """Publish a list version: its files first, then a manifest that names
+    them.  Watchers see the manifest, so they never see half a list."""
+    path = f"{folder}/lists/version={version}"
+    df.write.mode("overwrite").parquet(path)
+    df.sparkSession.createDataFrame([(version, path)], MANIFEST).coalesce(1).write.mode("append").json(
+        f"{folder}/manifests")
+
+
+def stream_instrument_changes(spark: SparkSession, folder: str, versions_path: str, name: str = "instruments",
+                              as_of=None, path: str | None = None, checkpoint: str | None = None,
+                              trigger: dict | None = None, max_files: int = 1) -> str:
+    """TS7: every list version published into ``folder`` is read whole, cleaned
+    (P4, as of ``as_of``; default today) and compared with the version before
+    it (U2); the first version is all ADDED.  The stream follows the manifests:
+    a version is complete when its manifest is there, however many files it
+    has.  Cleaned versions are kept under ``versions_path``; the changes' path
+    is returned."""
+    out, ckpt = _folders(spark, name, path, checkpoint)
+    manifests = file_stream(spark, f"{folder}/manifests", MANIFEST, fmt="json", max_files=max_files)
 
     def batch_fn(batch: DataFrame, epoch: int):
-        # the version numbers of this micro-batch (a handful): driver-side loop
-        vs = sorted(r[0] for r in batch.select("version").distinct().collect())
-        for v in vs:
-            cur = CA.live_instruments(batch.filter(F.col("version") == v).select(*CANONICAL), as_of)
-            try:
-                hist = spark.read.parquet(versions_path)
-                prev_v = hist.filter(F.col("version") < v).agg(F.max("version")).first()[0]
-            except Exception:
-                hist, prev_v = None, None
+        # the manifests of this micro-batch (a handful): driver-side loop
+        for v, where in sorted((r["version"], r["path"]) for r in batch.collect()):
+            cur = CA.live_instruments(spark.read.parquet(where).select(*CANONICAL), as_of)
+            kept = StructType([*cur.schema.fields, StructField("version", LongType())])
+            hist = read_or_empty(spark, versions_path, kept)
+            prev_v = hist.filter(F.col("version") < v).agg(F.max("version")).first()[0]
             if prev_v is None:
                 ch = cur.withColumn("change", F.lit("ADDED"))
             else:
-                prev = hist.filter(F.col("version") == prev_v).select(*CANONICAL)
-                ch = CA.instrument_changes(prev, cur)
+                ch = CA.instrument_changes(hist.filter(F.col("version") == prev_v).select(*CANONICAL), cur)
             # keyed by version: a replayed batch rewrites the same partitions
-            ch.withColumn("version", F.lit(v)).write.mode("overwrite") \
-              .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(out)
-            cur.withColumn("version", F.lit(v)).write.mode("overwrite") \
-               .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(versions_path)
+            for rows, to in ((ch, out), (cur, versions_path)):
+                rows.withColumn("version", F.lit(v)).write.mode("overwrite") \
+                    .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(to)
 
-    run_foreach_batch(lists, name, batch_fn)
+    run_foreach_batch(manifests, name, batch_fn, checkpoint=ckpt, trigger=trigger)
     return out
 
 
 # --------------------------------------------------------------------- S6 / S7 on streams
-def publish_stream(df: DataFrame, path: str, name: str = "publish", ts: str = "timestamp") -> str:
+def publish_stream(df: DataFrame, path: str, name: str = "publish", ts: str = "timestamp",
+                   checkpoint: str | None = None, trigger: dict | None = None) -> str:
     """Publish a stream of messages as JSON text, one folder per ``kind``
     (the file form of a topic; a Kafka sink takes the same key/value
     columns).  Returns the folder."""
     msgs = NO.publish_messages(df, ts)
-    run_to_table(msgs.withColumnRenamed("key", "kind"), name, fmt="json", path=path,
-                 partition_by=["kind"])
-    return path
+    return run_to_table(msgs.withColumnRenamed("key", "kind"), name, fmt="json", path=path,
+                        partition_by=["kind"], checkpoint=checkpoint, trigger=trigger)
+
+
+def route_messages(spark: SparkSession, path: str, schemas: dict, out: str, symbols=None, tz: str = "UTC",
+                   name: str = "route", ts: str = "timestamp", checkpoint: str | None = None,
+                   trigger: dict | None = None) -> dict[str, str]:
+    """Every published message decoded with its kind's schema and appended
+    to its kind's table ``<out>/<kind>``; one pass over the topic.  A replayed
+    batch rewrites its own epoch."""
+    src = spark.readStream.schema("value string, kind string").json(path)
+
+    def batch_fn(batch: DataFrame, epoch: int):
+        for kind, schema in schemas.items():
+            rows = NO.subscribe_messages(batch.filter(F.col("kind") == kind).select("value"), schema, symbols,
+                                         kind, tz, ts)
+            rows.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite") \
+                .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out}/{kind}")
+
+    run_foreach_batch(src, name, batch_fn, checkpoint=checkpoint, trigger=trigger, persist=True)
+    return {kind: f"{out}/{kind}" for kind in schemas}
 
 
 def subscribe_stream(spark: SparkSession, path: str, schema, symbols=None, kind: str | None = None,
@@ -305,15 +388,16 @@ def stream_strategy(quotes: DataFrame, on_rows, out_schema: str, ts: str = "time
 
 
 def publish_kafka(df: DataFrame, servers: str, topic: str, name: str = "publish-kafka",
-                  ts: str = "timestamp"):
+                  ts: str = "timestamp", checkpoint: str | None = None, trigger: dict | None = None):
     """S6 to a message bus: key = kind, value = JSON message.  Needs the
     Spark Kafka connector on the classpath (not bundled with pyspark)."""
     spark = df.sparkSession
     msgs = NO.publish_messages(df, ts)
-    ckpt = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}", "checkpoint")
+    _, ckpt = _folders(spark, name, None, checkpoint)
     try:
         return msgs.writeStream.format("kafka").option("kafka.bootstrap.servers", servers) \
-                   .option("topic", topic).option("checkpointLocation", ckpt).start()
+                   .option("topic", topic).option("checkpointLocation", ckpt) \
+                   .trigger(**(trigger or {"processingTime": "0 seconds"})).start()
     except Exception as e:  # noqa: BLE001
         if "kafka" in str(e).lower() and "data source" in str(e).lower():
             raise RuntimeError("the Kafka connector (spark-sql-kafka) is not on the classpath") from e

@@ -262,35 +262,160 @@ def test_stream_strategy_keeps_state_across_batches(spark):
     assert got[-1] == 6 and got == sorted(set(got)) and len(got) >= 3
 
 
-def test_strategy_sessions_split_oversized_days(spark):
-    """A (symbol, day) above the row limit is cut into runs of that many rows."""
+def test_strategy_state_spans_chunks_and_partitions(spark, tmp_path):
+    """Signals do not depend on partitioning, batch size or storage codec."""
     from barsmith.operators import strategies as SG
-    rows_ = [("A", T0 + dt.timedelta(minutes=10 * i), float(i)) for i in range(12)] + \
-            [("B", T0 + dt.timedelta(minutes=10 * i), float(i)) for i in range(3)]
-    df = spark.createDataFrame(rows_, "symbol string, datetime timestamp_ntz, last double")
+    rows_ = [("A", T0 + dt.timedelta(seconds=i // 3), i, float((i * 37) % 11)) for i in range(400)] + \
+            [("B", T0 + dt.timedelta(hours=5 * i), i, float(i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows_, "symbol string, datetime timestamp_ntz, id int, last double")
     seen = []
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, parts, codec in (("10000", 1, "snappy"), ("7", 5, "zstd"), ("3", 2, "none")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            path = f"{tmp_path}/{codec}"
+            df.repartition(parts).write.option("compression", codec).parquet(path)
+            out = SG.apply_strategy(spark.read.parquet(path), SG.session_breakout, order=("datetime", "id"))
+            seen.append(sorted(map(tuple, out.collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 40
+
+
+def test_event_strategy_callbacks_know_quote_book_and_position(spark):
+    from barsmith.operators import strategies as SG
+
+    class Follow(SG.Strategy):
+        def on_start(self, instrument, memo):
+            memo["starts"] = memo.get("starts", 0) + 1
+
+        def on_tick(self, instrument, memo):
+            if instrument.quote and instrument.tick["price"] > instrument.quote["ask"]:
+                instrument.signal(instrument.time, f"BUY{memo['starts']}", instrument.tick["price"])
+
+        def on_fill(self, instrument, memo):
+            instrument.signal(instrument.time, f"HAS{instrument.position}", instrument.avg_price)
+
+        def on_bar(self, instrument, memo):
+            instrument.signal(instrument.time, f"BOOK{instrument.orderbook['ask']:g}", instrument.bar["price"])
+
+    def at(i):
+        return T0 + dt.timedelta(days=i)
+    rows_ = [("A", at(0), "QUOTE", None, 10.0, None), ("A", at(1), "TICK", 11.0, None, None), ("A", at(2), "TICK", 9.0, None, None),
+             ("A", at(3), "FILL", 10.0, None, 2), ("A", at(4), "FILL", 13.0, None, 1), ("A", at(5), "FILL", 12.0, None, -3),
+             ("A", at(6), "ORDERBOOK", None, 7.0, None), ("A", at(7), "BAR", 5.0, None, None), ("B", at(0), "TICK", 11.0, None, None)]
+    df = spark.createDataFrame(rows_, "symbol string, datetime timestamp_ntz, kind string, price double, ask double, quantity int")
+    out = SG.apply_strategy(df, Follow().rows(), session=None)
+    assert [(r.signal, r.price) for r in out.orderBy("datetime").collect()] == [
+        ("BUY1", 11.0), ("HAS2", 10.0), ("HAS3", 11.0), ("HAS0", 0.0), ("BOOK7", 5.0)]
+
+
+def _ticks(spark, rows_):
+    return spark.createDataFrame(rows_, "id long, datetime timestamp_ntz, symbol string, asset_class string, bid double, "
+                                        "bidsize int, ask double, asksize int, last double, lastsize int")
+
+
+def _tick(i, symbol="AAA", minute=None):
+    return (i, T0 + dt.timedelta(minutes=i if minute is None else minute), symbol, "STK", 1.0, 1, 2.0, 1, float(i), 1)
 
-    def sizes(pdf):
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "datetime": pdf["datetime"].iloc[:1],
-                             "signal": [str(len(pdf))], "price": [0.0]})
 
-    out = SG.apply_strategy(df, sizes, max_rows_per_session=5)
-    got = sorted((r["symbol"], int(r["signal"])) for r in out.collect())
-    assert [n for s, n in got if s == "B"] == [3]            # small day stays whole
-    assert sorted(n for s, n in got if s == "A") == [2, 5, 5]  # 12 rows cut into runs of 5
-    del seen
+def _feed(spark, root, batches):
+    for i, b in enumerate(batches):
+        _ticks(spark, b).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return _ticks(spark, []).schema
 
 
-def test_sequence_splits_hot_chunks(spark, monkeypatch):
-    """A burst inside one chunk is split at time quantiles; numbering stays exact."""
+def test_ingest_first_by_seq_wins_within_and_across_batches(spark, tmp_path):
+    from barsmith.streaming import streams as SS
+    root = str(tmp_path)
+    schema = _feed(spark, root, [[_tick(2, minute=0), _tick(1, minute=0), _tick(5)], [_tick(0, minute=0), _tick(6)]])
+    s = SS.file_stream(spark, f"{root}/in", schema)
+    SS.stream_ingest(s, f"{root}/store", f"{root}/dim", checkpoint=f"{root}/ck")
+    got = sorted(r["last"] for r in spark.read.parquet(f"{root}/store").collect())
+    assert got == [1.0, 5.0, 6.0]
+
+
+def test_ingest_fails_on_an_unreadable_dimension(spark, tmp_path):
+    import glob
+
+    from barsmith.streaming import streams as SS
+    root = str(tmp_path)
+    schema = _feed(spark, root, [[_tick(1)]])
+    SS.stream_ingest(SS.file_stream(spark, f"{root}/in", schema), f"{root}/store", f"{root}/dim", checkpoint=f"{root}/ck")
+    for f in glob.glob(f"{root}/dim/epoch=*/*.parquet"):
+        with open(f, "wb") as out:
+            out.write(b"damaged")
+    for f in glob.glob(f"{root}/dim/epoch=*/.*.crc"):
+        open(f, "wb").close()
+    _feed(spark, root, [[_tick(2, "BBB")]])
+    before = spark.read.parquet(f"{root}/store").count()
+    with pytest.raises(Exception):
+        SS.stream_ingest(SS.file_stream(spark, f"{root}/in", schema), f"{root}/store", f"{root}/dim", checkpoint=f"{root}/ck")
+    assert spark.read.parquet(f"{root}/store").count() == before
+
+
+def test_list_versions_of_many_files_stay_whole_and_resume(spark, tmp_path):
+    from barsmith import schemas
+    from barsmith.streaming import streams as SS
+    root = str(tmp_path)
+
+    def version(n, keep):
+        rows_ = [(f"S{i}", "STK", "SMART", "USD", None, None, None) for i in keep]
+        SS.publish_version(spark.createDataFrame(rows_, schemas.INSTRUMENTS).repartition(4), root, n)
+
+    def run():
+        SS.stream_instrument_changes(spark, root, f"{root}/kept", as_of=dt.date(2024, 7, 1), path=f"{root}/changes",
+                                     checkpoint=f"{root}/ck")
+        return sorted((r["version"], r["change"], r["symbol"]) for r in spark.read.parquet(f"{root}/changes").collect())
+    version(1, range(10))
+    assert len(run()) == 10
+    version(2, range(1, 11))
+    assert run()[10:] == [(2, "ADDED", "S10"), (2, "REMOVED", "S0")]
+    assert spark.read.parquet(f"{root}/kept").groupBy("version").count().filter("count = 10").count() == 2
+
+
+def test_latest_table_and_publisher_resume(spark, tmp_path):
+    from barsmith.operators import normalize as NO
+    from barsmith.streaming import streams as SS
+    root = str(tmp_path)
+    for batch in ([_tick(1), _tick(2, "BBB")], [_tick(3)]):
+        schema = _feed(spark, root, [batch])
+        q = NO.normalize_quotes(SS.file_stream(spark, f"{root}/in", schema))
+        SS.run_latest_table(SS.stream_latest(q), "latest", path=f"{root}/table", checkpoint=f"{root}/ck1")
+        SS.publish_stream(q, f"{root}/topic", checkpoint=f"{root}/ck2")
+    got = sorted((r["symbol"], r["last"]) for r in SS.read_latest_table(spark, f"{root}/table").collect())
+    assert got == [("AAA", 3.0), ("BBB", 2.0)]
+    assert spark.read.json(f"{root}/topic").count() == 3
+
+
+def test_streams_read_tables_of_one_and_of_many_files(spark, tmp_path):
+    from barsmith.plans import load_all
+    from barsmith.sources.tables import DRIVER_TABLES, read_table
+    from tests.conftest import SF_SMALL
+    root = str(tmp_path)
+    for t in DRIVER_TABLES:
+        df = read_table(spark, SF_SMALL, t)
+        (df.repartition(4) if t == "events" else df).write.parquet(f"{root}/{t}.parquet")
+    reg = load_all()
+    for name in ("stream_price_changes", "stream_bars", "stream_latest", "stream_message_rate", "stream_ingest",
+                 "stream_publish_subscribe", "stream_normalize", "stream_message_rate_exact"):
+        a, b = (sorted(map(str, reg[name].run(spark, d).collect())) for d in (SF_SMALL, root))
+        assert a == b and a, name
+
+
+@pytest.mark.parametrize("spread", [500, 1])
+def test_sequence_splits_hot_chunks(spark, spread):
+    """A burst inside one chunk, or at one timestamp, is split by the full
+    order key; numbering and carried values stay exact."""
     from barsmith.operators import ordered as O
-    rows_ = [("a", T0 + dt.timedelta(seconds=i % 500, microseconds=i), i) for i in range(3000)]
-    df = spark.createDataFrame(rows_, "k string, t timestamp_ntz, i int").repartition(5)
-    out = O.sequence(df, ["k"], ["t", "i"], rownum="g", max_chunk_rows=100)
-    got = out.toPandas().sort_values(["t", "i"])
+    rows_ = [("a", T0 + dt.timedelta(seconds=i % spread), i, i if i % 7 == 0 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows_, "k string, t timestamp_ntz, i int, v int").repartition(5)
+    out = O.sequence(df, ["k"], ["t", "i"], rownum="g", max_chunk_rows=100, ffill={"v": "f"}, prev={"i": "p"})
+    got = out.toPandas().sort_values(["t", "i"]).reset_index(drop=True)
     assert got["g"].tolist() == list(range(1, 3001))
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile_approx" in plan                            # the refinement is part of the plan
+    assert got["f"].fillna(-1).tolist() == got["v"].ffill().fillna(-1).tolist()
+    assert got["p"].fillna(-1).tolist() == got["i"].shift(1).fillna(-1).tolist()
+    assert "collect_set" in out._jdf.queryExecution().optimizedPlan().toString()   # the split is part of the plan
 
 
 def test_ingest_stream_resumes_from_checkpoint(spark):
