@@ -75,26 +75,6 @@ def _drop_incomplete(df: DataFrame, required, all_cols) -> DataFrame:
     return df.filter(req & (~_is_option_symbol(F.col("symbol")) | full))
 
 
-def _meta_aggs(order) -> list[Column]:
-    """Per-group last non-null symbol_group / asset_class and the order key of
-    that row, so per-symbol metadata can be finished on the small aggregate
-    instead of re-reading the input."""
-    out = []
-    for c in META:
-        k = F.when(F.col(c).isNotNull(), _okey(order))
-        out += [F.max_by(F.col(c), k).alias(f"_m_{c}"), F.max(k).alias(f"_k_{c}")]
-    return out
-
-
-def _meta_from_agg(agg: DataFrame) -> DataFrame:
-    return agg.groupBy("symbol").agg(*[F.max_by(F.col(f"_m_{c}"), F.col(f"_k_{c}")).alias(c)
-                                       for c in META])
-
-
-def _meta_cols() -> list[str]:
-    return [x for c in META for x in (f"_m_{c}", f"_k_{c}")]
-
-
 # --------------------------------------------------------------------- A12
 def symbol_metadata(df: DataFrame, ts: str = "datetime", seq=None,
                     cols=META) -> DataFrame:
@@ -173,13 +153,13 @@ def resample_ticks_time(df: DataFrame, resolution: str = "1T", ts: str = "dateti
     open/high/low/close over non-null ``price``; volume = sum of ``size`` over
     every tick in the bucket; each present ``opt_*`` = last non-null.
     Buckets without a price are dropped; OPT/FOP symbols drop rows with any
-    null.  symbol_group/asset_class = last seen for the symbol."""
+    null.  symbol_group/asset_class = last seen for the symbol.  Buckets are
+    those of the data's own (UTC) times; their labels are shown in ``tz``, so
+    the hour that a clock change repeats stays two hours."""
     res = parse_resolution(resolution)
     if res.kind != "time":
         raise ValueError("resample_ticks_time needs a time resolution")
     d = with_meta_columns(df)
-    if tz:
-        d = d.withColumn(ts, to_local(ts, tz))
     order = _order(d, ts, seq)
     opts = _present_opt(d)
     d = _bucket(d, ts, res)
@@ -194,8 +174,9 @@ def resample_ticks_time(df: DataFrame, resolution: str = "1T", ts: str = "dateti
     # aggregated per symbol on the map side -- cheaper than widening the bar shuffle
     if meta is None:
         meta = symbol_metadata(d, ts, seq)
+    label = to_local("_bucket", tz) if tz else F.col("_bucket")
     out = bars.join(meta, "symbol").select(
-        F.col("_bucket").alias(ts), "symbol", *META,
+        label.alias(ts), "symbol", *META,
         "open", "high", "low", "close", "volume", *opts)
     return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)
 
@@ -258,7 +239,7 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
     open first, high max, low min, close last, volume sum, opt_* last.  Only
     symbols whose bucket span exceeds their input row count (upsampling) are
     gap-filled: empty buckets get volume 0 and carry the previous values; then
-    rows with volume <= 0 get O=H=L=close (``ffill``) or null OHLC (dropped).
+    rows with volume <= 0 get O=H=L=close (``ffill``) or are dropped.
     Elsewhere empty buckets are simply absent."""
     res = parse_resolution(resolution)
     if res.kind != "time":
@@ -274,19 +255,21 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
         F.min("low").alias("low"),
         last_nn("close", order).alias("close"),
         F.coalesce(F.sum("volume"), F.lit(0)).cast("long").alias("volume"),
-        *[last_nn(c, order).alias(c) for c in opts],
-        F.count(F.lit(1)).alias("_rows"), *_meta_aggs(order))
-    # The bucket aggregate feeds four consumers (fill decision, metadata, plain
-    # rows, grid join) which column pruning turns into four different plans, so
-    # exchange reuse cannot apply.  Materialise it once (reliable checkpoint in
-    # the shared folder): the input is read and shuffled exactly once.
-    agg = ordered.materialize(agg)
-    meta = _meta_from_agg(agg)
-    stats = agg.groupBy("symbol").agg(F.sum("_rows").alias("_n"),
-                                      F.min("_bucket").alias("_lo"),
-                                      F.max("_bucket").alias("_hi")) \
-               .withColumn("_fill", _dense_count(res, F.col("_lo"), F.col("_hi")) > F.col("_n"))
-    agg = agg.drop("_rows", *_meta_cols())
+        *[last_nn(c, order).alias(c) for c in opts])
+    # per-symbol counts and metadata: a narrow pass, aggregated on the map side
+    stats = d.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_bucket").alias("_lo"), F.max("_bucket").alias("_hi"),
+        *[last_nn(c, order).alias(c) for c in META]) \
+        .withColumn("_fill", _dense_count(res, F.col("_lo"), F.col("_hi")) > F.col("_n")) \
+        .drop("_n", "_lo", "_hi")
+    if not ffill:
+        # nothing is filled: empty buckets of upsampled symbols just go
+        out = agg.join(stats, "symbol").filter(~F.col("_fill") | (F.col("volume") > 0)) \
+                 .select(F.col("_bucket").alias(ts), "symbol", *META, *vals)
+        if dropna:
+            out = out.dropna()
+        return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)
+    meta = stats.drop("_fill")
     fill_syms = stats.filter("_fill").select("symbol")
     plain = agg.join(stats.filter(~F.col("_fill")).select("symbol"), "symbol", "left_semi")
 
@@ -300,28 +283,22 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
     ff_cols = [c for c in vals if c != "volume"]
     s = ordered.sequence(fa, ["symbol"], ["_bucket"], chunk, rownum=None,
                          ffill={c: f"_ff_{c}" for c in ff_cols},
-                         nxt={"_bucket": "_nb"} if ffill else None)
-    empty = F.col("volume") <= 0
-    if ffill:
-        # one explode per real bucket over [bucket, next real bucket): the first
-        # element is the real row, the rest are its gap rows (volume 0, all
-        # prices = the carried close)
-        rng = s.select("symbol", F.col("_bucket").alias("_rb"), F.col("volume").alias("_vol"),
-                       *[F.col(f"_ff_{c}").alias(f"_v_{c}") for c in ff_cols],
-                       F.col("_bucket").alias("_lo"),
-                       F.coalesce(_prev_bucket(res, F.col("_nb")), F.col("_bucket")).alias("_hi"))
-        grid = _grid(rng, res, ["_rb", "_vol", *[f"_v_{c}" for c in ff_cols]])
-        real = F.col("_bucket") == F.col("_rb")
-        flat = ~real | (F.col("_vol") <= 0)
-        g = grid.select(
-            "symbol", "_bucket",
-            F.when(real, F.col("_vol")).otherwise(F.lit(0)).cast("long").alias("volume"),
-            *[(F.when(flat, F.col("_v_close")).otherwise(F.col(f"_v_{c}"))
-               if c in ("open", "high", "low") else F.col(f"_v_{c}")).alias(c) for c in ff_cols])
-    else:
-        g = s.select("symbol", "_bucket", "volume", *[F.col(f"_ff_{c}").alias(c) for c in ff_cols])
-        g = g.withColumns({c: F.when(empty, F.lit(None)).otherwise(F.col(c))
-                           for c in ("open", "high", "low", "close")})
+                         nxt={"_bucket": "_nb"})
+    # one explode per real bucket over [bucket, next real bucket): the first
+    # element is the real row, the rest are its gap rows (volume 0, all
+    # prices = the carried close)
+    rng = s.select("symbol", F.col("_bucket").alias("_rb"), F.col("volume").alias("_vol"),
+                   *[F.col(f"_ff_{c}").alias(f"_v_{c}") for c in ff_cols],
+                   F.col("_bucket").alias("_lo"),
+                   F.coalesce(_prev_bucket(res, F.col("_nb")), F.col("_bucket")).alias("_hi"))
+    grid = _grid(rng, res, ["_rb", "_vol", *[f"_v_{c}" for c in ff_cols]])
+    real = F.col("_bucket") == F.col("_rb")
+    flat = ~real | (F.col("_vol") <= 0)
+    g = grid.select(
+        "symbol", "_bucket",
+        F.when(real, F.col("_vol")).otherwise(F.lit(0)).cast("long").alias("volume"),
+        *[(F.when(flat, F.col("_v_close")).otherwise(F.col(f"_v_{c}"))
+           if c in ("open", "high", "low") else F.col(f"_v_{c}")).alias(c) for c in ff_cols])
     both = plain.select("symbol", "_bucket", *vals).unionByName(g.select("symbol", "_bucket", *vals))
     out = both.join(meta, "symbol").select(F.col("_bucket").alias(ts), "symbol", *META, *vals)
     if dropna:
@@ -343,6 +320,12 @@ def _count_bars(d: DataFrame, ts: str, order, grp: Column, price: str, size: str
     return bars
 
 
+def _last_at_each_time(bars: DataFrame, ts: str) -> DataFrame:
+    """Of a symbol's bars that begin at one time the last one stays."""
+    rest = [c for c in bars.columns if c not in ("symbol", ts)]
+    return bars.groupBy("symbol", ts).agg(F.max_by(F.struct(*rest), "_grp").alias("_r")).select("symbol", ts, "_r.*")
+
+
 def _tick_frame(df: DataFrame, price: str | None, size: str | None):
     if price is None:
         price = "last" if "last" in df.columns else "close"
@@ -353,7 +336,8 @@ def _tick_frame(df: DataFrame, price: str | None, size: str | None):
 
 def resample_tick_count(df: DataFrame, n: int, ts: str = "datetime", seq=None,
                         price: str | None = None, size: str | None = None,
-                        fill_size: bool = True, meta: DataFrame | None = None) -> DataFrame:
+                        fill_size: bool = True, meta: DataFrame | None = None,
+                        keep_last: bool = False) -> DataFrame:
     """A3: N-tick bars per symbol.
 
     Values are forward-filled within the symbol first; group = (row-1) div N
@@ -369,6 +353,8 @@ def resample_tick_count(df: DataFrame, n: int, ts: str = "datetime", seq=None,
     s = ordered.sequence(d, ["symbol"], order, rownum="_g", ffill=ff)
     grp = F.floor((F.col("_g") - 1) / F.lit(n))
     bars = _count_bars(s, ts, order, grp, price, size, "_fs" if fill_size else size, opts)
+    if keep_last:
+        bars = _last_at_each_time(bars, ts)
     if meta is None:
         meta = symbol_metadata(d, ts, seq)
     out = bars.join(meta, "symbol").select(
@@ -378,7 +364,8 @@ def resample_tick_count(df: DataFrame, n: int, ts: str = "datetime", seq=None,
 
 def resample_volume(df: DataFrame, n: int, ts: str = "datetime", seq=None,
                     price: str | None = None, size: str | None = None,
-                    fill_size: bool = True, meta: DataFrame | None = None) -> DataFrame:
+                    fill_size: bool = True, meta: DataFrame | None = None,
+                        keep_last: bool = False) -> DataFrame:
     """A4: N-volume bars per symbol.
 
     cumvol = running sum of size; mark = N * round_half_even(round(cumvol, 1) / N);
@@ -393,13 +380,18 @@ def resample_volume(df: DataFrame, n: int, ts: str = "datetime", seq=None,
     order = _order(d, ts, seq)
     opts = _present_opt(d)
     ff = {price: "_fp", size: "_fs", **{c: f"_ff_{c}" for c in opts}}
-    s = ordered.sequence(d, ["symbol"], order, rownum="_g", sums={size: "_cum"}, ffill=ff)
+    s = ordered.sequence(d, ["symbol"], order, rownum=None, sums={size: "_cum"}, ffill=ff)
     mark = F.bround(F.bround(F.col("_cum").cast("double"), 1) / F.lit(float(n)), 0) * F.lit(n)
     s = s.withColumn("_mark", mark)
-    first = s.filter(F.col("_g") == 1).select("symbol", F.col("_mark").alias("_mark0"))
+    # the first row's mark: its running sum is its own size
+    size0 = d.groupBy("symbol").agg(F.min_by(F.coalesce(F.col(size), F.lit(0)), _okey(order)).alias("_cum0"))
+    first = size0.select("symbol", (F.bround(F.bround(F.col("_cum0").cast("double"), 1) / F.lit(float(n)), 0)
+                                    * F.lit(n)).alias("_mark0"))
     s = s.join(first, "symbol")
     grp = F.when(F.col("_mark") == F.col("_mark0"), F.lit(0.0)).otherwise(F.col("_mark") / F.lit(n))
     bars = _count_bars(s, ts, order, grp, price, size, "_fs" if fill_size else size, opts)
+    if keep_last:
+        bars = _last_at_each_time(bars, ts)
     if meta is None:
         meta = symbol_metadata(d, ts, seq)
     out = bars.join(meta, "symbol").select(
@@ -458,15 +450,15 @@ def resample(df: DataFrame, resolution: str = "1T", ts: str = "datetime", seq=No
             d = dedupe_per_instrument(d, keep="first", ts=ts, seq=seq)
     res = parse_resolution(resolution)
     if res.kind == "time" and "last" in d.columns:
-        # tick time bars bucket on local time (tz applied before bucketing)
         return resample_ticks_time(d, resolution, ts, seq, tz, meta=meta)
+    # time bars are unique by bucket; several count bars can begin at one time
     if res.kind == "ticks":
-        out = resample_tick_count(d, res.n, ts, seq, meta=meta)
+        out = resample_tick_count(d, res.n, ts, seq, meta=meta, keep_last=True)
     elif res.kind == "volume":
-        out = resample_volume(d, res.n, ts, seq, meta=meta)
+        out = resample_volume(d, res.n, ts, seq, meta=meta, keep_last=True)
     else:
         out = resample_bars_time(d, resolution, ts, seq, ffill, dropna)
-    # the other kinds report their times in ``tz`` (converted at the end)
+    # times are shown in ``tz``, converted at the end
     return out.withColumn(ts, to_local(ts, tz)) if tz else out
 
 
@@ -508,6 +500,16 @@ def lag_matrix(df: DataFrame, cols, window: int, keys=("symbol",),
 
 
 def recent_window(df: DataFrame, n: int, keys=("symbol",), order=("datetime",)) -> DataFrame:
-    """The last ``n`` rows per key (tick window 1000, bar window 100)."""
-    s = ordered.sequence(df, list(keys), list(order), rownum="_g", total="_n")
-    return s.filter(F.col("_g") > F.col("_n") - F.lit(n)).drop("_g", "_n")
+    """The last ``n`` rows per key (tick window 1000, bar window 100).
+
+    Counts per (key, time slice) find the slices that can hold them; only
+    their rows are shuffled and ordered."""
+    keys, order = list(keys), list(order)
+    d = df.withColumn("_chunk", ordered.seconds_chunk(order[0], ordered.CHUNK_SECONDS))
+    later = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    need = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_c")) \
+            .withColumn("_after", F.coalesce(F.sum("_c").over(later), F.lit(0))) \
+            .filter(F.col("_after") < n).select(*keys, "_chunk")
+    last = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
+    return d.join(need, [*keys, "_chunk"], "left_semi").withColumn("_r", F.row_number().over(last)) \
+            .filter(F.col("_r") <= n).drop("_r", "_chunk")

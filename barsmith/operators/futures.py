@@ -190,6 +190,22 @@ def volume_crossover(daily: DataFrame, key: str = "root", order: str = "expiry")
     return j.groupBy(key, "symbol", "next_symbol").agg(F.max("date").alias("roll_date"))
 
 
+def roll_calendar_by_volume(daily: DataFrame, key: str = "root", order: str = "expiry") -> DataFrame:
+    """W6 where expiries cannot be used: contract k owns the days up to the
+    last one on which the next contract traded more (J6); without such a day
+    it stays.  ``daily`` has volume per contract and day.  Output: root, symbol,
+    start_day (NULL = open), end_day (NULL = open); contracts that are never
+    rolled into are absent."""
+    cs = daily.select(key, "symbol", order).distinct()
+    cs = cs.withColumn("_k", F.dense_rank().over(Window.partitionBy(key).orderBy(order, "symbol")))
+    ends = cs.join(volume_crossover(daily, key, order).select(key, "symbol", "roll_date"), [key, "symbol"], "left")
+    upto = Window.partitionBy(key).orderBy("_k")        # a root's handful of contracts
+    ends = ends.withColumn("_open", F.sum(F.col("roll_date").isNull().cast("int")).over(
+        upto.rowsBetween(UNB, -1))).filter(F.coalesce("_open", F.lit(0)) == 0)
+    ends = ends.withColumn("end_day", F.when(F.col("roll_date").isNotNull(), F.max("roll_date").over(upto.rowsBetween(UNB, 0))))
+    return ends.withColumn("start_day", F.lag("end_day").over(upto)).select(key, "symbol", "start_day", "end_day")
+
+
 # --------------------------------------------------------------------- T3
 def active_contract(settlements: DataFrame, roots: DataFrame | None = None, as_of=None,
                     key: str = "root", min_volume: int = 100, keep: int = 13) -> DataFrame:
@@ -206,13 +222,11 @@ def active_contract(settlements: DataFrame, roots: DataFrame | None = None, as_o
     s = settlements.select(key, "listing_order",
                            parse_contract_month(F.col("expiry")).alias("expiry"),
                            parse_thousands(F.col("volume")).alias("volume"))
-    w_all = Window.partitionBy(key)
-    s = s.withColumn("_n", F.count(F.lit(1)).over(w_all)) \
-         .withColumn("_rn", F.row_number().over(w_all.orderBy("listing_order"))) \
-         .filter(F.col("_rn") < F.col("_n"))
-    last_dup = Window.partitionBy(key, "expiry", "volume").orderBy(F.col("listing_order").desc())
-    s = s.withColumn("_d", F.row_number().over(last_dup)).filter(F.col("_d") == 1)
-    s = s.withColumn("_r", F.row_number().over(w_all.orderBy("listing_order"))) \
+    totals = s.groupBy(key).agg(F.max("listing_order").alias("_total"))
+    s = s.join(totals, key).filter(F.col("listing_order") < F.col("_total"))
+    s = s.groupBy(key, "expiry", "volume").agg(F.max("listing_order").alias("listing_order"))
+    # a rank limit: each task keeps its first rows per root before the shuffle
+    s = s.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("listing_order"))) \
          .filter(F.col("_r") <= keep).dropna(subset=["expiry", "volume"])
     s = s.filter(~after_third_friday(now) | (F.col("expiry") != F.date_format(now, "yyyyMM")))
     pick = s.groupBy(key).agg(
@@ -241,8 +255,9 @@ def clean_futures_specs(specs: DataFrame, order: str = "listing_order") -> DataF
     NULL); currency NULL -> USD; overnight_maintenance <- overnight_initial,
     intraday_initial <- overnight_initial, intraday_maintenance <-
     intraday_initial when missing (in that order)."""
-    w = Window.partitionBy("exchange", "symbol").orderBy(order)
-    s = specs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    rest = [c for c in specs.columns if c not in ("exchange", "symbol")]
+    s = specs.groupBy("exchange", "symbol").agg(F.min_by(F.struct(*rest), order).alias("_s")) \
+             .select("exchange", "symbol", "_s.*").select(*specs.columns)
     s = s.withColumns({m: F.col(m).cast("string").try_cast("double") for m in MARGINS})
     s = s.withColumn("currency", F.coalesce("currency", F.lit("USD")))
     s = s.withColumn("overnight_maintenance", F.coalesce("overnight_maintenance", "overnight_initial"))
@@ -334,3 +349,21 @@ def resolve_contracts(instruments: DataFrame, catalog: DataFrame, specs: DataFra
         F.when(is_fut, F.upper("spec_currency")).otherwise(F.lit("USD")).alias("currency"),
         F.when(is_fut, exp_num.cast("string")).otherwise(F.lit("")).alias("expiry"),
         F.lit(0.0).alias("strike"), F.lit("").alias("opt_type"), error.alias("error"))
+
+
+CONTRACT_FIELDS = ("symbol", "sec_type", "exchange", "currency", "expiry", "strike", "opt_type")
+
+
+def pad_contracts(tuples: DataFrame, col: str = "fields") -> DataFrame:
+    """J10 for contracts given as (short) lists of text fields: missing ones are
+    SMART, USD, '', 0.0, ''; an integer expiry loses leading zeros and signs of
+    text form, other text stays; a strike that is no number counts as 0."""
+    n = F.size(col)
+
+    def field(i, default):
+        return F.when(n > i, F.get(F.col(col), F.lit(i))).otherwise(F.lit(default))
+    expiry = field(4, "")
+    return tuples.select(
+        col, field(0, None).alias("symbol"), field(1, None).alias("sec_type"), field(2, "SMART").alias("exchange"),
+        field(3, "USD").alias("currency"), F.coalesce(F.trim(expiry).try_cast("bigint").cast("string"), expiry).alias("expiry"),
+        F.coalesce(field(5, "0").try_cast("double"), F.lit(0.0)).alias("strike"), field(6, "").alias("opt_type"))

@@ -8,7 +8,7 @@ S6 publish_messages, S7 subscribe_messages (batch forms).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.functions.scalars import asset_class, book_top, symbol_group
@@ -20,8 +20,7 @@ from barsmith.schemas import LEVEL
 # opt_ prefix), and the ten stored option fields.
 OPTION_SOURCE_NAMES = {"impliedVol": "iv", "undPrice": "underlying", "dividends": "dividend",
                        "optVolume": "volume", "optOpenInterest": "oi", "optPrice": "price"}
-OPTION_FIELDS = ("price", "underlying", "dividend", "volume", "iv", "oi", "delta", "gamma",
-                 "vega", "theta")
+OPTION_FIELDS = tuple(c.removeprefix("opt_") for c in OPT_COLUMNS)
 
 
 def _num(df: DataFrame, *names) -> Column:
@@ -75,7 +74,11 @@ def ensure_option_columns(df: DataFrame) -> DataFrame:
 def normalize_quotes(df: DataFrame, ts: str = "datetime") -> DataFrame:
     """Quote messages.  bid/ask/last/bidSize/askSize/lastSize/volume with
     NaN -> NULL; CASH: last = (bid+ask)/2 when last is missing and both sides
-    exist; options: opt_* fields."""
+    exist; if the input has option fields, OPT/FOP rows carry them as
+    ``opt_*`` (P6)."""
+    has_options = any(c in df.columns for c in (*OPTION_SOURCE_NAMES, "delta", "gamma", "vega", "theta"))
+    if has_options:
+        df = prefix_option_columns(df)
     st = sec_type_of(df)
     bid, ask, last = _num(df, "bid"), _num(df, "ask"), _num(df, "last")
     last = F.when((st == "CASH") & last.isNull() & bid.isNotNull() & ask.isNotNull(),
@@ -85,8 +88,7 @@ def normalize_quotes(df: DataFrame, ts: str = "datetime") -> DataFrame:
                      _num(df, "askSize", "asksize").alias("askSize"),
                      _num(df, "lastSize", "lastsize").alias("lastSize"),
                      _num(df, "volume").alias("volume"),
-                     *[F.col(c) for c in df.columns if c in OPTION_SOURCE_NAMES or c in
-                       ("delta", "gamma", "vega", "theta")])
+                     *([F.col(c) for c in OPT_COLUMNS] if has_options else []))
     return base
 
 
@@ -128,6 +130,37 @@ def normalize_order_book(levels: DataFrame, ts: str = "datetime") -> DataFrame:
                     asks.cast(f"array<{LEVEL.simpleString()}>").alias("asks"))
 
 
+def book_history(books: DataFrame) -> DataFrame:
+    """P5's optional fields: the previous snapshot's best bid and ask
+    (``prev_bid``, ``prev_ask``) and the day's highest bid and lowest ask so
+    far (``daily_high``, ``daily_low``; a missing side does not count)."""
+    b = books.withColumn("_bid", F.get("bids", F.lit(0))["price"]).withColumn("_ask", F.get("asks", F.lit(0))["price"]) \
+             .withColumn("_day", F.to_date("timestamp"))
+    b = ordered.sequence(b, ["symbol"], ["timestamp"], rownum=None, prev={"_bid": "prev_bid", "_ask": "prev_ask"})
+    # running extremes: per time slice first, then within the slice
+    b = b.withColumn("_slice", ordered.seconds_chunk("timestamp", ordered.CHUNK_SECONDS))
+    keys = ["symbol", "_day", "_slice"]
+    before = Window.partitionBy("symbol", "_day").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = b.groupBy(*keys).agg(F.max("_bid").alias("_h"), F.min("_ask").alias("_l")) \
+              .select(*keys, F.max("_h").over(before).alias("_h0"), F.min("_l").over(before).alias("_l0"))
+    upto = Window.partitionBy(*keys).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.join(slices, keys)
+    return b.select(*books.columns, "prev_bid", "prev_ask",
+                    F.greatest(F.max("_bid").over(upto), "_h0").alias("daily_high"),
+                    F.least(F.min("_ask").over(upto), "_l0").alias("daily_low"))
+
+
+def book_top_of_levels(levels: DataFrame, ts: str = "datetime") -> DataFrame:
+    """F13 from depth levels: best bid and ask by aggregation, no book built."""
+    price, size = F.col("price").cast("double"), F.col("size").cast("double")
+    g = levels.groupBy("symbol", F.col(ts).alias("timestamp")).agg(
+        F.max(F.when(F.col("side") == "BID", F.struct(price.alias("p"), size.alias("s")))).alias("_b"),
+        F.min(F.when(F.col("side") == "ASK", F.struct(price.alias("p"), (-size).alias("s")))).alias("_a"))
+    zero = F.lit(0.0)
+    return g.select("symbol", "timestamp", F.coalesce("_b.p", zero).alias("bid"), F.coalesce("_b.s", zero).alias("bidsize"),
+                    F.coalesce("_a.p", zero).alias("ask"), F.coalesce(-F.col("_a.s"), zero).alias("asksize"))
+
+
 def book_summary(books: DataFrame) -> DataFrame:
     """F13 applied: best bid / ask and sizes per snapshot."""
     return books.select("symbol", "timestamp", book_top("bids", "asks").alias("_t")) \
@@ -152,6 +185,11 @@ def publish_messages(df: DataFrame, ts: str = "timestamp",
     return df.select(F.col("kind").alias("key"), F.to_json(F.struct(*cols)).alias("value"))
 
 
+def published_counts(df: DataFrame) -> DataFrame:
+    """Messages published per (kind, symbol)."""
+    return df.groupBy("kind", "symbol").agg(F.count(F.lit(1)).alias("messages"))
+
+
 def subscribe_messages(messages: DataFrame, schema, symbols: str | list | None = None,
                        kind: str | None = None, tz: str = "UTC", ts: str = "timestamp") -> DataFrame:
     """S7 (batch form): decode JSON messages, keep the subscribed symbols

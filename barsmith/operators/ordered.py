@@ -66,7 +66,7 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
              ffill: dict[str, str] | None = None,
              prev: dict[str, str] | None = None,
              nxt: dict[str, str] | None = None,
-             max_chunk_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
+             max_chunk_rows: int | None = MAX_CHUNK_ROWS, split: bool = False) -> DataFrame:
     """Add per-key ordered columns without a per-key task.
 
     ``keys``   partition columns (names).
@@ -83,6 +83,7 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
     ``max_chunk_rows`` default time chunks holding more rows are split by the
                full order key (a burst at one timestamp included, if ``order``
                tells its rows apart), so one bucket never becomes one task.
+    ``split``  the same for a ``chunk`` of the caller's (a number, e.g. 0).
     """
     keys = list(keys)
     order = list(order)
@@ -104,7 +105,7 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
         return frame.groupBy(*keys, "_chunk").agg(*aggs)
 
     summ = summarise(d)
-    if chunk is None and max_chunk_rows:
+    if (chunk is None or split) and max_chunk_rows:
         # A burst inside one slice: a hash sample of about SUB_CHUNKS order keys
         # of the oversized (key, chunk) splits it (sub-chunk = number of
         # splitters below the row's key: monotone, whatever the sample).  Cold
@@ -113,7 +114,7 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
         # may be broadcast; while it is empty AQE plans none of what follows.
         full = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
         hot = summ.filter(F.col("_cn") > max_chunk_rows).select(*keys, "_chunk", "_cn")
-        one_in = F.greatest(F.lit(1), F.floor(F.col("_cn") / F.lit(SUB_CHUNKS)))
+        one_in = F.greatest(F.lit(1), F.least(F.floor(F.col("_cn") / F.lit(SUB_CHUNKS)), F.lit(max(1, max_chunk_rows // 4))))
         bounds = d.join(F.broadcast(hot), [*keys, "_chunk"]) \
                   .filter(F.pmod(F.xxhash64(*order), one_in) == 0) \
                   .groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_set(full)).alias("_qb"))

@@ -40,11 +40,12 @@ def _fields(events: DataFrame, seq) -> list[str]:
     return [c for c in events.columns if c not in skip]
 
 
-def position_shift(events: DataFrame, position: str = "position", seq=None) -> DataFrame:
+def position_shift(events: DataFrame, position: str = "position", seq=None, nd: DataFrame | None = None) -> DataFrame:
     """For every (symbol, datetime) of the wide table's row grid where a
     value exists, the symbol's position on the previous wide row (first 0,
-    missing 0).  Long form: symbol, datetime, ``<position>`` shifted."""
-    nd = number_datetimes(events)
+    missing 0).  Long form: symbol, datetime, ``<position>`` shifted.  ``nd``:
+    the numbered datetimes, if the caller has them."""
+    nd = number_datetimes(events) if nd is None else nd
     first = _first_values(events, [position], seq)
     e = first.join(nd, "datetime")
     shifted = e.select("symbol", (F.col("_g") + 1).alias("_g"), F.col(position).alias("_p"))
@@ -60,27 +61,31 @@ def _first_values(events: DataFrame, fields, seq) -> DataFrame:
     return events.groupBy("datetime", "symbol").agg(*aggs)
 
 
-def recorded_pivot(events: DataFrame, symbols=None, position: str = "position",
-                   seq=None) -> DataFrame:
-    """One row per datetime, columns ``<SYMBOL>_<FIELD>`` (upper case)
-    holding the first non-null value; symbol_group / asset_class dropped;
-    ``<SYMBOL>_POSITION`` shifted one row (W3); option columns that are all
-    NULL dropped; names with ``_FUT_`` -> ``_`` and ``_OPT_OPT_`` -> ``_OPT_``.
-    ``symbols`` fixes the pivot values (else a distinct pass finds them)."""
+def recorded_long(events: DataFrame, position: str = "position", seq=None) -> DataFrame:
+    """A13, long form (the default at scale): one row per (datetime, symbol)
+    with the first non-null value of every field and the shifted position (W3),
+    for every instrument there is."""
     ev = events.filter(F.col("symbol").isNotNull())
     fields = _fields(ev, seq)
     other = [f for f in fields if f != position]
-    vals = _first_values(ev, other, seq) if other else None
-    nd = number_datetimes(ev)
-    pieces = []
-    if vals is not None:
-        pieces.append(vals)
+    pieces = [_first_values(ev, other, seq)] if other else []
     if position in fields:
-        ps = position_shift(ev, position, seq)
-        pieces.append(ps)
-    long = pieces[0]
-    for p in pieces[1:]:
-        long = long.unionByName(p, allowMissingColumns=True)
+        pieces.append(position_shift(ev, position, seq))
+    if len(pieces) == 1:
+        return pieces[0]
+    return pieces[0].join(pieces[1], ["datetime", "symbol"], "full")
+
+
+def recorded_pivot(events: DataFrame, symbols=None, position: str = "position",
+                   seq=None) -> DataFrame:
+    """A13, wide form: an export of the chosen ``symbols`` (else a distinct pass
+    finds all; Spark bounds the number of columns).  One row per datetime,
+    columns ``<SYMBOL>_<FIELD>`` (upper case) holding the first non-null value;
+    symbol_group / asset_class dropped; ``<SYMBOL>_POSITION`` shifted one row
+    (W3); names with ``_FUT_`` -> ``_`` and ``_OPT_OPT_`` -> ``_OPT_``."""
+    ev = events.filter(F.col("symbol").isNotNull())
+    fields = _fields(ev, seq)
+    long = recorded_long(events, position, seq)
     up = {f: f.upper() for f in fields}
     # every (datetime, symbol, field) cell holds at most one non-null value here
     # (first values were already chosen in record order), so max() picks it and
@@ -92,7 +97,6 @@ def recorded_pivot(events: DataFrame, symbols=None, position: str = "position",
     if len(fields) == 1:
         wide = wide.select("datetime", *[F.col(c).alias(f"{c}_{up[fields[0]]}")
                                          for c in wide.columns if c != "datetime"])
-    wide = nd.select("datetime").join(wide, "datetime", "left")
     pos_cols = [c for c in wide.columns if c.endswith("_" + position.upper())]
     wide = wide.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in pos_cols})
     renamed = {c: c.replace("_FUT_", "_").replace("_OPT_OPT_", "_OPT_") for c in wide.columns}

@@ -36,8 +36,8 @@ def assign_symbol_ids(requests: DataFrame, symbols: DataFrame,
     ``(symbol, asset_class)`` of ``requests`` it lacks.  New rows get
     ``symbol_group = symbol``, the request's expiry (earliest if several) and
     ids ``max(id) + 1, +2, ...`` in (symbol, asset_class) order.  Numbering is
-    a distributed prefix count over the (small) new-key set, not a global
-    single-task window."""
+    a prefix count over the new keys, split by the key itself once they are
+    many, not a global single-task window."""
     req = requests
     if "asset_class" not in req.columns:
         req = req.withColumn("asset_class", F.lit(default_asset_class))
@@ -48,7 +48,7 @@ def assign_symbol_ids(requests: DataFrame, symbols: DataFrame,
     new = keys.join(symbols.select("symbol", "asset_class"), ["symbol", "asset_class"], "left_anti")
     base = symbols.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     num = ordered.sequence(new.withColumn("_k", F.lit(0)), ["_k"], ["symbol", "asset_class"],
-                           F.substring("symbol", 1, 2), rownum="_g")
+                           F.lit(0).cast("long"), rownum="_g", split=True, max_chunk_rows=1_000_000)
     created = num.select((F.col("_g") + base).cast("long").alias("id"), "symbol",
                          F.col("symbol").alias("symbol_group"), "asset_class", "expiry")
     return symbols.select("id", "symbol", "symbol_group", "asset_class", "expiry") \
@@ -200,9 +200,9 @@ def check_time_range(start, end=None, max_days: int = 365, now=None):
     s = parse(start)
     e = parse(end) if end is not None else parse(now or _dt.datetime.now(_dt.timezone.utc))
     if s >= e:
-        raise ValueError(f"Start time ({s}) must be before end time ({e})")
+        raise ValueError(f"empty range: {s} is not earlier than {e}")
     if max_days is not None and (e - s).days > max_days:
-        raise ValueError(f"Time range ({(e - s).days} days) exceeds maximum allowed ({max_days} days)")
+        raise ValueError(f"the range spans {(e - s).days} days; at most {max_days} may be asked for")
     return s, e
 
 
@@ -232,7 +232,7 @@ def prepare_history(df: DataFrame, table_type: str = "bars", tz: str = "UTC",
     to long (unparsable -> NULL), ``id``/``symbol_id`` dropped, times
     converted to ``tz`` (UTC when the zone is unknown), sorted by time."""
     if ts not in df.columns:
-        raise ValueError("Missing 'datetime' column in historical data")
+        raise ValueError(f"history needs the time column {ts!r}")
     prices, sizes = _PREP_COLS[table_type]
     out = df
     for c in prices:
@@ -278,10 +278,17 @@ def _history(store: DataFrame, symbols_dim: DataFrame, values, symbols, start, e
 
 def historical_bars(bars: DataFrame, symbols_dim: DataFrame, symbols=None, start=None,
                     end=None, asset_class: str | None = "STK", max_days: int | None = None,
-                    order: bool = True) -> DataFrame:
+                    order: bool = True, resolution: str | None = None, tz: str | None = None) -> DataFrame:
     """Bars joined to symbols, filtered by symbol list, asset class and
-    inclusive time range, ordered by (symbol, datetime)."""
-    return _history(bars, symbols_dim, BAR_VALUES, symbols, start, end, asset_class, max_days, order)
+    inclusive time range (open-ended without ``end``), optionally resampled to
+    ``resolution``, times shown in ``tz``; ordered by (symbol, datetime)."""
+    out = _history(bars, symbols_dim, BAR_VALUES, symbols, start, end, asset_class, max_days, False)
+    if resolution:
+        from barsmith.operators.bars import resample
+        out = resample(out, resolution, sync_last_timestamp=False, tz=tz).select("symbol", "datetime", *BAR_VALUES)
+    elif tz and tz.upper() != "UTC":
+        out = out.withColumn("datetime", to_local("datetime", tz))
+    return out.orderBy("symbol", "datetime") if order else out
 
 
 def historical_ticks(ticks: DataFrame, symbols_dim: DataFrame, symbols=None, start=None,
@@ -405,10 +412,16 @@ def records_json(df: DataFrame, ts: str = "datetime", fmt: str = "yyyy-MM-dd'T'H
 
 
 def history_envelope(df: DataFrame, resolution: str, ts: str = "datetime",
-                     fmt: str = "yyyy-MM-dd'T'HH:mm:ss") -> DataFrame:
-    """S10 response header per symbol: {symbol, start, end, resolution,
-    count}.  The data rows themselves are :func:`records_json` (one record
+                     fmt: str = "yyyy-MM-dd'T'HH:mm:ss", requested: DataFrame | None = None) -> DataFrame:
+    """S10 response header per symbol: {status, message, symbol, start, end,
+    resolution, count}; ``requested`` symbols without rows get status ``error``.  The data rows themselves are :func:`records_json` (one record
     per row, never gathered into one array)."""
-    return df.groupBy("symbol").agg(
+    out = df.groupBy("symbol").agg(
         F.date_format(F.min(ts), fmt).alias("start"), F.date_format(F.max(ts), fmt).alias("end"),
         F.lit(resolution).alias("resolution"), F.count(F.lit(1)).alias("count"))
+    if requested is not None:
+        out = requested.select("symbol").distinct().join(out, "symbol", "left")
+    return out.withColumns({
+        "resolution": F.coalesce("resolution", F.lit(resolution)), "count": F.coalesce("count", F.lit(0)).cast("long"),
+        "status": F.when(F.col("start").isNull(), "error").otherwise("success"),
+        "message": F.when(F.col("start").isNull(), F.concat(F.lit("no rows for "), F.col("symbol")))})

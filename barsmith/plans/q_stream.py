@@ -91,7 +91,7 @@ SELECT symbol, timestamp, coalesce(bids[1].price, 0.0) AS bid, coalesce(bids[1].
 """)
 def book_top(spark):
     """best bid / ask per snapshot (zeros without a book side)."""
-    return NO.book_summary(NO.normalize_order_book(spark.table("fx_book_levels")))
+    return NO.book_top_of_levels(spark.table("fx_book_levels"))
 
 
 @register("prefix_option_columns", fixtures=["fx_greeks", "fx_symbols"], sql="""

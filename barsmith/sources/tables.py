@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
@@ -25,11 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # (session, view name) -> source path of the registered view
-_REGISTERED: dict[tuple[int, str], str] = {}
+_REGISTERED: dict[tuple, str] = {}
 
 
-def _session_key(spark: SparkSession) -> int:
-    return id(spark)
+def _session_key(spark: SparkSession) -> tuple:
+    return spark.sparkContext.applicationId, spark.conf.get("spark.sql.session.timeZone"), id(spark)
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
@@ -42,9 +43,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
         p = table_path(sf_dir, n)
         if _REGISTERED.get((sk, n)) == p and spark.catalog.tableExists(n):
             continue
-        if os.path.exists(p) or "://" in p:
-            read_table(spark, sf_dir, n).createOrReplaceTempView(n)
-            _REGISTERED[(sk, n)] = p
+        try:
+            df = read_table(spark, sf_dir, n)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND" or names:
+                raise
+            continue                     # a table that this folder does not have
+        df.createOrReplaceTempView(n)
+        _REGISTERED[(sk, n)] = p
 
 
 def scan_market_table(spark: SparkSession, path: str, schema=None,

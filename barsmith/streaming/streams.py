@@ -369,11 +369,13 @@ def subscribe_stream(spark: SparkSession, path: str, schema, symbols=None, kind:
 
 
 # --------------------------------------------------------------------- X1 on streams
-def stream_strategy(quotes: DataFrame, on_rows, out_schema: str, ts: str = "timestamp",
+def stream_strategy(quotes: DataFrame, on_rows, out_schema: str, ts: str | list = "timestamp",
                     key: str = "symbol") -> DataFrame:
     """X1 on a stream: ``on_rows(pdf, state: dict) -> (signals_pdf, state)``
-    per symbol and micro-batch, rows in time order; the callback's state is
-    kept (as JSON) in Spark's state store between micro-batches."""
+    per symbol and micro-batch, rows in the order of ``ts`` (a column or
+    several); the callback's state is kept (as JSON) in Spark's state store
+    between micro-batches.  What a callback gets at once is bounded by the
+    source's ``max_files`` / ``max_bytes``."""
     import json
 
     def fn(k, pdfs, state):
