@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
+from barsmith import schemas
 from barsmith.functions.scalars import as_double, falsy_to_null
 from barsmith.functions.timeutil import to_local
 from barsmith.operators import ordered
@@ -133,16 +135,25 @@ def ingest_ticks(batch: DataFrame, existing: DataFrame, symbols: DataFrame, seq,
 
 
 def append_to_store(rows: DataFrame, path: str) -> None:
-    """Write ingest output: one commit per batch, partitioned by day, sorted
+    """Write ingest output, prices as exact decimals: one commit per batch, partitioned by day, sorted
     within partitions for row-group skipping on (symbol_id, datetime).
 
     ``rebalance`` (not ``repartition``) groups rows by day but lets AQE split a
     day that holds a large share of the batch over several writer tasks and
     merge tiny ones, so one hot day never becomes one task."""
+    at_rest = {f.name: f.dataType for f in (*schemas.BARS.fields, *schemas.TICKS.fields)}
+    rows = rows.withColumns({c: F.col(c).cast(at_rest[c]) for c in rows.columns if c in at_rest})
     (rows.hint("rebalance", "date").sortWithinPartitions("date", "symbol_id", "datetime")
          .write.mode("append").partitionBy("date").parquet(path))
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A store for analytics: decimals as doubles, partitions pruned as usual."""
+    df = spark.read.parquet(path)
+    return df.withColumns({f.name: F.col(f.name).cast("double") for f in df.schema.fields
+                           if isinstance(f.dataType, DecimalType)})
+
+
 # --------------------------------------------------------------------- P8 / P9
 def validate_bars(df: DataFrame, require_symbol: bool = True) -> DataFrame:
     """``is_valid`` and the first failing ``reason`` (NULL when valid).

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 from barsmith.operators import normalize as NO
+from barsmith.operators import store as ST
 from barsmith.plans.registry import register
 from barsmith.plans.sqlparts import ac, sg
 from barsmith.session import scratch_path
@@ -198,11 +199,16 @@ def _nz(c):
     return f"CASE WHEN {c} = 0 OR isnan({c}) THEN NULL ELSE {c} END"
 
 
+def _at_rest(c):
+    """A price as stored (exact decimal) and read back."""
+    return f"CAST(CAST({_nz(c)} AS DECIMAL(20, 8)) AS DOUBLE)"
+
+
 @register("stream_ingest", dates=['date'], fixtures=["fx_ticks"], sql=f"""
 WITH tk AS (SELECT *, {ac('symbol')} AS asset_class FROM fx_ticks),
 dim AS (SELECT symbol, asset_class, row_number() OVER (ORDER BY symbol, asset_class) AS symbol_id FROM (SELECT DISTINCT symbol, asset_class FROM tk) k)
-SELECT tk.datetime, dim.symbol_id, {_nz('bid')} AS bid, {_nz('bidsize')} AS bidsize, {_nz('ask')} AS ask,
-  {_nz('asksize')} AS asksize, {_nz('last')} AS last, {_nz('lastsize')} AS lastsize, CAST(tk.datetime AS DATE) AS date
+SELECT tk.datetime, dim.symbol_id, {_at_rest('bid')} AS bid, {_nz('bidsize')} AS bidsize, {_at_rest('ask')} AS ask,
+  {_nz('asksize')} AS asksize, {_at_rest('last')} AS last, {_nz('lastsize')} AS lastsize, CAST(tk.datetime AS DATE) AS date
 FROM tk JOIN dim ON tk.symbol = dim.symbol AND tk.asset_class = dim.asset_class
 """)
 def stream_ingest(spark):
@@ -213,7 +219,7 @@ def stream_ingest(spark):
     t = t.withColumn("asset_class", asset_class("symbol"))
     root = scratch_path(spark, "stores", f"ticks-{uuid.uuid4().hex}")
     SS.stream_ingest(t, f"{root}/ticks", f"{root}/symbols")
-    return spark.read.parquet(f"{root}/ticks")
+    return ST.read_store(spark, f"{root}/ticks")
 
 
 @register("stream_instrument_changes", fixtures=["fx_contracts"], sql=f"""

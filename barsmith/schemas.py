@@ -1,6 +1,9 @@
-"""Table schemas (StructType) of the market store."""
+"""Table schemas (StructType) of the market store.
 
-from pyspark.sql.types import (DateType, DoubleType, IntegerType, LongType,
+Prices and greeks are exact decimals at rest; analytics read them as doubles
+(``operators.store.read_store``)."""
+
+from pyspark.sql.types import (DateType, DecimalType, DoubleType, IntegerType, LongType,
                                StringType, StructField, StructType,
                                TimestampNTZType, ArrayType)
 
@@ -11,17 +14,18 @@ def _s(*fields):
 
 SYMBOLS = _s(("id", LongType()), ("symbol", StringType()), ("symbol_group", StringType()),
              ("asset_class", StringType()), ("expiry", DateType()))
-BARS = _s(("datetime", TimestampNTZType()), ("symbol_id", LongType()), ("open", DoubleType()),
-          ("high", DoubleType()), ("low", DoubleType()), ("close", DoubleType()),
+PRICE = DecimalType(20, 8)
+BARS = _s(("datetime", TimestampNTZType()), ("symbol_id", LongType()), ("open", PRICE),
+          ("high", PRICE), ("low", PRICE), ("close", PRICE),
           ("volume", LongType()))
-TICKS = _s(("datetime", TimestampNTZType()), ("symbol_id", LongType()), ("bid", DoubleType()),
-           ("bidsize", IntegerType()), ("ask", DoubleType()), ("asksize", IntegerType()),
-           ("last", DoubleType()), ("lastsize", IntegerType()))
+TICKS = _s(("datetime", TimestampNTZType()), ("symbol_id", LongType()), ("bid", PRICE),
+           ("bidsize", IntegerType()), ("ask", PRICE), ("asksize", IntegerType()),
+           ("last", PRICE), ("lastsize", IntegerType()))
 GREEKS = _s(("id", LongType()), ("tick_id", LongType()), ("bar_id", LongType()),
-            ("price", DoubleType()), ("underlying", DoubleType()), ("dividend", DoubleType()),
-            ("volume", IntegerType()), ("iv", DoubleType()), ("oi", DoubleType()),
-            ("delta", DoubleType()), ("gamma", DoubleType()), ("theta", DoubleType()),
-            ("vega", DoubleType()))
+            ("price", PRICE), ("underlying", PRICE), ("dividend", PRICE),
+            ("volume", IntegerType()), ("iv", PRICE), ("oi", PRICE),
+            ("delta", PRICE), ("gamma", PRICE), ("theta", PRICE),
+            ("vega", PRICE))
 TRADES = _s(("algo", StringType()), ("symbol", StringType()), ("direction", StringType()),
             ("quantity", IntegerType()), ("entry_time", TimestampNTZType()),
             ("exit_time", TimestampNTZType()), ("exit_reason", StringType()),

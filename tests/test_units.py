@@ -331,8 +331,10 @@ def test_ingest_first_by_seq_wins_within_and_across_batches(spark, tmp_path):
     schema = _feed(spark, root, [[_tick(2, minute=0), _tick(1, minute=0), _tick(5)], [_tick(0, minute=0), _tick(6)]])
     s = SS.file_stream(spark, f"{root}/in", schema)
     SS.stream_ingest(s, f"{root}/store", f"{root}/dim", checkpoint=f"{root}/ck")
-    got = sorted(r["last"] for r in spark.read.parquet(f"{root}/store").collect())
+    from barsmith.operators import store as ST
+    got = sorted(r["last"] for r in ST.read_store(spark, f"{root}/store").collect())
     assert got == [1.0, 5.0, 6.0]
+    assert dict(spark.read.parquet(f"{root}/store").dtypes)["last"] == "decimal(20,8)"
 
 
 def test_ingest_fails_on_an_unreadable_dimension(spark, tmp_path):
