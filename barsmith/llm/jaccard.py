@@ -2,22 +2,25 @@
 
 Two sets with Jaccard similarity t or more share a token among the first
 ``n - ceil(t n) + 1`` of each, whatever order the tokens of all documents are
-put in.  Each order is a hash of the token, behind a class that puts tokens of
-many documents last (from a count sketch of fixed size over all shingles; it
-steers the cost, never the result).  Per order, documents that share a prefix
-token are linked and the links closed to classes; a pair can only be similar if
-it is in one class under *every* order, so the classes are intersected before
-any set is compared.
-
-* Documents with equal sets are collapsed to one beforehand.
-* Prefix tokens travel as packed arrays per token bucket; each task sends a
-  token once however many of its documents have it, so a very frequent token
-  costs one entry a task.  Links are stars, never all pairs of a bucket.
-* An intersected class is cut into bands of set size (similar sets are in one
-  band or in neighbours) and those into blocks of bounded size; a task compares
-  two blocks by one matrix product over the tokens they share and returns a
-  spanning star of what it finds.  Every pair of a class whose sizes allow it
-  meets in some task: no cap on partners, none is lost.
+put in.  All orders used here begin with the tokens of a single document, then
+come the others, the very frequent ones last; within that, each order is
+another hash.
+
+1. Tokens of a single document are found by sorting all tokens a block at a
+   time (:mod:`barsmith.llm.postings`).  A set whose prefix they fill has no
+   partner; of the others only the shared tokens are kept, which is all that an
+   intersection can hold.
+2. Per order, documents that share a prefix token are linked and the links
+   closed to classes.  A pair can only be similar if it is in one class under
+   *every* order, so the classes are intersected before sets are compared.
+3. A class is cut into bands of set size (similar sets are in one band or in
+   neighbours) and those into blocks of bounded size; a task compares two
+   blocks by a matrix product over the tokens they share and returns a spanning
+   star of what it finds.  Every pair of a class whose sizes allow it meets in
+   some task: no cap on partners, none is lost.
+
+Documents with equal sets are one node from the start.  A token that a third of
+all documents have costs one entry a task; links are stars, never all pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from barsmith.llm.common import SPACE, cut, may_have, sieve
 from barsmith.llm.graph import components
+from barsmith.llm.postings import SENT, Postings, find_ties, places
 from barsmith.llm.shingles import WordHashes, binary, grouped, mixed, pack, shingle_set, unpack
 
 #: cells of the count sketch; tokens over LIFT times the mean are put last
@@ -52,58 +56,93 @@ def prefix_length(n: int, percent: int) -> int:
     return n - need(n, percent) + 1
 
 
-# -- the order ---------------------------------------------------------------
+# -- shared tokens -------------------------------------------------------------
 
-FIRST = "part int, cells binary, counts binary, doc_id long, n long, fp1 long, fp2 long"
+NONE = -(1 << 63)
 
 
-def _first_task(n: int):
-    """Size and fingerprint of every set, and the task's count sketch."""
-    def run(batches):
-        cache, cells, held, size = WordHashes(), np.zeros(CELLS, np.uint32), [], 0
+def set_print(s: np.ndarray) -> tuple[int, int]:
+    """128-bit fingerprint of a set, as two signed numbers."""
+    sums = np.array([mixed(s, k).sum(dtype=np.uint64) for k in (1, 2)], np.uint64).view(np.int64)
+    return int(sums[0]), int(sums[1])
 
-        def count():
-            at = (np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64)
-            return np.bincount(at, minlength=CELLS).astype(np.uint32)
+
+def _first_task(n: int, slots: int):
+    """All tokens to their blocks; id, size and fingerprint of every set along."""
+    def run(batches):
+        cache, out = WordHashes(), Postings(slots, 4)
         for batch in batches:
-            sizes, prints = [], []
-            for text in batch.column(1):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py(), n, cache)
-                sizes.append(len(s))
-                prints.append(set_print(s))
-                held.append(s)
-                size += len(s)
-                if size > CELLS:
-                    cells += count()
-                    held, size = [], 0
-            m, prints = len(sizes), np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()),
-                 batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], names=NAMES)
-        if held:
-            cells += count()
-        at = np.flatnonzero(cells).astype(np.uint32)
-        for part in range(PARTS if len(at) else 0):
-            mine = at[(at >= part * STEP) & (at < (part + 1) * STEP)]
-            if len(mine):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([pack(mine - np.uint32(part * STEP))], pa.binary()),
-                     pa.array([pack(cells[mine].astype(np.uint64))], pa.binary())]
-                    + [pa.nulls(1, pa.int64())] * 4, names=NAMES)
+                fp = set_print(s)
+                out.note(fp[0], np.array([NONE if doc is None else doc, len(s), *fp], np.int64).tobytes())
+                if len(s) and doc is not None and out.new(fp[0]):
+                    out.add(fp[0], s, np.arange(len(s)))
+                if out.full():
+                    yield from out.send()
+        yield from out.send()
     return run
 
 
-def set_print(s: np.ndarray) -> tuple[int, int]:
-    """128-bit fingerprint of a set."""
-    return int(mixed(s, 1).sum(dtype=np.uint64)), int(mixed(s, 2).sum(dtype=np.uint64))
+def _digest_task(batches):
+    for batch in batches:
+        x = binary(batch.column(0), np.int64).reshape(-1, 4)
+        ids = pa.array(np.ascontiguousarray(x[:, 0]), mask=x[:, 0] == NONE)
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(x[:, k])) for k in (1, 2, 3))],
+                                         names=["doc_id", "n", "fp1", "fp2"])
+
+
+MEMBER = "doc_id long, fp1 long, n long, tokens binary"
+
+
+def _member_task(n: int):
+    """The shared tokens of the sets that may have a partner."""
+    def run(batches):
+        cache = WordHashes()
+        for batch in batches:
+            out = {k.split()[0]: [] for k in MEMBER.split(", ")}
+            for doc, fp1, text, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                s = shingle_set(text, n, cache)
+                if set_print(s)[0] != fp1:
+                    continue                         # another row with this id
+                shared = places(at)
+                for k, v in zip(out, (doc, fp1, len(s), s[shared].tobytes())):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "tokens" else pa.int64())
+                                              for k, v in out.items()], names=list(out))
+    return run
+
 
+# -- the order ---------------------------------------------------------------
 
-NAMES = ["part", "cells", "counts", "doc_id", "n", "fp1", "fp2"]
 PARTS = 32
 STEP = CELLS // PARTS
 
 
+def _sketch_task(batches):
+    cells, held, size = np.zeros(CELLS, np.uint32), [], 0
+
+    def count():
+        at = (np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64)
+        return np.bincount(at, minlength=CELLS).astype(np.uint32)
+    for batch in batches:
+        held.append(binary(batch.column(0), np.uint64))
+        size += len(held[-1])
+        if size > CELLS:
+            cells += count()
+            held, size = [], 0
+    if held:
+        cells += count()
+    at = np.flatnonzero(cells).astype(np.uint32)
+    for part in range(PARTS if len(at) else 0):
+        mine = at[(at >= part * STEP) & (at < (part + 1) * STEP)]
+        if len(mine):
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()),
+                "cells": pa.array([pack(mine - np.uint32(part * STEP))], pa.binary()),
+                "counts": pa.array([pack(cells[mine].astype(np.uint64))], pa.binary())})
+
+
 def _sum_parts(batches):
     for (part,), rows in grouped(batches, ["part"]):
         cells = np.zeros(STEP, np.uint64)
@@ -113,17 +152,18 @@ def _sum_parts(batches):
                                           "counts": pa.array([pack(cells)], pa.binary())})
 
 
-def token_classes(first: DataFrame) -> tuple[np.ndarray, int]:
-    """Class of every sketch cell (0 for all but the frequent ones), and the
-    number of shingles.  The sketch has a fixed size, whatever the corpus."""
-    sums = first.where("part IS NOT NULL").select("part", "cells", "counts").repartition(PARTS, "part") \
-        .sortWithinPartitions("part").mapInArrow(_sum_parts, "part int, counts binary").collect()
+def token_classes(members: DataFrame) -> np.ndarray:
+    """Class of every sketch cell (0 for all but the frequent ones).  The
+    sketch has a fixed size, whatever the corpus; it steers the cost of the
+    search, never its result."""
+    sums = members.select("tokens").mapInArrow(_sketch_task, "part int, cells binary, counts binary") \
+        .repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(
+            _sum_parts, "part int, counts binary").collect()
     cells = np.zeros(CELLS, np.uint64)
     for r in sums:
         cells[r["part"] * STEP:(r["part"] + 1) * STEP] = unpack(bytes(r["counts"]), np.uint64)
     over = cells.astype(np.float64) / (LIFT * cells.mean() + 16)
-    classes = np.where(over > 1, np.minimum(1 + np.log2(np.maximum(over, 1)), 60), 0).astype(np.uint8)
-    return classes, int(cells.sum())
+    return np.where(over > 1, np.minimum(1 + 2 * np.log2(np.maximum(over, 1)), 60), 0).astype(np.uint8)
 
 
 # -- links under each order ----------------------------------------------------
@@ -182,16 +222,16 @@ def _distinct(a: np.ndarray, b: np.ndarray):
     return a[new], b[new]
 
 
-def _postings_task(n: int, percent: int, orders: int, slots: int, classes):
+def _postings_task(percent: int, orders: int, slots: int, classes):
     def run(batches):
-        cache, held, cls = WordHashes(), _Held(slots), classes.value
+        held, cls = _Held(slots), classes.value
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingle_set(text.as_py(), n, cache) if doc is not None else ()
-                if not len(s):
+            for node, n, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                s = np.frombuffer(tokens, np.uint64)
+                p = prefix_length(n, percent) - (n - len(s))     # single tokens come first
+                if p < 1:
                     continue
-                p, late = prefix_length(len(s), percent), cls[s & np.uint64(CELLS - 1)].astype(np.uint64)
-                node = np.uint64(set_print(s)[0]).view(np.int64)
+                late = cls[s & np.uint64(CELLS - 1)].astype(np.uint64)
                 for k in range(orders):
                     rank = (mixed(s, 10 + k) >> np.uint64(6)) | (late << np.uint64(58))
                     held.add(k, s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s, node)
@@ -216,22 +256,21 @@ def _links_task(slots: int):
 
 # -- verification --------------------------------------------------------------
 
-def _verify_task(n: int, percent: int):
+def _verify_task(percent: int):
     def run(batches):
-        cache = WordHashes()
         for _, rows in grouped(batches, ["cls", "pair"]):
-            ids = rows.column("doc_id").to_numpy()
-            sets = [shingle_set(t.as_py(), n, cache) for t in rows.column("__text")]
-            a, b = _similar(ids, sets, percent)
+            sets = [np.frombuffer(t, np.uint64) for t in rows.column("tokens").to_pylist()]
+            a, b = _similar(rows.column("doc_id").to_numpy(), rows.column("n").to_numpy(), sets, percent)
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
     return run
 
 
-def _similar(ids: np.ndarray, sets: list[np.ndarray], percent: int):
-    """A spanning star for each group of sets connected by similarity."""
-    m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), sizes)
+def _similar(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int):
+    """A spanning star for each group of sets connected by similarity; sizes
+    are of the whole sets, which hold the shared tokens given."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
     tokens, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = df[col] > 1
     owner, col = owner[keep], col[keep]
@@ -247,6 +286,7 @@ def _similar(ids: np.ndarray, sets: list[np.ndarray], percent: int):
         shared += part @ part.T
     union = sizes[:, None] + sizes[None, :] - shared
     near = 100 * shared.astype(np.int64) >= percent * union.astype(np.int64)
+    np.fill_diagonal(near, True)
     label, changed = np.arange(m), True
     while changed:
         low = np.where(near, label[None, :], m).min(axis=1)
@@ -303,19 +343,28 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     for reaching; a row with a null id is counted but links nothing, its
     component is null.  Only the two named columns are read."""
     spark = docs.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    first = cut(d.mapInArrow(_first_task(words), FIRST))
-    digest = first.where("part IS NULL").select("doc_id", "n", "fp1", "fp2")
+    first = cut(find_ties(d.mapInArrow(_first_task(words, slots), SENT), 4, slots))
+    digest = cut(first.where("extra IS NOT NULL").select("extra").mapInArrow(
+        _digest_task, "doc_id long, n long, fp1 long, fp2 long"))
     sets = cut(digest.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
     copies = digest.where("doc_id IS NOT NULL").join(
         sets.where("copies > 1").select("fp1", "fp2", "rep"), ["fp1", "fp2"]).select(
         F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    classes, total = token_classes(first)
-    slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000)))
-    sent = d.mapInArrow(_postings_task(words, percent, orders, slots, spark.sparkContext.broadcast(classes)),
-                        "slot int, tokens binary, docs binary, left binary, right binary")
+    shared = first.where("key IS NOT NULL").select(F.col("key").alias("fp1"), "pos", "places")
+    enough = F.col("places") >= F.ceil(F.col("n") * percent / 100)
+    may = cut(sets.select("fp1", "n", F.col("rep").alias("__rep")).join(shared, "fp1").where(enough).drop("n", "places"))
+    texts = may_have(d, "doc_id", may, "__rep")
+    texts = texts.join(may, texts["doc_id"] == may["__rep"]).select("doc_id", "fp1", "__text", "pos")
+    members = cut(texts.mapInArrow(_member_task(words), MEMBER))
+
+    classes = spark.sparkContext.broadcast(token_classes(members))
+    sent = members.select("fp1", "n", "tokens").mapInArrow(
+        _postings_task(percent, orders, slots, classes),
+        "slot int, tokens binary, docs binary, left binary, right binary")
     links = sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(
         _links_task(slots), "order int, a long, b long")
     found = components(links, by=["order"])
@@ -324,12 +373,10 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     cls = nodes.groupBy("node").agg(*(F.max(F.when(F.col("order") == k, F.col("root"))).alias(f"r{k}")
                                       for k in range(orders)))
     cls = cls.dropna().select(F.col("node").alias("fp1"), F.xxhash64(*(f"r{k}" for k in range(orders))).alias("cls"))
-    members = cut(sets.join(cls, "fp1").select(F.col("rep").alias("doc_id"), "n", "cls"))
-    blocks = cut(_blocks(members, percent))
+    blocks = cut(_blocks(cut(members.select("doc_id", "fp1", "n").join(cls, "fp1")), percent))
 
-    texts = may_have(d, "doc_id", blocks, "doc_id").join(blocks, "doc_id")
-    similar = texts.repartition("cls", "pair").sortWithinPartitions("cls", "pair").mapInArrow(
-        _verify_task(words, percent), "a long, b long")
+    similar = members.join(blocks, "doc_id").repartition("cls", "pair").sortWithinPartitions("cls", "pair").select(
+        "cls", "pair", "doc_id", "n", "tokens").mapInArrow(_verify_task(percent), "a long, b long")
     comp = components(similar.unionByName(copies))
     return digest.join(comp, digest["doc_id"] == comp["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
