@@ -14,12 +14,13 @@ else is removed.  Sorting all suffixes would move a row per byte; instead
    those the whole string of ``length`` bytes is hashed and the buckets are
    sorted again, one at a time; equal neighbours are repeats.
 
-A block holds packed arrays, about 8 bytes an entry.  Entries that are equal
-within a task are settled there and sent as one marker, so a passage that a
-third of all documents share costs one entry a task.  Equal texts are settled
+Blocks are those of :mod:`barsmith.llm.postings`: packed arrays, and one marker
+a task for what is equal within it.  Before the second sort, texts that share
+their smallest window hash are brought into one task, so that most repeats are
+settled there; large families are split by size.  Equal texts are settled
 beforehand by their fingerprint: one of them goes into the sort.  Texts move
-only to documents that a fixed-size sieve lets through.  Strings are compared
-by 64-bit hashes within hash buckets.
+only if a fixed-size sieve lets them through.  Strings are compared by 64-bit
+hashes within hash buckets.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import cut, may_have, sieve
-from barsmith.llm.shingles import binary, grouped, mixed, pack, unpack
+from barsmith.llm.postings import SENT, Postings, find_ties, places
+from barsmith.llm.shingles import mixed
 
-#: bytes hashed at a time, entries held in a task, texts it remembers
+#: bytes hashed at a time
 SEGMENT = 1 << 18
-HELD = 1 << 20
-SEEN = 1 << 20
-MARK = np.uint32(0xFFFFFFFF)
+#: bytes of the windows by which texts of one family are brought together
+FAMILY = 48
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -77,134 +78,47 @@ class Rolling:
             yield at, mixed((h[w:] - h[:-w]) * self.down[:len(h) - w])
 
 
-SENT = "slot int, hashes binary, keys binary, runs binary, pos binary, done_keys binary, done_runs binary, done_pos binary"
-
-
-class Postings:
-    """Entries (hash, text, position) of a task on their way to the blocks."""
-
-    def __init__(self, slots: int, width: int):
-        self.slots, self.width, self.parts, self.size = slots, width, [], 0
-
-    def add(self, key: int, h: np.ndarray, pos: np.ndarray):
-        self.parts.append((key, h, pos.astype(np.uint32)))
-        self.size += len(h)
-
-    def send(self):
-        h = np.concatenate([p[1] for p in self.parts])
-        key = np.repeat(np.array([p[0] for p in self.parts], np.int64), [len(p[1]) for p in self.parts])
-        pos = np.concatenate([p[2] for p in self.parts])
-        self.parts, self.size = [], 0
-        by = np.argsort(h, kind="stable")
-        new = np.ones(len(h), bool)
-        new[1:] = h[by][1:] != h[by][:-1]
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(h)))
-        tied = np.zeros(len(h), bool)
-        tied[by] = np.repeat(count > 1, count)
-        lead = by[start[count > 1]]
-        keep = ~tied
-        done_key, done_pos = key[tied], pos[tied]
-        keep[lead] = True            # one marker for what is settled here
-        pos = np.where(tied, MARK, pos)
-        key = np.where(tied, 0, key)
-        h, key, pos = h[keep], key[keep], pos[keep]
-        slot, done_slot = mixed(h, 5) % np.uint64(self.slots), mixed(done_key.view(np.uint64), 6) % np.uint64(self.slots)
-        by, done_by = np.argsort(slot, kind="stable"), np.argsort(done_slot, kind="stable")
-        every = np.arange(self.slots + 1, dtype=np.uint64)
-        at, done_at = np.searchsorted(slot[by], every), np.searchsorted(done_slot[done_by], every)
-        out = {name.split()[0]: [] for name in SENT.split(", ")}
-        for s in range(self.slots):
-            mine, settled = by[at[s]:at[s + 1]], done_by[done_at[s]:done_at[s + 1]]
-            if len(mine) or len(settled):
-                out["slot"].append(s)
-                low = h[mine].view(np.uint8).reshape(-1, 8)[:, :self.width]
-                out["hashes"].append(np.ascontiguousarray(low).tobytes())
-                for pre, k, p in (("", key[mine], pos[mine]), ("done_", done_key[settled], done_pos[settled])):
-                    edge = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-                    out[pre + "keys"].append(k[edge].tobytes())
-                    out[pre + "runs"].append(np.diff(np.append(edge, len(k))).astype(np.uint32).tobytes())
-                    out[pre + "pos"].append(pack(np.diff(p, prepend=np.uint32(0)).astype(np.uint32)))
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "slot" else pa.binary())
-                                          for k, v in out.items()})
-
-
-def _entries(rows: pa.Table, pre: str = "") -> tuple[np.ndarray, np.ndarray]:
-    keys = np.repeat(binary(rows.column(pre + "keys"), np.int64), binary(rows.column(pre + "runs"), np.uint32))
-    parts = [np.cumsum(unpack(p, np.uint32), dtype=np.uint32) for p in rows.column(pre + "pos").to_pylist()]
-    return keys, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-
-def _ties_task(width: int):
-    """One block: the entries whose string another entry has too."""
-    def run(batches):
-        for _, rows in grouped(batches, ["slot"]):
-            key, pos = _entries(rows)
-            raw = binary(rows.column("hashes"), np.uint8).reshape(-1, width)
-            full = np.zeros((len(raw), 8), np.uint8)
-            full[:, :width] = raw
-            h = full.view(np.uint64).ravel()
-            by = np.lexsort((pos, key, h))
-            h, key, pos = h[by], key[by], pos[by]
-            same = h[1:] == h[:-1]
-            other = same & ((key[1:] != key[:-1]) | (pos[1:] != pos[:-1]))
-            mark = pos == MARK
-            group = np.cumsum(np.append(True, ~same)) - 1 if len(h) else np.zeros(0, np.int64)
-            multi = np.zeros(int(group[-1]) + 1 if len(h) else 0, bool)
-            multi[group[1:][other]] = True
-            multi[group[mark]] = True
-            hit = multi[group] & ~mark
-            done_key, done_pos = _entries(rows, "done_")
-            key, pos = np.concatenate([key[hit], done_key]), np.concatenate([pos[hit], done_pos])
-            by = np.lexsort((pos, key))
-            key, pos = key[by], pos[by]
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
-            if len(edge):
-                ends = np.append(edge[1:], len(key))
-                yield pa.RecordBatch.from_pydict(
-                    {"key": pa.array(key[edge]),
-                     "pos": pa.array([pos[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary())})
-    return run
-
-
 def _sample_task(length: int, slots: int):
     def run(batches):
         v, cover = cover_for(length)
-        roll, out, seen = Rolling(length - v + 1), Postings(slots, 5), set()
+        roll, out = Rolling(length - v + 1), Postings(slots, 5)
         chosen = np.zeros(v, bool)
         chosen[cover] = True
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else ()
-                if len(data) < length or key in seen:
+                if not out.new(key):
                     continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
-                for at, h in roll(data):
+                for at, h in roll(np.frombuffer(text.as_buffer(), np.uint8)):
                     pos = np.arange(at, at + len(h))
                     pos = pos[chosen[pos % v]]
                     out.add(key, h[pos - at], pos)
-                if out.size >= HELD:
+                if out.full():
                     yield from out.send()
-        if out.size:
-            yield from out.send()
+        yield from out.send()
     return run
 
 
+def _family_task(batches):
+    """Adds the smallest hash of all short windows: texts that share most of
+    their content are likely to share it."""
+    roll = Rolling(FAMILY)
+    for batch in batches:
+        low = [min((int(h.min()) for _, h in roll(np.frombuffer(t.as_buffer(), np.uint8))), default=0)
+               for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(low, np.uint64).view(np.int64))],
+                                         names=[*batch.schema.names, "family"])
+
+
 def _suffix_task(length: int, slots: int):
     def run(batches):
         v, _ = cover_for(length)
-        roll, out, seen = Rolling(length), Postings(slots, 8), set()
+        roll, out = Rolling(length), Postings(slots, 8)
         for batch in batches:
             for key, text, tied in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                if key in seen:
+                if not out.new(key):
                     continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
-                p = np.concatenate([np.frombuffer(x, np.uint32) for x in tied]).astype(np.int64)
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                p = places(tied).astype(np.int64)
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, np.maximum(p - v + 1, 0), 1)
                 np.add.at(step, p + 1, -1)
@@ -213,10 +127,9 @@ def _suffix_task(length: int, slots: int):
                     pos = np.flatnonzero(near[at:at + len(h)])
                     if len(pos):
                         out.add(key, h[pos], pos + at)
-                    if out.size >= HELD:
+                    if out.full():
                         yield from out.send()
-        if out.size:
-            yield from out.send()
+        yield from out.send()
     return run
 
 
@@ -239,8 +152,7 @@ def _remove_task(length: int):
                 if copied:
                     a, b = np.array([0]), np.array([len(data)])
                 else:
-                    a, b = spans_of(np.concatenate([np.frombuffer(x, np.uint32) for x in found])
-                                    if found else np.zeros(0, np.uint32), length)
+                    a, b = spans_of(places(found) if found else np.zeros(0, np.uint32), length)
                 edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(data)]
                 out["n_bytes"].append(len(data))
                 out["starts"].append(a)
@@ -269,15 +181,16 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sort_blocks(sent: DataFrame, width: int) -> DataFrame:
-        ties = sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(
-            _ties_task(width), "key long, pos binary")
-        return cut(ties.groupBy("key").agg(F.collect_list("pos").alias("pos")))
+        return cut(find_ties(sent, width, slots).select("key", "pos"))
 
     tied = sort_blocks(d.where(long).select("key", "__text").mapInArrow(_sample_task(length, slots), SENT), 5)
     rep = texts.join(tied, "key").select(F.col("key").alias("__key"), F.col("doc_id").alias("__rep"), "pos")
     held = may_have(d.where(long), "key", tied, "key")
-    held = held.join(rep, (held["key"] == rep["__key"]) & held["doc_id"].eqNullSafe(rep["__rep"]))
-    found = sort_blocks(held.select("key", "__text", "pos").mapInArrow(_suffix_task(length, slots), SENT), 8)
+    held = held.join(rep, (held["key"] == rep["__key"]) & held["doc_id"].eqNullSafe(rep["__rep"])).select(
+        "key", "__text", "pos").mapInArrow(_family_task, "key long, __text binary, pos binary, family long")
+    # families side by side, split where they are large: most repeats are then settled within a task
+    held = held.hint("rebalance", "family").sortWithinPartitions("family").select("key", "__text", "pos")
+    found = sort_blocks(held.mapInArrow(_suffix_task(length, slots), SENT), 8)
 
     many = texts.where("copies > 1").select("key", F.lit(True).alias("copied"))
     hit = cut(found.join(many, "key", "full").select("key", F.coalesce("copied", F.lit(False)).alias("copied"), "pos"))
