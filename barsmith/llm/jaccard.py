@@ -159,11 +159,13 @@ def token_classes(members: DataFrame) -> np.ndarray:
     sums = members.select("tokens").mapInArrow(_sketch_task, "part int, cells binary, counts binary") \
         .repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(
             _sum_parts, "part int, counts binary").collect()
-    cells = np.zeros(CELLS, np.uint64)
+    mean = sum(float(unpack(bytes(r["counts"]), np.uint64).sum()) for r in sums) / CELLS
+    classes = np.zeros(CELLS, np.uint8)
     for r in sums:
-        cells[r["part"] * STEP:(r["part"] + 1) * STEP] = unpack(bytes(r["counts"]), np.uint64)
-    over = cells.astype(np.float64) / (LIFT * cells.mean() + 16)
-    return np.where(over > 1, np.minimum(1 + 2 * np.log2(np.maximum(over, 1)), 60), 0).astype(np.uint8)
+        over = unpack(bytes(r["counts"]), np.uint64) / (LIFT * mean + 16)
+        late = np.where(over > 1, np.minimum(1 + 2 * np.log2(np.maximum(over, 1)), 60), 0)
+        classes[r["part"] * STEP:(r["part"] + 1) * STEP] = late.astype(np.uint8)
+    return classes
 
 
 # -- links under each order ----------------------------------------------------

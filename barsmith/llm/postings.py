@@ -115,8 +115,8 @@ def _entries(rows: pa.Table, pre: str = "") -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(keys, np.concatenate(runs)) if runs else keys, np.concatenate(pos) if pos else np.zeros(0, np.uint32)
 
 
-def _by_key(key: np.ndarray, pos: np.ndarray, slots: int, extra: list[bytes]) -> pa.RecordBatch:
-    """Results packed by bucket of the text key, notes in any bucket."""
+def _by_key(key: np.ndarray, pos: np.ndarray, slots: int, home: int, extra: list[bytes]) -> pa.RecordBatch:
+    """Results packed by bucket of the text key, notes in the block's own."""
     bucket = mixed(key.view(np.uint64), 6) % np.uint64(slots)
     by = np.lexsort((pos, key, bucket))
     key, pos, bucket = key[by], pos[by], bucket[by]
@@ -124,12 +124,12 @@ def _by_key(key: np.ndarray, pos: np.ndarray, slots: int, extra: list[bytes]) ->
     out = {name: [] for name in ("slot", "keys", "runs", "pos", "extra")}
     for s in range(slots):
         i, j = at[s], at[s + 1]
-        if j > i or (extra and s == 0):
+        if j > i or (extra and s == home):
             k = key[i:j]
             edge = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
             for name, v in (("slot", s), ("keys", k[edge].tobytes()), ("pos", pack_places(pos[i:j])),
                             ("runs", pack(np.diff(np.append(edge, len(k))).astype(np.uint32))),
-                            ("extra", b"".join(extra) if s == 0 and extra else None)):
+                            ("extra", b"".join(extra) if s == home and extra else None)):
                 out[name].append(v)
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "slot" else pa.binary()) for k, v in out.items()})
 
@@ -137,7 +137,7 @@ def _by_key(key: np.ndarray, pos: np.ndarray, slots: int, extra: list[bytes]) ->
 def _ties_task(width: int, slots: int):
     """One block: the entries whose string another entry has too."""
     def run(batches):
-        for _, rows in grouped(batches, ["slot"]):
+        for (slot,), rows in grouped(batches, ["slot"]):
             key, pos = _entries(rows)
             raw = binary(rows.column("hashes"), np.uint8).reshape(-1, width)
             full = np.zeros((len(raw), 8), np.uint8)
@@ -160,7 +160,7 @@ def _ties_task(width: int, slots: int):
             multi[group[mark]] = True
             hit = multi[group] & ~mark
             done_key, done_pos = _entries(rows, "done_")
-            yield _by_key(np.concatenate([key[hit], done_key]), np.concatenate([pos[hit], done_pos]), slots,
+            yield _by_key(np.concatenate([key[hit], done_key]), np.concatenate([pos[hit], done_pos]), slots, slot,
                           [x for x in rows.column("extra").to_pylist() if x])
     return run
 
