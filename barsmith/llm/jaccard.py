@@ -369,7 +369,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         "slot int, tokens binary, docs binary, left binary, right binary")
     links = sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(
         _links_task(slots), "order int, a long, b long")
-    found = components(links, by=["order"])
+    found = components(links, by="order")
     nodes = found.select("order", "node", "root").unionByName(
         found.select("order", F.col("root").alias("node"), "root").distinct())
     cls = nodes.groupBy("node").agg(*(F.max(F.when(F.col("order") == k, F.col("root"))).alias(f"r{k}")
