@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 
 #: words kept per task so that a word is hashed once
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 
 class WordHashes(dict):
