@@ -35,7 +35,7 @@ def fixture_stream(spark, fixture):
     """A fixture over ``events`` as a stream: the whole table replayed in time
     order, several micro-batches."""
     view = f"events_stream_{uuid.uuid4().hex}"
-    SS.replay(spark.table("events"), "ts").createOrReplaceTempView(view)
+    SS.replay(spark.table("events"), "ts", seq="event_id").createOrReplaceTempView(view)
     return spark.sql(FIXTURE_SQL[fixture][0].replace("FROM events", f"FROM {view}"))
 
 

@@ -15,6 +15,7 @@ version / anti-joined on keys).
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
@@ -47,20 +48,49 @@ def file_stream(spark: SparkSession, directory: str, schema, fmt: str = "parquet
     return r.load(directory)
 
 
-def replay(df: DataFrame, ts: str, slices: int = 3, path: str | None = None) -> DataFrame:
+#: rows of a replayed file, the most that a micro-batch of a replay takes
+SLICE_ROWS = 500_000
+
+
+def replay(df: DataFrame, ts: str, slices: int = 3, path: str | None = None, seq: str | None = None) -> DataFrame:
     """A recorded table as the feed it came from: its rows are written again in
-    ``slices`` consecutive time ranges, one file each, and streamed a file at a
-    time, oldest first.  Reads the whole table, however many files it has."""
+    consecutive time ranges of about ``SLICE_ROWS`` rows (``slices`` of them at
+    least), a file each and side by side, and streamed a file at a time, oldest
+    first.  ``seq`` orders rows of one time, which may then be split.  Reads the
+    whole table, however many files it has."""
     spark = df.sparkSession
     path = path or scratch_path(spark, "replays", uuid.uuid4().hex)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    edges = df.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)], 1000).alias("e")).first()["e"]
-    below = sum((F.when(us > F.lit(e), 1).otherwise(0) for e in edges or []), F.lit(0))
-    for i in range(slices):
-        df.filter(F.coalesce(below, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    slices = max(slices, -(-df.count() // SLICE_ROWS))
+    order = [F.col(ts), *([F.col(seq)] if seq else [])]
+    parts = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    parts.write.option("maxRecordsPerFile", 0).parquet(path)
+    if not _in_order(spark, path):
+        # the store keeps no times that are set: files written one after the other
+        spare, path = path, scratch_path(spark, "replays", uuid.uuid4().hex)
+        for name in _files(spark, spare):
+            spark.read.schema(df.schema).parquet(name).coalesce(1).write.mode("append").parquet(path)
     return file_stream(spark, path, df.schema)
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder by name, which is the order of their ranges."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+
+
+def _in_order(spark: SparkSession, path: str) -> bool:
+    """Set the files' times, by which a file stream takes them, in the order of
+    their names; whether the store has kept them."""
+    to_path, names = spark._jvm.org.apache.hadoop.fs.Path, _files(spark, path)
+    fs = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    first = int(time.time() * 1000) - 10 * len(names)
+    for i, name in enumerate(names):
+        fs.setTimes(to_path(name), first + 10 * i, -1)
+    times = {f.getPath().toString(): f.getModificationTime() for f in fs.listStatus(to_path(path))}
+    return all(times[a] < times[b] for a, b in zip(names, names[1:]))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """A table that may not have been written yet.  Only a path that does not
     exist is empty; every other error is raised."""

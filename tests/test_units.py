@@ -405,6 +405,18 @@ def test_streams_read_tables_of_one_and_of_many_files(spark, tmp_path):
         assert a == b and a, name
 
 
+@pytest.mark.parametrize("spread", [5000, 1])
+def test_replay_slices_have_bounded_rows_and_come_in_order(spark, tmp_path, monkeypatch, spread):
+    from barsmith.streaming import streams as SS
+    monkeypatch.setattr(SS, "SLICE_ROWS", 500, raising=False)
+    df = spark.createDataFrame([(T0 + dt.timedelta(seconds=i % spread), i) for i in range(5000)],
+                               "t timestamp_ntz, i int").repartition(7)
+    stream, seen = SS.replay(df, "t", path=f"{tmp_path}/feed", seq="i"), []
+    SS.run_foreach_batch(stream, "replayed", lambda b, e: seen.append(sorted(r.i for r in b.collect())))
+    assert len(seen) >= 9 and max(map(len, seen)) <= 1000
+    assert [i for s in seen for i in s] == list(range(5000))
+
+
 @pytest.mark.parametrize("spread", [500, 1])
 def test_sequence_splits_hot_chunks(spark, spread):
     """A burst inside one chunk, or at one timestamp, is split by the full
