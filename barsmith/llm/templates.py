@@ -2,15 +2,18 @@
 
 Numbers, names and units are replaced by typed placeholders, so a question that
 was asked again with other values has the same template.  Windows of ``WIDTH``
-template tokens are hashed; benchmark windows and document windows meet in a
-hash join, and on each diagonal (document position less item position) the
-slots are checked: a value of the item must stand for one value of the document
-throughout, and the other way round.
-
-* A document is a leak of an item if windows on consistent diagonals match at
-  least half of the item's windows.
+template tokens are hashed, and windows that hold slots also with their values,
+in lower case; benchmark windows and document windows meet in a hash join, and
+on each diagonal (document position less item position) the slots are checked:
+a value of the item must stand for one value of the document.  Windows with
+slots in conflict do not count; windows with the item's own values always do.
+
+* A document is a leak of an item if it matches at least half of the item's
+  windows with ``LITERALS`` literals, or has at least half of all its windows
+  word by word.
 * An item that needs ``a`` of its ``n`` windows must match one of any
-  ``n - a + 1``, so pairs are proposed by each item's rarest windows only; a
+  ``n - a + 1``, so pairs are proposed by each item's rarest windows only (of
+  either kind); a
   phrase that many items share proposes nothing.  All windows of the proposed
   pairs are then compared.
 * Documents are read once.  A Bloom filter of fixed size over the benchmark's
@@ -31,7 +34,7 @@ from barsmith.llm.common import cut, sieve
 from barsmith.llm.shingles import CACHE_WORDS, grouped, mixed
 
 WIDTH = 8
-#: literal tokens that a window must have to be evidence
+#: literal tokens that a window must have to be evidence with other values
 LITERALS = 4
 #: bits of the filter that is sent to the tasks
 FILTER = 1 << 22
@@ -92,20 +95,28 @@ def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, n
     return out[keep], values[keep], keep
 
 
-def window_hashes(t: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows with enough literals, and where they start."""
+def window_hashes(t: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows with enough literals, then of the windows that hold
+    slots with the values in place of the placeholders; where they start; and
+    how many are of the first kind.  Without slots both hashes are one."""
     n = len(t) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.full(n, np.uint64(width))
-    for i in range(width):
-        h = h * np.uint64(0x100000001B3) + mixed(t[i:i + n])
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
     literal = np.append(0, np.cumsum(values == 0))
-    at = np.flatnonzero(literal[width:] - literal[:-width] >= min(LITERALS, width))
-    return mixed(h[at], width), at
+    literal = literal[width:] - literal[:-width]
+    found = []
+    for tokens, at in ((t, np.flatnonzero(literal >= min(LITERALS, width))),
+                       (np.where(values == 0, t, values ^ np.uint64(1)), np.flatnonzero(literal < width))):
+        if len(at):
+            h, m = np.full(n, np.uint64(width)), mixed(tokens)
+            for i in range(width):
+                h = h * np.uint64(0x100000001B3) + m[i:i + n]
+            found.append((mixed(h[at], width), at))
+    return np.concatenate([h for h, _ in found]), np.concatenate([at for _, at in found]), \
+        int((literal >= min(LITERALS, width)).sum())
 
 
-ITEM = "item_id long, hash long, pos int, values binary, total int, width int, same long"
+ITEM = "item_id long, hash long, pos int, values binary, total int, width int, same long, raw boolean, raw_total int"
 
 
 def _item_task(batches):
@@ -117,14 +128,15 @@ def _item_task(batches):
             width = min(WIDTH, len(t))
             if width < LITERALS:
                 continue
-            h, at = window_hashes(t, values, width)
+            h, at, total = window_hashes(t, values, width)
             same = int(np.bitwise_xor.reduce(mixed(mixed(t) + values + np.arange(len(t), dtype=np.uint64)), initial=0)
                        if len(t) else 0)
-            for x, p in zip(h.view(np.int64).tolist(), at.tolist()):
-                row = (item, x, p, values[p:p + width].tobytes(), len(at), width, int(np.uint64(same).view(np.int64)))
+            for i, (x, p) in enumerate(zip(h.view(np.int64).tolist(), at.tolist())):
+                row = (item, x, p, values[p:p + width].tobytes(), total, width, int(np.uint64(same).view(np.int64)),
+                       i >= total, len(t) - width + 1)
                 for k, v in zip(out, row):
                     out[k].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
@@ -139,7 +151,7 @@ def _doc_task(shared):
             for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 t, values, _ = template(text.as_py(), cache)
                 for width in widths:
-                    h, at = window_hashes(t, values, width)
+                    h, at, _ = window_hashes(t, values, width)
                     may = bits[_bit(h, 0)] & bits[_bit(h, 1)]
                     for x, p in zip(h[may].view(np.int64).tolist(), at[may].tolist()):
                         for k, v in zip(out, (key, doc, x, p, values[p:p + width].tobytes())):
@@ -168,6 +180,11 @@ def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.unique(pairs[:, 0])) == len(pairs) == len(np.unique(pairs[:, 1]))
 
 
+def _equal_and_consistent(a: np.ndarray, b: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    equal = (a == b).all(axis=1) | (a == 0).all(axis=1)      # without slots by hash
+    return equal, np.full(len(a), _consistent(a.ravel(), b.ravel()))
+
+
 PAIR = "key long, doc_id long, item_id long, matched int, windows int, reworded boolean, dpos int"
 
 
@@ -176,24 +193,25 @@ def _check_task(need: float):
     def run(batches):
         for (key, _), rows in grouped(batches, ["key", "same"]):
             diag, pos = rows.column("diag").to_numpy(), rows.column("pos").to_numpy()
-            a = [np.frombuffer(x, np.uint64) for x in rows.column("values").to_pylist()]
-            b = [np.frombuffer(x, np.uint64) for x in rows.column("dvalues").to_pylist()]
-            matched, reworded, first = set(), False, None
-            for d in np.unique(diag):
-                at = np.flatnonzero(diag == d)
-                x, y = np.concatenate([a[i] for i in at]), np.concatenate([b[i] for i in at])
-                if _consistent(x, y):
-                    matched.update(pos[at].tolist())
-                    reworded |= bool((x != y).any())
-                    here = int(pos[at].min() + d)
-                    first = here if first is None else min(first, here)
-            total = rows.column("total")[0].as_py()
-            if matched and len(matched) >= need * total:
+            raw, literal = (rows.column(c).to_numpy() for c in ("raw", "literal"))
+            a, b = (np.stack([np.frombuffer(x, np.uint64) for x in rows.column(c).to_pylist()])
+                    for c in ("values", "dvalues"))
+            equal, fits = raw.copy(), raw.copy()
+            for d in np.unique(diag[~raw]):
+                at = np.flatnonzero((diag == d) & ~raw)
+                equal[at], fits[at] = _equal_and_consistent(a[at], b[at], pos[at])
+            total, every = rows.column("total")[0].as_py(), rows.column("raw_total")[0].as_py()
+            matched, verbatim = len(np.unique(pos[fits & literal])), len(np.unique(pos[equal]))
+            if not total or matched < need * total:
+                matched, total, fits = verbatim, every, equal
+            if matched and matched >= need * total:
+                copied = set(zip(diag[equal].tolist(), pos[equal].tolist()))
+                reworded = any(x not in copied for x in zip(diag[fits].tolist(), pos[fits].tolist()))
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array([key], pa.int64()), "doc_id": rows.column("doc_id").slice(0, 1).combine_chunks(),
-                    "item_id": rows.column("item_id").slice(0, 1).combine_chunks(), "matched": pa.array([len(matched)], pa.int32()),
+                    "item_id": rows.column("item_id").slice(0, 1).combine_chunks(), "matched": pa.array([matched], pa.int32()),
                     "windows": pa.array([total], pa.int32()), "reworded": pa.array([reworded]),
-                    "dpos": pa.array([first], pa.int32())})
+                    "dpos": pa.array([int((pos + diag)[fits].min())], pa.int32())})
     return run
 
 
@@ -208,7 +226,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     says that slots differ, ``dpos`` is the first template token.
 
     Null and empty texts hold nothing and are no items; items of fewer than
-    ``LITERALS`` tokens are no evidence.  Items with equal templates and values
+    ``LITERALS`` tokens are no evidence.  Items whose windows all lack literals
+    are found word by word only, not with other values; so are names in a text
+    that changes their case.  Items with equal templates and values
     are one, under the smallest id; one id with two texts is two items (items
     with a null id are not reported).  ``key`` is a hash of id and text: repeated rows are one
     document, rows with one id and different texts are two."""
@@ -216,12 +236,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     items = cut(benchmark.where(F.col(item_id).isNotNull())
                 .select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text))
                 .mapInArrow(_item_task, ITEM))
-    items = items.groupBy("same", "pos").agg(
-        F.min("item_id").alias("item_id"), *(F.first(c).alias(c) for c in ("hash", "values", "total", "width")))
+    items = items.groupBy("same", "pos", "raw").agg(
+        F.min("item_id").alias("item_id"),
+        *(F.first(c).alias(c) for c in ("hash", "values", "total", "width", "raw_total")))
     common = items.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("same").orderBy("df", "hash", "pos"))   # within one item
-    asked = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(need)))
-    items = cut(items.join(common, "hash").withColumn("proposes", rank <= F.col("total") - asked + 1))
+    place = Window.partitionBy("same", "pos")                                             # within one item
+    items = items.join(common, "hash").withColumn("literal", F.max(~F.col("raw")).over(place)) \
+        .withColumn("most", F.max("df").over(place)) \
+        .withColumn("whole", F.col("raw") | (F.count(F.lit(1)).over(place) == 1))         # one a place
+    by_place = F.dense_rank().over(Window.partitionBy("same", "literal").orderBy("most", "pos"))
+    by_whole = F.row_number().over(Window.partitionBy("same", "whole").orderBy("df", "hash", "pos"))
+
+    def rarest(rank, total):
+        return rank <= F.col(total) - F.greatest(F.lit(1), F.ceil(F.col(total) * F.lit(need))) + 1
+    items = cut(items.withColumn("proposes", (F.col("literal") & rarest(by_place, "total"))
+                                 | (F.col("whole") & rarest(by_whole, "raw_total"))))
 
     bits = np.zeros(FILTER, bool)
     for r in items.select("hash").distinct().mapInArrow(_bits_task, "bit long").distinct().toLocalIterator():
@@ -233,7 +262,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
                .join(items.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["key", "dpos", "hash"]))
     pairs = hits.join(items.where("proposes").select("hash", "same"), "hash").select("key", "same").distinct()
     both = pairs.join(hits, "key").join(items, ["same", "hash"]).select(
-        "key", "same", "item_id", (F.col("dpos") - F.col("pos")).alias("diag"), "pos", "values", "dvalues", "total", "doc_id")
+        "key", "same", "item_id", (F.col("dpos") - F.col("pos")).alias("diag"), "pos", "values", "dvalues", "total", "doc_id",
+        "raw", "literal", "raw_total")
     return both.repartition("key", "same").sortWithinPartitions("key", "same").mapInArrow(
         _check_task(need), PAIR)
 

@@ -309,6 +309,14 @@ def test_leaks_with_other_values_and_consistent_slots(spark):
     assert templates.drop_leaks(d, items.limit(0)).count() == len(rows)
 
 
+def test_leaks_of_items_that_are_mostly_values(spark):
+    items = [(1, "What is 12 + 30?"), (2, "Tom 12, Anna 30, Ben 45, Lucy 7, Mark 19, Nina 23, Paul 81")]
+    rows = [(1, PAD + ". " + items[0][1]), (2, PAD + ". " + items[1][1] + ". " + PAD), (3, PAD + " What is 12 + 31?"),
+            (4, PAD + ". Tom 13, Anna 31, Ben 46, Lucy 8, Mark 20, Nina 24, Paul 82"), (5, PAD)]
+    found = templates.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.reworded) for r in found.collect()} == {(1, 1, False), (2, 2, False)}
+
+
 # -- 8 licenses ----------------------------------------------------------------------
 
 def test_licenses_spans_and_near_matches(spark):
