@@ -172,17 +172,28 @@ def _bits_task(batches):
         yield pa.RecordBatch.from_pydict({"bit": pa.array(np.unique(np.concatenate([_bit(h, 0), _bit(h, 1)])))})
 
 
-def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether each value on either side stands for one on the other."""
-    if ((a == 0) != (b == 0)).any():
-        return False
-    pairs = np.unique(np.stack([a, b], 1)[a != 0], axis=0)
-    return len(np.unique(pairs[:, 0])) == len(pairs) == len(np.unique(pairs[:, 1]))
-
-
 def _equal_and_consistent(a: np.ndarray, b: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows (rows) of a diagonal, which hold the item's own values,
+    and which hold only slots whose item value stands for one document value
+    there.  That is the value most of its slots have, its own if as many have
+    another; with no such value all its slots are in conflict."""
     equal = (a == b).all(axis=1) | (a == 0).all(axis=1)      # without slots by hash
-    return equal, np.full(len(a), _consistent(a.ravel(), b.ravel()))
+    fits = ((a == 0) == (b == 0)).all(axis=1)
+    at = (pos[:, None] + np.arange(a.shape[1]))[a != 0]
+    _, once = np.unique(at, return_index=True)
+    pairs, seen = np.unique(np.stack([a[a != 0][once], b[a != 0][once]], 1), axis=0, return_counts=True)
+    stands, votes = {}, {}
+    for (x, y), n in zip(pairs.tolist(), (2 * seen).tolist()):
+        n += x == y
+        if n >= votes.get(x, 0):
+            stands[x] = None if n == votes.get(x) else y
+            votes[x] = n
+    if len(pairs):
+        right = np.array([stands[x] == y for x, y in pairs.tolist()])
+        wrong = {tuple(p) for p in pairs[~right].tolist()}
+        if wrong:
+            fits &= np.array([not any((x, y) in wrong for x, y in zip(r, q)) for r, q in zip(a.tolist(), b.tolist())])
+    return equal, equal | fits
 
 
 PAIR = "key long, doc_id long, item_id long, matched int, windows int, reworded boolean, dpos int"

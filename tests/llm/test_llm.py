@@ -317,6 +317,18 @@ def test_leaks_of_items_that_are_mostly_values(spark):
     assert {(r.doc_id, r.item_id, r.reworded) for r in found.collect()} == {(1, 1, False), (2, 2, False)}
 
 
+def test_leaks_with_one_conflicting_slot_equal_values_or_other_case(spark):
+    # windows without the slot in conflict count; two values may become one; case is no difference
+    long = ("A farmer sells 48 melons at the market in the morning and then walks back to the old barn where the "
+            "hired hands have loaded another cart with fruit so that by noon the total is again 48 melons in all.")
+    items = [(1, long), (2, "We buy 3 apples and 5 pears today and then put all of them into the basket at home."),
+             (3, "yesterday Tom met Anna and then Ben and Lucy with Mark and Nina and Paul and Sarah and Peter")]
+    rows = [(1, PAD + ". " + long.replace("again 48", "again 50")), (2, items[1][1].replace("3", "4").replace("5", "4")),
+            (3, items[2][1].lower()), (4, PAD + " " + items[2][1].upper()), (5, PAD)]
+    found = templates.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (4, 3)}
+
+
 # -- 8 licenses ----------------------------------------------------------------------
 
 def test_licenses_spans_and_near_matches(spark):
