@@ -30,7 +30,9 @@ DIM = 1024
 SYMBOLS, LATIN, OTHER = 128, 27, 60
 #: trigram vectors that a task remembers
 VECTORS = 40_000
-#: characters bundled at a time while training
+#: labelled texts of a language and size from which a bound is taken, and how
+#: far below the quartiles it lies
+JUDGED, FENCE = 50, 3
 UNKNOWN = "und"
 
 
@@ -142,24 +144,28 @@ def train(rows: DataFrame, lang: str, text: str, dim: int = DIM) -> dict:
     found = sorted((r["lang"], np.frombuffer(bytes(r["vec"]), np.int64)) for r in cut(sums).collect())
     found = [(k, v.astype(np.float64)) for k, v in found if v.any()]
     return {"dim": dim, "langs": [k for k, _ in found], "symbols": shared,
+            "norms": {k: float(np.linalg.norm(v)) for k, v in found},
             "prototypes": np.array([v / np.linalg.norm(v) for _, v in found]).reshape(len(found), dim)}
 
 
 def predictor(spark, model: dict):
-    """A column function: text to ``struct<lang: string, score: double>``."""
+    """A column function: text to ``struct<lang: string, score: double, known:
+    boolean>``; ``known`` says that the text has letters and that its score is
+    not below the bound of the model, if the model has ``bounds``."""
     symbols = model["symbols"]
-    shared = spark.sparkContext.broadcast({k: model[k] for k in ("dim", "langs", "prototypes")})
+    shared = spark.sparkContext.broadcast({k: model.get(k, {}) for k in ("dim", "langs", "prototypes", "bounds")})
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, table = shared.value, symbols.value
         vectors = Vectors(m["dim"])
         for batch in texts:
-            langs, scores = [], []
+            langs, scores, known = [], [], []
             for text in batch:
                 codes = trigrams(text.as_py(), table)
                 if not len(codes) or not m["langs"]:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
+                    known.append(bool(len(codes)))
                     continue
                 v = vectors.bundle(codes)
                 vectors.forget()
@@ -167,10 +173,62 @@ def predictor(spark, model: dict):
                 best = int(np.argmax(cos))
                 langs.append(m["langs"][best])
                 scores.append(float(min(1.0, max(0.0, cos[best]))))
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=["lang", "score"])
+                low = m["bounds"].get(langs[-1], {})
+                size = max((x for x in low if x <= _size(codes)), default=None)
+                known.append(size is None or scores[-1] >= low[size])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                                              pa.array(known, pa.bool_())], names=["lang", "score", "known"])
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<lang:string,score:double>")
+    return F.arrow_udf(run, "struct<lang:string,score:double,known:boolean>")
+
+
+def _size(codes: np.ndarray) -> int:
+    """Texts are compared with texts of their size: bits of their trigram count."""
+    return len(codes).bit_length()
+
+
+def bounds(rows: DataFrame, lang: str, text: str, model: dict) -> dict:
+    """Per language the lowest score of a text of each size, from the scores of
+    all training texts with their own language: ``FENCE`` times the distance of
+    the quartiles below the lower one.  A text is left out of the prototype it
+    is held against.  Scores grow with size: where a size has fewer than
+    ``JUDGED`` texts, smaller ones count with it until there are as many, and a
+    size without a bound takes that of the next smaller one.  What reaches the
+    driver are counts by language, size and thousandths."""
+    symbols = model["symbols"]
+    shared = rows.sparkSession.sparkContext.broadcast({k: model[k] for k in ("dim", "langs", "norms", "prototypes")})
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        m, table = shared.value, symbols.value
+        vectors, number = Vectors(m["dim"]), {k: i for i, k in enumerate(m["langs"])}
+        for texts, langs in columns:
+            out = []
+            for t, la in zip(texts, langs.to_pylist()):
+                codes = trigrams(t.as_py(), table)
+                if not len(codes) or la not in number:
+                    out.append(None)
+                    continue
+                v = vectors.bundle(codes)
+                vectors.forget()
+                rest = m["prototypes"][number[la]] * m["norms"][la] - v
+                cos = rest @ v / max(np.linalg.norm(rest) * np.linalg.norm(v), 1e-9)
+                out.append({"size": _size(codes), "at": int(round(1000 * min(1.0, max(0.0, cos))))})
+            yield pa.array(out, pa.struct([("size", pa.int32()), ("at", pa.int32())]))
+    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    scored = F.arrow_udf(run, "struct<size:int,at:int>")
+    counts = rows.select(F.col(lang).cast("string").alias("lang"), scored(F.col(text), F.col(lang).cast("string")).alias("s"))
+    seen = {}
+    for r in counts.where(F.col("s").isNotNull()).groupBy("lang", "s.size", "s.at").count().collect():
+        seen.setdefault((r["lang"], r["size"]), []).append((r["at"], r["count"]))
+    found, held = {}, {}
+    for la, size in sorted(seen):
+        pairs = held[la] = held.get(la, []) + seen[la, size]
+        at, n = np.array(sorted(pairs)).T
+        if n.sum() >= JUDGED:
+            low, high = (int(at[np.searchsorted(np.cumsum(n), n.sum() * q)]) for q in (.25, .75))
+            found.setdefault(la, {})[size] = (low - FENCE * (high - low)) / 1000
+            held[la] = []
+    return found
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,3 +251,16 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     out = docs.withColumn("__held", held_out(F.col(doc_id))).withColumn("__pred", predict(F.col(text)))
     return out.select(*names, F.col("__held").alias("held_out"), F.col("__pred.lang").alias("lang_pred"),
                       F.col("__pred.score").alias("score"))
+
+
+def in_a_language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                  dim: int = DIM) -> DataFrame:
+    """The documents that are in a language, with ``lang_pred``: those with
+    letters whose score reaches the bound (see :func:`bounds`) of the predicted
+    language.  Texts smaller than any that has a bound stay, and so do all with
+    letters when nothing could be learned (``lang_pred`` is ``und`` then)."""
+    rows = docs.where(~held_out(F.col(doc_id)))
+    model = train(rows, lang, text, dim)
+    model["bounds"] = bounds(rows, lang, text, model) if model["langs"] else {}
+    found = docs.withColumn("__pred", predictor(docs.sparkSession, model)(F.col(text))).where("__pred.known")
+    return found.withColumn("lang_pred", F.col("__pred.lang")).drop("__pred")

@@ -23,9 +23,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null, empty or without letters) go; a document
+    """Documents in no language go: null, empty, without letters, or with a score
+    below what the labelled documents of the predicted language have.  A document
     without a language label gets the predicted one."""
-    found = langid.identify(docs.select(*COLUMNS)).where(F.col("lang_pred") != langid.UNKNOWN)
+    found = langid.in_a_language(docs.select(*COLUMNS))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

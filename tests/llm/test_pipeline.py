@@ -79,3 +79,18 @@ def test_run_applies_the_stages_and_entry_registers_everything(spark, tmp_path):
     names = entry.queries()
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+
+
+def test_language_stage_rejects_by_score_and_keeps_all_without_labels(spark):
+    import random
+    from pyspark.sql import functions as F
+    from tests.llm.test_llm import language_rows
+    rnd = random.Random(5)
+    clean = [(i, (t + " ") * 3, la, "s") for i, t, la, _ in language_rows()]
+    junk = [(1000 + i, " ".join("".join(rnd.choices("qxzjkvwyþæ", k=6)) for _ in range(150)), None, "s") for i in range(5)]
+    other = [(2000 + i, " ".join(rnd.choices("это не на что как мы они был для уже только".split(), k=250)), None, "s") for i in range(5)]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    got = {r.doc_id for r in stage(spark, docs(spark, clean + junk + other), "").collect()}
+    assert got == {r[0] for r in clean}
+    bare = docs(spark, [*clean[:20], (900, "12 !", "en", "s"), (901, None, "en", "s")]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in stage(spark, bare, "").collect()} == {r[0] for r in clean[:20]}
