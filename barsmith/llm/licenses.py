@@ -6,7 +6,8 @@ tokens holds one.  An inverted index from fingerprint to template places is
 looked up with the k-grams of every document.  Hits that lie together propose a
 template and a diagonal, and a local alignment in a band around it reports the
 matched share of the template and the span in the document, so notices with
-changed, missing or added words are found too.
+changed, missing or added words are found too.  Alignments of one template that
+follow one another are chained, so parts may be inserted or left out.
 
 The scan is a map over documents; nothing is shuffled.  The index is built from
 the templates, which are a parameter.
@@ -14,6 +15,8 @@ the templates, which are a parameter.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -88,13 +91,14 @@ def build_index(templates: dict[str, str]) -> dict:
     return {"names": names, "tokens": tokens, "prints": prints[by], "places": places[by]}
 
 
-def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, int]:
+def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, int, int, int]:
     """Best local alignment with document place minus template place within
-    ``band`` of ``shift``: ``(matches, start, end, score)``, places in ``doc``.
-    A match scores 2, a mismatch or gap costs 1."""
+    ``band`` of ``shift``: ``(matches, start, end, score, first, last)``, start
+    and end in ``doc``, first and last (exclusive) in the template.  A match
+    scores 2, a mismatch or gap costs 1."""
     width = 2 * band + 1
-    score, match, start = (np.zeros(width + 2, np.int64) for _ in range(3))
-    best = (0, 0, 0, 0)
+    score, match, start, first = (np.zeros(width + 2, np.int64) for _ in range(4))
+    best = (0, 0, 0, 0, 0, 0)
     for i, token in enumerate(template):
         j = i + shift - band + np.arange(width)
         inside = (j >= 0) & (j < len(doc))
@@ -107,18 +111,88 @@ def align(template: np.ndarray, doc: np.ndarray, shift: int, band: int = BAND) -
         take = diag >= up
         m = np.where(take, match[1:-1] + same, match[2:])
         s = np.where(take, np.where(fresh, j, start[1:-1]), start[2:])
+        f = np.where(take, np.where(fresh, i, first[1:-1]), first[2:])
         for c in range(1, width):            # skipped document tokens, left to right
             if new[c - 1] - 1 > new[c]:
-                new[c], m[c], s[c] = new[c - 1] - 1, m[c - 1], s[c - 1]
+                new[c], m[c], s[c], f[c] = new[c - 1] - 1, m[c - 1], s[c - 1], f[c - 1]
         new[~inside] = 0
         m[new == 0] = 0
-        score[1:-1], match[1:-1], start[1:-1] = new, m, s
+        score[1:-1], match[1:-1], start[1:-1], first[1:-1] = new, m, s, f
         c = int(np.argmax(new))
         if new[c] > best[3]:
-            best = (int(m[c]), int(s[c]), int(j[c]) + 1, int(new[c]))
+            best = (int(m[c]), int(s[c]), int(j[c]) + 1, int(new[c]), int(f[c]), i + 1)
     return best
 
 
+def pieces(template: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple]:
+    """Alignments of a template that do not overlap, by place, until no hit
+    ``(shift, place)`` is left: ``(start, end, matches, first, last)``.  The best
+    one stays; the hits of a band that are outside of what was found are aligned
+    again in the free part of the document around them."""
+    ends, taken, queue = [], [], []
+
+    def propose(hits: list[tuple[int, int]]) -> None:
+        free = {}
+        for shift, p in sorted(hits):
+            k = bisect.bisect_right(ends, p)
+            lo, hi = ends[k - 1] if k else 0, taken[k][0] if k < len(taken) else len(doc)
+            if p + min(GRAM, len(template)) > hi:
+                continue                     # covered
+            if (lo, hi) not in free or shift - free[lo, hi][-1][0] > BAND:
+                free.setdefault((lo, hi), []).append((shift, []))
+            free[lo, hi][-1][1].append((shift, p))
+        for (lo, hi), bands in free.items():
+            for shift, own in bands:
+                # only what the band can reach
+                a, z = max(lo, shift - BAND), min(hi, shift + len(template) + BAND)
+                m, s, e, score, f, t = align(template, doc[a:z], shift - a)
+                if m >= min(GRAM, len(template)):
+                    heapq.heappush(queue, (-score, s + a, e + a, m, f, t, own))
+
+    propose(pairs)
+    while queue:
+        _, s, e, m, f, t, own = heapq.heappop(queue)
+        k = bisect.bisect_right(ends, s)
+        if k == len(taken) or taken[k][0] >= e:
+            ends.insert(k, e)
+            taken.insert(k, (s, e, m, f, t))
+        propose(own)
+    return taken
+
+
+def chains(found: list[tuple], size: int, least: float) -> list[tuple[int, list[tuple]]]:
+    """``(matches, pieces)`` of at least ``least`` matches: pieces that follow
+    one another in the document and in the template, at most the template's
+    length apart."""
+    out = []
+    while found:
+        best, back = [p[2] for p in found], [None] * len(found)
+        for i, (s, _, m, f, t) in enumerate(found):
+            for j in range(i - 1, -1, -1):
+                if s - found[j][1] > size:
+                    break
+                over = max(0, found[j][4] - f)
+                if over <= min(BAND, m - 1, t - f - 1) and found[j][3] < f and best[j] + m - over > best[i]:
+                    best[i], back[i] = best[j] + m - over, j
+        used, cut_short, before = set(), False, len(out)
+        for i in sorted(range(len(found)), key=lambda i: (-best[i], i)):
+            if best[i] < least:
+                break
+            chain, at = [], i
+            while at is not None and at not in used:
+                chain.append(at)
+                at = back[at]
+            if at is not None:
+                cut_short |= bool(chain)     # another took the rest: again among what is left
+                continue
+            used.update(chain)
+            out.append((best[i], [found[k] for k in reversed(chain)]))
+        if not cut_short or len(out) == before:
+            break
+        found = [p for k, p in enumerate(found) if k not in used]
+    return out
+
+
 def scan_text(text: str | None, index: dict, cache: WordHashes, need: float) -> list[tuple]:
     """``(license, coverage, start, end)`` in characters, by place; of matches
     that overlap, the one with more matched tokens stays."""
@@ -140,20 +214,20 @@ def scan_text(text: str | None, index: dict, cache: WordHashes, need: float) ->
             hits.setdefault(t, []).append((p - place, p))
     found = []
     for t, pairs in hits.items():
-        size, last = len(index["tokens"][t]), None
-        for shift, _ in sorted(pairs):
-            if last is not None and shift - last <= BAND:
-                continue                     # within the band of the one before
-            last = shift
-            matches, start, end, _ = align(index["tokens"][t], h, shift)
-            if matches >= max(GRAM, need * size):
-                found.append((matches, matches / size, start, end, index["names"][t]))
+        size = len(index["tokens"][t])
+        for matches, parts in chains(pieces(index["tokens"][t], h, pairs), size, max(GRAM, need * size)):
+            found.append((matches, matches / size, parts[0][0], parts[-1][1], index["names"][t], parts))
     if not found:
         return []
     spans = [m.span() for m in TOKEN.finditer(low)]
-    kept = []
-    for matches, share, start, end, name in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
-        if all(end <= a or start >= b for a, b, *_ in kept):
+    kept, ends, taken = [], [], []           # what is taken, by place
+    for matches, share, start, end, name, parts in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
+        places = [bisect.bisect_right(ends, s) for s, *_ in parts]
+        if all(k == len(taken) or taken[k] >= e for k, (_, e, *_) in zip(places, parts)):
+            for s, e, *_ in parts:
+                k = bisect.bisect_right(ends, s)
+                ends.insert(k, e)
+                taken.insert(k, s)
             kept.append((start, end, name, share))
     return [(name, share, spans[start][0], spans[end - 1][1]) for start, end, name, share in sorted(kept)]
 

@@ -350,6 +350,15 @@ def test_licenses_spans_and_near_matches(spark):
     assert licenses.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_licenses_close_together_and_with_long_gaps(spark):
+    bsd = licenses.TEMPLATES["BSD"].split()
+    rows = [(1, "Copyright 2020 A. All rights reserved. Copyright 2021 B. All rights reserved."),
+            (2, " ".join(bsd[:28] + ["inserted"] * 20 + bsd[28:])), (3, " ".join(bsd[:24] + bsd[36:])),
+            (4, ("All rights reserved. " + PAD + ". ") * 3)]
+    got = {r.doc_id: [x.license for x in r.licenses] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {1: ["all-rights-reserved"] * 2, 2: ["BSD"], 3: ["BSD"], 4: ["all-rights-reserved"] * 3}
+
+
 def test_winnowing_leaves_no_gap():
     h = np.random.default_rng(0).integers(0, 1 << 60, 500).astype(np.uint64)
     at = licenses.winnow(h, 5)
