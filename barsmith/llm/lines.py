@@ -115,7 +115,8 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, *, min_chars: int =
     repeats = []
     for b in range(len(bounds) + 1):
         batch = spark.table(lines).where(F.col("__batch") == b)
-        keys = batch.groupBy(*HASH).agg(F.count(F.lit(1)).alias("__docs"), F.max("__doc").alias("__top"))
+        held = batch.select("__doc", *HASH).distinct()      # rows with one id are one document
+        keys = held.groupBy(*HASH).agg(F.count(F.lit(1)).alias("__docs"), F.max("__doc").alias("__top"))
         repeats.append(runs.add(keys))
     repeats = [t for t in repeats if t]
     held = reduce(DataFrame.unionByName, runs.runs())
@@ -139,8 +140,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A key found in ``min_docs`` documents loses all its lines but those of the
     largest id holding it.  Null and empty texts are one empty line.  Rows with
-    one id are one holder for what stays, and count as rows; null ids are the
-    smallest.  A line repeated within a text stays or goes as a whole.  Columns
+    one id are one document; null ids are one too, the smallest.  A line repeated within a text stays or goes as a whole.  Columns
     of the added names are replaced; all others are passed on."""
     lost = repeated_lines(docs, doc_id, text, **how)
     min_chars = how.get("min_chars", 40)

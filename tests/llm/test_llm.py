@@ -136,6 +136,14 @@ def test_lines_columns_and_empty(spark):
     assert not [t for t in spark.catalog.listTables("barsmith_scratch") if "line" in t.name]
 
 
+def test_lines_count_documents_and_not_rows(spark):
+    line = "A line of forty characters or more that two documents share."
+    out = lines.dedup_lines(docs(spark, [(1, line)] * 4 + [(2, line)])).collect()
+    assert len(out) == 5 and {r.n_dropped for r in out} == {0}
+    out = lines.dedup_lines(docs(spark, [(1, line)] * 4 + [(i, line) for i in range(2, 6)])).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in out) == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (5, 0)]
+
+
 # -- 3 language ----------------------------------------------------------------
 
 def language_rows():
