@@ -315,7 +315,7 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
         fill().alias("parts"))
     bands = cut(bands)
     one = s.join(whole.where("parts = 1").select("cls"), "cls").select(
-        "doc_id", "cls", F.lit("").alias("pair"))
+        "doc_id", "fp1", "cls", F.lit("").alias("pair"))
     nxt = bands.select("cls", (F.col("band") - 1).alias("band"), F.col("parts").alias("next"))
     prev = bands.select("cls", (F.col("band") + 1).alias("band"), F.col("parts").alias("prev"))
     many = (s.join(bands, ["cls", "band"]).join(nxt, ["cls", "band"], "left").join(prev, ["cls", "band"], "left")
@@ -331,7 +331,7 @@ def _blocks(sets: DataFrame, percent: int) -> DataFrame:
     up = F.transform(upto(F.coalesce("next", F.lit(0))), lambda x: tag(F.col("band"), F.col("mine"), F.concat(F.lit("+"), x)))
     down = F.transform(upto(F.coalesce("prev", F.lit(0))), lambda x: tag(
         F.col("band") - 1, x, F.concat(F.lit("+"), F.col("mine"))))
-    many = many.select("doc_id", "cls", F.explode(F.concat(own, up, down)).alias("pair"))
+    many = many.select("doc_id", "fp1", "cls", F.explode(F.concat(own, up, down)).alias("pair"))
     return one.unionByName(many)
 
 
@@ -361,7 +361,8 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     may = cut(sets.select("fp1", "n", F.col("rep").alias("__rep")).join(shared, "fp1").where(enough).drop("n", "places"))
     texts = may_have(d, "doc_id", may, "__rep")
     texts = texts.join(may, texts["doc_id"] == may["__rep"]).select("doc_id", "fp1", "__text", "pos")
-    members = cut(texts.mapInArrow(_member_task(words), MEMBER))
+    # repeated rows of a representative are one member
+    members = cut(texts.mapInArrow(_member_task(words), MEMBER).dropDuplicates(["doc_id", "fp1"]))
 
     classes = spark.sparkContext.broadcast(token_classes(members))
     sent = members.select("fp1", "n", "tokens").mapInArrow(
@@ -377,7 +378,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     cls = cls.dropna().select(F.col("node").alias("fp1"), F.xxhash64(*(f"r{k}" for k in range(orders))).alias("cls"))
     blocks = cut(_blocks(cut(members.select("doc_id", "fp1", "n").join(cls, "fp1")), percent))
 
-    similar = members.join(blocks, "doc_id").repartition("cls", "pair").sortWithinPartitions("cls", "pair").select(
+    similar = members.join(blocks, ["doc_id", "fp1"]).repartition("cls", "pair").sortWithinPartitions("cls", "pair").select(
         "cls", "pair", "doc_id", "n", "tokens").mapInArrow(_verify_task(percent), "a long, b long")
     comp = components(similar.unionByName(copies))
     return digest.join(comp, digest["doc_id"] == comp["node"], "left").select(

@@ -398,6 +398,15 @@ def test_large_classes_are_blocked_without_loss(spark, monkeypatch):
     assert got == {r[0]: b[1] for r, b in zip(rows, brute.classes(rows, 4, 85))}
 
 
+def test_repeated_rows_of_an_id_are_one_member(spark, monkeypatch):
+    seen, blocks = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda sets, percent: seen.append(sets.count()) or blocks(sets, percent))
+    text = " ".join(f"w{i}" for i in range(60))
+    out = jaccard.near_classes(docs(spark, [(1, text)] * 20 + [(2, text + " more"), (3, PAD)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1)] * 20 + [(2, 1), (3, 3)]
+    assert seen == [2]
+
+
 def test_one_of_each_class_stays(spark):
     rows = edge_rows(spark)
     out = jaccard.one_of_each(own(docs(spark, rows))).collect()
