@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm import (jaccard, langid, licenses, lines, mixing, repeats, reputation, revisits, templates,
-                          topk)
+from barsmith.llm import (forest, jaccard, langid, licenses, lines, mixing, repeats, reputation, revisits, templates,
+                          topk, turntrie, whitening)
 from barsmith.llm.common import table
 
 
@@ -83,11 +83,29 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return turntrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened on the first 16 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th vector."""
+    found = forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_dedup_lines, op3_identify_language, op4_top_products,
                                 op5_judge_hosts, op6_resolve_revisits,
-                                op7_benchmark_leaks, op8_scan_licenses, op9_jaccard_join, op10_remove_repeats)}
+                                op7_benchmark_leaks, op8_scan_licenses, op9_jaccard_join, op10_remove_repeats,
+                                op11_conversation_trie, op12_whiten_embeddings, op13_nearest_vectors)}
 SQL = {"op1_mix_sources": mixing.mix_sql(), "op2_dedup_lines": lines.lines_sql(),
-       "op4_top_products": topk.top_sql(), "op6_resolve_revisits": revisits.revisits_sql()}
+       "op4_top_products": topk.top_sql(), "op6_resolve_revisits": revisits.revisits_sql(),
+       "op11_conversation_trie": turntrie.trie_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
