@@ -22,16 +22,16 @@ slots in conflict do not count; windows with the item's own values always do.
 
 from __future__ import annotations
 
-import re
+import functools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import cut, sieve
-from barsmith.llm.shingles import CACHE_WORDS, grouped, mixed
+from barsmith.llm.shingles import grouped, mixed
 
 WIDTH = 8
 #: literal tokens that a window must have to be evidence with other values
@@ -39,7 +39,6 @@ LITERALS = 4
 #: bits of the filter that is sent to the tasks
 FILTER = 1 << 22
 
-TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[.!?\n]|[%$€£]")
 #: Units that may follow a number, signs that are units anywhere.
 UNITS = frozenset("""mm cm m km in inch inches ft feet yd yard yards mi mile miles mg g kg gram grams ton tons
     lb lbs oz pound pounds ml l liter liters litre litres s sec second seconds min minute minutes h hour hours
@@ -53,87 +52,171 @@ WORD, CAPITAL, NUMBER, UNIT, SIGN, END, NAME = range(7)
 #: tokens of the placeholders
 SLOT = {NUMBER: np.uint64(11), UNIT: np.uint64(13), NAME: np.uint64(17)}
 
-
-class Tokens(dict):
-    """Token to its hash, the kind in the last three bits."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        low = token.lower()
-        if token in ".!?\n":
-            kind = END
-        elif token in SIGNS:
-            kind = SIGN
-        elif token[0].isdigit():
-            kind = NUMBER
-        elif token in NAMES:
-            kind = NAME
-        elif low in UNITS:
-            kind = UNIT
-        else:
-            kind = CAPITAL if token[0].isupper() and token[1:].islower() else WORD
-        h = self[token] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~7 | kind
-        return h
-
-
-def template(text: str | None, cache: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(template, values, offsets)``: template tokens, the hash of what stands
-    in each slot (0 for literals), and each token's place among all tokens."""
-    tokens = TOKEN.findall(text) if text else []
-    t = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-    kind = (t & np.uint64(7)).astype(np.int8)
-    before = np.append(np.int8(END), kind[:-1]) if len(kind) else kind
-    is_name = (kind == NAME) | ((kind == CAPITAL) & (before != END))
-    is_unit = (kind == SIGN) | ((kind == UNIT) & (before == NUMBER))
-    out = t & ~np.uint64(7)
-    values = np.zeros(len(t), np.uint64)
-    for mask, slot in ((kind == NUMBER, NUMBER), (is_unit, UNIT), (is_name, NAME)):
-        values[mask] = out[mask] | np.uint64(1)
-        out[mask] = SLOT[slot]
-    keep = np.flatnonzero(kind != END)
-    return out[keep], values[keep], keep
-
-
-def window_hashes(t: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the windows with enough literals, then of the windows that hold
-    slots with the values in place of the placeholders; where they start; and
-    how many are of the first kind.  Without slots both hashes are one."""
-    n = len(t) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    literal = np.append(0, np.cumsum(values == 0))
-    literal = literal[width:] - literal[:-width]
-    found = []
-    for tokens, at in ((t, np.flatnonzero(literal >= min(LITERALS, width))),
-                       (np.where(values == 0, t, values ^ np.uint64(1)), np.flatnonzero(literal < width))):
-        if len(at):
+#: characters that are tokenised at a time
+SLAB = 1 << 20
+#: classes of characters, 0 for all others
+LETTER, DIGIT, STOP, MONEY = 1, 2, 3, 4
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Characters:
+    """What each character is, and its lower case (where that is one character)."""
+
+    def __init__(self):
+        self.power = np.ones((2, 1), np.uint64)
+        self._tables(0x10000)
+        self.units, self.names = (np.sort(np.concatenate([self.scan(w)[0] for w in sorted(words)])) for words in (UNITS, NAMES))
+
+    def _tables(self, n: int) -> None:
+        every = [chr(c) for c in range(n)]
+        lower = [c.lower() for c in every]
+        self.kind = np.array([DIGIT if c.isdecimal() else LETTER * c.isalnum() for c in every], np.int8)
+        self.case = np.array([c.isupper() - c.islower() for c in every], np.int8)      # 1 upper, -1 lower
+        self.lower = np.array([ord(c) if len(c) == 1 else i for i, c in enumerate(lower)], np.uint64)
+        self.inner = np.zeros(n, np.int8)
+        for table, chars, kind in ((self.kind, ".!?\n", STOP), (self.kind, "%$€£", MONEY),
+                                   (self.inner, "'’-", LETTER), (self.inner, ".,:/", DIGIT)):
+            table[[ord(c) for c in chars]] = kind
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of an odd number and of its inverse modulo 2^64."""
+        if self.power.shape[1] <= n:
+            by = np.full((2, max(n, SLAB) + 1), BASE)
+            by[1], by[:, 0] = np.uint64(pow(int(BASE), -1, 1 << 64)), 1
+            self.power = np.cumprod(by, axis=1)
+        return self.power[0], self.power[1]
+
+    def scan(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash (in lower case, the last three bits zero), kind and first
+        character of each token: words (with inner ' or -), numbers (with inner
+        .,:/), ends of sentences and money signs."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(c)
+        if n and c.max() >= len(self.kind):
+            self._tables(0x110000)
+        up, down = self._powers(n)
+        kind = self.kind[c]
+        at = np.flatnonzero(self.inner[c])
+        at = at[(at > 0) & (at < n - 1)]
+        inner = self.inner[c[at]]
+        at = at[(kind[at - 1] == inner) & (kind[at + 1] == inner)]
+        kind[at] = kind[at - 1]
+        change = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] >= STOP)) if n else np.zeros(0, bool))
+        of = kind[change]
+        first, edge, of = change[of > 0], np.append(change[1:], n)[of > 0], of[of > 0]
+        total = np.append(np.uint64(0), np.cumsum(self.lower[c] * up[:n]))
+        h = (total[edge] - total[first]) * down[first]
+        h = mixed(h + (edge - first).astype(np.uint64)) & ~np.uint64(7)
+        out = np.array([0, WORD, NUMBER, END, SIGN], np.int8)[of]
+        case = self.case[c]
+        maybe = np.flatnonzero((of == LETTER) & (case[first] == 1))
+        a, b = first[maybe], edge[maybe]
+        uppers, lowers = (np.append(0, np.cumsum(case == v, dtype=np.int32)) for v in (1, -1))
+        maybe = maybe[(uppers[b] - uppers[a] == 1) & (lowers[b] > lowers[a])]
+        if hasattr(self, "names"):
+            out[maybe[~_in(h[maybe], self.units)]] = CAPITAL
+            out[maybe[_in(h[maybe], self.names)]] = NAME
+        return h, out, first
+
+
+@functools.cache
+def characters() -> Characters:
+    """One a worker."""
+    return Characters()
+
+
+def _in(h: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h
+
+
+def _pieces(texts: list[str | None]):
+    """``(string, texts its parts are of, where they start)``: many short texts
+    at a time, a long one in parts cut at white space."""
+    held, of, start, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = at + SLAB
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            held, of, start = held + [text[at:end]], of + [i], start + [size]
+            size += len(held[-1]) + 1
+            at = end
+            if size >= SLAB:
+                yield "\0".join(held), np.array(of), np.array(start)
+                held, of, start, size = [], [], [], 0
+    if held:
+        yield "\0".join(held), np.array(of), np.array(start)
+
+
+class Templates:
+    """Template tokens of many texts, one after the other: ``t`` (placeholders
+    for slots), ``values`` (hash of what stands in a slot, 0 for literals) and
+    ``text`` (which of the texts a token is of)."""
+
+    def __init__(self, texts: list[str | None], characters: Characters):
+        parts = [(*characters.scan(s), of, start) for s, of, start in _pieces(texts)]
+        h = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
+        kind = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int8)])
+        text = np.concatenate([of[np.searchsorted(start, at, "right") - 1] for _, _, at, of, start in parts]
+                              or [np.zeros(0, np.int64)])
+        before = np.append(np.int8(END), kind[:-1])[:len(kind)]
+        before[1:][text[1:] != text[:-1]] = END
+        is_name = (kind == NAME) | ((kind == CAPITAL) & (before != END))
+        is_unit = kind == SIGN
+        after = np.flatnonzero((before == NUMBER) & ((kind == WORD) | (kind == CAPITAL)))
+        is_unit[after[_in(h[after], characters.units)]] = True
+        is_name &= ~is_unit
+        values = np.zeros(len(h), np.uint64)
+        for mask, slot in ((kind == NUMBER, NUMBER), (is_unit, UNIT), (is_name, NAME)):
+            values[mask] = h[mask] | np.uint64(1)
+            h[mask] = SLOT[slot]
+        keep = kind != END
+        self.t, self.values, self.text = h[keep], values[keep], text[keep]
+        #: where each text's tokens begin, and where the last ends
+        self.start = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Hashes of the windows with enough literals, then of the windows that
+        hold slots with the values in place of the placeholders; where they
+        start; and how many are of the first kind.  Without slots both hashes
+        are one.  No window reaches into the next text."""
+        n = len(self.t) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        whole = self.text[:n] == self.text[width - 1:]
+        literal = np.append(0, np.cumsum(self.values == 0))
+        literal = literal[width:] - literal[:-width]
+        enough = whole & (literal >= min(LITERALS, width))
+        found = []
+        for tokens, at in ((self.t, np.flatnonzero(enough)),
+                           (np.where(self.values == 0, self.t, self.values ^ np.uint64(1)),
+                            np.flatnonzero(whole & (literal < width)))):
             h, m = np.full(n, np.uint64(width)), mixed(tokens)
-            for i in range(width):
+            for i in range(width if len(at) else 0):
                 h = h * np.uint64(0x100000001B3) + m[i:i + n]
             found.append((mixed(h[at], width), at))
-    return np.concatenate([h for h, _ in found]), np.concatenate([at for _, at in found]), \
-        int((literal >= min(LITERALS, width)).sum())
+        return np.concatenate([h for h, _ in found]), np.concatenate([at for _, at in found]), int(enough.sum())
 
 
 ITEM = "item_id long, hash long, pos int, values binary, total int, width int, same long, raw boolean, raw_total int"
 
 
 def _item_task(batches):
-    cache = Tokens()
+    known = characters()
     for batch in batches:
         out = {k.split()[0]: [] for k in ITEM.split(", ")}
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            t, values, _ = template(text.as_py(), cache)
-            width = min(WIDTH, len(t))
-            if width < LITERALS:
+            x = Templates([text.as_py()], known)
+            n = len(x.t)
+            if not n:
                 continue
-            h, at, total = window_hashes(t, values, width)
-            same = int(np.bitwise_xor.reduce(mixed(mixed(t) + values + np.arange(len(t), dtype=np.uint64)), initial=0)
-                       if len(t) else 0)
-            for i, (x, p) in enumerate(zip(h.view(np.int64).tolist(), at.tolist())):
-                row = (item, x, p, values[p:p + width].tobytes(), total, width, int(np.uint64(same).view(np.int64)),
-                       i >= total, len(t) - width + 1)
+            width = min(WIDTH, n)
+            h, at, total = x.windows(width)
+            same = int(np.bitwise_xor.reduce(mixed(mixed(x.t) + x.values + np.arange(n, dtype=np.uint64)), initial=0))
+            for i, (hash_, p) in enumerate(zip(h.view(np.int64).tolist(), at.tolist())):
+                row = (item, hash_, p, x.values[p:p + width].tobytes(), total, width, int(np.uint64(same).view(np.int64)),
+                       i >= total, n - width + 1)
                 for k, v in zip(out, row):
                     out[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32())
@@ -143,22 +226,34 @@ def _item_task(batches):
 HIT = "key long, doc_id long, hash long, dpos int, dvalues binary"
 
 
+def _slabs(batch):
+    """Rows of a batch with about a slab of text each time."""
+    size = np.append(0, np.cumsum(pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy()))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + SLAB, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _doc_task(shared):
     def run(batches):
-        cache, (bits, widths) = Tokens(), shared.value
+        known, (bits, widths) = characters(), shared.value
         for batch in batches:
-            out = {k.split()[0]: [] for k in HIT.split(", ")}
-            for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                t, values, _ = template(text.as_py(), cache)
+            for rows in _slabs(batch):
+                x = Templates(rows.column(2).to_pylist(), known)
                 for width in widths:
-                    h, at, _ = window_hashes(t, values, width)
-                    may = bits[_bit(h, 0)] & bits[_bit(h, 1)]
-                    for x, p in zip(h[may].view(np.int64).tolist(), at[may].tolist()):
-                        for k, v in zip(out, (key, doc, x, p, values[p:p + width].tobytes())):
-                            out[k].append(v)
-            if out["key"]:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+                    h, at, _ = x.windows(width)
+                    may = np.flatnonzero(bits[_bit(h, 0)])
+                    may = may[bits[_bit(h[may], 1)]]
+                    if len(may):
+                        h, at = h[may], at[may]
+                        row = pa.array(x.text[at])
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.column(0).take(row), rows.column(1).take(row), pa.array(h.view(np.int64)),
+                             pa.array((at - x.start[x.text[at]]).astype(np.int32)),
+                             pa.array([x.values[p:p + width].tobytes() for p in at.tolist()], pa.binary())],
+                            names=["key", "doc_id", "hash", "dpos", "dvalues"])
     return run
 
 
@@ -236,8 +331,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     document that holds at least ``need`` of an item's windows; ``reworded``
     says that slots differ, ``dpos`` is the first template token.
 
-    Null and empty texts hold nothing and are no items; items of fewer than
-    ``LITERALS`` tokens are no evidence.  Items whose windows all lack literals
+    Null and empty texts hold nothing and are no items; an item of fewer than
+    ``WIDTH`` tokens is one window.  Items whose windows all lack literals
+    (so of those with fewer than ``LITERALS`` tokens, the ones with slots)
     are found word by word only, not with other values; so are names in a text
     that changes their case.  Items with equal templates and values
     are one, under the smallest id; one id with two texts is two items (items

@@ -83,3 +83,65 @@ def top_products(rows, every, k, scale=64):
 
 def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,:/]\d+)*|[.!?\n]|[%$€£]")
+
+
+def template(text, names, units):
+    """[(literal or kind, value or None)]"""
+    out, before = [], "end"
+    for t in TOKEN.findall(text or ""):
+        low, kind = t.lower(), "word"
+        if t in ".!?\n":
+            kind = "end"
+        elif t in "%$€£" or (low in units and before == "number"):
+            kind = "unit"
+        elif t[0].isdigit():
+            kind = "number"
+        elif t in names or (before != "end" and t[0].isupper() and t[1:].islower() and low not in units):
+            kind = "name"
+        if kind != "end":
+            out.append((low, None) if kind == "word" else (kind, low))
+        before = kind
+    return out
+
+
+def leaks(docs, items, names, units, width=8, literals=4, need=.5):
+    """{(doc_id, smallest item_id with that template, matched, windows, reworded)}"""
+    known = {}
+    for i, text in sorted(items, key=lambda x: str(x)):
+        t = tuple(template(text, names, units))
+        if t and i is not None:
+            known[t] = min(i, known.get(t, i))
+    out = set()
+    for doc, text in set(docs):
+        d = template(text, names, units)
+        for t, item in known.items():
+            w = min(width, len(t))
+            every = range(len(t) - w + 1)
+            lit = [p for p in every if sum(v is None for _, v in t[p:p + w]) >= min(literals, w)]
+            equal, fits = set(), set()
+            for diag in range(-len(t), len(d)):
+                here = [p for p in every if 0 <= p + diag and p + diag + w <= len(d)]
+                equal |= {(diag, p) for p in here if [v or x for x, v in t[p:p + w]] == [v or x for x, v in d[p + diag:p + diag + w]]}
+                same = [p for p in here if p in lit and [x for x, _ in t[p:p + w]] == [x for x, _ in d[p + diag:p + diag + w]]]
+                slots = {q for p in same for q in range(p, p + w) if t[q][1] is not None}
+                votes = collections.Counter((t[q][1], d[q + diag][1]) for q in slots)
+                score = {(x, y): 2 * n + (x == y) for (x, y), n in votes.items()}
+                best = {}
+                for (x, y), n in score.items():
+                    best.setdefault(x, []).append((n, y))
+                stands = {}
+                for x, v in best.items():
+                    top = max(v)[0]
+                    stands[x] = v[[n for n, _ in v].index(top)][1] if sum(n == top for n, _ in v) == 1 else None
+                fits |= {(diag, p) for p in same if all(t[q][1] is None or stands[t[q][1]] == d[q + diag][1] for q in range(p, p + w))}
+            fits |= {x for x in equal if x[1] in lit}
+            matched, total = len({p for _, p in fits}), len(lit)
+            shown = fits | equal
+            if not total or matched < need * total:
+                matched, total, shown = len({p for _, p in equal}), len(every), equal
+            if matched and matched >= need * total:
+                out.add((doc, item, matched, total, bool(shown - equal)))
+    return out
