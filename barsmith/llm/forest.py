@@ -10,8 +10,9 @@ side by side in that array.
   every b: from its longest match up to the root.
 * Synchronous ascent: all trees climb together, from the longest matches
   upwards, until they hold as many candidates as the budget asks for.
-* The vectors below the level reached are compared with the query exactly, block by
-  block, and each block returns the best of them.
+* The vectors below the level reached are compared with the query exactly,
+  block by block, and each block returns the best of them, as far as they
+  reach the k-th best score of those in a sample.
 
 The budget is fitted: a fixed sample of queries is compared with all rows, and
 the budget is the least with which they find ``recall`` of their true
@@ -180,17 +181,36 @@ def level(counts: np.ndarray, budget: int) -> np.ndarray:
     return np.maximum((counts >= budget).sum(axis=1) - 1, 0)       # counts fall with the bits
 
 
-def _ascend_task(shared, planes: Planes, dim: int, budget: int):
-    """Blocks in which a query has candidates, and the prefix they share."""
+def floors(x: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]], sample: np.ndarray, strings: np.ndarray,
+           k: int) -> np.ndarray:
+    """A score that k candidates of each query reach: the k-th best of those in
+    a sample of the rows (one more, as the query may be in it itself)."""
+    if len(sample) <= k:
+        return np.full(len(x), -np.inf)
+    found = np.zeros((len(x), len(sample)), bool)
+    for t, (low, high) in enumerate(ranges):
+        found |= (strings[:, t] >= low[:, None]) & (strings[:, t] <= high[:, None])
+    score = np.where(found, x @ sample.T, -np.inf)
+    slack = 1e-9 * np.linalg.norm(x, axis=1) * np.linalg.norm(sample, axis=1).max()
+    return np.partition(score, score.shape[1] - k - 1, axis=1)[:, -k - 1] - slack
+
+
+def _ascend_task(shared, sampled, planes: Planes, dim: int, budget: int, k: int):
+    """Blocks in which a query has candidates, the prefix they share, and the
+    score from which they may be results."""
     def run(batches):
-        blocks = Blocks(shared.value)
+        blocks, sample = Blocks(shared.value), sampled.value
+        sample_strings = planes.strings(sample, False)
         for batch in batches:
             x = matrix(batch.column(1), dim)
             bits = level(np.stack([np.frombuffer(c, np.int64) for c in batch.column(2).to_pylist()]), budget)
             strings = planes.strings(x, True)
+            ranges = [prefix_range(strings[:, t], bits) for t in range(planes.trees)]
+            step = max(1, HELD // max(1, len(sample)))
+            floor = np.concatenate([floors(x[i:i + step], [(a[i:i + step], b[i:i + step]) for a, b in ranges], sample,
+                                           sample_strings, k) for i in range(0, len(x), step)] or [np.zeros(0)])
             who, tree, block, low, high = [], [], [], [], []
-            for t in range(planes.trees):
-                a, b = prefix_range(strings[:, t], bits)
+            for t, (a, b) in enumerate(ranges):
                 first, last = blocks.met(t, a, b)
                 size = np.maximum(last - first, 0)
                 if t:
@@ -203,8 +223,8 @@ def _ascend_task(shared, planes: Planes, dim: int, budget: int):
             if len(at):
                 vectors = batch.column(1).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), *(pa.array(np.concatenate(v)) for v in (tree, block, low, high)), vectors],
-                    names=["slot", "tree", "block", "low", "high", "x"])
+                    [batch.column(0).take(pa.array(at)), *(pa.array(np.concatenate(v)) for v in (tree, block, low, high)),
+                     pa.array(floor[at]), vectors], names=["slot", "tree", "block", "low", "high", "floor", "x"])
     return run
 
 
@@ -213,22 +233,22 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.accumulate(q * x, axis=1)[:, -1]
 
 
-def best(score: np.ndarray, k: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of all that may be among the k largest of a row."""
+def best(score: np.ndarray, k: int, slack: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all that may be among the k largest of a row and reach
+    its floor."""
     if score.shape[1] > k:
-        floor = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
-        return np.nonzero(score >= (floor - slack)[:, None])
-    return np.nonzero(score > -np.inf)
+        floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, -k] - slack)
+    return np.nonzero(score >= floor[:, None])
 
 
-def _compare(q, qslot, x, xslot, k: int):
+def _compare(q, qslot, floor, x, xslot, k: int):
     """Best rows of x for each row of q as (query slot, slot, score), by blocks
     of bounded size; the candidates of every part are cut to the k best."""
     step = max(1, HELD // max(1, len(x)))
     size = np.linalg.norm(x, axis=1).max(initial=0.0)
     for at in range(0, len(q), step):
         part = q[at:at + step]
-        i, j = best(part @ x.T, k, 1e-9 * np.linalg.norm(part, axis=1) * size)
+        i, j = best(part @ x.T, k, 1e-9 * np.linalg.norm(part, axis=1) * size, floor[at:at + step])
         yield qslot[at:at + step][i], xslot[j], exact(part[i], x[j])
 
 
@@ -248,6 +268,7 @@ def _compare_task(dim: int, k: int):
             slot, x = rows.column("slot").to_numpy(), matrix(rows.column("x"), dim)
             low, high = as_string(rows.column("low").to_numpy()), as_string(rows.column("high").to_numpy())
             q, qslot, low_q, high_q = x[asks], slot[asks], low[asks], high[asks]
+            floor = rows.column("floor").to_numpy()[asks]
             if not len(q):
                 continue
             by = np.argsort(low[~asks], kind="stable")                 # rows have their string as low
@@ -258,7 +279,7 @@ def _compare_task(dim: int, k: int):
             for i, j in zip(edge, np.append(edge[1:], len(order))):
                 same, (m, n) = order[i:j], (a[order[i]], b[order[i]])
                 if n > m:
-                    parts = list(_compare(q[same], qslot[same], x[m:n], slot[m:n], k))
+                    parts = list(_compare(q[same], qslot[same], floor[same], x[m:n], slot[m:n], k))
                     yield _found(parts)
     return run
 
@@ -267,7 +288,8 @@ def _truth_task(sample: np.ndarray, slots: np.ndarray, dim: int, k: int):
     """Sampled queries against all rows, a batch at a time."""
     def run(batches):
         for batch in batches:
-            parts = list(_compare(sample, slots, matrix(batch.column(1), dim), batch.column(0).to_numpy(), k)) if len(slots) else []
+            none = np.full(len(slots), -np.inf)
+            parts = list(_compare(sample, slots, none, matrix(batch.column(1), dim), batch.column(0).to_numpy(), k)) if len(slots) else []
             if parts:
                 yield _found(parts)
     return run
@@ -313,7 +335,8 @@ def nearest(table: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embed
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     stats = slots.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).first()
     picked = slots.orderBy(F.xxhash64("x"), "slot").limit(SAMPLE).select("x").collect()
-    planes = Planes(np.array([r["x"] for r in picked], np.float64).reshape(-1, dim), stats["longest"], trees, seed)
+    sampled = np.array([r["x"] for r in picked], np.float64).reshape(-1, dim)
+    planes = Planes(sampled, stats["longest"], trees, seed)
     block = max(block, -(-stats["n"] * trees // MOST_BLOCKS))
     arrays = slots.select("slot", "x").mapInArrow(_strings_task(planes, dim, False), "slot long, tree int, string long")
     order = ["tree", "string", "slot"]
@@ -349,10 +372,11 @@ def nearest(table: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embed
     budget = fitted_budget(np.array([known[s] for s in sample_slots[by].tolist()]).reshape(-1, BITS + 1), need, at, recall)
 
     sent = queries.join(counts, "slot").mapInArrow(
-        _ascend_task(shared, planes, dim, max(budget, k + 1)),
-        "slot long, tree int, block long, low long, high long, x array<double>")
+        _ascend_task(shared, spark.sparkContext.broadcast(sampled), planes, dim, max(budget, k + 1), k + 1),
+        "slot long, tree int, block long, low long, high long, floor double, x array<double>")
     have = arrays.join(slots.select("slot", "x"), "slot").select(
-        "slot", "tree", "block", F.col("string").alias("low"), F.col("string").alias("high"), "x", F.lit(False).alias("asks"))
+        "slot", "tree", "block", F.col("string").alias("low"), F.col("string").alias("high"),
+        F.lit(None).cast("double").alias("floor"), "x", F.lit(False).alias("asks"))
     found = sent.withColumn("asks", F.lit(True)).unionByName(have).repartition("tree", "block").sortWithinPartitions(
         "tree", "block").mapInArrow(_compare_task(dim, k + 1), FOUND)
     found = found.groupBy("ask", "slot").agg(F.max("score").alias("score"))
