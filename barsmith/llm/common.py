@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.session import checkpoint_dir
+from barsmith.session import checkpoint_dir, scratch_table
 
 #: What separates words (space, tab, line feed, vertical tab,
 #: form feed, carriage return), as a set of characters and as a word pattern.
@@ -27,6 +29,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_fresh(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, with the size that was written as its size.  A checkpoint
+    keeps the estimate of its plan, which grows with a power of the rounds where
+    a loop joins a table with itself."""
+    name = scratch_table(df.sparkSession, df, "fresh")
+    out = cut(df.sparkSession.table(name))
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return out
+
+
+def passes_columns(operator):
+    """For operators that pass the columns of their first table on: columns that
+    begin with two underscores, as helper columns do, have other names within."""
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **how):
+        apart, used = {}, {c.lower() for c in df.columns}
+        for c in df.columns:
+            if c.startswith("__") and c not in how.values():
+                new = "own" + c
+                while new.lower() in used:
+                    new = "own_" + new
+                used.add(new.lower())
+                apart[c] = new
+        out = operator(df.withColumnsRenamed(apart) if apart else df, *args, **how)
+        return out.withColumnsRenamed({new: c for c, new in apart.items()}) if apart else out
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written side for broadcast if it was counted to be small; larger
     ones stay plain and the join shuffles."""

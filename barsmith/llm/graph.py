@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut
+from barsmith.llm.common import cut, cut_fresh
 
 #: edges that a task contracts at a time
 HELD = 1 << 20
@@ -69,16 +69,18 @@ def _contract(by: bool):
     return run
 
 
-def components(edges: DataFrame, by: str | None = None, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, by: str | None = None) -> DataFrame:
     """``(by, node, root)`` for all nodes of edges ``(by, a, b)`` but the roots
-    themselves; ``by`` (an int column) keeps several graphs apart."""
+    themselves; ``by`` (an int column) keeps several graphs apart.  Goes on until
+    every component is a star."""
     keys = [by] if by else []
     e = edges.where("a <> b").select(*keys, F.col("a").cast("long"), F.col("b").cast("long"))
     e = e.mapInArrow(_contract(bool(by)), ("g int, " if by else "") + "u long, v long")
     e = e.withColumnRenamed("g", by) if by else e
 
     e = cut(e.distinct())
-    for _ in range(rounds):
+    turn = 0
+    while True:
         low = cut(e.groupBy(*keys, F.col("u").alias("v")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")))
         # done when every node has one root and no root is a node
         open_ = low.where("c > 1").select(F.lit(1)).unionAll(e.join(low, [*keys, "v"]).select(F.lit(1)))
@@ -88,5 +90,7 @@ def components(edges: DataFrame, by: str | None = None, rounds: int = 100) -> Da
         large = cut(large.distinct())
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [*keys, "u"]).where("v > m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        turn += 1
+        e = small.unionByName(least.withColumnRenamed("m", "v")).distinct()
+        e = cut(e) if turn % 3 else cut_fresh(e)
     return e.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import SPACE, cut, may_have, sieve
+from barsmith.llm.common import SPACE, cut, may_have, passes_columns, sieve
 from barsmith.llm.graph import components
 from barsmith.llm.postings import SENT, Postings, find_ties, places
 from barsmith.llm.shingles import WordHashes, binary, grouped, mixed, pack, shingle_set, unpack
@@ -75,7 +75,7 @@ def _first_task(n: int, slots: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py(), n, cache)
                 fp = set_print(s)
-                out.note(fp[0], np.array([NONE if doc is None else doc, len(s), *fp], np.int64).tobytes())
+                out.note(np.array([NONE if doc is None else doc, len(s), *fp], np.int64).tobytes())
                 if len(s) and doc is not None and out.new(fp[0]):
                     out.add(fp[0], s, np.arange(len(s)))
                 if out.full():
@@ -385,6 +385,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
+@passes_columns
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents without near copies: of each class the one with the
     smallest id stays.  Of rows with that id one stays (the first by text);

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut
+from barsmith.llm.common import cut, passes_columns
 from barsmith.llm.shingles import grouped
 
 DIM = 1024
@@ -236,6 +236,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+@passes_columns
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
              dim: int = DIM) -> DataFrame:
     """Adds ``held_out``, ``lang_pred`` and ``score`` to the documents.
@@ -253,6 +254,7 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
                       F.col("__pred.score").alias("score"))
 
 
+@passes_columns
 def in_a_language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
                   dim: int = DIM) -> DataFrame:
     """The documents that are in a language, with ``lang_pred``: those with

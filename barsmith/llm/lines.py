@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import SPACE, cut, small
+from barsmith.llm.common import SPACE, cut, passes_columns, small
 from barsmith.session import scratch_table
 
 HASH = ["__h1", "__h2"]
@@ -134,6 +134,7 @@ def repeated_lines(docs: DataFrame, doc_id: str, text: str, *, min_chars: int =
     return lost
 
 
+@passes_columns
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Adds ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay,
     joined by line feeds) to the documents.

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut, small, words_in
+from barsmith.llm.common import cut, passes_columns, small, words_in
 
 #: bins per level of the search for the cut
 BINS = 1024
@@ -168,6 +168,7 @@ def apply_mix(rows: DataFrame, plan: DataFrame, *, max_copies: int = 2, seed: st
             .withColumn("__copies", F.floor(_expected(max_copies)).cast("long") + more))
 
 
+@passes_columns
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text",
         **how) -> DataFrame:
     """The documents that the mix takes, with ``copies`` (at least 1) each.
@@ -175,8 +176,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     Null and empty texts have no words: they cost nothing, and go by the same
     ranks.  A null source is a source of its own.  Rows with one document id
     share their random number, so equal rows are taken or left together.  An
-    empty table gives an empty mix.  Columns named ``__id, __src, __size, __q,
-    __copies`` or ``copies`` are replaced; all others are passed on."""
+    empty table gives an empty mix.  A column named ``copies`` is replaced; all
+    others are passed on."""
     size = words_in(F.col(text))
     _, plan = plan_mix(docs, doc_id, source, size, **how)
     names = [c for c in docs.columns if c != "copies"]

@@ -36,6 +36,7 @@ class Postings:
 
     def __init__(self, slots: int, width: int):
         self.slots, self.width, self.parts, self.size, self.notes = slots, width, [], 0, {}
+        self.noted = self.waiting = 0
         self.seen = set()
 
     def new(self, key: int) -> bool:
@@ -51,11 +52,13 @@ class Postings:
         self.parts.append((key, h, pos.astype(np.uint32)))
         self.size += len(h)
 
-    def note(self, key: int, data: bytes) -> None:
-        self.notes.setdefault(key % self.slots, []).append(data)
+    def note(self, data: bytes) -> None:
+        """To any block: notes go to all in turn, whatever they are about."""
+        self.notes.setdefault(self.noted % self.slots, []).append(data)
+        self.noted, self.waiting = self.noted + 1, self.waiting + 1
 
     def full(self) -> bool:
-        return self.size >= HELD or len(self.notes.get(0, ())) >= HELD
+        return self.size >= HELD or self.waiting >= HELD
 
     def send(self):
         if not self.parts and not self.notes:
@@ -64,7 +67,7 @@ class Postings:
         key = np.repeat(np.array([p[0] for p in self.parts], np.int64),
                         np.array([len(p[1]) for p in self.parts], np.int64))
         pos = np.concatenate([p[2] for p in self.parts] or [np.zeros(0, np.uint32)])
-        notes, self.parts, self.size, self.notes = self.notes, [], 0, {}
+        notes, self.parts, self.size, self.notes, self.waiting = self.notes, [], 0, {}, 0
         by = np.argsort(h, kind="stable")
         new = np.ones(len(h), bool)
         new[1:] = h[by][1:] != h[by][:-1]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut, small
+from barsmith.llm.common import cut, passes_columns, small
 from barsmith.llm.lines import lower_ascii
 
 #: Suffixes of two labels under which names are registered.
@@ -85,6 +85,7 @@ def reputation(hosts: DataFrame, z: float) -> DataFrame:
     return above.select("host", "n", "bad", F.col("mean").alias("bad_mean"), (F.col("mean") - F.lit(z) * spread).alias("bad_low"))
 
 
+@passes_columns
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], *, url: str = "url",
           max_bad: float = 0.3, z: float = 1.645) -> DataFrame:
     """Adds ``host, path, rule, verdict, bad_low`` to the pages.

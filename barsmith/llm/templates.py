@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut, sieve
+from barsmith.llm.common import cut, passes_columns, sieve
 from barsmith.llm.shingles import grouped, mixed
 
 WIDTH = 8
@@ -375,6 +375,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
         _check_task(need), PAIR)
 
 
+@passes_columns
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents without those that leak an item of the benchmark."""
     found = cut(leaks(docs, benchmark, doc_id=doc_id, text=text, **how).select(F.col("key").alias("__leak")).distinct())

@@ -456,3 +456,39 @@ def test_repeats_of_texts_longer_than_a_segment(spark, monkeypatch):
 def test_difference_covers(r):
     v, cover = repeats.difference_cover(r)
     assert len(cover) == 6 * r + 4 and {(a - b) % v for a in cover for b in cover} == set(range(v))
+
+
+# -- helper columns, graphs --------------------------------------------------
+
+#: names of helper columns within the operators
+HELPERS = ("__doc", "__drop", "__batch", "__docs", "__top", "__h1", "__gone", "__blank", "__all", "__nth", "__host", "__path",
+           "__of", "__rules", "__low", "__fit", "__held", "__pred", "__key", "__leak", "__bucket", "__text", "__rep", "__id",
+           "__src", "__size", "__q", "__copies", "own__doc", "__DROP2")
+
+
+def test_columns_named_as_helpers_come_through(spark):
+    rows = edge_rows(spark)[:40] + [(9000, "one two three four five"), (9001, "one two three four five")]
+    d = docs(spark, [(i, t, "en", "s") for i, t in rows]).withColumns({c: F.lit(f"my {c}") for c in HELPERS})
+    items = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    pages = d.withColumn("url", F.concat(F.lit("http://a.b/"), "doc_id"))
+    for out in (lines.dedup_lines(d, min_docs=2), jaccard.one_of_each(d), langid.identify(d, dim=256),
+                langid.in_a_language(d, dim=256), templates.drop_leaks(d, items), mixing.mix(d),
+                reputation.judge(pages, pages.select("url", F.lit(True).alias("bad")), [("allow", "a.b/")])):
+        seen = out.select(*HELPERS).distinct().collect()
+        assert [tuple(r) for r in seen] == [tuple(f"my {c}" for c in HELPERS)]
+
+
+def test_components_of_a_long_chain_and_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HELD", 64)
+    order = random.Random(4).sample(range(10_000), 10_000)
+    edges = list(zip(order, order[1:])) + [(20_000, 20_001 + i) for i in range(3000)] + [(50_000, 50_000)]
+    found = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert {r.node: r.root for r in found} == {**{i: 0 for i in range(1, 10_000)}, **{20_001 + i: 20_000 for i in range(3000)}}
+
+
+def test_exact_copies_and_empty_texts_go_to_all_blocks():
+    from barsmith.llm import postings
+    sent = postings.Postings(8, 4)
+    for _ in range(800):
+        sent.note(b"x")
+    assert {len(v) for v in sent.notes.values()} == {100} and len(sent.notes) == 8
