@@ -38,9 +38,8 @@ BLOCK_ROWS = 1 << 17
 CHUNK_SECONDS = 900
 
 #: a (key, chunk) with more rows than this (a burst inside one slice) is split
-#: further at about SUB_CHUNKS places of its full order key
+#: further by its full order key
 MAX_CHUNK_ROWS = 20_000_000
-SUB_CHUNKS = 64
 #: numbers that a split chunk takes up
 SPLIT = 1 << 20
 
@@ -106,28 +105,24 @@ def sequence(df: DataFrame, keys, order, chunk: Column | None = None, *,
 
     summ = summarise(d)
     if (chunk is None or split) and max_chunk_rows:
-        # A burst inside one slice: a hash sample of about SUB_CHUNKS order keys
-        # of the oversized (key, chunk) splits it (sub-chunk = number of
-        # splitters below the row's key: monotone, whatever the sample).  Cold
-        # chunks keep their summary rows; only hot rows are summarised again.
-        # There is at most one hot chunk per max_chunk_rows rows, so the table
-        # may be broadcast; while it is empty AQE plans none of what follows.
-        full = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+        # A burst inside one slice.  The summary is written once and names the
+        # oversized (key, chunk); only if there is one, its rows are sorted by
+        # range of their full order key into parts of half that size at most
+        # (about), and the part tells the sub-chunk: it rises with the order.
+        summ = materialize(summ)
         hot = summ.filter(F.col("_cn") > max_chunk_rows).select(*keys, "_chunk", "_cn")
-        one_in = F.greatest(F.lit(1), F.least(F.floor(F.col("_cn") / F.lit(SUB_CHUNKS)), F.lit(max(1, max_chunk_rows // 4))))
-        bounds = d.join(F.broadcast(hot), [*keys, "_chunk"]) \
-                  .filter(F.pmod(F.xxhash64(*order), one_in) == 0) \
-                  .groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_set(full)).alias("_qb"))
-        d = d.join(F.broadcast(bounds), [*keys, "_chunk"], "left")
-        sub = F.when(F.col("_qb").isNull(), F.lit(0)) \
-               .otherwise(F.size(F.filter("_qb", lambda b: b < full)))
-        d = d.withColumn("_chunk", F.col("_chunk") * F.lit(SPLIT) + F.least(sub, F.lit(SPLIT - 1))).drop("_qb")
-        cold = summ.join(F.broadcast(hot), [*keys, "_chunk"], "left_anti") \
-                   .withColumn("_chunk", F.col("_chunk") * F.lit(SPLIT))
-        hot_rows = d.withColumn("_c0", F.floor(F.col("_chunk") / F.lit(SPLIT))) \
-                    .join(F.broadcast(hot.withColumnRenamed("_chunk", "_c0").drop("_cn")), [*keys, "_c0"], "left_semi") \
-                    .drop("_c0")
-        summ = cold.unionByName(summarise(hot_rows))
+        burst_rows = hot.agg(F.sum("_cn")).first()[0]
+        if burst_rows:
+            hot = hot.drop("_cn")
+            parts = min(SPLIT - 1, -(-2 * burst_rows // max_chunk_rows))
+            burst = d.join(hot, [*keys, "_chunk"], "left_semi").repartitionByRange(parts, *keys, "_chunk", *order)
+            burst = materialize(burst.withColumn("_chunk", F.col("_chunk") * F.lit(SPLIT) + F.spark_partition_id()))
+
+            def apart(frame):
+                cold = frame.join(hot, [*keys, "_chunk"], "left_anti")
+                return cold.withColumn("_chunk", F.col("_chunk") * F.lit(SPLIT))
+            d = apart(d).unionByName(burst)
+            summ = apart(summ).unionByName(summarise(burst))
 
     wb = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(UNB, -1)
     sel = [*keys, "_chunk",

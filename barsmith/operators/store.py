@@ -28,6 +28,8 @@ from barsmith.functions.timeutil import to_local
 from barsmith.operators import ordered
 
 BAR_VALUES = ("open", "high", "low", "close", "volume")
+#: characters of a symbol by which new ids are counted
+ID_PREFIX = 6
 TICK_VALUES = ("bid", "bidsize", "ask", "asksize", "last", "lastsize")
 
 
@@ -37,9 +39,9 @@ def assign_symbol_ids(requests: DataFrame, symbols: DataFrame,
     """S5 get-or-create: the symbol dimension extended by every
     ``(symbol, asset_class)`` of ``requests`` it lacks.  New rows get
     ``symbol_group = symbol``, the request's expiry (earliest if several) and
-    ids ``max(id) + 1, +2, ...`` in (symbol, asset_class) order.  Numbering is
-    a prefix count over the new keys by first letter, split by the key itself
-    where they are many, not a global single-task window."""
+    ids ``max(id) + 1, +2, ...`` in (symbol, asset_class) order.  Numbering
+    counts the new keys by their first characters and orders them within those
+    only, not in a global single-task window."""
     req = requests
     if "asset_class" not in req.columns:
         req = req.withColumn("asset_class", F.lit(default_asset_class))
@@ -50,8 +52,7 @@ def assign_symbol_ids(requests: DataFrame, symbols: DataFrame,
     new = keys.join(symbols.select("symbol", "asset_class"), ["symbol", "asset_class"], "left_anti")
     base = symbols.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     num = ordered.sequence(new.withColumn("_k", F.lit(0)), ["_k"], ["symbol", "asset_class"],
-                           F.coalesce(F.ascii("symbol"), F.lit(-1)).cast("long"), rownum="_g", split=True,
-                           max_chunk_rows=1_000_000)
+                           F.substring("symbol", 1, ID_PREFIX), rownum="_g")
     created = num.select((F.col("_g") + base).cast("long").alias("id"), "symbol",
                          F.col("symbol").alias("symbol_group"), "asset_class", "expiry")
     return symbols.select("id", "symbol", "symbol_group", "asset_class", "expiry") \

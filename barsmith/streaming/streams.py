@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from barsmith import schemas
 from barsmith.operators import catalog as CA
+from barsmith.operators import commits as CO
 from barsmith.operators import normalize as NO
 from barsmith.operators import store as ST
 from barsmith.session import scratch_path
@@ -262,24 +264,52 @@ def stream_ingest(ticks: DataFrame, store_path: str, dim_path: str, name: str =
     ``seq`` wins, across batches the one stored first.  A replayed batch finds
     its rows stored and appends nothing.  A dimension or store that cannot be
     read fails the batch before anything is written."""
-    from barsmith import schemas
     spark = ticks.sparkSession
-    dim_schema = StructType([*schemas.SYMBOLS.fields, StructField("epoch", LongType())])
 
     def batch_fn(batch: DataFrame, epoch: int):
-        dim = read_or_empty(spark, dim_path, dim_schema).drop("epoch")
         existing = read_or_empty(spark, store_path, schemas.TICKS)
-        full = ST.assign_symbol_ids(batch.select("symbol", "asset_class"), dim)
-        # a replayed batch finds its symbols there and adds none
-        new = full.join(dim.select("id"), "id", "left_anti")
-        new.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").partitionBy("epoch").parquet(dim_path)
-        known = read_or_empty(spark, dim_path, dim_schema).drop("epoch")
+        known = extended_dim(batch, dim_path, epoch)
         ST.append_to_store(ST.ingest_ticks(batch, existing, known, seq=seq), store_path)
 
     run_foreach_batch(ticks, name, batch_fn, checkpoint=checkpoint, trigger=trigger, persist=True)
     return store_path
 
 
+def extended_dim(batch: DataFrame, dim_path: str, epoch: int) -> DataFrame:
+    """The symbol dimension at a path with the symbols of a batch; a replayed
+    batch finds its symbols there and adds none."""
+    spark = batch.sparkSession
+    dim_schema = StructType([*schemas.SYMBOLS.fields, StructField("epoch", LongType())])
+    dim = read_or_empty(spark, dim_path, dim_schema).drop("epoch")
+    full = ST.assign_symbol_ids(batch.select("symbol", "asset_class"), dim)
+    new = full.join(dim.select("id"), "id", "left_anti")
+    new.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").partitionBy("epoch").parquet(dim_path)
+    return read_or_empty(spark, dim_path, dim_schema).drop("epoch")
+
+
+def stream_to_store(rows: DataFrame, path: str, kind: str, symbols: DataFrame | str, seq, name: str = "ingest",
+                    checkpoint: str | None = None, trigger: dict | None = None, keep: int = CO.KEEP) -> str:
+    """TS5 into a store of whole batches (``operators.commits``): ticks, quotes
+    (the tick store holds them: bid, ask and sizes) or bars.  Each micro-batch
+    commits the keys that are not stored yet as one batch, known by its epoch; a
+    batch that was stopped half-way is overwritten by its replay, one that was
+    committed is not written again.  Batches are compacted beyond ``keep``, so
+    the number of files stays bounded.  ``symbols``: the symbol dimension, or
+    the path of one that is extended as symbols appear."""
+    spark = rows.sparkSession
+    ingest = {"ticks": ST.ingest_ticks, "bars": ST.ingest_bars}[kind]
+
+    def batch_fn(batch: DataFrame, epoch: int):
+        if epoch <= CO.last_epoch(spark, path, name):
+            return
+        known = extended_dim(batch, symbols, epoch) if isinstance(symbols, str) else symbols
+        CO.commit(ingest(batch, CO.overlapping(batch, path, kind), known, seq=seq), path, kind, name, epoch)
+        CO.compact(spark, path, kind, keep)
+
+    run_foreach_batch(rows, name, batch_fn, checkpoint=checkpoint, trigger=trigger, persist=True)
+    return path
+
+
 # --------------------------------------------------------------------- TS6
 PRICE_CHANGE_STATE = "last double, seen boolean"
 
