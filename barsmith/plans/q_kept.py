@@ -1,5 +1,6 @@
-"""Queries over a store of whole batches: TS5 into it, T1 by point reads, A6-A8
-from the statistics that ingest keeps."""
+"""Queries over a store of whole batches (TS5 into it, T1 by point reads, A6-A8
+from the statistics that ingest keeps), last books of a stream (TS3) and the
+quote in force at every trade (J5)."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barsmith.functions.scalars import asset_class
+from barsmith.operators import asof as AS
 from barsmith.operators import commits as CO
 from barsmith.operators import partials as PA
 from barsmith.operators import store as ST
@@ -16,6 +18,7 @@ from barsmith.plans.q_stream import _at_rest, _nz, ticks_stream
 from barsmith.plans.registry import register
 from barsmith.plans.sqlparts import ac
 from barsmith.session import scratch_path
+from barsmith.streaming import books as BK
 from barsmith.streaming import streams as SS
 
 #: batches that a table is ingested in, by time
@@ -154,3 +157,54 @@ def stream_ingest_bars(spark):
     root = scratch_path(spark, "stores", f"bars-{uuid.uuid4().hex}")
     SS.stream_to_store(rows.drop("day"), f"{root}/bars", "bars", spark.table("fx_symbols"), seq=["seq1", "seq2", "seq3"], keep=2)
     return _stored(CO.read(spark, f"{root}/bars", "bars"))
+
+
+#: depth updates from ticks: a side's level at whole prices; every seventh size deletes
+UPDATES_SQL = """
+SELECT id AS seq, symbol, datetime, side, price, CASE WHEN size % 7 = 0 THEN 0 ELSE size END AS size, '' AS market_maker FROM (
+  SELECT id, symbol, datetime, 'BID' AS side, floor(bid) AS price, bidsize AS size FROM {ticks} WHERE bid IS NOT NULL
+  UNION ALL SELECT id, symbol, datetime, 'ASK', ceil(ask), asksize FROM {ticks} WHERE ask IS NOT NULL) u"""
+
+
+@register("stream_book", fixtures=["fx_ticks"], sql=f"""
+WITH u AS ({UPDATES_SQL.format(ticks="fx_ticks")}),
+l AS (SELECT *, row_number() OVER (PARTITION BY symbol, side, price ORDER BY datetime DESC, seq DESC) AS rn FROM u)
+SELECT symbol, side, CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'BID' THEN -price ELSE price END) AS INTEGER) AS place,
+  CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size, market_maker
+FROM l WHERE rn = 1 AND size > 0
+""")
+def stream_book(spark):
+    """TS3: the last book of every symbol, kept in map state while updates
+    arrive in several micro-batches."""
+    view = f"ticks_stream_{uuid.uuid4().hex}"
+    ticks_stream(spark).createOrReplaceTempView(view)
+    books = BK.stream_book(spark.sql(UPDATES_SQL.format(ticks=view)))
+    return BK.book_levels(SS.read_latest_table(spark, SS.run_keyed_table(books, "books", "symbol")))
+
+
+@register("last_book", fixtures=["fx_ticks"], sql=f"""
+WITH u AS ({UPDATES_SQL.format(ticks="fx_ticks")}),
+l AS (SELECT *, row_number() OVER (PARTITION BY symbol, side, price ORDER BY datetime DESC, seq DESC) AS rn FROM u)
+SELECT symbol, side, CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'BID' THEN -price ELSE price END) AS INTEGER) AS place,
+  CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size, market_maker
+FROM l WHERE rn = 1 AND size > 0
+""")
+def last_book(spark):
+    """TS3's batch form."""
+    return BK.book_levels(BK.last_books(spark.sql(UPDATES_SQL.format(ticks="fx_ticks"))))
+
+
+@register("asof_quotes", fixtures=["fx_ticks"], sql="""
+WITH e AS (
+  SELECT symbol, datetime, 1 AS side, id, last, CAST(NULL AS TIMESTAMP) AS qts, NULL AS bid, NULL AS ask FROM fx_ticks WHERE last IS NOT NULL
+  UNION ALL SELECT symbol, datetime, 0, id, NULL, datetime, bid, ask FROM fx_ticks WHERE bid <= ask),
+f AS (SELECT *, last_value(CASE WHEN side = 0 THEN {'qts': qts, 'bid': bid, 'ask': ask} END IGNORE NULLS) OVER (
+  PARTITION BY symbol ORDER BY datetime, side, id ROWS UNBOUNDED PRECEDING) AS q FROM e)
+SELECT id, symbol, datetime, last, q.qts AS asof_ts, q.bid AS bid, q.ask AS ask FROM f WHERE side = 1
+""")
+def asof_quotes(spark):
+    """J5 at full time resolution: every trade with the valid quote in force."""
+    t = spark.table("fx_ticks")
+    trades = t.where("last IS NOT NULL").select("id", "symbol", "datetime", "last")
+    quotes = t.where("bid <= ask").select("id", "symbol", "datetime", "bid", "ask")
+    return AS.asof_join(trades, quotes, "symbol", "datetime", ["bid", "ask"], right_seq="id")

@@ -236,6 +236,26 @@ def run_latest_table(latest: DataFrame, name: str, path: str | None = None,
     return base
 
 
+def run_keyed_table(changed: DataFrame, name: str, key: str, path: str | None = None, checkpoint: str | None = None,
+                    trigger: dict | None = None) -> str:
+    """Keep the newest row per ``key`` of an update-mode stream in two slots, as
+    :func:`run_latest_table` does: epoch ``n`` writes the version before it with
+    the keys of its batch replaced.  A replayed epoch starts from the version
+    before it again."""
+    base, ckpt = _folders(changed.sparkSession, name, path, checkpoint)
+    schema = StructType([*changed.schema.fields, StructField("epoch", LongType())])
+
+    def write(batch: DataFrame, epoch: int):
+        spark = batch.sparkSession
+        old = read_or_empty(spark, f"{base}/slot={(epoch + 1) % 2}", schema).where(F.col("epoch") < epoch)
+        kept = old.join(batch.select(key), key, "left_anti")
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).unionByName(kept.withColumn("epoch", F.lit(epoch).cast("long"))) \
+             .write.mode("overwrite").parquet(f"{base}/slot={epoch % 2}")
+
+    run_foreach_batch(changed, name, write, mode="update", checkpoint=ckpt, trigger=trigger, persist=True)
+    return base
+
+
 def read_latest_table(spark: SparkSession, base: str) -> DataFrame:
     """The newest version of a table kept by :func:`run_latest_table`."""
     t = spark.read.parquet(base)
