@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from barsmith.functions.scalars import asset_class
 from barsmith.operators import asof as AS
 from barsmith.operators import commits as CO
+from barsmith.operators import normalize as NO
 from barsmith.operators import partials as PA
 from barsmith.operators import store as ST
 from barsmith.plans.q_store import TICKS_SQL, tick_batch, tick_dim
-from barsmith.plans.q_stream import _at_rest, _nz, ticks_stream
+from barsmith.plans.q_stream import QUOTES_SQL, _at_rest, _nz, normalize_bars, normalize_order_book, quotes, ticks_stream
 from barsmith.plans.registry import register
 from barsmith.plans.sqlparts import ac
 from barsmith.session import scratch_path
 from barsmith.streaming import books as BK
 from barsmith.streaming import streams as SS
+from barsmith.streaming import topics as TP
 
 #: batches that a table is ingested in, by time
 BATCHES = 3
@@ -208,3 +210,40 @@ def asof_quotes(spark):
     trades = t.where("last IS NOT NULL").select("id", "symbol", "datetime", "last")
     quotes = t.where("bid <= ask").select("id", "symbol", "datetime", "bid", "ask")
     return AS.asof_join(trades, quotes, "symbol", "datetime", ["bid", "ask"], right_seq="id")
+
+
+def _cents(c):
+    return f"sum(CAST(round(100 * coalesce({c}, 0)) AS BIGINT))"
+
+
+@register("route_topic", fixtures=["fx_ticks", "fx_bars", "fx_symbols", "fx_book_levels"], sql=f"""
+WITH {QUOTES_SQL}
+SELECT 'QUOTE' AS kind, symbol, count(*) AS messages, min(timestamp) AS first, {_cents('bid')} AS cents FROM q GROUP BY symbol
+UNION ALL SELECT 'TICK', symbol, count(*), min(datetime), {_cents('last')} FROM fx_ticks WHERE last IS NOT NULL GROUP BY symbol
+UNION ALL SELECT 'BAR', s.symbol, count(*), min(b.datetime), {_cents('b.close')} FROM fx_bars b JOIN fx_symbols s ON b.symbol_id = s.id GROUP BY s.symbol
+UNION ALL SELECT 'ORDERBOOK', symbol, count(*), min(datetime), {_cents('bid')} FROM (
+  SELECT symbol, datetime, max(CASE WHEN side = 'BID' THEN price END) AS bid FROM fx_book_levels GROUP BY symbol, datetime) b GROUP BY symbol
+UNION ALL SELECT 'QUARANTINE', r.reason, count(*), CAST(NULL AS TIMESTAMP), CAST(0 AS BIGINT)
+  FROM fx_ticks, (SELECT unnest(['malformed', 'not_json', 'unknown_kind']) AS reason) r WHERE last IS NULL GROUP BY r.reason
+""")
+def route_topic(spark):
+    """S6 + S7: quotes, ticks, bars and books on ONE topic, with lines that
+    cannot be decoded between them, routed to a table per kind and a
+    quarantine; what arrived, per symbol or reason."""
+    root = scratch_path(spark, "bus", f"run-{uuid.uuid4().hex}")
+    for messages in (quotes(spark), NO.normalize_ticks(spark.table("fx_ticks")), normalize_bars(spark), normalize_order_book(spark)):
+        TP.publish(messages, f"{root}/topic")
+    odd = spark.table("fx_ticks").where("last IS NULL").select(
+        F.to_json(F.struct("symbol", F.lit("QUOTE").alias("kind"), F.lit("high").alias("bid"), F.col("datetime").alias("timestamp"))).alias("m"))
+    lines = F.array("m", F.substring("m", 1, 20), F.replace("m", F.lit('"QUOTE"'), F.lit('"OTHER"')))
+    odd.select(F.explode(lines).alias("value")).write.mode("append").text(f"{root}/topic")
+    tables = TP.route_topic(spark, f"{root}/topic", f"{root}/out")
+
+    def seen(kind, price):
+        cents = F.sum(F.round(100 * F.coalesce(price, F.lit(0.0))).cast("long"))
+        return spark.read.parquet(tables[kind]).groupBy(F.lit(kind).alias("kind"), "symbol").agg(
+            F.count(F.lit(1)).alias("messages"), F.min("timestamp").alias("first"), cents.alias("cents"))
+    bad = spark.read.parquet(tables["QUARANTINE"]).groupBy(F.lit("QUARANTINE").alias("kind"), F.col("reason").alias("symbol")).agg(
+        F.count(F.lit(1)).alias("messages"), F.lit(None).cast("timestamp_ntz").alias("first"), F.lit(0).cast("long").alias("cents"))
+    return seen("QUOTE", F.col("bid")).unionByName(seen("TICK", F.col("price"))).unionByName(seen("BAR", F.col("close"))) \
+        .unionByName(seen("ORDERBOOK", F.get("bids", F.lit(0))["price"])).unionByName(bad)
