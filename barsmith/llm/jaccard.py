@@ -59,6 +59,8 @@ def prefix_length(n: int, percent: int) -> int:
 # -- shared tokens -------------------------------------------------------------
 
 NONE = -(1 << 63)
+#: blocks of tokens per shuffle partition; a task holds one block at a time
+BLOCKS = 4
 
 
 def set_print(s: np.ndarray) -> tuple[int, int]:
@@ -345,7 +347,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     for reaching; a row with a null id is counted but links nothing, its
     component is null.  Only the two named columns are read."""
     spark = docs.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     first = cut(find_ties(d.mapInArrow(_first_task(words, slots), SENT), 4, slots))
     digest = cut(first.where("extra IS NOT NULL").select("extra").mapInArrow(

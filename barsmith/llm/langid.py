@@ -28,8 +28,8 @@ DIM = 1024
 #: letters are told apart by 128 symbols: none, a-z, U+00DF to U+00FF, and 68
 #: that all other letters share by hash
 SYMBOLS, LATIN, OTHER = 128, 27, 60
-#: trigram vectors that a task remembers
-VECTORS = 40_000
+#: trigram vectors that a task remembers, and that it adds up at a time
+VECTORS, SLAB = 16_000, 2_048
 #: labelled texts of a language and size from which a bound is taken, and how
 #: far below the quartiles it lies
 JUDGED, FENCE = 50, 3
@@ -89,10 +89,26 @@ class Vectors:
             self.row[:], self.n = -1, 0
 
     def bundle(self, codes: np.ndarray) -> np.ndarray:
-        counts = np.bincount(self.index(codes))
-        at = np.flatnonzero(counts)
-        return counts[at].astype(np.float64) @ self.rows[at].astype(np.float64) if counts.max(initial=0) > 1 << 20 \
-            else (counts[at].astype(np.float32) @ self.rows[at].astype(np.float32)).astype(np.float64)
+        """Sum of the vectors of all trigrams, ``SLAB`` distinct ones at a time;
+        where very many are new, no more than a slab of them is held either."""
+        total = np.zeros(self.rows.shape[1])
+        if (self.row[codes] < 0).sum() <= VECTORS:
+            counts = np.bincount(self.index(codes))
+            at = np.flatnonzero(counts)
+            for i in range(0, len(at), SLAB):
+                part = at[i:i + SLAB]
+                total += self._sum(counts[part], part)
+            return total
+        distinct, counts = np.unique(codes, return_counts=True)
+        for i in range(0, len(distinct), SLAB):
+            total += self._sum(counts[i:i + SLAB], self.index(distinct[i:i + SLAB]))
+            self.forget()
+        return total
+
+    def _sum(self, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """In single precision while that is exact."""
+        kind = np.float32 if counts.sum() < 1 << 24 else np.float64
+        return (counts.astype(kind) @ self.rows[rows].astype(kind)).astype(np.float64)
 
 
 def _train_task(dim: int, shared):

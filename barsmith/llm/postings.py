@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from barsmith.llm.shingles import binary, grouped, mixed, pack, unpack
 
 #: entries held in a task, text keys it remembers
-HELD = 1 << 20
+HELD = 1 << 19
 SEEN = 1 << 20
 MARK = np.uint32(0xFFFFFFFF)
 SENT = ("slot int, hashes binary, keys binary, runs binary, pos binary, "

@@ -53,7 +53,7 @@ WORD, CAPITAL, NUMBER, UNIT, SIGN, END, NAME = range(7)
 SLOT = {NUMBER: np.uint64(11), UNIT: np.uint64(13), NAME: np.uint64(17)}
 
 #: characters that are tokenised at a time
-SLAB = 1 << 20
+SLAB = 1 << 18
 #: classes of characters, 0 for all others
 LETTER, DIGIT, STOP, MONEY = 1, 2, 3, 4
 BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -492,3 +492,13 @@ def test_exact_copies_and_empty_texts_go_to_all_blocks():
     for _ in range(800):
         sent.note(b"x")
     assert {len(v) for v in sent.notes.values()} == {100} and len(sent.notes) == 8
+
+
+def test_a_text_of_a_large_alphabet_is_bundled_in_slabs(monkeypatch):
+    codes = np.random.default_rng(2).integers(0, langid.SYMBOLS ** 3, 3000)
+    want = langid.Vectors(64).bundle(codes)
+    monkeypatch.setattr(langid, "VECTORS", 100)
+    monkeypatch.setattr(langid, "SLAB", 64)
+    small = langid.Vectors(64)
+    assert (small.bundle(codes) == want).all() and len(small.rows) <= 1024
+    assert (small.bundle(codes[:50]) == langid.Vectors(64).bundle(codes[:50])).all()
