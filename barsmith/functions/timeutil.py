@@ -39,7 +39,7 @@ class Resolution:
 
 def parse_resolution(res: str) -> Resolution:
     """``'500K'`` -> 500-tick bars, ``'1000V'`` -> volume bars, ``'5T'``,
-    ``'1H'``, ``'1D'``, ``'1W'`` (week ending Sunday), ``'1M'`` (month end),
+    ``'1H'``, ``'1D'``, ``'1W'`` (week ending Sunday), ``'3M'`` (month ends),
     ``'30S'`` -> time bars.  Digits give the size; default 1."""
     s = str(res).strip().upper()
     digits = "".join(ch for ch in s if ch.isdigit())
@@ -53,8 +53,8 @@ def parse_resolution(res: str) -> Resolution:
         letters = "T"
     if letters not in ("S", "T", "H", "D", "W", "M"):
         raise ValueError(f"unknown resolution {res!r}")
-    if letters in ("W", "M") and n != 1:
-        raise ValueError(f"only 1{letters} is supported for calendar buckets")
+    if n < 1:
+        raise ValueError(f"resolution {res!r} has no length")
     return Resolution("time", n, letters)
 
 
@@ -62,19 +62,35 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _week_end(c: Column) -> Column:
+    return F.when(F.dayofweek(c) == 1, F.to_date(c)).otherwise(F.next_day(F.to_date(c), "Sun"))
+
+
 def bucket_start(ts, res: Resolution, origin: Column | None = None) -> Column:
     """Start (label) of the time bucket holding ``ts``.
 
     Fixed-size buckets are aligned to ``origin`` (a timestamp column; default
     the epoch, which equals any midnight when the size divides a day).
     ``W`` buckets are labelled by the Sunday ending the week, ``M`` by the
-    month's last day (calendar anchored, as pandas 'W'/'M')."""
+    month's last day (calendar anchored, as pandas 'W'/'M').  Of several weeks
+    or months the first bucket ends with the week or month of ``origin``, the
+    next ones every ``n`` after it."""
     c = _col(ts)
+    if res.unit in ("W", "M") and res.n > 1 and origin is None:
+        raise ValueError("buckets of several weeks or months need an origin")
     if res.unit == "W":
-        d = F.when(F.dayofweek(c) == 1, F.to_date(c)).otherwise(F.next_day(F.to_date(c), "Sun"))
-        return d.cast("timestamp_ntz")
+        end = _week_end(c)
+        if res.n > 1:
+            first = _week_end(origin)
+            end = F.date_add(first, (F.ceil(F.datediff(end, first) / (7 * res.n)) * (7 * res.n)).cast("int"))
+        return end.cast("timestamp_ntz")
     if res.unit == "M":
-        return F.last_day(F.to_date(c)).cast("timestamp_ntz")
+        day = F.to_date(c)
+        if res.n > 1:
+            first = F.to_date(origin)
+            months = (F.year(day) - F.year(first)) * 12 + F.month(day) - F.month(first)
+            day = F.add_months(F.trunc(first, "MM"), (F.ceil(months / res.n) * res.n).cast("int"))
+        return F.last_day(day).cast("timestamp_ntz")
     us = res.seconds * 1_000_000
     t = F.unix_micros(c.cast("timestamp"))
     if origin is None:

@@ -137,7 +137,7 @@ def _bucket(df: DataFrame, ts: str, res: Resolution, keys=("symbol",)) -> DataFr
     """Add ``_bucket``.  Buckets whose size does not divide a day start at
     midnight of each key's first day (pandas 'start_day' origin); that needs
     a per-key minimum joined back (one row per key)."""
-    if res.unit in ("W", "M") or res.day_aligned:
+    if (res.unit in ("W", "M") and res.n == 1) or res.day_aligned:
         return df.withColumn("_bucket", bucket_start(ts, res))
     origin = df.groupBy(*keys).agg(F.to_date(F.min(ts)).cast("timestamp_ntz").alias("_origin"))
     return df.join(origin, list(keys)).withColumn(
@@ -184,18 +184,18 @@ def resample_ticks_time(df: DataFrame, resolution: str = "1T", ts: str = "dateti
 # --------------------------------------------------------------------- A2
 def _dense_count(res: Resolution, lo: Column, hi: Column) -> Column:
     if res.unit == "W":
-        return F.datediff(hi, lo) / 7 + 1
+        return F.datediff(hi, lo) / (7 * res.n) + 1
     if res.unit == "M":
-        return F.round(F.months_between(F.trunc(hi, "MM"), F.trunc(lo, "MM"))).cast("long") + 1
+        return F.round(F.months_between(F.trunc(hi, "MM"), F.trunc(lo, "MM"))).cast("long") / res.n + 1
     us = res.seconds * 1_000_000
     return (F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))) / us + 1
 
 
 def _prev_bucket(res: Resolution, b: Column) -> Column:
     if res.unit == "W":
-        return F.date_sub(F.to_date(b), 7).cast("timestamp_ntz")
+        return F.date_sub(F.to_date(b), 7 * res.n).cast("timestamp_ntz")
     if res.unit == "M":
-        return F.last_day(F.add_months(F.to_date(b), -1)).cast("timestamp_ntz")
+        return F.last_day(F.add_months(F.to_date(b), -res.n)).cast("timestamp_ntz")
     return b - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(res.seconds))
 
 
@@ -208,11 +208,11 @@ def _grid(ranges: DataFrame, res: Resolution, carry=()) -> DataFrame:
     carry = list(carry)
     if res.unit == "W":
         return ranges.select("symbol", *carry, F.explode(F.sequence(
-            F.to_date("_lo"), F.to_date("_hi"), F.expr("INTERVAL 7 DAYS")))
+            F.to_date("_lo"), F.to_date("_hi"), F.expr(f"INTERVAL {7 * res.n} DAYS")))
             .cast("timestamp_ntz").alias("_bucket"))
     if res.unit == "M":
         months = F.sequence(F.trunc(F.to_date("_lo"), "MM"), F.trunc(F.to_date("_hi"), "MM"),
-                            F.expr("INTERVAL 1 MONTH"))
+                            F.expr(f"INTERVAL {res.n} MONTH"))
         return ranges.select("symbol", *carry, F.explode(months).alias("_m")) \
                      .select("symbol", *carry, F.last_day("_m").cast("timestamp_ntz").alias("_bucket"))
     sec = res.seconds

@@ -38,6 +38,40 @@ def resample_week(spark):
     return B.resample_bars_time(bars_with_symbols(spark), "1W", seq="id", ffill=False)
 
 
+def _quarters():
+    """The label of every three months from a symbol's first month."""
+    months = "(date_diff('month', date_trunc('month', o), date_trunc('month', datetime)))"
+    return f"CAST(last_day(date_trunc('month', o) + to_months(CAST(3 * ceil({months} / 3.0) AS INTEGER))) AS TIMESTAMP)"
+
+
+def _fortnights():
+    first, end = (WEEK.replace("datetime", c) for c in ("o", "datetime"))
+    return f"{first} + to_days(CAST(14 * ceil(date_diff('day', {first}, {end}) / 14.0) AS INTEGER))"
+
+
+def _several(label):
+    return f"""
+WITH {B_SYM}, w AS (SELECT *, min(datetime) OVER (PARTITION BY symbol) AS o FROM b),
+a AS (SELECT symbol, {label} AS label, {BAR_AGG} FROM w GROUP BY symbol, {label}),
+{META_T.format(src='b')}
+SELECT a.label AS datetime, a.symbol, m.symbol_group, m.asset_class, open, high, low, close, volume FROM a JOIN m USING (symbol) WHERE {OHLC_OK}
+"""
+
+
+@register("resample_fortnight", fixtures=["fx_bars", "fx_symbols"], sql=_several(_fortnights()))
+def resample_fortnight(spark):
+    """Bars of two weeks, the first ending with the week of a symbol's
+    first bar."""
+    return B.resample_bars_time(bars_with_symbols(spark), "2W", seq="id", ffill=False)
+
+
+@register("resample_quarter", fixtures=["fx_bars", "fx_symbols"], sql=_several(_quarters()))
+def resample_quarter(spark):
+    """Bars of three months, the first ending with the month of a
+    symbol's first bar."""
+    return B.resample_bars_time(bars_with_symbols(spark), "3M", seq="id", ffill=False)
+
+
 @register("history_resampled", fixtures=["fx_bars", "fx_symbols"], sql=f"""
 WITH b AS (SELECT s.symbol, fb.* EXCLUDE (id, symbol_id) FROM fx_bars fb JOIN fx_symbols s ON fb.symbol_id = s.id
   WHERE s.asset_class = 'STK' AND datetime >= TIMESTAMP '1995-01-01'),

@@ -30,6 +30,14 @@ def events(spark):
                     pos.alias("position"))
 
 
+def listed(rows):
+    """Events of the listed instruments; any other fails the query instead of
+    being left out of the wide table."""
+    known = F.col("symbol").isin(SYMBOLS) | F.col("symbol").isNull()
+    stray = F.raise_error(F.concat(F.lit("instrument is not listed: "), F.col("symbol")))
+    return rows.withColumn("symbol", F.when(known, F.col("symbol")).otherwise(stray.cast("string")))
+
+
 def _name(c):
     return c.replace("_FUT_", "_").replace("_OPT_OPT_", "_OPT_")
 
@@ -55,7 +63,7 @@ PIVOT_SQL = _pivot_sql()
 def recorded_pivot(spark):
     """A13 (+W3): the wide recorded table of every instrument's open price and
     shifted position, one row per datetime."""
-    return RC.recorded_pivot(events(spark), SYMBOLS, seq="id")
+    return RC.recorded_pivot(listed(events(spark)), SYMBOLS, seq="id")
 
 
 @register("position_shift", fixtures=["fx_ticks"], sql=f"""
@@ -90,7 +98,7 @@ def backtest_position(spark):
 def export_recorded(spark):
     """The recorded table written as Parquet and read back."""
     path = scratch_path(spark, "recorded", f"rec-{uuid.uuid4().hex}")
-    RC.export_recorded(RC.recorded_pivot(events(spark), SYMBOLS, seq="id"), path)
+    RC.export_recorded(RC.recorded_pivot(listed(events(spark)), SYMBOLS, seq="id"), path)
     return spark.read.parquet(path)
 
 
