@@ -22,6 +22,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barsmith.operators import ordered
+
 from barsmith.functions.calendar import after_third_friday
 from barsmith.functions.scalars import parse_contract_month, parse_thousands
 
@@ -98,8 +100,9 @@ def contract_flags(daily: DataFrame, calendar: DataFrame, key: str = "root") ->
 
 # --------------------------------------------------------------------- W7
 def roll_gap(daily_diff: DataFrame, flags: DataFrame, key: str = "root",
-             mode: str = "last") -> DataFrame:
-    """The price gap applied to each flag row.
+             mode: str = "last", rolls: DataFrame | None = None) -> DataFrame:
+    """The price gap applied to each flag row.  ``rolls`` (root, date): the
+    days E if they are not the expiries.
 
     For every expiry E: the new contract is the one flagged on the first flag
     day after E; gap_E = that contract's daily ``diff`` on day E (skipped
@@ -107,8 +110,9 @@ def roll_gap(daily_diff: DataFrame, flags: DataFrame, key: str = "root",
     or before the last such E carries gap_E of that last E (later rolls
     overwrite earlier ones); ``'cumulative'``: sum of gap_E over the rolls
     E >= the row's date.  Rows after the last roll get 0."""
-    exps = daily_diff.filter(F.col("expiry").isNotNull()).select(key, F.col("expiry").alias("date")).distinct()
-    marks = exps.select(key, "date", F.lit(None).cast("date").alias("fexp"), F.lit(1).alias("_m"))
+    exps = rolls if rolls is not None else \
+        daily_diff.filter(F.col("expiry").isNotNull()).select(key, F.col("expiry").alias("date")).distinct()
+    marks = exps.select(key, "date", F.lit(None).cast(flags.schema["expiry"].dataType).alias("fexp"), F.lit(1).alias("_m"))
     fl = flags.select(key, "date", F.col("expiry").alias("fexp"), F.lit(0).alias("_m"))
     w = Window.partitionBy(key).orderBy("date", "_m").rowsBetween(1, UNF)
     nxt = marks.unionByName(fl).withColumn("next_exp", F.first("fexp", ignorenulls=True).over(w)) \
@@ -206,6 +210,75 @@ def roll_calendar_by_volume(daily: DataFrame, key: str = "root", order: str = "e
     return ends.withColumn("start_day", F.lag("end_day").over(upto)).select(key, "symbol", "start_day", "end_day")
 
 
+# --------------------------------------------------------------------- W8 with J6
+def listed_contracts(daily: DataFrame, key: str = "root", order: str = "symbol") -> DataFrame:
+    """The contracts of a root in listing order (``_k`` from 1): ``expiry``
+    (NULL if no row has one), ``max_day`` and ``roll``, the day after which the
+    next contract follows: the expiry, or else the last day on which the next
+    one traded more (J6); NULL if there is neither."""
+    cs = daily.groupBy(key, "symbol").agg(F.max("expiry").alias("expiry"), F.max("date").alias("max_day"),
+                                          F.min(order).alias("_o"))
+    cs = cs.withColumn("_k", F.dense_rank().over(Window.partitionBy(key).orderBy("_o", "symbol")))   # a root's handful
+    by_volume = volume_crossover(daily.withColumn("_o", F.col(order)), key, "_o").select(key, "symbol", "roll_date")
+    return cs.drop("_o").join(by_volume, [key, "symbol"], "left").withColumn("roll", F.coalesce("expiry", "roll_date")) \
+             .drop("roll_date")
+
+
+def mixed_roll_calendar(contracts: DataFrame, key: str = "root") -> DataFrame:
+    """W6 where only some contracts have an expiry: a fold over a root's
+    contracts as in :func:`roll_calendar`, each pair rolling on its ``roll``
+    day.  A contract without one stays; those after it are absent.  Output:
+    root, symbol, start_day, end_day (NULL = open), present."""
+    lists = contracts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", "symbol", "max_day", "roll"))).alias("cs"))
+    item_t = "struct<symbol:string,start:date,end:date,present:boolean>"
+    init = F.struct(F.lit(None).cast("date").alias("roll"), F.lit(False).alias("stays"),
+                    F.array().cast(f"array<{item_t}>").alias("out"))
+
+    def step(acc, x):
+        first = F.size(acc["out"]) == 0
+        present = first | (x["max_day"] > acc["roll"])
+        # never back before the roll that brought the contract in
+        after = F.when(x["roll"].isNotNull(), F.greatest(acc["roll"], x["roll"]))
+        item = F.struct(x["symbol"].alias("symbol"), acc["roll"].alias("start"), x["roll"].alias("end"), present.alias("present"))
+        return F.struct(
+            F.when(acc["stays"] | ~present, acc["roll"]).otherwise(after).alias("roll"),
+            (acc["stays"] | (present & x["roll"].isNull())).alias("stays"),
+            F.when(acc["stays"], acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"))
+
+    folded = lists.select(key, F.size("cs").alias("n"), F.aggregate("cs", init, step)["out"].alias("out"))
+    ex = folded.select(key, "n", F.posexplode("out").alias("pos", "c"))
+    return ex.select(key, F.col("c.symbol").alias("symbol"), F.col("c.start").alias("start_day"),
+                     F.when(F.col("pos") < F.col("n") - 1, F.col("c.end")).alias("end_day"), F.col("c.present").alias("present"))
+
+
+def continuous_mixed(ticks: DataFrame, key: str = "root", ts: str = "datetime", price_cols=("last",), size: str = "lastsize",
+                     seq=None, order: str = "symbol", gap_mode: str = "last") -> DataFrame:
+    """W8 whose contracts roll by expiry where they have one and by volume where
+    not (``order`` lists them).  With an expiry for every contract the result
+    is that of :func:`continuous_contract`."""
+    price = "close" if "close" in ticks.columns else price_cols[0]
+    daily = daily_last(ticks, (key, "symbol"), ts, seq, ["expiry", price])
+    traded = ticks.groupBy(key, "symbol", F.to_date(ts).alias("date")).agg(F.sum(size).alias("volume"))
+    daily = ordered.materialize(daily.join(traded, [key, "symbol", "date"]))
+    contracts = ordered.materialize(listed_contracts(daily, key, order))
+    w = Window.partitionBy(key).orderBy("date", "_k")
+    dd = daily.drop("expiry").join(contracts.select(key, "symbol", "_k"), [key, "symbol"])
+    # the contract's place stands for its expiry from here on: a number per root
+    dd = ordered.materialize(dd.withColumn("diff", F.col(price) - F.lag(price).over(w)).withColumnRenamed("_k", "contract"))
+    cal = mixed_roll_calendar(contracts, key).join(contracts.select(key, "symbol", F.col("_k").alias("contract")), [key, "symbol"])
+    flags = dd.join(cal.select(key, "contract", "start_day", "end_day"), [key, "contract"])
+    flags = flags.filter((F.col("start_day").isNull() | (F.col("date") > F.col("start_day")))
+                         & (F.col("end_day").isNull() | (F.col("date") <= F.col("end_day")))).drop("start_day", "end_day")
+    rolls = contracts.join(cal.select(key, "symbol"), [key, "symbol"], "left_semi").filter(F.col("roll").isNotNull())
+    rolls = rolls.select(key, F.col("roll").alias("date")).distinct()
+    flags = roll_gap(dd.withColumnRenamed("contract", "expiry"), flags.withColumnRenamed("contract", "expiry"), key, gap_mode, rolls)
+    until = daily.groupBy(key).agg(F.max("date").alias("last_day"))
+    dense = asof_contract_flags(flags, until, key)
+    t = ticks.withColumn("date", F.to_date(ts))
+    j = t.join(dense, [key, "date"]).filter(F.col("symbol") == F.col("flag_symbol"))
+    return j.withColumns({c: F.col(c) + F.col("gap") for c in price_cols}).drop("date", "flag_symbol", "flag_expiry", "gap")
+
+
 # --------------------------------------------------------------------- T3
 def active_contract(settlements: DataFrame, roots: DataFrame | None = None, as_of=None,
                     key: str = "root", min_volume: int = 100, keep: int = 13) -> DataFrame:

@@ -271,3 +271,44 @@ def parse_settlement_text(spark):
                  F.format_number("volume", 0).alias("volume_text"))
     return r.select("*", parse_contract_month("month_text").alias("expiry"),
                     parse_thousands("volume_text").alias("volume"))
+
+
+#: the futures ticks with expiries that are not known: one contract of R1, two of R3, all of R2
+SOME_EXPIRIES = """SELECT event_id, datetime, root, symbol,
+  CASE WHEN root = 'R2' OR (root IN ('R1', 'R3') AND symbol LIKE '%F2024') OR (root = 'R3' AND symbol LIKE '%G2024') THEN NULL
+    ELSE expiry END AS expiry, last, lastsize FROM fx_fut_ticks"""
+
+
+@register("continuous_mixed", dates=["expiry"], fixtures=FUT, sql=f"""
+WITH RECURSIVE t AS ({SOME_EXPIRIES}),
+daily AS (SELECT root, symbol, CAST(datetime AS DATE) AS date, max(expiry) AS expiry,
+  arg_max(last, (datetime, event_id)) FILTER (WHERE last IS NOT NULL) AS last, sum(lastsize) AS volume
+  FROM t GROUP BY root, symbol, CAST(datetime AS DATE)),
+cs AS (SELECT root, symbol, max(expiry) AS expiry, max(date) AS max_day,
+  dense_rank() OVER (PARTITION BY root ORDER BY symbol) AS k, count(*) OVER (PARTITION BY root) AS n FROM daily GROUP BY root, symbol),
+dk AS (SELECT d.root, d.symbol, d.date, d.last, d.volume, cs.k, d.last - lag(d.last) OVER (PARTITION BY d.root ORDER BY d.date, cs.k) AS diff
+  FROM daily d JOIN cs USING (root, symbol)),
+x AS (SELECT a.root, a.k, max(a.date) AS day FROM dk a JOIN dk b ON b.root = a.root AND b.date = a.date AND b.k = a.k + 1
+  WHERE b.volume > a.volume GROUP BY a.root, a.k),
+c AS (SELECT cs.*, coalesce(cs.expiry, x.day) AS own FROM cs LEFT JOIN x USING (root, k)),
+rec AS (SELECT root, k, n, symbol, own, CAST(NULL AS DATE) AS start_day, own AS roll FROM c WHERE k = 1
+  UNION ALL SELECT c.root, c.k, c.n, c.symbol, c.own, rec.roll,
+    CASE WHEN NOT c.max_day > rec.roll THEN rec.roll WHEN c.own IS NULL THEN NULL ELSE greatest(rec.roll, c.own) END
+  FROM rec JOIN c ON c.root = rec.root AND c.k = rec.k + 1 WHERE rec.roll IS NOT NULL),
+flags AS (SELECT dk.* FROM dk JOIN rec USING (root, k)
+  WHERE (rec.start_day IS NULL OR dk.date > rec.start_day) AND (rec.k = rec.n OR rec.own IS NULL OR dk.date <= rec.own)),
+nx AS (SELECT e.root, e.E, (SELECT f.k FROM flags f WHERE f.root = e.root AND f.date > e.E ORDER BY f.date LIMIT 1) AS k
+  FROM (SELECT DISTINCT root, own AS E FROM rec WHERE own IS NOT NULL) e),
+g AS (SELECT nx.root, max(nx.E) AS E, arg_max(dk.diff, nx.E) AS gap FROM nx JOIN dk ON dk.root = nx.root AND dk.date = nx.E AND dk.k = nx.k
+  GROUP BY nx.root),
+fg AS (SELECT f.root, f.date, f.symbol, CASE WHEN g.E IS NOT NULL AND f.date <= g.E THEN g.gap ELSE 0 END AS gap FROM flags f LEFT JOIN g USING (root)),
+days AS (SELECT root, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT f.root, min(f.date) AS lo, (SELECT max(date) FROM daily d WHERE d.root = f.root) AS hi FROM fg f GROUP BY f.root)),
+dense AS (SELECT days.root, days.date, last_value(CASE WHEN fg.symbol IS NOT NULL THEN {{'symbol': fg.symbol, 'gap': fg.gap}} END IGNORE NULLS) OVER (
+  PARTITION BY days.root ORDER BY days.date ROWS UNBOUNDED PRECEDING) AS f FROM days LEFT JOIN fg ON fg.root = days.root AND fg.date = days.date)
+SELECT t.event_id, t.datetime, t.root, t.symbol, t.expiry, t.last + d.f.gap AS last, t.lastsize
+FROM t JOIN dense d ON t.root = d.root AND CAST(t.datetime AS DATE) = d.date WHERE t.symbol = d.f.symbol
+""")
+def continuous_mixed(spark):
+    """W8 + J6: contracts roll on their expiry, those without one by volume."""
+    return FU.continuous_mixed(spark.sql(SOME_EXPIRIES), seq="event_id")
