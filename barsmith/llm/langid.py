@@ -195,7 +195,8 @@ def predictor(spark, model: dict):
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                                               pa.array(known, pa.bool_())], names=["lang", "score", "known"])
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<lang:string,score:double,known:boolean>")
+    # evaluated once a row, whatever a plan does with its fields
+    return F.arrow_udf(run, "struct<lang:string,score:double,known:boolean>").asNondeterministic()
 
 
 def _size(codes: np.ndarray) -> int:
@@ -231,7 +232,7 @@ def bounds(rows: DataFrame, lang: str, text: str, model: dict) -> dict:
                 out.append({"size": _size(codes), "at": int(round(1000 * min(1.0, max(0.0, cos))))})
             yield pa.array(out, pa.struct([("size", pa.int32()), ("at", pa.int32())]))
     run.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    scored = F.arrow_udf(run, "struct<size:int,at:int>")
+    scored = F.arrow_udf(run, "struct<size:int,at:int>").asNondeterministic()
     counts = rows.select(F.col(lang).cast("string").alias("lang"), scored(F.col(text), F.col(lang).cast("string")).alias("s"))
     seen = {}
     for r in counts.where(F.col("s").isNotNull()).groupBy("lang", "s.size", "s.at").count().collect():
