@@ -65,3 +65,18 @@ def test_symbols_and_zone(spark):
         "QUOTE": 0, "TICK": 1, "BAR": 0, "ORDERBOOK": 0, "QUARANTINE": 0}
     assert str(spark.read.parquet(tables["TICK"]).first().timestamp) == "2024-01-05 05:00:00.250000"
     assert os.path.isdir(f"{root}/out/TICK/epoch=0")
+
+
+def test_a_batch_waits_on_disk_and_keeps_bad_lines_only(spark, monkeypatch):
+    good, bad = lines()
+    root = scratch_path(spark, "topics", uuid.uuid4().hex)
+    spark.createDataFrame([(json.dumps(g),) for g in good] + [(b,) for _, b in bad], "value string").write.text(f"{root}/topic")
+    seen, write = [], TP.subscribed
+
+    def spied(rows, kind, *a):
+        seen.append((rows.storageLevel.useMemory, rows.storageLevel.useDisk, rows.where("reason IS NULL AND value IS NOT NULL").count()))
+        return write(rows, kind, *a)
+    monkeypatch.setattr(TP, "subscribed", spied)
+    tables = TP.route_topic(spark, f"{root}/topic", f"{root}/out")
+    assert seen == [(False, True, 0)] * 4
+    assert sorted(r["value"] for r in spark.read.parquet(tables["QUARANTINE"]).collect()) == sorted(b for _, b in bad)
