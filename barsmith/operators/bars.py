@@ -255,29 +255,33 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
         F.min("low").alias("low"),
         last_nn("close", order).alias("close"),
         F.coalesce(F.sum("volume"), F.lit(0)).cast("long").alias("volume"),
-        *[last_nn(c, order).alias(c) for c in opts])
-    # per-symbol counts and metadata: a narrow pass, aggregated on the map side
-    stats = d.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_bucket").alias("_lo"), F.max("_bucket").alias("_hi"),
-        *[last_nn(c, order).alias(c) for c in META]) \
+        *[last_nn(c, order).alias(c) for c in opts],
+        F.count(F.lit(1)).alias("_n"), *[last_nn(c, order).alias(c) for c in META])
+    # written once, so that the input is read and shuffled once; per-symbol counts
+    # and metadata follow from the buckets, which rise with the time
+    agg = ordered.kept(agg)
+    rises = F.col("_bucket") if len(order) == 1 else F.struct("_bucket")
+    stats = agg.groupBy("symbol").agg(
+        F.sum("_n").alias("_n"), F.min("_bucket").alias("_lo"), F.max("_bucket").alias("_hi"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), rises)).alias(c) for c in META]) \
         .withColumn("_fill", _dense_count(res, F.col("_lo"), F.col("_hi")) > F.col("_n")) \
         .drop("_n", "_lo", "_hi")
+    agg = agg.drop("_n", *META).join(stats, "symbol")
     if not ffill:
         # nothing is filled: empty buckets of upsampled symbols just go
-        out = agg.join(stats, "symbol").filter(~F.col("_fill") | (F.col("volume") > 0)) \
+        out = agg.filter(~F.col("_fill") | (F.col("volume") > 0)) \
                  .select(F.col("_bucket").alias(ts), "symbol", *META, *vals)
         if dropna:
             out = out.dropna()
         return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)
-    meta = stats.drop("_fill")
-    fill_syms = stats.filter("_fill").select("symbol")
-    plain = agg.join(stats.filter(~F.col("_fill")).select("symbol"), "symbol", "left_semi")
+    plain = agg.filter(~F.col("_fill"))
 
     # Gap fill without a dense grid join: forward-fill the real buckets of the
     # symbols that need it and find each one's next real bucket (one two-phase
     # pass over the bucket aggregate); the empty buckets between two real ones
-    # are then generated from the earlier one, carrying its filled values.
-    fa = agg.join(fill_syms, "symbol", "left_semi")
+    # are then generated from the earlier one, carrying its filled values and the
+    # metadata, so that the dense rows are not shuffled.
+    fa = agg.filter("_fill").drop("_fill")
     chunk = F.trunc(F.to_date("_bucket"), "MM") if (res.seconds or 86400) >= 86400 \
         else F.to_date("_bucket")
     ff_cols = [c for c in vals if c != "volume"]
@@ -287,20 +291,20 @@ def resample_bars_time(df: DataFrame, resolution: str = "1T", ts: str = "datetim
     # one explode per real bucket over [bucket, next real bucket): the first
     # element is the real row, the rest are its gap rows (volume 0, all
     # prices = the carried close)
-    rng = s.select("symbol", F.col("_bucket").alias("_rb"), F.col("volume").alias("_vol"),
+    rng = s.select("symbol", *META, F.col("_bucket").alias("_rb"), F.col("volume").alias("_vol"),
                    *[F.col(f"_ff_{c}").alias(f"_v_{c}") for c in ff_cols],
                    F.col("_bucket").alias("_lo"),
                    F.coalesce(_prev_bucket(res, F.col("_nb")), F.col("_bucket")).alias("_hi"))
-    grid = _grid(rng, res, ["_rb", "_vol", *[f"_v_{c}" for c in ff_cols]])
+    grid = _grid(rng, res, [*META, "_rb", "_vol", *[f"_v_{c}" for c in ff_cols]])
     real = F.col("_bucket") == F.col("_rb")
     flat = ~real | (F.col("_vol") <= 0)
     g = grid.select(
-        "symbol", "_bucket",
+        "symbol", "_bucket", *META,
         F.when(real, F.col("_vol")).otherwise(F.lit(0)).cast("long").alias("volume"),
         *[(F.when(flat, F.col("_v_close")).otherwise(F.col(f"_v_{c}"))
            if c in ("open", "high", "low") else F.col(f"_v_{c}")).alias(c) for c in ff_cols])
-    both = plain.select("symbol", "_bucket", *vals).unionByName(g.select("symbol", "_bucket", *vals))
-    out = both.join(meta, "symbol").select(F.col("_bucket").alias(ts), "symbol", *META, *vals)
+    cols = [F.col("_bucket").alias(ts), "symbol", *META, *vals]
+    out = plain.select(*cols).unionByName(g.select(*cols))
     if dropna:
         out = out.dropna()
     return _drop_incomplete(out, ["open", "high", "low", "close", "volume"], out.columns)

@@ -23,6 +23,8 @@ Ties in the order are broken by the caller's explicit sequence columns; bare
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,6 +176,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """As :func:`materialize` for wide or many rows: as Parquet, of which every
+    branch reads the columns that it needs."""
+    from barsmith.session import scratch_path
+    path = scratch_path(df.sparkSession, "kept", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def halo_blocks(df: DataFrame, rownum: str, halo: int,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Assign ``_blk`` by row number and duplicate each block's last ``halo``

@@ -60,3 +60,15 @@ def test_an_instrument_that_is_not_listed_fails(spark):
     assert listed(df).count() == 2
     with pytest.raises(Exception, match="instrument is not listed: S99"):
         listed(spark.createDataFrame([("S99",)], "symbol string")).collect()
+
+
+@pytest.mark.parametrize("how", [{"resolution": "1M"}, {"resolution": "1D"}, {"resolution": "3M", "ffill": False}])
+def test_bars_are_read_and_shuffled_once(spark, how):
+    rows = [(s, dt.datetime(2024, 1, 1 + d), g if d < 3 else None, "STK", float(d), 9.0, 0.5, 1.0 + d, 1)
+            for s, g in (("A", "x"), ("B", "y")) for d in (0, 2, 5)]
+    bars = spark.createDataFrame(rows, "symbol string, datetime timestamp_ntz, symbol_group string, asset_class string, "
+                                       "open double, high double, low double, close double, volume long")
+    out = B.resample_bars_time(bars, **how)
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()     # the bars themselves
+    got = out.where("symbol = 'A'").orderBy("datetime").collect()
+    assert {r.symbol_group for r in got} == {"x"} and [r.volume for r in got] == ([1, 0, 1, 0, 0, 1] if how["resolution"] == "1D" else [3])
