@@ -12,9 +12,11 @@ Layout below ``path``::
 * A batch is known by its stream and epoch.  Epochs of a stream rise, so one
   that is not above the stream's last committed epoch has been committed
   already and is skipped.
-* ``compact`` rewrites the batches so far as one and commits that with the list
-  of those it replaces; the files of replaced batches are emptied by the next
-  compaction, so readers that planned before this one still find them.
+* ``compact`` rewrites batches as one of the next level and commits that with
+  the list of those it replaces: a row is rewritten once a level, so as often as
+  the logarithm of the batches says.  The files of replaced batches are emptied
+  by the next compaction, so readers that planned before this one still find
+  them.
 
 One writer at a time, any number of readers.
 """
@@ -31,7 +33,7 @@ from barsmith.operators import partials as PA
 
 COMMIT = "stream string, epoch long, rows long, replaces array<string>, covers map<string,bigint>"
 
-#: batches that a store may have before it is compacted
+#: batches of a level that a store may have before they are compacted
 KEEP = 16
 
 
@@ -39,17 +41,23 @@ def _batch_id(stream: str, epoch: int) -> str:
     return f"{stream}-{epoch:012d}"
 
 
-def commits(spark: SparkSession, path: str) -> list:
-    """Rows of the live commits (``batch`` and those of ``COMMIT``): few, as
-    compaction replaces them."""
+def _entered(spark: SparkSession, path: str) -> tuple[list, list]:
+    """Rows of the live commits and of the replaced ones that are still there."""
     try:
         found = spark.read.schema(f"{COMMIT}, batch string").parquet(f"{path}/commits").collect()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return []
+        return [], []
     gone = {b for r in found for b in r["replaces"] or ()}
-    return sorted((r for r in found if r["batch"] not in gone), key=lambda r: r["batch"])
+    found.sort(key=lambda r: r["batch"])
+    return [r for r in found if r["batch"] not in gone], [r for r in found if r["batch"] in gone]
+
+
+def commits(spark: SparkSession, path: str) -> list:
+    """Rows of the live commits (``batch`` and those of ``COMMIT``): few, as
+    compaction replaces them."""
+    return _entered(spark, path)[0]
 
 
 def last_epoch(spark: SparkSession, path: str, stream: str) -> int:
@@ -115,22 +123,41 @@ def commit(rows: DataFrame, path: str, kind: str, stream: str, epoch: int) -> bo
     return True
 
 
+def _level(row) -> int:
+    """0 for a batch as it came; a compaction has its level as its epoch."""
+    return row["epoch"] if row["replaces"] else 0
+
+
+def _overfull(live: list, keep: int) -> tuple[list, int]:
+    """The batches to merge and the level of what comes of them: those of level
+    0 if they are more than ``keep``, and of each next level that would have more
+    with the merged one."""
+    merged, level = [], 0
+    while True:
+        here = [r for r in live if _level(r) == level]
+        if len(here) + bool(merged) <= keep:
+            return merged, level
+        merged, level = merged + here, level + 1
+
+
 def compact(spark: SparkSession, path: str, kind: str, keep: int = KEEP) -> bool:
-    """Merge the batches into one if there are more than ``keep``, and empty the
-    files of those that the compaction before has replaced."""
-    live = commits(spark, path)
-    if len(live) <= keep:
+    """Merge batches into one where a level has more than ``keep``, and empty
+    the files of those that the compactions before have replaced."""
+    live, replaced = _entered(spark, path)
+    merged, level = _overfull(live, keep)
+    if not merged:
         return False
-    names = [r["batch"] for r in live]
-    for old in sorted({b for r in live for b in r["replaces"] or ()}):
-        for what, schema in (("commits", COMMIT), ("partials", PA.KINDS[kind].schema()), ("data", PA.KINDS[kind].stored)):
+    names = sorted(r["batch"] for r in merged)
+    # the commit last: while it is there, the files are emptied again by the next compaction
+    for old in [r["batch"] for r in replaced]:
+        for what, schema in (("data", PA.KINDS[kind].stored), ("partials", PA.KINDS[kind].schema()), ("commits", COMMIT)):
             spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{what}/batch={old}")
     # the same batches give the same name, so a compaction that was stopped is overwritten
     batch = "compact-" + hashlib.sha256("\n".join(names).encode()).hexdigest()[:32]
-    _write(read(spark, path, kind), path, kind, batch)
+    _write(_read(spark, path, "data", PA.KINDS[kind].stored, names), path, kind, batch)
     covers = {}
-    for r in live:
+    for r in merged:
         for s, e in r["covers"].items():
             covers[s] = max(e, covers.get(s, -1))
-    _enter(spark, path, batch, "compact", 0, sum(r["rows"] for r in live), names, covers)
+    _enter(spark, path, batch, "compact", level, sum(r["rows"] for r in merged), names, covers)
     return True

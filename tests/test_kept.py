@@ -164,3 +164,27 @@ def test_streamed_bars_commit_once_and_resume(spark):
     assert got.count() == 120 and got.select("datetime", "symbol_id").distinct().count() == 120
     assert CO.last_epoch(spark, f"{root}/store", "ingest") == 4
     assert CO.read_partials(spark, f"{root}/store", "bars").agg(F.sum("n")).first()[0] == 120
+
+
+def test_compactions_rewrite_a_row_once_a_level():
+    live, rewritten = [], 0
+    for i in range(243):
+        live.append({"batch": f"feed-{i:03d}", "epoch": i, "rows": 1, "replaces": []})
+        merged, level = CO._overfull(live, 2)
+        if merged:
+            rows = sum(r["rows"] for r in merged)
+            rewritten += rows
+            live = [r for r in live if r not in merged] + [{"batch": f"compact-{i}", "epoch": level, "rows": rows, "replaces": [r["batch"] for r in merged]}]
+        assert len(live) <= 2 * 5 + 1
+    assert sum(r["rows"] for r in live) == 243 and rewritten <= 5 * 243
+
+
+def test_levels_keep_rows_statistics_and_epochs(spark):
+    path, b = fresh(spark), bars(spark, 60, symbols=3, days=20)
+    for i in range(5):
+        CO.commit(b.where(F.pmod(F.xxhash64("datetime"), F.lit(5)) == i), path, "bars", "feed", i)
+        CO.compact(spark, path, "bars", keep=1)
+    levels = [r["epoch"] for r in CO.commits(spark, path) if r["replaces"]]
+    assert sorted(levels) == [2] and len(CO.commits(spark, path)) == 2
+    assert stored(spark, path) == sorted(map(str, b.collect()))
+    assert CO.read_partials(spark, path, "bars").agg(F.sum("n")).first()[0] == 60 and CO.last_epoch(spark, path, "feed") == 4
