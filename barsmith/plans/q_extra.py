@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barsmith.operators import bars as B
 from barsmith.operators import futures as FU
 from barsmith.operators import normalize as NO
+from barsmith.operators import ordered
 from barsmith.operators import recording as RC
 from barsmith.operators import store as ST
 from barsmith.operators import strategies as SG
@@ -310,7 +311,7 @@ def stream_normalize_bars(spark):
     """TS1: bars on a stream."""
     b = spark.table("fx_bars").join(spark.table("fx_symbols").select(
         F.col("id").alias("symbol_id"), "symbol", F.col("asset_class").alias("sec_type")), "symbol_id")
-    out = SS.stream_normalize(SS.replay(b, "datetime"))["BAR"].withColumn("symbol_group", F.col("symbol"))
+    out = SS.stream_normalize(SS.replay(ordered.kept(b), "datetime", wide=True))["BAR"].withColumn("symbol_group", F.col("symbol"))
     return spark.read.parquet(SS.run_to_table(out, "normalize-bars"))
 
 

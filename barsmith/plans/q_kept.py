@@ -142,7 +142,7 @@ FROM tk JOIN dim ON tk.symbol = dim.symbol AND tk.asset_class = dim.asset_class
 def stream_ingest_committed(spark):
     """TS5: quotes and ticks as they arrive, a commit a micro-batch, compacted
     on the way."""
-    rows = ticks_stream(spark).withColumn("asset_class", asset_class("symbol"))
+    rows = ticks_stream(spark, wide=True).withColumn("asset_class", asset_class("symbol"))
     root = scratch_path(spark, "stores", f"ticks-{uuid.uuid4().hex}")
     SS.stream_to_store(rows, f"{root}/ticks", "ticks", f"{root}/symbols", seq="id", keep=2)
     return _stored(CO.read(spark, f"{root}/ticks", "ticks"))
@@ -155,7 +155,7 @@ SELECT datetime, symbol_id, {_rest('open')} AS open, {_rest('high')} AS high, {_
 def stream_ingest_bars(spark):
     """TS5 for bars: the raw bars replayed in time order; the first of a key by
     its sequence stays, across batches the one stored first."""
-    rows = SS.replay(_bars(spark).withColumn("day", F.to_date("datetime")), "day")
+    rows = SS.replay(_bars(spark).withColumn("day", F.to_date("datetime")), "day", wide=True)
     root = scratch_path(spark, "stores", f"bars-{uuid.uuid4().hex}")
     SS.stream_to_store(rows.drop("day"), f"{root}/bars", "bars", spark.table("fx_symbols"), seq=["seq1", "seq2", "seq3"], keep=2)
     return _stored(CO.read(spark, f"{root}/bars", "bars"))
@@ -179,7 +179,7 @@ def stream_book(spark):
     """TS3: the last book of every symbol, kept in map state while updates
     arrive in several micro-batches."""
     view = f"ticks_stream_{uuid.uuid4().hex}"
-    ticks_stream(spark).createOrReplaceTempView(view)
+    ticks_stream(spark, wide=True).createOrReplaceTempView(view)
     books = BK.stream_book(spark.sql(UPDATES_SQL.format(ticks=view)))
     return BK.book_levels(SS.read_latest_table(spark, SS.run_keyed_table(books, "books", "symbol")))
 

@@ -31,16 +31,16 @@ def quotes(spark):
     return NO.normalize_quotes(spark.table("fx_ticks"))
 
 
-def fixture_stream(spark, fixture):
+def fixture_stream(spark, fixture, wide=False):
     """A fixture over ``events`` as a stream: the whole table replayed in time
-    order, several micro-batches."""
+    order, several micro-batches (``wide``: of several files)."""
     view = f"events_stream_{uuid.uuid4().hex}"
-    SS.replay(spark.table("events"), "ts", seq="event_id").createOrReplaceTempView(view)
+    SS.replay(spark.table("events"), "ts", seq="event_id", wide=wide).createOrReplaceTempView(view)
     return spark.sql(FIXTURE_SQL[fixture][0].replace("FROM events", f"FROM {view}"))
 
 
-def ticks_stream(spark):
-    return fixture_stream(spark, "fx_ticks")
+def ticks_stream(spark, wide=False):
+    return fixture_stream(spark, "fx_ticks", wide)
 
 
 @register("normalize_quotes", fixtures=["fx_ticks"], sql=f"WITH {QUOTES_SQL} SELECT * FROM q")
@@ -214,7 +214,7 @@ FROM tk JOIN dim ON tk.symbol = dim.symbol AND tk.asset_class = dim.asset_class
 def stream_ingest(spark):
     """TS5: the tick stream ingested idempotently into a fresh store (ids
     created as symbols appear); the store's content."""
-    t = ticks_stream(spark)
+    t = ticks_stream(spark, wide=True)
     from barsmith.functions.scalars import asset_class
     t = t.withColumn("asset_class", asset_class("symbol"))
     root = scratch_path(spark, "stores", f"ticks-{uuid.uuid4().hex}")
