@@ -5,10 +5,11 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barsmith.llm import (graph, jaccard, langid, licenses, lines, mixing, repeats, reputation, revisits, templates,
+from barsmith.llm import (graph, jaccard, langid, licenses, lines, mixing, postings, repeats, reputation, revisits, templates,
                           topk)
 from tests.llm import brute
 
@@ -502,3 +503,34 @@ def test_a_text_of_a_large_alphabet_is_bundled_in_slabs(monkeypatch):
     small = langid.Vectors(64)
     assert (small.bundle(codes) == want).all() and len(small.rows) <= 1024
     assert (small.bundle(codes[:50]) == langid.Vectors(64).bundle(codes[:50])).all()
+
+
+def test_blocks_send_no_more_packets_than_a_shuffle_has_files(spark, monkeypatch):
+    slots = []
+    monkeypatch.setattr(jaccard, "find_ties", lambda sent, width, n: slots.append(n) or postings.find_ties(sent, width, n))
+    jaccard.near_classes(docs(spark, edge_rows(spark)), words=3).count()
+    assert slots == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+@pytest.mark.parametrize("width", [4, 8])
+def test_a_block_in_slices_has_the_same_ties(monkeypatch, width):
+    rnd = np.random.default_rng(5)
+    rows = []
+    for task in range(3):
+        out = postings.Postings(1, width)
+        for key in range(40):
+            h = rnd.integers(0, 3000, 50).astype(np.uint64)
+            out.add(key + 100 * task if key else 0, h * np.uint64(0x9E3779B1), np.arange(50))
+        rows += list(out.send())
+
+    def ties():
+        got = set()
+        for batch in postings._ties_task(width, 1)(iter(rows)):
+            key, pos = postings._entries(pa.Table.from_batches([batch]))
+            got |= set(zip(key.tolist(), pos.tolist()))
+        return got
+    whole, sorted_at_once, tied = ties(), [], postings._tied
+    monkeypatch.setattr(postings, "SLICE", 64)
+    monkeypatch.setattr(postings, "_tied", lambda raw, *x: sorted_at_once.append(len(raw)) or tied(raw, *x))
+    assert whole == ties() and whole
+    assert len(sorted_at_once) > 10 and max(sorted_at_once) < 1000
