@@ -95,15 +95,18 @@ def read_partials(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return PA.merge(rows, kind)
 
 
-def _write(rows: DataFrame, path: str, kind: str, batch: str) -> None:
+def _write(rows: DataFrame, path: str, kind: str, batch: str, partials: DataFrame | None = None) -> None:
+    """The rows of a batch and their statistics: those given, else counted from
+    what was written."""
     spark = rows.sparkSession
     stored = PA.KINDS[kind].stored
     rows = rows.withColumn("period", PA.KINDS[kind].period(F.col("datetime")))
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in stored.fields])
     (rows.hint("rebalance", "period").sortWithinPartitions("period", "symbol_id", "datetime")
          .write.mode("overwrite").partitionBy("period").parquet(f"{path}/data/batch={batch}"))
-    written = _read(spark, path, "data", stored, [batch])
-    PA.partials(written, kind).write.mode("overwrite").parquet(f"{path}/partials/batch={batch}")
+    if partials is None:
+        partials = PA.partials(_read(spark, path, "data", stored, [batch]), kind)
+    partials.write.mode("overwrite").parquet(f"{path}/partials/batch={batch}")
 
 
 def _enter(spark: SparkSession, path: str, batch: str, stream: str, epoch: int, rows: int, replaces, covers) -> None:
@@ -154,7 +157,8 @@ def compact(spark: SparkSession, path: str, kind: str, keep: int = KEEP) -> bool
             spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{what}/batch={old}")
     # the same batches give the same name, so a compaction that was stopped is overwritten
     batch = "compact-" + hashlib.sha256("\n".join(names).encode()).hexdigest()[:32]
-    _write(_read(spark, path, "data", PA.KINDS[kind].stored, names), path, kind, batch)
+    counted = PA.merge(_read(spark, path, "partials", PA.KINDS[kind].schema(), names), kind)
+    _write(_read(spark, path, "data", PA.KINDS[kind].stored, names), path, kind, batch, counted)
     covers = {}
     for r in merged:
         for s, e in r["covers"].items():

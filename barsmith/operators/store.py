@@ -72,9 +72,9 @@ def _with_symbol_id(batch: DataFrame, symbols: DataFrame, default_asset_class: s
 
 def _first_per_key(df: DataFrame, keys, seq, cols) -> DataFrame:
     """Within a batch the first row (by ``seq``) of a key wins."""
-    okey = F.struct(*[F.col(c) for c in ([seq] if isinstance(seq, str) else seq)])
-    packed = F.min_by(F.struct(*[F.col(c) for c in cols]), okey).alias("_r")
-    return df.groupBy(*keys).agg(packed).select(*keys, *[F.col("_r")[c].alias(c) for c in cols])
+    order = [F.col(c).alias(f"_s{i}") for i, c in enumerate([seq] if isinstance(seq, str) else seq)]
+    first = F.min(F.struct(*order, F.struct(*[F.col(c) for c in cols]).alias("_r"))).alias("_m")
+    return df.groupBy(*keys).agg(first).select(*keys, *[F.col("_m")["_r"][c].alias(c) for c in cols])
 
 
 def missing_rows(batch: DataFrame, existing: DataFrame, keys=("datetime", "symbol_id"),
@@ -92,7 +92,7 @@ def missing_rows(batch: DataFrame, existing: DataFrame, keys=("datetime", "symbo
     ex = existing
     if "date" in batch.columns and "date" in existing.columns:
         if "date" not in k:
-            k = ["date", *k]
+            k = [*k, "date"]                         # last: rows that are sorted by the keys stay so
         src = dates_from if dates_from is not None else batch
         r = src.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")).alias("_r")) \
                .select("_r").scalar()

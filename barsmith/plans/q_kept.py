@@ -5,7 +5,9 @@ quote in force at every trade (J5)."""
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from barsmith.functions.scalars import asset_class
@@ -53,6 +55,14 @@ def ingested(spark, kind: str) -> tuple[str, object]:
     return path, dim
 
 
+def both_ingested(spark):
+    """The stores of bars and of ticks, ingested side by side: a store's short
+    stages leave cores to the other.  Paths of both and the ticks' symbols."""
+    with ThreadPoolExecutor(2) as pool:
+        bars, ticks = [pool.submit(inheritable_thread_target(spark)(ingested), spark, kind) for kind in ("bars", "ticks")]
+        return bars.result()[0], *ticks.result()
+
+
 def _stored(rows):
     return PA.doubles(rows.drop("period")).withColumn("date", F.to_date("datetime"))
 
@@ -99,8 +109,7 @@ FROM dim d LEFT JOIN b ON b.symbol_id = d.id LEFT JOIN t ON t.symbol_id = d.id
 """)
 def symbol_statistics_kept(spark):
     """A6 from the statistics of the batches; no bar and no tick is read."""
-    bars, _ = ingested(spark, "bars")
-    ticks, dim = ingested(spark, "ticks")
+    bars, ticks, dim = both_ingested(spark)
     return PA.symbol_statistics(CO.read_partials(spark, bars, "bars"), CO.read_partials(spark, ticks, "ticks"), dim)
 
 
@@ -111,8 +120,7 @@ SELECT (SELECT count(*) FROM dim) AS total_symbols, count(*) AS total_bars, (SEL
 """)
 def store_summary_kept(spark):
     """A7 from the statistics of the batches."""
-    bars, _ = ingested(spark, "bars")
-    ticks, dim = ingested(spark, "ticks")
+    bars, ticks, dim = both_ingested(spark)
     return PA.store_summary(dim, CO.read_partials(spark, bars, "bars"), CO.read_partials(spark, ticks, "ticks"))
 
 
@@ -127,8 +135,7 @@ SELECT CASE WHEN invalid_bars = 0 THEN 'good' ELSE 'issues_found' END AS overall
 """)
 def quality_report_kept(spark):
     """A8 from the statistics of the batches."""
-    bars, _ = ingested(spark, "bars")
-    ticks, _ = ingested(spark, "ticks")
+    bars, ticks, _ = both_ingested(spark)
     return PA.quality_report(CO.read_partials(spark, bars, "bars"), CO.read_partials(spark, ticks, "ticks"))
 
 

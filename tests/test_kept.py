@@ -188,3 +188,13 @@ def test_levels_keep_rows_statistics_and_epochs(spark):
     assert sorted(levels) == [2] and len(CO.commits(spark, path)) == 2
     assert stored(spark, path) == sorted(map(str, b.collect()))
     assert CO.read_partials(spark, path, "bars").agg(F.sum("n")).first()[0] == 60 and CO.last_epoch(spark, path, "feed") == 4
+
+
+def test_a_compaction_merges_statistics_and_counts_no_rows(spark, monkeypatch):
+    path, b = fresh(spark), bars(spark)
+    for i in range(3):
+        CO.commit(b.where(F.col("symbol_id") % 3 == i), path, "bars", "feed", i)
+    want = sorted(map(str, CO.read_partials(spark, path, "bars").collect()))
+    monkeypatch.setattr(PA, "partials", lambda *_: (_ for _ in ()).throw(RuntimeError("rows were counted again")))
+    assert CO.compact(spark, path, "bars", keep=2)
+    assert sorted(map(str, CO.read_partials(spark, path, "bars").collect())) == want
