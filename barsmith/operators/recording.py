@@ -7,9 +7,8 @@ The original appends one frame per event and re-concatenates everything on
 every call (quadratic).  Here events stay a long table
 ``(datetime, symbol, <fields>)``; the wide table is one pivot at the end.
 The "previous row" of the wide table is the previous *distinct datetime over
-all symbols*; datetimes are numbered with the distributed sequence helper
-(no global single-task window) and the shift is an equi-join on
-``(symbol, row + 1)``.
+all symbols*; every datetime gets its predecessor from the distributed sequence
+helper (no global single-task window) and the shift is an equi-join on it.
 """
 
 from __future__ import annotations
@@ -21,6 +20,9 @@ from barsmith.operators import ordered
 
 DROP_FIELDS = ("symbol_group", "asset_class")
 
+#: rows (datetime, symbol) of the recorded table that a task takes
+TASK_ROWS = 250_000
+
 
 def record_events(df: DataFrame, ts: str = "datetime", fields=None) -> DataFrame:
     """Any DataFrame with a time and a symbol column becomes recorded
@@ -40,18 +42,42 @@ def _fields(events: DataFrame, seq) -> list[str]:
     return [c for c in events.columns if c not in skip]
 
 
-def position_shift(events: DataFrame, position: str = "position", seq=None, nd: DataFrame | None = None) -> DataFrame:
+def previous_datetimes(events: DataFrame, ts: str = "datetime") -> DataFrame:
+    """Distinct datetimes with the one before (``_prev``, null at the first)."""
+    d = events.select(ts).distinct().withColumn("_one", F.lit(1))
+    return ordered.sequence(d, ["_one"], [ts], rownum=None, prev={ts: "_prev"}).drop("_one")
+
+
+def position_shift(events: DataFrame, position: str = "position", seq=None) -> DataFrame:
     """For every (symbol, datetime) of the wide table's row grid where a
     value exists, the symbol's position on the previous wide row (first 0,
-    missing 0).  Long form: symbol, datetime, ``<position>`` shifted.  ``nd``:
-    the numbered datetimes, if the caller has them."""
-    nd = number_datetimes(events) if nd is None else nd
-    first = _first_values(events, [position], seq)
-    e = first.join(nd, "datetime")
-    shifted = e.select("symbol", (F.col("_g") + 1).alias("_g"), F.col(position).alias("_p"))
-    grid = e.select("symbol", "_g").unionByName(shifted.select("symbol", "_g")).distinct()
-    out = grid.join(shifted, ["symbol", "_g"], "left").join(nd, "_g")
-    return out.select("symbol", "datetime", F.coalesce("_p", F.lit(0)).alias(position))
+    missing 0).  Long form: symbol, datetime, ``<position>`` shifted."""
+    first = ordered.kept(_first_values(events, [position], seq))
+    return _shifted(first, position).select("symbol", "datetime", position)
+
+
+def _shifted(first: DataFrame, position: str) -> DataFrame:
+    """First values (stored) with the position moved to the next wide row: a
+    row per (datetime, symbol) of the grid.  The rows of a datetime come in one
+    task and a task takes ``TASK_ROWS`` of them, however many there are."""
+    other = [c for c in first.columns if c not in ("datetime", "symbol", position)]
+    kinds = dict(first.dtypes)
+    own = first.select("datetime", "symbol", *other, F.lit(None).cast(kinds[position]).alias(position),
+                       F.lit(1).alias("_own"))
+    moved = first.withColumnRenamed("datetime", "_prev").join(previous_datetimes(first), "_prev").select(
+        "datetime", "symbol", *[F.lit(None).cast(kinds[c]).alias(c) for c in other],
+        F.when(F.col("symbol").isNotNull(), F.col(position)).alias(position), F.lit(0).alias("_own"))
+    rows = own.unionByName(moved).repartition(_tasks(first), "datetime")
+    # at most one own row and one moved row each
+    cells = rows.groupBy("datetime", "symbol").agg(
+        *[F.max_by(F.col(c), F.col("_own")).alias(c) for c in other],
+        F.min_by(F.col(position), F.col("_own")).alias(position))
+    return cells.withColumn(position, F.coalesce(F.col(position), F.lit(0)))
+
+
+def _tasks(stored: DataFrame) -> int:
+    """Partitions for the rows of a stored table and as many moved ones."""
+    return max(stored.sparkSession.sparkContext.defaultParallelism, -(-2 * stored.count() // TASK_ROWS))
 
 
 def _first_values(events: DataFrame, fields, seq) -> DataFrame:
@@ -67,13 +93,8 @@ def recorded_long(events: DataFrame, position: str = "position", seq=None) -> Da
     for every instrument there is."""
     ev = events.filter(F.col("symbol").isNotNull())
     fields = _fields(ev, seq)
-    other = [f for f in fields if f != position]
-    pieces = [_first_values(ev, other, seq)] if other else []
-    if position in fields:
-        pieces.append(position_shift(ev, position, seq))
-    if len(pieces) == 1:
-        return pieces[0]
-    return pieces[0].join(pieces[1], ["datetime", "symbol"], "full")
+    first = _first_values(ev, fields, seq)
+    return _shifted(ordered.kept(first), position) if position in fields else first
 
 
 def recorded_pivot(events: DataFrame, symbols=None, position: str = "position",
@@ -83,24 +104,29 @@ def recorded_pivot(events: DataFrame, symbols=None, position: str = "position",
     columns ``<SYMBOL>_<FIELD>`` (upper case) holding the first non-null value;
     symbol_group / asset_class dropped; ``<SYMBOL>_POSITION`` shifted one row
     (W3); names with ``_FUT_`` -> ``_`` and ``_OPT_OPT_`` -> ``_OPT_``."""
-    ev = events.filter(F.col("symbol").isNotNull())
-    fields = _fields(ev, seq)
-    long = recorded_long(events, position, seq)
-    up = {f: f.upper() for f in fields}
-    # every (datetime, symbol, field) cell holds at most one non-null value here
-    # (first values were already chosen in record order), so max() picks it and
-    # lets the pivot use hash aggregation
-    aggs = [F.max(F.col(f)).alias(up[f]) for f in fields]
-    syms = list(symbols) if symbols is not None else None
-    wide = long.groupBy("datetime").pivot("symbol", syms).agg(*aggs)
-    # a pivot with one aggregate names columns by the value only
-    if len(fields) == 1:
-        wide = wide.select("datetime", *[F.col(c).alias(f"{c}_{up[fields[0]]}")
-                                         for c in wide.columns if c != "datetime"])
-    pos_cols = [c for c in wide.columns if c.endswith("_" + position.upper())]
-    wide = wide.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in pos_cols})
-    renamed = {c: c.replace("_FUT_", "_").replace("_OPT_OPT_", "_OPT_") for c in wide.columns}
-    return wide.select(*[F.col(c).alias(n) for c, n in renamed.items()])
+    fields = _fields(events, seq)
+    syms = list(symbols) if symbols is not None else _symbols(events)
+    # A datetime holds few of the cells, so they are gathered as they are and
+    # spread over the columns row by row: an aggregate per column would hold a
+    # whole wide row for every datetime of a task.
+    cells = recorded_long(events, position, seq).groupBy("datetime").agg(F.map_from_entries(F.collect_list(
+        F.struct("symbol", F.struct(*fields).alias("values")))).alias("_cells"))
+    out = []
+    for s in syms:
+        for f in fields:
+            value = F.col("_cells")[s][f]
+            name = f"{s}_{f.upper()}".replace("_FUT_", "_").replace("_OPT_OPT_", "_OPT_")
+            out.append((F.coalesce(value, F.lit(0)) if f == position else value).alias(name))
+    return cells.select("datetime", *out)
+
+
+def _symbols(events: DataFrame) -> list[str]:
+    """All symbols, in order; refused beyond Spark's bound on pivot columns."""
+    most = int(events.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    rows = events.select("symbol").distinct().filter(F.col("symbol").isNotNull()).sort("symbol").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} symbols (spark.sql.pivotMaxValues): name those to export")
+    return [r[0] for r in rows]
 
 
 def backtest_position(events: DataFrame, position: str = "position", price: str = "open",
