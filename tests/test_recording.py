@@ -86,3 +86,13 @@ def test_symbols_beyond_the_bound(spark):
             RC.recorded_pivot(spark.createDataFrame(ROWS, SCHEMA), seq="id")
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_export_is_written_in_parts(spark, monkeypatch, tmp_path):
+    """The files hold the whole wide table, in parts that follow its rows."""
+    monkeypatch.setattr(RC, "TASK_ROWS", 2)
+    wide = RC.recorded_pivot(spark.createDataFrame(ROWS * 3, SCHEMA), ["A", "B_FUT_X"], seq="id")
+    RC.export_recorded(wide, str(tmp_path / "rec"))
+    back = spark.read.parquet(str(tmp_path / "rec"))
+    assert back.columns == wide.columns and {r[0]: tuple(r[1:]) for r in back.collect()} == plain(ROWS)
+    assert wide.rdd.getNumPartitions() == 5
