@@ -101,11 +101,15 @@ SHORT_CODES = (("MARKET", "MKT"), ("LIMIT", "LMT"), ("STOP", "STP"), ("TARGET",
                ("SIGNAL", "SGL"), ("LONG", "LNG"), ("SHORT", "SRT"))
 
 
-def fin_short(c) -> Column:
-    x = F.upper(F.col(c) if isinstance(c, str) else c)
+def fin_short(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Abbreviates codes in these columns, in upper case.  Each code is a step
+    of its own over the text of the step before, found without a pattern."""
+    out = df.withColumns({c: F.upper(c) for c in columns})
     for long_, short in SHORT_CODES:
-        x = F.regexp_replace(x, f"^(.*?){long_}", f"$1{short}")
-    return x
+        out = out.withColumns({c: F.when(F.contains(F.col(c), F.lit(long_)), F.overlay(
+            F.col(c), F.lit(short), F.instr(F.col(c), long_), F.lit(len(long_)))).otherwise(F.col(c))
+            for c in columns})
+    return out
 
 
 def uncamel(c) -> Column:
@@ -124,11 +128,11 @@ def report_view(df: DataFrame) -> DataFrame:
         "pos_status": F.when(F.coalesce(F.col("exit_reason"), F.lit("")) == "", "active").otherwise("completed"),
         "pnl_status": F.when(pnl == 0, "").when(pnl > 0, "positive").otherwise("negative"),
         "algo_name": uncamel("algo"),
-        "direction_code": fin_short("direction"),
-        "order_type_code": fin_short("order_type"),
-        "exit_reason_code": fin_short(F.coalesce(F.col("exit_reason"), F.lit(""))),
+        "direction_code": F.col("direction"),
+        "order_type_code": F.col("order_type"),
+        "exit_reason_code": F.coalesce(F.col("exit_reason"), F.lit("")),
     }
     for c in ("target", "stop", "last_price"):
         if c in df.columns:
             cols[f"{c}_shown"] = F.when(F.col(c) == 0, F.lit(None)).otherwise(F.col(c))
-    return df.withColumns(cols)
+    return fin_short(df.withColumns(cols), ["direction_code", "order_type_code", "exit_reason_code"])
