@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import SPACE, cut, may_have, passes_columns, sieve
+from barsmith.llm.common import SPACE, bounded_batches, cut, may_have, passes_columns, sieve
 from barsmith.llm.graph import components
 from barsmith.llm.postings import SENT, Postings, find_ties, places
 from barsmith.llm.shingles import WordHashes, binary, grouped, mixed, pack, shingle_set, unpack
@@ -345,6 +345,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     for reaching; a row with a null id is counted but links nothing, its
     component is null.  Only the two named columns are read."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     first = cut(find_ties(d.mapInArrow(_first_task(words, slots), SENT), 4, slots))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut, passes_columns
+from barsmith.llm.common import bounded_batches, cut, passes_columns
 from barsmith.llm.shingles import grouped
 
 DIM = 1024
@@ -150,6 +150,7 @@ def train(rows: DataFrame, lang: str, text: str, dim: int = DIM) -> dict:
     """Prototypes of the non-null languages of the rows.  What reaches the
     driver is one vector per language."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(symbol_table())
     kinds = "lang string, part int, vec binary"
     sums = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), text)

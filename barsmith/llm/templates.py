@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import cut, passes_columns, sieve
+from barsmith.llm.common import bounded_batches, cut, passes_columns, sieve
 from barsmith.llm.shingles import grouped, mixed
 
 WIDTH = 8
@@ -340,6 +340,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
     with a null id are not reported).  ``key`` is a hash of id and text: repeated rows are one
     document, rows with one id and different texts are two."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = cut(benchmark.where(F.col(item_id).isNotNull())
                 .select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text))
                 .mapInArrow(_item_task, ITEM))

@@ -5,9 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from barsmith.llm import langid
+from barsmith.llm import common, langid
 
 DOC = "doc_id long, text string, lang string"
 DIM = 128
@@ -65,3 +67,24 @@ def test_predictions_match_brute(spark, monkeypatch, small):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert x[:3] == y[:3] and x[3] == pytest.approx(y[3], abs=1e-6)
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    """Long texts go a few at a time; a bound that the session has stays."""
+    rows = spark.range(3000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    def largest():
+        langid.identify(rows).count()
+        return rows.select("text").mapInArrow(sizes, "size long").agg(F.max("size")).first()[0]
+    spark.conf.unset(common.BATCH_BYTES)
+    assert largest() < 3 << 20
+    spark.conf.set(common.BATCH_BYTES, "64m")
+    try:
+        assert largest() > 8 << 20
+    finally:
+        spark.conf.unset(common.BATCH_BYTES)
