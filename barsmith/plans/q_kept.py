@@ -243,7 +243,7 @@ def route_topic(spark):
     odd = spark.table("fx_ticks").where("last IS NULL").select(
         F.to_json(F.struct("symbol", F.lit("QUOTE").alias("kind"), F.lit("high").alias("bid"), F.col("datetime").alias("timestamp"))).alias("m"))
     lines = F.array("m", F.substring("m", 1, 20), F.replace("m", F.lit('"QUOTE"'), F.lit('"OTHER"')))
-    odd.select(F.explode(lines).alias("value")).write.mode("append").text(f"{root}/topic")
+    TP.append(odd.select(F.explode(lines).alias("value")), f"{root}/topic")
     tables = TP.route_topic(spark, f"{root}/topic", f"{root}/out")
 
     def seen(kind, price):

@@ -1,13 +1,16 @@
 """One topic of every kind, routed once, with a quarantine."""
 
 import collections
+import glob
 import json
 import os
 import uuid
 
+from pyspark.sql import functions as F
 
 from barsmith.session import scratch_path
 from barsmith.streaming import topics as TP
+from tests.conftest import SF_SMALL
 
 META = {"symbol": "S1", "symbol_group": "S", "asset_class": "STK", "timestamp": "2024-01-05T10:00:00.250000"}
 
@@ -80,3 +83,32 @@ def test_a_batch_waits_on_disk_and_keeps_bad_lines_only(spark, monkeypatch):
     tables = TP.route_topic(spark, f"{root}/topic", f"{root}/out")
     assert seen == [(False, True, 0)] * 4
     assert sorted(r["value"] for r in spark.read.parquet(tables["QUARANTINE"]).collect()) == sorted(b for _, b in bad)
+
+
+def test_a_topic_takes_less_than_its_text_and_is_read_whole(spark, monkeypatch):
+    monkeypatch.setattr(TP, "FILE_LINES", 500, raising=False)
+    root = scratch_path(spark, "topics", uuid.uuid4().hex)
+    ticks = spark.range(3000).select(F.lit("S1").alias("symbol"), F.timestamp_seconds(F.col("id") + 1.7e9).alias("timestamp"),
+                                     F.lit("TICK").alias("kind"), (F.col("id") + 0.25).alias("price"))
+    TP.publish(ticks.coalesce(2), f"{root}/topic")
+    names = glob.glob(f"{root}/topic/part-*")
+    text = spark.read.text(f"{root}/topic").agg(F.sum(F.length("value") + 1)).first()[0]
+    assert sum(os.path.getsize(n) for n in names) < text / 2
+    assert len(names) == 6 and all(spark.read.text(n).count() == 500 for n in names)
+    good, bad = lines()
+    plain = spark.createDataFrame([(json.dumps(g),) for g in good] + [(b,) for _, b in bad], "value string")
+    plain.write.mode("append").text(f"{root}/topic")           # others may write it as plain text
+    TP.append(plain, f"{root}/topic")
+    tables = TP.route_topic(spark, f"{root}/topic", f"{root}/out", max_files=3)
+    got = {k: spark.read.parquet(p) for k, p in tables.items()}
+    assert {k: v.count() for k, v in got.items()} == {"QUOTE": 2, "TICK": 3004, "BAR": 2, "ORDERBOOK": 2, "QUARANTINE": 2 * len(bad)}
+    assert sorted(r.price for r in got["TICK"].collect()) == sorted([i + 0.25 for i in range(3000)] + [3.25, 4.0] * 2)
+
+
+def test_the_query_writes_its_whole_topic_compressed(spark, monkeypatch):
+    from barsmith.plans import load_all
+    topics, run = [], TP.route_topic
+    monkeypatch.setattr(TP, "route_topic", lambda spark, topic, *a, **how: (topics.append(topic), run(spark, topic, *a, **how))[1])
+    load_all()["route_topic"].run(spark, SF_SMALL)
+    names = glob.glob(f"{topics[0]}/part-*")
+    assert len(names) >= 5 and all(n.endswith(".txt.lz4") for n in names)
