@@ -4,6 +4,7 @@ import collections
 import glob
 import json
 import os
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -112,3 +113,23 @@ def test_the_query_writes_its_whole_topic_compressed(spark, monkeypatch):
     load_all()["route_topic"].run(spark, SF_SMALL)
     names = glob.glob(f"{topics[0]}/part-*")
     assert len(names) >= 5 and all(n.endswith(".txt.lz4") for n in names)
+
+
+def test_what_was_shuffled_for_a_topic_goes_when_it_is_written(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {n for d in manager.localDirsString() for n in glob.glob(f"{d}/*/shuffle_*.data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    root, setting = scratch_path(spark, "topics", uuid.uuid4().hex), spark.conf.get(key, None)
+    before = shuffled()
+    good, _ = lines()
+    plain = spark.createDataFrame([(json.dumps(g),) for g in good], "value string").repartition(3)
+    plain.write.text(f"{root}/other")
+    kept = shuffled() - before
+    TP.publish(spark.read.json(f"{root}/other").where("kind = 'TICK'").withColumn("timestamp", F.to_timestamp("timestamp")).repartition(3), f"{root}/topic")
+    until = time.time() + 20
+    while shuffled() - before - kept and time.time() < until:
+        time.sleep(0.2)
+    assert kept and not shuffled() - before - kept
+    assert spark.conf.get(key, None) == setting and spark.read.text(f"{root}/topic").count() == 2
